@@ -11,9 +11,14 @@ def _col(c) -> Column:
 
 
 def finite(c) -> Column:
-    """Double value of ``c``; NaN and infinities become null."""
+    """Double value of ``c``; NaN and infinities become null (NaN sorts above infinity)."""
     d = _col(c).cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) != F.lit(float("inf"))), d)
+    return F.when(F.abs(d) < F.lit(float("inf")), d)
+
+
+def finite_sql(name: str) -> str:
+    """The same as SQL text, for wide aggregates."""
+    return f"if(abs(`{name}`) < double('Infinity'), double(`{name}`), NULL)"
 
 
 def is_infinite(c) -> Column:

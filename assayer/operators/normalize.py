@@ -45,14 +45,25 @@ def nonfinite_counts(df: DataFrame) -> DataFrame:
     """One row per numeric column: how many cells are plus or minus infinity."""
     reals = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     one = df.agg(*[F.count_if(is_infinite(F.col(f"`{c}`"))).alias(c) for c in reals])
-    return long_form(one, {c: {"infinite_values": F.col(f"`{c}`")} for c in reals})
+    return long_form(one, {c: {"infinite_values": f"`{c}`"} for c in reals})
 
 
-def long_form(wide: DataFrame, cells: dict[str, dict], name: str = "column") -> DataFrame:
-    """One row per entry from a wide row: a single explode, no second scan."""
-    rows = F.array(*[F.struct(F.lit(c).alias(name), *[v.alias(k) for k, v in fields.items()])
-                     for c, fields in cells.items()])
-    return wide.select(F.inline(rows))
+def long_form(wide: DataFrame, cells: dict, name: str = "column") -> DataFrame:
+    """One row per entry from a wide row: a single explode, no second scan.
+
+    ``cells`` maps each entry to its fields as SQL text; one text is far cheaper to hand over
+    than hundreds of column objects.
+    """
+    rows = ", ".join("named_struct(" + ", ".join([f"'{name}', {quoted(c)}", *[f"'{k}', {v}" for k, v in fields.items()]]) + ")"
+                     for c, fields in cells.items())
+    return wide.selectExpr(f"inline(array({rows}))")
+
+
+def quoted(value) -> str:
+    """A text or number as an SQL literal."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(value)
 
 
 def complete_cases(df: DataFrame, columns) -> DataFrame:

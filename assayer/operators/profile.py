@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from assayer.functions import dates, numbers, text
 from assayer.operators import quantiles as q
 from assayer.operators import ranking
-from assayer.operators.normalize import long_form
+from assayer.operators.normalize import long_form, quoted
+from assayer.operators.together import run_together
 
 EXTREME = 1e100
 LARGEST = 1.7976931348623157e308
@@ -34,17 +35,19 @@ def types_of(df: DataFrame) -> dict[str, T.DataType]:
 def first_values(df: DataFrame, columns, key, n: int, cell) -> dict[str, list]:
     """First n non-null cells per column in key order, as ``cell(column)`` gives them.
 
-    One top-k over all columns; a column with many nulls at the start gets its own top-k.
+    One top-k over all columns; a column with many nulls at the start gets its own top-k. The
+    cells are computed on the few rows that are left.
     """
-    head = df.select(*[F.when(_q(c).isNotNull(), cell(c)).alias(c) for c in columns],
-                     *[_q(k).alias(f"__k{i}") for i, k in enumerate(key)])
+    raw = df.select(*[_q(c) for c in columns], *[_q(k).alias(f"__k{i}") for i, k in enumerate(key)])
     order = [f"__k{i}" for i in range(len(key))]
-    rows = head.orderBy(*order).limit(4 * n).collect()
+    rows = (raw.orderBy(*order).limit(4 * n)
+            .select(*[F.when(_q(c).isNotNull(), cell(c)).alias(c) for c in columns]).collect())
     found = {c: [r[c] for r in rows if r[c] is not None][:n] for c in columns}
     if len(rows) == 4 * n:
         for c in columns:
             if len(found[c]) < n:
-                found[c] = [r[0] for r in head.filter(_q(c).isNotNull()).orderBy(*order).select(_q(c)).limit(n).collect()]
+                some = raw.filter(_q(c).isNotNull()).orderBy(*order).limit(n)
+                found[c] = [r[0] for r in some.select(cell(c)).collect()]
     return found
 
 
@@ -84,39 +87,80 @@ def of_kind(kinds: dict[str, str], kind: str) -> list[str]:
 
 # ---- pass 1: one aggregate over all columns ------------------------------------------------
 
+def _real(df: DataFrame, c: str) -> str:
+    """SQL text of the column without NaN and infinities."""
+    return numbers.finite_sql(c) if isinstance(types_of(df)[c], (T.DoubleType, T.FloatType)) else f"`{c}`"
+
+
+def _count_part(df: DataFrame, columns):
+    types = types_of(df)
+    real = {c for c in columns if isinstance(types[c], (T.DoubleType, T.FloatType))}
+    aggregates = ["count(1) AS __rows", *[f"count(`v_{c}`) AS `n_{c}`" for c in columns],
+                  *[f"count_if(`i_{c}`) AS `inf_{c}`" for c in columns if c in real]]
+    inputs = [f"{_real(df, c)} AS `v_{c}`" for c in columns]
+    inputs += [f"abs(`{c}`) = double('Infinity') AS `i_{c}`" for c in columns if c in real]
+    cells = {c: {
+        "rows": "__rows", "non_null": f"`n_{c}`", "missing": f"__rows - `n_{c}`",
+        "missing_pct": f"round((__rows - `n_{c}`) / greatest(__rows, 1) * 100, 2)",
+        "infinite_values": f"`inf_{c}`" if c in real else "0L"} for c in columns}
+    return inputs, aggregates, cells
+
+
+def _moment_part(columns):
+    aggregates, cells = [], {}
+    for c in columns:
+        v, n = f"`v_{c}`", f"double(`n_{c}`)"
+        aggregates += [
+            f"avg({v}) AS `mean_{c}`", f"var_samp({v}) AS `var_{c}`", f"skewness({v}) AS `g1_{c}`", f"kurtosis({v}) AS `g2_{c}`",
+            f"count_if({v} = 0) AS `zero_{c}`", f"count_if({v} < 0) AS `neg_{c}`", f"min({v}) AS `min_{c}`", f"max({v}) AS `max_{c}`"]
+        cells[c] = {
+            "n": f"`n_{c}`", "mean": f"double(`mean_{c}`)", "std": f"sqrt(`var_{c}`)", "variance": f"`var_{c}`",
+            # Bias corrections of the population moments.
+            "skewness": f"if({n} >= 3, try_divide(`g1_{c}` * sqrt({n} * ({n} - 1)), {n} - 2), NULL)",
+            "kurtosis": f"if({n} >= 4, try_divide(({n} - 1) * (({n} + 1) * `g2_{c}` + 6), ({n} - 2) * ({n} - 3)), NULL)",
+            "zero_pct": f"try_divide(double(`zero_{c}`), {n}) * 100", "negative_pct": f"try_divide(double(`neg_{c}`), {n}) * 100",
+            "min": f"double(`min_{c}`)", "max": f"double(`max_{c}`)"}
+    return aggregates, cells
+
+
+def _text_part(columns):
+    aggregates, cells = [], {}
+    for c in columns:
+        v = f"string(`v_{c}`)"
+        aggregates += [f"avg(length({v})) AS `len_{c}`",
+                       f"avg(if({v} IS NOT NULL, double(try_cast({v} AS double) IS NOT NULL), NULL)) AS `num_{c}`"]
+        cells[c] = {"mean_length": f"`len_{c}`", "numeric_share": f"`num_{c}`",
+                    "mixed_numeric_text": f"`num_{c}` >= 0.2 AND `num_{c}` < 0.95"}
+    return aggregates, cells
+
+
+def _aggregated(df: DataFrame, inputs, aggregates) -> DataFrame:
+    return df.selectExpr(*inputs).selectExpr(*aggregates)
+
+
 def counts(df: DataFrame) -> DataFrame:
     """rows, non_null, missing, missing_pct and infinite values per column."""
-    types = types_of(df)
-    number = {c for c, t in types.items() if isinstance(t, T.NumericType)}
-    wide = df.agg(
-        F.count(F.lit(1)).alias("__rows"),
-        *[F.count(numbers.finite(_q(c)) if c in number else _q(c)).alias(f"__n_{c}") for c in df.columns],
-        *[F.count_if(numbers.is_infinite(_q(c))).alias(f"__inf_{c}") for c in df.columns if c in number])
-    rows = F.col("__rows")
-    return long_form(wide, {c: {
-        "rows": rows, "non_null": _q(f"__n_{c}"), "missing": rows - _q(f"__n_{c}"),
-        "missing_pct": F.round((rows - _q(f"__n_{c}")) / F.greatest(rows, F.lit(1)) * 100, 2),
-        "infinite_values": _q(f"__inf_{c}") if c in number else F.lit(0).cast("long"),
-    } for c in df.columns})
+    inputs, aggregates, cells = _count_part(df, df.columns)
+    return long_form(_aggregated(df, inputs, aggregates), cells)
 
 
 def moments(df: DataFrame, columns) -> DataFrame:
     """Mean, spread, shape, sign shares and range per numeric column, in one scan."""
-    aggregates = []
-    for c in columns:
-        v = numbers.finite(_q(c))
-        aggregates += [
-            F.count(v).alias(f"n_{c}"), F.avg(v).alias(f"mean_{c}"), F.stddev_samp(v).alias(f"std_{c}"),
-            F.var_samp(v).alias(f"var_{c}"), F.skewness(v).alias(f"g1_{c}"), F.kurtosis(v).alias(f"g2_{c}"),
-            F.avg((v == 0).cast("double")).alias(f"zero_{c}"), F.avg((v < 0).cast("double")).alias(f"neg_{c}"),
-            F.min(v).alias(f"min_{c}"), F.max(v).alias(f"max_{c}")]
-    wide = df.agg(*aggregates)
-    return long_form(wide, {c: {
-        "n": _q(f"n_{c}"), "mean": _q(f"mean_{c}"), "std": _q(f"std_{c}"), "variance": _q(f"var_{c}"),
-        "skewness": numbers.sample_skewness(_q(f"g1_{c}"), _q(f"n_{c}")),
-        "kurtosis": numbers.sample_kurtosis(_q(f"g2_{c}"), _q(f"n_{c}")),
-        "zero_pct": _q(f"zero_{c}") * 100, "negative_pct": _q(f"neg_{c}") * 100,
-        "min": _q(f"min_{c}"), "max": _q(f"max_{c}")} for c in columns})
+    aggregates, cells = _moment_part(columns)
+    sizes = [f"count(`v_{c}`) AS `n_{c}`" for c in columns]
+    return long_form(_aggregated(df, [f"{_real(df, c)} AS `v_{c}`" for c in columns], sizes + aggregates), cells)
+
+
+def column_scan(df: DataFrame, numeric, texts) -> dict[str, dict]:
+    """Counts, moments and text shape of all columns from a single scan, by column name."""
+    inputs, aggregates, cells = _count_part(df, df.columns)
+    for more, extra in (_moment_part(numeric), _text_part(texts)):
+        aggregates += more
+        for c, fields in extra.items():
+            cells[c] = {**cells[c], **fields}
+    row = _aggregated(df, inputs, aggregates).selectExpr(*[
+        "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + f") AS `{c}`" for c, fields in cells.items()]).first()
+    return {c: row[c].asDict() for c in cells}
 
 
 def scaled_moments(df: DataFrame, columns) -> DataFrame:
@@ -137,15 +181,8 @@ def scaled_moments(df: DataFrame, columns) -> DataFrame:
 
 def text_shape(df: DataFrame, columns) -> DataFrame:
     """Mean length and share of cells that read as numbers, per text column."""
-    aggregates = []
-    for c in columns:
-        v = _q(c).cast("string")
-        aggregates += [F.avg(F.length(v)).alias(f"len_{c}"),
-                       F.avg(F.when(v.isNotNull(), v.try_cast("double").isNotNull().cast("double"))).alias(f"num_{c}")]
-    share = {c: _q(f"num_{c}") for c in columns}
-    return long_form(df.agg(*aggregates), {c: {
-        "mean_length": _q(f"len_{c}"), "numeric_share": share[c],
-        "mixed_numeric_text": (share[c] >= 0.2) & (share[c] < 0.95)} for c in columns})
+    aggregates, cells = _text_part(columns)
+    return long_form(_aggregated(df, [f"`{c}` AS `v_{c}`" for c in columns], aggregates), cells)
 
 
 # ---- pass 2: frequencies --------------------------------------------------------------------
@@ -153,8 +190,8 @@ def text_shape(df: DataFrame, columns) -> DataFrame:
 def frequencies(df: DataFrame, columns) -> DataFrame:
     """column, value, n over non-null cells. Partial counts come first, so a value that fills a
     third of the table crosses the network once per task."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("value")) for c in columns])
-    return (df.select(F.explode(cells).alias("cell")).select("cell.column", "cell.value")
+    cells = ", ".join(f"named_struct('column', {quoted(c)}, 'value', string(`{c}`))" for c in columns)
+    return (df.selectExpr(f"inline(array({cells}))")
             .filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -209,11 +246,11 @@ def usable_counts(df: DataFrame) -> DataFrame:
 def usable_frequencies(df: DataFrame, coded) -> DataFrame:
     """Counts after duplicate removal in one shuffle of the distinct rows: per value for the
     columns in ``coded``, per column for the others, and the row count under column '*'."""
-    cells = [F.struct(F.lit("*").alias("column"), F.lit("").alias("value"))]
+    cells = ["named_struct('column', '*', 'value', '')"]
     for c in df.columns:
-        value = _q(c).cast("string") if c in coded else F.when(_q(c).isNotNull(), F.lit(""))
-        cells.append(F.struct(F.lit(c).alias("column"), value.alias("value")))
-    return (df.dropDuplicates().select(F.explode(F.array(*cells)).alias("cell")).select("cell.column", "cell.value")
+        value = f"string(`{c}`)" if c in coded else f"if(`{c}` IS NOT NULL, '', NULL)"
+        cells.append(f"named_struct('column', {quoted(c)}, 'value', {value})")
+    return (df.dropDuplicates().selectExpr(f"inline(array({', '.join(cells)}))")
             .filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -221,10 +258,10 @@ def usable_frequencies(df: DataFrame, coded) -> DataFrame:
 
 def quantile_table(df: DataFrame, columns, shares=QUANTILES, rows=None) -> DataFrame:
     """One row per column with its quantiles q1, q25, ... (linear interpolation)."""
-    clean = df.select(*[numbers.finite(_q(c)).alias(c) for c in columns])
+    clean = df.selectExpr(*[f"{_real(df, c)} AS `{c}`" for c in columns])
     wide = q.quantiles(clean, columns, shares, rows=rows)
     label = {s: "q" + f"{s * 100:g}".replace(".", "_") for s in shares}
-    return long_form(wide, {c: {label[s]: F.get(_q(c), F.lit(i)) for i, s in enumerate(shares)} for c in columns})
+    return long_form(wide, {c: {label[s]: f"get(`{c}`, {i})" for i, s in enumerate(shares)} for c in columns})
 
 
 def iqr_bounds(df: DataFrame, columns, rows=None) -> DataFrame:
@@ -234,33 +271,32 @@ def iqr_bounds(df: DataFrame, columns, rows=None) -> DataFrame:
         "column", (F.col("q25") - reach).alias("lower"), (F.col("q75") + reach).alias("upper"))
 
 
-def _outside(c: str, bounds):
-    v = numbers.finite(_q(c))
-    return F.coalesce((v < F.lit(bounds[c][0])) | (v > F.lit(bounds[c][1])), F.lit(False))
+def _number(v) -> str:
+    return "double(NULL)" if v is None else f"double('{v!r}')"
+
+
+def _outside(c: str, bounds) -> str:
+    v = numbers.finite_sql(c)
+    return f"coalesce({v} < {_number(bounds[c][0])} OR {v} > {_number(bounds[c][1])}, false)"
 
 
 def outliers(df: DataFrame, columns, rows=None, bounds=None) -> DataFrame:
     """Cells outside the IQR bounds per column (percent of all rows), and the rows with any under '*'."""
     if bounds is None:
         bounds = {r["column"]: (r["lower"], r["upper"]) for r in iqr_bounds(df, columns, rows).collect()}
-    flags = {c: _outside(c, bounds) for c in columns}
-    any_flag = F.lit(False)
-    for flag in flags.values():
-        any_flag = any_flag | flag
-    wide = df.agg(F.count(F.lit(1)).alias("__rows"), F.count_if(any_flag).alias("__any"),
-                  *[F.count_if(flag).alias(f"o_{c}") for c, flag in flags.items()])
-    share = lambda c: F.round(numbers.ratio(c, F.col("__rows")) * 100, 2)
-    cells = {c: {"outliers": _q(f"o_{c}"), "outlier_pct": share(_q(f"o_{c}")),
-                 "lower": F.lit(bounds[c][0]).cast("double"), "upper": F.lit(bounds[c][1]).cast("double")} for c in columns}
-    cells["*"] = {"outliers": F.col("__any"), "outlier_pct": share(F.col("__any")),
-                  "lower": F.lit(None).cast("double"), "upper": F.lit(None).cast("double")}
-    return long_form(wide, cells)
+    flagged = df.selectExpr(*[f"{_outside(c, bounds)} AS `o_{c}`" for c in columns])
+    wide = flagged.selectExpr("count(1) AS __rows", f"count_if({' OR '.join(f'`o_{c}`' for c in columns)}) AS `o_*`",
+                              *[f"count_if(`o_{c}`) AS `o_{c}`" for c in columns])
+    bounds = {**bounds, "*": (None, None)}
+    return long_form(wide, {c: {
+        "outliers": f"`o_{c}`", "outlier_pct": f"round(`o_{c}` / greatest(__rows, 1) * 100, 2)",
+        "lower": _number(bounds[c][0]), "upper": _number(bounds[c][1])} for c in [*columns, "*"]})
 
 
 def outlier_rows(df: DataFrame, columns, rows=None) -> DataFrame:
     """The rows with at least one outlying cell and the names of those cells."""
     bounds = {r["column"]: (r["lower"], r["upper"]) for r in iqr_bounds(df, columns, rows).collect()}
-    named = F.filter(F.array(*[F.when(_outside(c, bounds), F.lit(c)) for c in columns]), lambda x: x.isNotNull())
+    named = F.filter(F.array(*[F.when(F.expr(_outside(c, bounds)), F.lit(c)) for c in columns]), lambda x: x.isNotNull())
     return df.withColumn("outlying", named).filter(F.size("outlying") > 0)
 
 
@@ -286,12 +322,12 @@ def histogram(df: DataFrame, columns, distinct: dict[str, int] | None = None, ra
         if lo == hi:
             lo, hi = lo - 0.5, hi + 0.5
         scale = max(abs(lo), abs(hi), 1.0) if max(abs(lo), abs(hi)) > EXTREME else 1.0
-        v = numbers.finite(_q(c)) / F.lit(scale)
-        place = F.least(F.width_bucket(v, F.lit(lo / scale), F.lit(hi / scale), F.lit(bins)), F.lit(bins).cast("long"))
-        cells.append(F.struct(F.lit(c).alias("column"), place.cast("int").alias("bin")))
+        v = numbers.finite_sql(c) if scale == 1.0 else f"{numbers.finite_sql(c)} / {_number(scale)}"
+        place = f"int(least(width_bucket({v}, {_number(lo / scale)}, {_number(hi / scale)}, {bins}), {bins}L))"
+        cells.append(f"named_struct('column', {quoted(c)}, 'bin', {place})")
         width = (hi / scale - lo / scale) / bins
         spine += [(c, i + 1, (lo / scale + width * i) * scale, (lo / scale + width * (i + 1)) * scale) for i in range(bins)]
-    counted = (df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.column", "cell.bin")
+    counted = (df.selectExpr(f"inline(array({', '.join(cells)}))")
                .filter(F.col("bin").isNotNull()).groupBy("column", "bin").agg(F.count(F.lit(1)).alias("rows")))
     edges = df.sparkSession.createDataFrame(spine, "column string, bin int, lower double, upper double")
     return (edges.join(counted, ["column", "bin"], "left")
@@ -378,26 +414,20 @@ def temporal_profile(df: DataFrame, ts: str, as_of=None, by=(), rows: int | None
 def correlations(df: DataFrame, columns, digits: int | None = 3, batch: int = 400) -> DataFrame:
     """Pearson matrix over pairwise complete rows: both triangles and the diagonal."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    clean = df.selectExpr(*[f"{_real(df, c)} AS `v_{c}`" for c in columns])
     out = None
     for start in range(0, len(pairs), batch):  # keeps the generated code compilable
         part = pairs[start:start + batch]
-        wide = df.agg(*[F.try_divide(F.covar_pop(*_pair(a, b)), F.sqrt(F.var_pop(_both(a, b)) * F.var_pop(_both(b, a)))).alias(f"r{i}")
-                        if a == b else F.corr(*_pair(a, b)).alias(f"r{i}") for i, (a, b) in enumerate(part)])
-        cells = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"r{i}").alias("value"))
+        wide = clean.selectExpr(*[
+            f"if(min(`v_{a}`) < max(`v_{a}`), 1.0D, NULL) AS r{i}" if a == b else f"corr(`v_{a}`, `v_{b}`) AS r{i}"
+            for i, (a, b) in enumerate(part)])
+        cells = [f"named_struct('x', {quoted(x)}, 'y', {quoted(y)}, 'value', r{i})"
                  for i, (a, b) in enumerate(part) for x, y in dict.fromkeys([(a, b), (b, a)])]
-        one = wide.select(F.inline(F.array(*cells)))
+        one = wide.selectExpr(f"inline(array({', '.join(cells)}))")
         out = one if out is None else out.unionByName(one)
     return out if digits is None else out.withColumn("value", F.round("value", digits))
 
 
-def _both(a, b):
-    return F.when(numbers.finite(_q(b)).isNotNull(), numbers.finite(_q(a)))
-
-
-def _pair(a, b):
-    return numbers.finite(_q(a)), numbers.finite(_q(b))
-
-
 def strongest_pairs(matrix: DataFrame, n: int = 5) -> DataFrame:
     """The n largest absolute correlations, every pair once."""
     return (matrix.filter((F.col("x") < F.col("y")) & F.col("value").isNotNull())
@@ -420,96 +450,110 @@ median_interval_seconds double, regular boolean, missing_periods_estimate long,
 seasonality_suitable boolean, future_timestamps long, total_rows long, duplicates long, outlier_rows long"""
 
 
+def _frequency_facts(df: DataFrame, most: int = 20) -> tuple[dict, dict]:
+    """Summary and ``most`` top values per column from one shuffle: both halves of the union
+    read the same exchange."""
+    freq = frequencies(df, df.columns)
+    place = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
+    top = freq.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most)
+    both = frequency_summary(freq).unionByName(top, allowMissingColumns=True).collect()
+    summary = {r["column"]: r.asDict() for r in both if r["place"] is None}
+    values: dict[str, list] = {}
+    for r in sorted((r for r in both if r["place"] is not None), key=lambda r: r["place"]):
+        values.setdefault(r["column"], []).append((r["value"], r["n"]))
+    return summary, values
+
+
+def _usable_facts(df: DataFrame, coded) -> dict[str, tuple[int, int]]:
+    per_column = usable_frequencies(df, coded).groupBy("column").agg(F.sum("n").alias("rows"), F.min("n").alias("least"))
+    return {r["column"]: (r["rows"], r["least"]) for r in per_column.collect()}
+
+
 def profile(df: DataFrame, key=None, as_of=None) -> DataFrame:
-    """One row per column. Seven passes at most, each over the columns it needs."""
+    """One row per column. Independent passes run side by side; only column facts reach the driver."""
     import re
     spark: SparkSession = df.sparkSession
     key = list(key or [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)])
     types, kinds = types_of(df), column_kinds(df, key)
-    numeric, moments_in = of_kind(kinds, "numeric"), {}
-    texts, times = of_kind(kinds, "categorical"), of_kind(kinds, "datetime")
-
-    rec = {c: {"column": c, "position": i, "dtype": types[c].simpleString(), "kind": kinds[c]} for i, c in enumerate(df.columns)}
-
-    def take(result: DataFrame, names=None):
-        for r in result.collect():
-            if r["column"] in rec:
-                rec[r["column"]].update({k: v for k, v in r.asDict().items() if k != "column" and (names is None or k in names)})
-
-    take(counts(df))
-    rows = rec[df.columns[0]]["rows"] if rec else 0
-    if numeric:
-        take(moments(df, numeric))
-        extreme = [c for c in numeric if max(abs(rec[c].get("min") or 0), abs(rec[c].get("max") or 0)) > EXTREME]
-        if extreme:
-            take(scaled_moments(df, extreme))
-    take(frequency_summary(frequencies(df, df.columns)))
-    coded = [c for c in df.columns if 1 <= rec[c].get("unique", 0) <= 20]
-    usable = usable_frequencies(df, coded)
-    distinct_rows = rows
-    per_column = usable.groupBy("column").agg(F.sum("n").alias("usable_non_missing_rows"), F.min("n").alias("usable_minimum_class_count"))
-    for r in per_column.collect():
-        if r["column"] == "*":
-            distinct_rows = r["usable_non_missing_rows"]
-        else:
-            rec[r["column"]]["usable_non_missing_rows"] = r["usable_non_missing_rows"]
-            if r["column"] in coded:
-                rec[r["column"]]["usable_minimum_class_count"] = r["usable_minimum_class_count"]
-    if coded:
-        take(class_counts(frequencies(df, coded)), {"category_counts"})
-    if texts:
-        take(text_shape(df, texts))
-        lengths = df.select(*[F.length(_q(c).cast("string")).alias(c) for c in texts])
-        middle = q.medians(lengths, texts, rows=rows).first()
-        for c in texts:
-            rec[c]["median_length"] = middle[c]
-        for r in top_values(df, texts).orderBy("column", "place").collect():
-            rec[r["column"]].setdefault("distribution", []).append((r["label"], r["rows"], None))
+    numeric, texts, times = (of_kind(kinds, k) for k in ("numeric", "categorical", "datetime"))
+
+    scanned, (summary, values), examples = run_together(
+        lambda: column_scan(df, numeric, texts),
+        lambda: _frequency_facts(df),
+        lambda: first_values(df, df.columns, key, 3, lambda c: F.substring(_q(c).cast("string"), 1, 100)))
+    rec = {c: {"column": c, "position": i, "dtype": types[c].simpleString(), "kind": kinds[c], "unique": 0, "examples": examples[c],
+               **scanned[c], **summary.get(c, {})} for i, c in enumerate(df.columns)}
+    rows = rec[df.columns[0]]["rows"]
+    present = [c for c in numeric if rec[c]["min"] is not None]
+    extreme = [c for c in present if max(abs(rec[c]["min"]), abs(rec[c]["max"])) > EXTREME]
+    ordinary = [c for c in present if c not in extreme]
+    coded = [c for c in df.columns if 1 <= rec[c]["unique"] <= 20]
+
+    def middle():
+        shares = [0.5] if not ordinary else QUANTILES
+        inputs = df.selectExpr(*[f"{_real(df, c)} AS `{c}`" for c in ordinary], *[f"length(string(`{c}`)) AS `{c}`" for c in texts])
+        return q.quantiles(inputs, [*ordinary, *texts], shares, rows=rows).first() if inputs.columns else None
+
+    def scaled():
+        return {r["column"]: r.asDict() for r in scaled_moments(df, extreme).collect()} if extreme else {}
+
+    usable, huge, half, *dated = run_together(
+        lambda: _usable_facts(df, coded), scaled, middle,
+        *[lambda c=c: temporal_profile(df, c, as_of, rows=rows).first().asDict() for c in times])
+    for c, facts in huge.items():
+        rec[c].update({k: v for k, v in facts.items() if k not in ("column", "scale")})
+    for c, facts in zip(times, dated):
+        rec[c].update({k: v for k, v in facts.items() if k != "distinct_dates"})
+    bounds = {}
+    for c in ordinary:
+        for name, v in zip(("q1", "q25", "median", "q75", "q99"), half[c]):
+            rec[c][name] = v
+        reach = 1.5 * (rec[c]["q75"] - rec[c]["q25"])
+        bounds[c] = (rec[c]["q25"] - reach, rec[c]["q75"] + reach)
+    for c in texts:
+        rec[c]["median_length"] = half[c][QUANTILES.index(0.5) if ordinary else 0] if half and half[c] else 0
+
     outlier_count = 0
-    plain = [c for c in numeric if rec[c].get("n") and rec[c].get("min") is not None]
-    if plain:
-        ordinary = [c for c in plain if not rec[c].get("extreme_magnitude")]
-        if ordinary:
-            take(quantile_table(df, ordinary, rows=rows))
-            bounds = {}
-            for c in ordinary:
-                rec[c]["median"] = rec[c].pop("q50")
-                reach = 1.5 * (rec[c]["q75"] - rec[c]["q25"])
-                bounds[c] = (rec[c]["q25"] - reach, rec[c]["q75"] + reach)
-            for r in outliers(df, ordinary, rows, bounds).collect():
-                if r["column"] == "*":
-                    outlier_count = r["outliers"]
-                else:
-                    rec[r["column"]].update({k: r[k] for k in ("outliers", "outlier_pct", "lower", "upper")})
-        ranges = {c: (rec[c]["min"], rec[c]["max"]) for c in plain}
-        for r in histogram(df, plain, {c: rec[c]["unique"] for c in plain}, ranges).orderBy("column", "bin").collect():
+    if present:
+        ranges = {c: (rec[c]["min"], rec[c]["max"]) for c in present}
+        outside, bins = run_together(
+            lambda: outliers(df, ordinary, rows, bounds).collect() if ordinary else [],
+            lambda: histogram(df, present, {c: rec[c]["unique"] for c in present}, ranges).collect())
+        for r in outside:
+            if r["column"] == "*":
+                outlier_count = r["outliers"]
+            else:
+                rec[r["column"]].update({k: r[k] for k in ("outliers", "outlier_pct", "lower", "upper")})
+        for r in sorted(bins, key=lambda r: r["bin"]):
             rec[r["column"]].setdefault("distribution", []).append((f"{r['lower']:.3g}", r["rows"], r["upper"]))
-    for c in times:
-        one = temporal_profile(df, c, as_of, rows=rows).first().asDict()
-        rec[c].update({k: v for k, v in one.items() if k != "distinct_dates"})
-    shown = [c for c in df.columns]
-    for c, values in first_values(df, shown, key, 3, lambda c: F.substring(_q(c).cast("string"), 1, 100)).items():
-        rec[c]["examples"] = values
 
     names = [f.name for f in T._parse_datatype_string(SCHEMA).fields]
+    distinct_rows = usable.get("*", (rows, 0))[0]
     table = []
     for c, r in rec.items():
-        unique, ratio = r.get("unique", 0), r.get("unique", 0) / max(rows, 1)
-        r["unique"], r["cardinality_ratio"] = unique, ratio
-        category = kinds[c] == "categorical"
-        r["constant"], r["near_constant"] = unique <= 1, bool(r.get("near_constant"))
+        ratio, category = r["unique"] / max(rows, 1), kinds[c] == "categorical"
+        r["cardinality_ratio"] = ratio
+        r["usable_non_missing_rows"] = usable.get(c, (0, 0))[0]
+        r["constant"], r["near_constant"] = r["unique"] <= 1, bool(r.get("near_constant"))
         r["possible_id"] = bool(re.search(text.IDENTIFIER_NAME, c)) and ratio > 0.8 or (
             category and ratio > 0.98 and (r.get("mean_length") or 0) < 40)
-        r["high_cardinality"] = category and unique > 100
+        r["high_cardinality"] = category and r["unique"] > 100
         r["possible_free_text"] = category and (r.get("median_length") or 0) > 60
         r["extreme_magnitude"] = bool(r.get("extreme_magnitude"))
-        if unique > 20 or unique < 1:
+        if c in coded:
+            r["category_counts"] = dict(values[c])
+            r["usable_minimum_class_count"] = usable.get(c, (0, 0))[1]
+        else:
             r["minimum_class_count"] = None
+        if category:
+            labels = [*values.get(c, []), *([("(missing)", r["missing"])] if r["missing"] else [])]
+            labels.sort(key=lambda v: (-v[1], v[0]))
+            r["distribution"] = [(label[:50], n, None) for label, n in labels[:10]]
+        elif kinds[c] == "datetime":
+            r["distribution"] = [(label[:50], n, None) for label, n in values.get(c, [])[:10]]
         if not category:
-            for k in ("entropy", "rare_category_pct", "dominant_category"):
-                r[k] = None
+            r["entropy"] = r["rare_category_pct"] = r["dominant_category"] = None
         r.update(total_rows=rows, duplicates=rows - distinct_rows, outlier_rows=outlier_count)
-        r.setdefault("usable_non_missing_rows", 0)
         table.append(tuple(r.get(k) for k in names))
     return spark.createDataFrame(table, SCHEMA)
 

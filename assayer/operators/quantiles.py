@@ -22,8 +22,8 @@ def quantiles(df: DataFrame, columns, shares, by=(), rows: int | None = None, ac
     """One row per ``by`` group with an array of quantiles per column (named as the column)."""
     by, columns = list(by), list(columns)
     if (df.count() if rows is None else rows) <= SMALL_ROWS:
-        exact = [F.percentile(F.col(f"`{c}`").cast("double"), F.array(*[F.lit(float(s)) for s in shares])).alias(c) for c in columns]
-        return df.groupBy(*by).agg(*exact)
+        wanted = ", ".join(f"double('{float(s)!r}')" for s in shares)
+        return df.groupBy(*by).agg(*[F.expr(f"percentile(double(`{c}`), array({wanted})) AS `{c}`") for c in columns])
     return _bracketed(df, columns, shares, by, accuracy)
 
 
