@@ -443,7 +443,7 @@ def test_pairs(df: DataFrame, profile_table: DataFrame, columns=None, nominal=()
     mixed = [(a, b) if kinds[a] == "categorical" else (b, a) for a, b in pairs if kinds[a] != kinds[b]]
     jobs = [lambda f=f, p=p: f(df, p, key, rows)
             for f, p in ((_numeric_tests, numeric), (_table_tests, tables), (_group_tests, mixed)) if p]
-    out = list(itertools.chain(*run_together(*jobs))) if jobs else []
+    out = list(itertools.chain(*run_together(spark, *jobs))) if jobs else []
     width = len(RESULT.split(","))
     for r in chosen:
         if r["extreme_magnitude"]:
@@ -481,7 +481,7 @@ def _numeric_tests(df: DataFrame, pairs, key, rows) -> list:
     jobs = [straight, ranked] if good else []
     if len(good) < len(pairs):
         jobs.append(skipped)
-    return list(itertools.chain(*run_together(*jobs)))
+    return list(itertools.chain(*run_together(spark, *jobs)))
 
 
 def _table_tests(df: DataFrame, pairs, key, rows) -> list:
@@ -550,7 +550,7 @@ def _group_tests(df: DataFrame, mixed, key, rows) -> list:
         table = rank_rows(df, chosen, rows) if chosen else None
         return table and [tuple(r) for r in table.collect()]
 
-    level, ranks = run_together(spreads, lambda: rank_table(certain) or [])
+    level, ranks = run_together(spark, spreads, lambda: rank_table(certain) or [])
     more = [p for p in several if p in normal and not level.get(p, 0) >= 0.05]
     if more:
         ranks = ranks + rank_table(more)
@@ -586,7 +586,7 @@ def _group_tests(df: DataFrame, mixed, key, rows) -> list:
                                    p_value=tails.chi_square_p("statistic", "df"), effect=F.col("epsilon_squared"),
                                    measure=F.lit("epsilon_squared")))
     at = {name.split()[0]: i for i, name in enumerate(part.strip() for part in RESULT.replace("\n", " ").split(","))}
-    for row in itertools.chain(*run_together(*jobs)):
+    for row in itertools.chain(*run_together(spark, *jobs)):
         row, pair = list(row), (row[at["left"]], row[at["right"]])
         row[at["normal"]] = pair in normal
         row[at["groups"]] = json.dumps([{"label": g["label"], "n": g["n"], "mean": g["mean"]} for g in sorted(found[pair], key=lambda g: g["label"])])

@@ -89,6 +89,6 @@ def leakage(df: DataFrame, target: str, profile_table: DataFrame) -> DataFrame:
         jobs.append(lambda: [(r["feature"], "after the prediction time", r["after_share"], r["n"]) for r in found.collect()
                              if r["n"] and r["after_share"] > LATE_SHARE])
     flags = [(c, "outcome-like name", None, None) for c in others if re.search(text.OUTCOME_LIKE_NAME, c)]
-    for part in run_together(*jobs) if jobs else []:
+    for part in run_together(spark, *jobs) if jobs else []:
         flags += part
     return spark.createDataFrame(flags, "feature string, reason string, value double, rows long").withColumn("target", F.lit(target))

@@ -478,7 +478,7 @@ def profile(df: DataFrame, key=None, as_of=None) -> DataFrame:
     numeric, texts, times = (of_kind(kinds, k) for k in ("numeric", "categorical", "datetime"))
 
     scanned, (summary, values), examples = run_together(
-        lambda: column_scan(df, numeric, texts),
+        spark, lambda: column_scan(df, numeric, texts),
         lambda: _frequency_facts(df),
         lambda: first_values(df, df.columns, key, 3, lambda c: F.substring(_q(c).cast("string"), 1, 100)))
     rec = {c: {"column": c, "position": i, "dtype": types[c].simpleString(), "kind": kinds[c], "unique": 0, "examples": examples[c],
@@ -498,7 +498,7 @@ def profile(df: DataFrame, key=None, as_of=None) -> DataFrame:
         return {r["column"]: r.asDict() for r in scaled_moments(df, extreme).collect()} if extreme else {}
 
     usable, huge, half, *dated = run_together(
-        lambda: _usable_facts(df, coded), scaled, middle,
+        spark, lambda: _usable_facts(df, coded), scaled, middle,
         *[lambda c=c: temporal_profile(df, c, as_of, rows=rows).first().asDict() for c in times])
     for c, facts in huge.items():
         rec[c].update({k: v for k, v in facts.items() if k not in ("column", "scale")})
@@ -517,7 +517,7 @@ def profile(df: DataFrame, key=None, as_of=None) -> DataFrame:
     if present:
         ranges = {c: (rec[c]["min"], rec[c]["max"]) for c in present}
         outside, bins = run_together(
-            lambda: outliers(df, ordinary, rows, bounds).collect() if ordinary else [],
+            spark, lambda: outliers(df, ordinary, rows, bounds).collect() if ordinary else [],
             lambda: histogram(df, present, {c: rec[c]["unique"] for c in present}, ranges).collect())
         for r in outside:
             if r["column"] == "*":

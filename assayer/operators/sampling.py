@@ -36,3 +36,9 @@ def scatter(df: DataFrame, x: str, y: str, key, n: int | None = 600) -> DataFram
     if n is not None:
         pairs = stable_sample(pairs.select(*dict.fromkeys([*key, x, y])), key, n)
     return pairs.select(F.col(x).alias("x"), F.col(y).alias("y"))
+
+
+def first_points(df: DataFrame, x: str, y: str, key, n: int = 500) -> DataFrame:
+    """The first n complete pairs in key order as x and y."""
+    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return pairs.orderBy(*key).limit(n).select(F.col(x).alias("x"), F.col(y).alias("y"))
