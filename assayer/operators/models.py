@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from assayer.operators import metrics
 from assayer.operators.features import MOST_FEATURES, WIDEST, feature_stages
+from assayer.operators.together import run_together
 
 BINARY, MULTICLASS, REGRESSION, CLUSTERING = "average_precision", "f1_macro", "rmse", "silhouette"
 
@@ -133,49 +134,66 @@ def measure(pred: DataFrame, task: str, classes: int, key=None) -> dict:
     return out
 
 
+def selection_score(pred: DataFrame, task: str, classes: int, key=None) -> float:
+    """The metric models are chosen by."""
+    if task == "regression":
+        row = metrics.regression_metrics(pred).first()
+    elif task == "clustering":
+        vec = pred.select(*key, vector_to_array("features").alias("v"), F.col("prediction").cast("int").alias("cluster"))
+        row = metrics.silhouette(vec, "v", "cluster", key).first()
+    else:
+        row = (metrics.ranking_metrics(pred) if classes == 2 else metrics.classification_metrics(pred)).first()
+    return float(row[score_metric(task, classes)])
+
+
 def compare_models(df: DataFrame, key, task: str, numeric, categorical, classes: int = 2, k: int = 3, names=None,
                    max_seconds: float | None = None) -> DataFrame:
     """One row per candidate and fold: the selection metric on the held-out fold.
 
     ``df`` has ``label`` (0-based for classes), ``part`` and ``fold``. Features are learned inside
-    each fold; test rows are never read. A candidate that fails is reported, not raised.
+    each fold; test rows are never read. The candidates of a fold are fitted side by side. One
+    that fails is reported, not raised.
     """
     started, spark = time.monotonic(), df.sparkSession
-    development = df.filter(F.col("part") == "train")
-    metric = score_metric(task, classes)
-    rows = development.count()
+    development = df.filter(F.col("part") == "train").persist()
+    metric, rows = score_metric(task, classes), development.count()
     rarest = None
     if task == "classification":
         rarest = development.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
-    out = []
-    for fold in range(k):
-        train, held = development.filter(F.col("fold") != fold), development.filter(F.col("fold") == fold)
-        if task == "classification":
-            train = balanced_weights(train)
+        development_rows = balanced_weights(development)
+    else:
+        development_rows = development
+
+    def one_fold(fold: int) -> list:
+        train, held = development_rows.filter(F.col("fold") != fold), development_rows.filter(F.col("fold") == fold)
         stages = feature_stages(train, numeric, categorical).fit(train)
         ready, test = stages.transform(train).persist(), stages.transform(held).persist()
         width = ready.select("features").first()["features"].size
-        for index, (name, family, estimator) in enumerate(candidates(task, classes, width, rows)):
-            if names is not None and name not in names:
-                continue
+
+        def attempt(index, name, family, estimator):
             if not allowed(task, family, rows, width, rarest):
-                out.append((name, family, fold, metric, None, "skipped"))
-                continue
+                return (name, family, fold, metric, None, "skipped")
             if max_seconds is not None and index > 1 and time.monotonic() - started >= max_seconds:
-                out.append((name, family, fold, metric, None, "out of time"))
-                continue
+                return (name, family, fold, metric, None, "out of time")
             try:
                 if estimator is None:
                     pred = _baseline(ready, test, task, classes)
                 else:
-                    if name == "Ridge regression":
-                        estimator = ridge(ready)
-                    pred = predictions(estimator.fit(ready), test, task, classes)
-                out.append((name, family, fold, metric, float(measure(pred, task, classes, key)[metric]), "completed"))
+                    fitted = (ridge(ready) if name == "Ridge regression" else estimator).fit(ready)
+                    pred = predictions(fitted, test, task, classes)
+                return (name, family, fold, metric, selection_score(pred, task, classes, key), "completed")
             except Exception:  # noqa: BLE001 - one failing candidate must not end the search
-                out.append((name, family, fold, metric, None, "failed"))
+                return (name, family, fold, metric, None, "failed")
+
+        jobs = [lambda c=c: attempt(*c) for c in ((i, n, f, e) for i, (n, f, e) in enumerate(candidates(task, classes, width, rows)))
+                if names is None or c[1] in names]
+        out = run_together(spark, *jobs)
         ready.unpersist()
         test.unpersist()
+        return out
+
+    out = [row for fold in range(k) for row in one_fold(fold)]
+    development.unpersist()
     return spark.createDataFrame(out, "name string, family string, fold int, metric string, score double, status string")
 
 

@@ -29,13 +29,13 @@ def hash_positions(df: DataFrame, key, within=(), salt: str = "", name: str = "p
     """
     groups = [*within, "__bucket"]
     hashed = df.withColumn("__hash", key_hash(key, salt)).withColumn("__bucket", F.substring("__hash", 1, digits))
-    totals = hashed.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).withColumn("__all", F.lit(0))
-    offsets = _before(totals, ["__all", *within], "__bucket", ["n"]).drop("__all")
+    totals = hashed.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n")).withColumn("__all", F.lit(0))
+    offsets = _before(totals, ["__all", *within], "__bucket", ["__n"]).drop("__all")
     numbered = hashed.withColumn("__local", F.row_number().over(
         Window.partitionBy(*groups).orderBy("__hash", *key)))
     return (join_groups(numbered, offsets, groups)
-            .withColumn(name, F.col("__local") + F.col("__before_n"))
-            .drop("__hash", "__bucket", "__local", "__before_n"))
+            .withColumn(name, F.col("__local") + F.col("__before___n"))
+            .drop("__hash", "__bucket", "__local", "__before___n"))
 
 
 def join_groups(left: DataFrame, right: DataFrame, keys) -> DataFrame:
