@@ -151,16 +151,25 @@ def moments(df: DataFrame, columns) -> DataFrame:
     return long_form(_aggregated(df, [f"{_real(df, c)} AS `v_{c}`" for c in columns], sizes + aggregates), cells)
 
 
-def column_scan(df: DataFrame, numeric, texts) -> dict[str, dict]:
-    """Counts, moments and text shape of all columns from a single scan, by column name."""
-    inputs, aggregates, cells = _count_part(df, df.columns)
-    for more, extra in (_moment_part(numeric), _text_part(texts)):
-        aggregates += more
-        for c, fields in extra.items():
-            cells[c] = {**cells[c], **fields}
-    row = _aggregated(df, inputs, aggregates).selectExpr(*[
-        "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + f") AS `{c}`" for c, fields in cells.items()]).first()
-    return {c: row[c].asDict() for c in cells}
+def column_scan(df: DataFrame, numeric, texts, batch: int = 4) -> dict[str, dict]:
+    """Counts, moments and text shape of all columns, by column name.
+
+    A few columns per aggregate: columnar files hand over each column once either way, and small
+    aggregates compile to code the virtual machine can optimise.
+    """
+    def part(names):
+        inputs, aggregates, cells = _count_part(df, names)
+        for more, extra in (_moment_part([c for c in names if c in numeric]), _text_part([c for c in names if c in texts])):
+            aggregates += more
+            for c, fields in extra.items():
+                cells[c] = {**cells[c], **fields}
+        row = _aggregated(df, inputs, aggregates).selectExpr(*[
+            "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + f") AS `{c}`" for c, fields in cells.items()]).first()
+        return {c: row[c].asDict() for c in cells}
+
+    names = df.columns
+    parts = run_together(df.sparkSession, *[lambda p=names[i:i + batch]: part(p) for i in range(0, len(names), batch)])
+    return {c: facts for found in parts for c, facts in found.items()}
 
 
 def scaled_moments(df: DataFrame, columns) -> DataFrame:
@@ -196,15 +205,18 @@ def frequencies(df: DataFrame, columns) -> DataFrame:
 
 
 def frequency_summary(freq: DataFrame) -> DataFrame:
-    """Distinct count, dominant value and share, rarest count, entropy in bits, rare share."""
-    n, total = F.col("n"), F.col("total")
-    totals = F.broadcast(freq.groupBy("column").agg(F.sum("n").alias("total")))  # a row per column
-    return (freq.join(totals, "column").groupBy("column").agg(
-        F.count(F.lit(1)).alias("unique"), F.first("total").alias("non_null"),
-        F.min("n").alias("minimum_class_count"), F.max("n").alias("dominant_count"),
-        F.min_by("value", F.struct(-n, F.col("value"))).alias("dominant_category"),
-        (F.log2(F.first("total")) - F.sum(n * F.log2(n)) / F.first("total")).alias("entropy"),
-        F.coalesce(F.sum(F.when(n / total < 0.01, n)), F.lit(0)).alias("rare_rows"))
+    """Distinct count, dominant value and share, rarest count, entropy in bits, rare share.
+
+    Values are first counted by how often they occur; that table is short and holds everything.
+    """
+    levels = freq.groupBy("column", "n").agg(F.count(F.lit(1)).alias("values"), F.min("value").alias("first"))
+    totals = F.broadcast(levels.groupBy("column").agg(F.sum(F.col("n") * F.col("values")).alias("total")))  # a row per column
+    n, total, rows = F.col("n"), F.col("total"), F.col("n") * F.col("values")
+    return (levels.join(totals, "column").groupBy("column").agg(
+        F.sum("values").alias("unique"), F.first("total").alias("non_null"), F.min("n").alias("minimum_class_count"),
+        F.max("n").alias("dominant_count"), F.max_by("first", "n").alias("dominant_category"),
+        (F.log2(F.first("total")) - F.sum(rows * F.log2(n)) / F.first("total")).alias("entropy"),
+        F.coalesce(F.sum(F.when(n / total < 0.01, rows)), F.lit(0)).alias("rare_rows"))
         .withColumn("dominant_share", F.col("dominant_count") / F.col("non_null"))
         .withColumn("rare_category_pct", F.col("rare_rows") / F.col("non_null") * 100)
         .withColumn("near_constant", F.col("dominant_share") >= 0.95)
@@ -450,18 +462,20 @@ median_interval_seconds double, regular boolean, missing_periods_estimate long,
 seasonality_suitable boolean, future_timestamps long, total_rows long, duplicates long, outlier_rows long"""
 
 
-def _frequency_facts(df: DataFrame, most: int = 20) -> tuple[dict, dict]:
-    """Summary and ``most`` top values per column from one shuffle: both halves of the union
-    read the same exchange."""
-    freq = frequencies(df, df.columns)
+def _frequency_facts(df: DataFrame) -> dict[str, dict]:
+    return {r["column"]: r.asDict() for r in frequency_summary(frequencies(df, df.columns)).collect()}
+
+
+def _frequent_values(df: DataFrame, columns, most: int = 20) -> dict[str, list]:
+    """The ``most`` top (value, rows) per column; each task keeps that many per column."""
+    if not columns:
+        return {}
     place = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    top = freq.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most)
-    both = frequency_summary(freq).unionByName(top, allowMissingColumns=True).collect()
-    summary = {r["column"]: r.asDict() for r in both if r["place"] is None}
+    top = frequencies(df, columns).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most)
     values: dict[str, list] = {}
-    for r in sorted((r for r in both if r["place"] is not None), key=lambda r: r["place"]):
+    for r in sorted(top.collect(), key=lambda r: r["place"]):
         values.setdefault(r["column"], []).append((r["value"], r["n"]))
-    return summary, values
+    return values
 
 
 def _usable_facts(df: DataFrame, coded) -> dict[str, tuple[int, int]]:
@@ -477,7 +491,7 @@ def profile(df: DataFrame, key=None, as_of=None) -> DataFrame:
     types, kinds = types_of(df), column_kinds(df, key)
     numeric, texts, times = (of_kind(kinds, k) for k in ("numeric", "categorical", "datetime"))
 
-    scanned, (summary, values), examples = run_together(
+    scanned, summary, examples = run_together(
         spark, lambda: column_scan(df, numeric, texts),
         lambda: _frequency_facts(df),
         lambda: first_values(df, df.columns, key, 3, lambda c: F.substring(_q(c).cast("string"), 1, 100)))
@@ -497,8 +511,8 @@ def profile(df: DataFrame, key=None, as_of=None) -> DataFrame:
     def scaled():
         return {r["column"]: r.asDict() for r in scaled_moments(df, extreme).collect()} if extreme else {}
 
-    usable, huge, half, *dated = run_together(
-        spark, lambda: _usable_facts(df, coded), scaled, middle,
+    usable, huge, half, values, *dated = run_together(
+        spark, lambda: _usable_facts(df, coded), scaled, middle, lambda: _frequent_values(df, list(dict.fromkeys([*coded, *texts, *times]))),
         *[lambda c=c: temporal_profile(df, c, as_of, rows=rows).first().asDict() for c in times])
     for c, facts in huge.items():
         rec[c].update({k: v for k, v in facts.items() if k not in ("column", "scale")})

@@ -15,16 +15,21 @@ from pyspark.sql import functions as F
 
 from assayer.operators.ranking import join_groups
 
-SMALL_ROWS = 2_000_000
+# Up to these sizes the built-in exact percentile is used, without and with groups.
+SMALL_ROWS = 200_000
+SMALL_GROUPED_ROWS = 4_000_000
 
 
-def quantiles(df: DataFrame, columns, shares, by=(), rows: int | None = None, accuracy: int = 100_000) -> DataFrame:
+def quantiles(df: DataFrame, columns, shares, by=(), rows: int | None = None, accuracy: int | None = None) -> DataFrame:
     """One row per ``by`` group with an array of quantiles per column (named as the column)."""
     by, columns = list(by), list(columns)
-    if (df.count() if rows is None else rows) <= SMALL_ROWS:
+    rows = df.count() if rows is None else rows
+    if rows <= (SMALL_GROUPED_ROWS if by else SMALL_ROWS):
         wanted = ", ".join(f"double('{float(s)!r}')" for s in shares)
         return df.groupBy(*by).agg(*[F.expr(f"percentile(double(`{c}`), array({wanted})) AS `{c}`") for c in columns])
-    return _bracketed(df, columns, shares, by, accuracy)
+    # A bracket holds about 8 rows / accuracy values: a few megabytes up to 10^12 rows.
+    accuracy = accuracy or min(1_000_000, max(1_000, rows // 100_000))
+    return _bracketed_groups(df, columns, shares, by, accuracy) if by else _bracketed(df, columns, shares, accuracy)
 
 
 def medians(df: DataFrame, columns, by=(), rows: int | None = None) -> DataFrame:
@@ -33,7 +38,68 @@ def medians(df: DataFrame, columns, by=(), rows: int | None = None) -> DataFrame
     return got.select(*by, *[F.get(f"`{c}`", F.lit(0)).alias(c) for c in columns])
 
 
-def _bracketed(df: DataFrame, columns, shares, by, accuracy) -> DataFrame:
+def _bracketed(df: DataFrame, columns, shares, accuracy) -> DataFrame:
+    """Sketch, then counts below the brackets, then the few values inside them: three scans, no
+    shuffle of the data. Only brackets, counts and the picked values reach the driver."""
+    values = df.selectExpr(*[f"double(`{c}`) AS v{i}" for i, c in enumerate(columns)])
+    slack = 2.0 / accuracy
+    wanted = ", ".join(f"{min(1.0, max(0.0, s + d))!r}" for s in shares for d in (-slack, slack))
+    found = values.selectExpr(*[e for i in range(len(columns)) for e in (
+        f"count(v{i}) AS n{i}", f"min(v{i}) AS min{i}", f"max(v{i}) AS max{i}", f"percentile_approx(v{i}, array({wanted}), {accuracy}) AS b{i}")]).first()
+    ends = {}
+    for i in range(len(columns)):
+        for j, share in enumerate(shares):
+            if found[f"n{i}"]:
+                ends[i, j] = (found[f"min{i}"] if share <= slack else found[f"b{i}"][2 * j],
+                              found[f"max{i}"] if share >= 1 - slack else found[f"b{i}"][2 * j + 1])
+    below = values.selectExpr(*[e for (i, j), (low, _) in ends.items() for e in (
+        f"count_if(v{i} < double('{low!r}')) AS l{i}_{j}", f"count_if(v{i} <= double('{low!r}')) AS e{i}_{j}")]).first() if ends else None
+    picks = {}  # bracket -> places among the values strictly inside it
+    for (i, j) in ends:
+        place = shares[j] * (found[f"n{i}"] - 1)
+        for k in {math.floor(place), math.ceil(place)}:
+            if k < below[f"l{i}_{j}"]:
+                raise ArithmeticError("A quantile bracket was missed: raise the accuracy.")
+            if k >= below[f"e{i}_{j}"]:
+                picks.setdefault((i, j), []).append(k - below[f"e{i}_{j}"])
+    inside = _values_at(values, {p: ends[p] for p in picks if ends[p][0] < ends[p][1]}, picks)
+
+    def order_statistic(i, j, k):
+        if k < below[f"e{i}_{j}"]:
+            return ends[i, j][0]
+        value = inside.get((i, j), {}).get(k - below[f"e{i}_{j}"])
+        return ends[i, j][1] if value is None else value
+
+    out = []
+    for i in range(len(columns)):
+        row = []
+        for j, share in enumerate(shares):
+            if (i, j) in ends:
+                place = share * (found[f"n{i}"] - 1)
+                low, high = math.floor(place), math.ceil(place)
+                a, b = order_statistic(i, j, low), order_statistic(i, j, high)
+                row.append(a if low == high else (high - place) * a + (place - low) * b)
+        out.append(row or None)
+    schema = ", ".join(f"c{i} array<double>" for i in range(len(columns)))
+    return df.sparkSession.createDataFrame([tuple(out)], schema).toDF(*columns)
+
+
+def _values_at(values: DataFrame, ends: dict, picks: dict) -> dict:
+    """The values at the wanted places (in sorted order) strictly inside each bracket."""
+    if not ends:
+        return {}
+    ids = {p: n for n, p in enumerate(ends)}
+    inner = {p: f"v{p[0]} > double('{low!r}') AND v{p[0]} < double('{high!r}')" for p, (low, high) in ends.items()}
+    cells = ", ".join(f"if({inner[p]}, named_struct('id', {ids[p]}, 'v', v{p[0]}), NULL)" for p in ends)
+    few = values.filter(" OR ".join(f"({c})" for c in inner.values()))
+    held = few.selectExpr(f"inline(filter(array({cells}), x -> x IS NOT NULL))").groupBy("id").agg(F.sort_array(F.collect_list("v")).alias("s"))
+    places = ", ".join(f"{ids[p]}, array({', '.join(str(k) for k in picks[p])})" for p in ends)
+    rows = held.selectExpr("id", f"transform(map({places})[id], k -> get(s, int(k))) AS got").collect()
+    at = {n: p for p, n in ids.items()}
+    return {at[r["id"]]: dict(zip(picks[at[r["id"]]], r["got"])) for r in rows}
+
+
+def _bracketed_groups(df: DataFrame, columns, shares, by, accuracy) -> DataFrame:
     values = df.select(*by, *[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     slack = 2.0 / accuracy
     wanted = [min(1.0, max(0.0, s + d)) for s in shares for d in (-slack, slack)]
@@ -42,12 +108,8 @@ def _bracketed(df: DataFrame, columns, shares, by, accuracy) -> DataFrame:
         *[F.min(f"v{i}").alias(f"min{i}") for i in range(len(columns))],
         *[F.max(f"v{i}").alias(f"max{i}") for i in range(len(columns))],
         *[F.percentile_approx(f"v{i}", wanted, accuracy).alias(f"b{i}") for i in range(len(columns))])
-    # Grouped brackets join on the group; Spark measures their size before it broadcasts them.
-    if by:
-        joined = join_groups(values, sketch, by)
-    else:
-        one = F.broadcast(sketch.withColumn("__all", F.lit(0)))  # a single row
-        joined = values.withColumn("__all", F.lit(0)).join(one, "__all").drop("__all")
+    # Brackets join on the group; Spark measures their size before it broadcasts them.
+    joined = join_groups(values, sketch, by)
 
     aggregates = []
     for i in range(len(columns)):
@@ -88,8 +150,3 @@ def median_absolute_deviation(df: DataFrame, columns, rows: int | None = None) -
     spread_of = df.select(*[F.abs(F.col(f"`{c}`").cast("double") - F.lit(centre[c])).alias(c) for c in columns])
     spread = medians(spread_of, columns, rows=rows).first()
     return {c: (centre[c], spread[c]) for c in columns}
-
-
-def tolerance(rows: int, accuracy: int) -> int:
-    """Most values a bracket can keep, for sizing the accuracy."""
-    return math.ceil(8 * rows / accuracy)
