@@ -21,6 +21,15 @@ def finite_sql(name: str) -> str:
     return f"if(abs(`{name}`) < double('Infinity'), double(`{name}`), NULL)"
 
 
+def corr_sql(x: str, y: str) -> str:
+    """Pearson r of two SQL expressions over pairwise complete rows, null where one is constant.
+
+    The built-in correlation divides by zero there, which is an error in ANSI mode.
+    """
+    xs, ys = f"if({y} IS NULL, NULL, {x})", f"if({x} IS NULL, NULL, {y})"
+    return f"try_divide(covar_pop({x}, {y}), sqrt(var_pop({xs})) * sqrt(var_pop({ys})))"
+
+
 def is_infinite(c) -> Column:
     """True for plus or minus infinity, false for everything else, null included."""
     return F.coalesce(F.abs(_col(c).cast("double")) == F.lit(float("inf")), F.lit(False))

@@ -59,7 +59,7 @@ def pearson(df: DataFrame, pairs) -> DataFrame:
     for i, (a, b) in enumerate(pairs):
         x, y = f"`{a}`", f"`{b}`"
         xs, ys = f"if({y} IS NULL, NULL, {x})", f"if({x} IS NULL, NULL, {y})"
-        aggregates += [f"count({xs}) AS n{i}", f"corr({x}, {y}) AS r{i}", f"min({xs}) < max({xs}) AS vx{i}", f"min({ys}) < max({ys}) AS vy{i}"]
+        aggregates += [f"count({xs}) AS n{i}", numbers.corr_sql(x, y) + f" AS r{i}", f"min({xs}) < max({xs}) AS vx{i}", f"min({ys}) < max({ys}) AS vy{i}"]
         cells[i] = {"left": quoted(a), "right": quoted(b), "n": f"n{i}", "coefficient": f"r{i}", "varies": f"coalesce(vx{i} AND vy{i}, false)"}
     wide = df.selectExpr(*[f"{numbers.finite_sql(c)} AS `{c}`" for c in names]).selectExpr(*aggregates)
     out = long_form(wide, cells, "pair").drop("pair")
@@ -102,7 +102,7 @@ def _rank_correlations(df: DataFrame, names, pairs, rows) -> DataFrame:
         # Distinct values of the column: Spark broadcasts the table only if it measures small.
         ranked = ranked.join(table, f"v{i}")
     at = {c: i for i, c in enumerate(names)}
-    wide = ranked.agg(F.count(F.lit(1)).alias("n"), *[F.corr(f"k{at[a]}", f"k{at[b]}").alias(f"r{j}") for j, (a, b) in enumerate(pairs)])
+    wide = ranked.agg(F.count(F.lit(1)).alias("n"), *[F.expr(numbers.corr_sql(f"k{at[a]}", f"k{at[b]}")).alias(f"r{j}") for j, (a, b) in enumerate(pairs)])
     return long_form(wide, {j: {"left": quoted(a), "right": quoted(b), "n": "n", "coefficient": f"r{j}"}
                             for j, (a, b) in enumerate(pairs)}, "pair").drop("pair")
 

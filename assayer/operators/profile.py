@@ -431,7 +431,7 @@ def correlations(df: DataFrame, columns, digits: int | None = 3, batch: int = 40
     for start in range(0, len(pairs), batch):  # keeps the generated code compilable
         part = pairs[start:start + batch]
         wide = clean.selectExpr(*[
-            f"if(min(`v_{a}`) < max(`v_{a}`), 1.0D, NULL) AS r{i}" if a == b else f"corr(`v_{a}`, `v_{b}`) AS r{i}"
+            f"if(min(`v_{a}`) < max(`v_{a}`), 1.0D, NULL) AS r{i}" if a == b else numbers.corr_sql(f"`v_{a}`", f"`v_{b}`") + f" AS r{i}"
             for i, (a, b) in enumerate(part)])
         cells = [f"named_struct('x', {quoted(x)}, 'y', {quoted(y)}, 'value', r{i})"
                  for i, (a, b) in enumerate(part) for x, y in dict.fromkeys([(a, b), (b, a)])]

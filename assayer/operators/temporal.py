@@ -178,7 +178,7 @@ def seasonality(series: DataFrame) -> DataFrame:
     for f, steps in dates.SEASON_LAG.items():
         earlier = F.when(F.col("frequency") == f, F.lag("__rest", steps).over(_order(names))).otherwise(earlier)
     s = rest.withColumn("__earlier", earlier).withColumn("lag", lag).groupBy(*names, "frequency", "lag", "periods", "__full").agg(
-        F.corr("__rest", "__earlier").alias("__r"), F.stddev_pop("__rest").alias("__sd"))
+        F.expr(numbers.corr_sql("__rest", "__earlier")).alias("__r"), F.stddev_pop("__rest").alias("__sd"))
     suits = (F.col("lag") > 0) & (F.col("periods") >= 2 * F.col("lag")) & (F.col("__full") == F.col("periods")) & (F.col("__sd") > 1e-9)
     return s.withColumn("autocorrelation", F.when(suits, F.col("__r"))).select(*names, "frequency", "lag", "periods", "autocorrelation")
 

@@ -86,8 +86,8 @@ def _(t):
     return temporal.residual_anomalies(_hourly(t)).select("period", "residual")
 
 
-@query("ts_10_season", f"""WITH l AS (SELECT k, regr_slope(v, i) AS a, regr_intercept(v, i) AS b, count(*) AS n FROM {MONTHLY} GROUP BY 1), d AS (SELECT k, i, n, v - (b + a * i) AS e FROM {MONTHLY} m JOIN l USING (k)),
-    g AS (SELECT k, n, e, lag(e, 12) OVER (PARTITION BY k ORDER BY i) AS f FROM d) SELECT k, n AS periods, CAST(12 AS BIGINT) AS lag, {r('corr(e, f)', 'autocorrelation', 5)} FROM g GROUP BY ALL""".replace("SELECT k, i, n, v", "SELECT k, i, l.n AS n, v"), 5)
+@query("ts_10_season", f"""WITH l AS (SELECT k, regr_slope(v, i) AS a, regr_intercept(v, i) AS b, count(*) AS n, count(v) = count(*) AS full FROM {MONTHLY} GROUP BY 1), d AS (SELECT k, i, l.n AS n, l.full, v - (b + a * i) AS e FROM {MONTHLY} m JOIN l USING (k)),
+    g AS (SELECT k, n, full, e, lag(e, 12) OVER (PARTITION BY k ORDER BY i) AS f FROM d) SELECT k, n AS periods, CAST(12 AS BIGINT) AS lag, {r('CASE WHEN bool_and(full) THEN corr(e, f) END', 'autocorrelation', 5)} FROM g GROUP BY k, n""", 5)
 def _(t):
     return temporal.seasonality(_monthly(t)).select("k", "periods", "lag", "autocorrelation")
 
@@ -106,7 +106,7 @@ def _(t):
     return temporal.change_points(_monthly(t)).select("k", "place", "period")
 
 
-GATE = f"(SELECT k, p, v, i, count(*) OVER (PARTITION BY k) AS m FROM {MONTHLY})"
+GATE = f"(SELECT k, p, v, i, count(*) OVER (PARTITION BY k) AS m FROM {MONTHLY} QUALIFY count(*) OVER (PARTITION BY k) >= 24 AND count(v) OVER (PARTITION BY k) = count(*) OVER (PARTITION BY k))"
 SES = f"""RECURSIVE g AS {GATE}, s AS (SELECT k, i, v AS level FROM g WHERE i = 0 UNION ALL SELECT g.k, g.i, 0.3 * g.v + 0.7 * s.level FROM s JOIN g ON g.k = s.k AND g.i = s.i + 1),
     f AS (SELECT g.k, g.p, g.i, g.v, g.m, lag(g.v) OVER w AS naive, avg(g.v) OVER (PARTITION BY g.k ORDER BY g.i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS ma, lag(s.level) OVER w AS ses,
         CASE WHEN g.i < floor(g.m * 0.6) THEN 'train' WHEN g.i < floor(g.m * 0.8) THEN 'validation' ELSE 'test' END AS part FROM g JOIN s ON s.k = g.k AND s.i = g.i WINDOW w AS (PARTITION BY g.k ORDER BY g.i)),
