@@ -97,8 +97,11 @@ def spearman(df: DataFrame, pairs, complete=(), rows: int | None = None) -> Data
 
 def _rank_correlations(df: DataFrame, names, pairs, rows) -> DataFrame:
     ranked = df.select(*[numbers.finite(_q(c)).alias(f"v{i}") for i, c in enumerate(names)])
+    # How finely a column is cut depends on its distinct values, not on the rows.
+    sizes = [rows] * len(names) if rows <= ranking.SMALL_ROWS else [
+        min(rows, int(n * 1.2) + 1) for n in ranked.agg(*[F.approx_count_distinct(f"v{i}") for i in range(len(names))]).first()]
     for i in range(len(names)):
-        table = ranking.average_ranks(ranked.select(f"v{i}"), f"v{i}", rows=rows).select(f"v{i}", F.col("avg_rank").alias(f"k{i}"))
+        table = ranking.average_ranks(ranked.select(f"v{i}"), f"v{i}", rows=sizes[i]).select(f"v{i}", F.col("avg_rank").alias(f"k{i}"))
         # Distinct values of the column: Spark broadcasts the table only if it measures small.
         ranked = ranked.join(table, f"v{i}")
     at = {c: i for i, c in enumerate(names)}

@@ -72,7 +72,7 @@ def positive_metrics(pred: DataFrame, positive=1) -> DataFrame:
 
 # ---- scores ---------------------------------------------------------------------------------
 
-def threshold_counts(pred: DataFrame, rows: int | None = None, buckets: int = 1024) -> DataFrame:
+def threshold_counts(pred: DataFrame, rows: int | None = None, buckets: int | None = None) -> DataFrame:
     """Distinct scores with true and false positives when everything from the score up is called positive."""
     rows = pred.count() if rows is None else rows
     counts = pred.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
@@ -85,7 +85,7 @@ def _with_totals(points: DataFrame) -> DataFrame:
     return points.withColumn("__all", F.lit(0)).join(totals, "__all").drop("__all")  # a single row
 
 
-def ranking_metrics(pred: DataFrame, rows: int | None = None, buckets: int = 1024) -> DataFrame:
+def ranking_metrics(pred: DataFrame, rows: int | None = None, buckets: int | None = None) -> DataFrame:
     """ROC-AUC with ties averaged, and average precision as the step sum."""
     points = _with_totals(threshold_counts(pred, rows, buckets))
     # Pairs won at a score: its positives against the negatives below, half of those level with it.

@@ -7,13 +7,15 @@ by approximate quantiles; neither changes the answer, only how the work is sprea
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.digests import key_hash
 
-# Up to this many rows one bucket is used; a sort of that size fits any task.
-SMALL_ROWS = 1_000_000
+# Up to this many rows one bucket is used; beyond it a bucket has about BUCKET_ROWS distinct values
+# until MOST_BUCKETS are reached.
+SMALL_ROWS, BUCKET_ROWS, MOST_BUCKETS = 1_000_000, 50_000, 4096
 
 
 def _before(totals: DataFrame, by, bucket, names) -> DataFrame:
@@ -47,33 +49,31 @@ def join_groups(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     return left.join(renamed, on).drop(*[f"__r_{k}" for k in keys])
 
 
-def value_buckets(df: DataFrame, value: str, by=(), buckets: int = 1024, name: str = "__bucket") -> DataFrame:
-    """Number of the range bucket of each value, cut per ``by`` group at approximate quantiles."""
-    keys = list(by)
-    grouped = df if keys else df.withColumn("__all", F.lit(0))
-    keys = keys or ["__all"]
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = grouped.groupBy(*keys).agg(F.percentile_approx(value, shares, 4 * buckets).alias("__cuts"))
-    if not by:
-        cuts = F.broadcast(cuts)  # one row
-    steps = [1 << i for i in range(buckets.bit_length() - 1, -1, -1)]
-
-    def advance(at: Column, step: Column) -> Column:
-        fits = (at + step <= F.size("__cuts")) & (F.get("__cuts", at + step - 1) < F.col(value))
-        return F.when(fits, at + step).otherwise(at)
+def value_buckets(df: DataFrame, value: str, buckets: int, name: str = "__bucket") -> DataFrame:
+    """Number of the range bucket of each value, cut at approximate quantiles of all values.
 
-    bucket = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
-    return grouped.join(cuts, keys).withColumn(name, bucket).drop("__cuts", "__all")
+    The cuts are one short list on the driver; groups share them, so no group can have more
+    than a bucket's share of the rows in one bucket.
+    """
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), shares, 4 * buckets)).first()[0] or []
+    edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    if len(edges) == 2:
+        return df.withColumn(name, F.lit(0))
+    cut = Bucketizer(splits=edges, inputCol="__value", outputCol="__place", handleInvalid="keep")
+    placed = cut.transform(df.withColumn("__value", F.col(value).cast("double")))
+    return placed.withColumn(name, F.col("__place").cast("int")).drop("__value", "__place")
 
 
-def bucketed(df: DataFrame, value: str, by=(), rows: int | None = None, buckets: int = 1024) -> DataFrame:
+def bucketed(df: DataFrame, value: str, rows: int | None = None, buckets: int | None = None) -> DataFrame:
     """``__bucket`` for a table of ``rows`` rows at most (counted when not given)."""
-    if (df.count() if rows is None else rows) <= SMALL_ROWS:
+    rows = df.count() if rows is None else rows
+    if rows <= SMALL_ROWS:
         return df.withColumn("__bucket", F.lit(0))
-    return value_buckets(df, value, by, buckets)
+    return value_buckets(df, value, buckets or min(MOST_BUCKETS, max(16, rows // BUCKET_ROWS)))
 
 
-def running_totals(df: DataFrame, value: str, amounts, by=(), rows: int | None = None, buckets: int = 1024,
+def running_totals(df: DataFrame, value: str, amounts, by=(), rows: int | None = None, buckets: int | None = None,
                    descending: bool = False) -> DataFrame:
     """Adds ``upto_<a>``: the sum of each amount over all rows up to and including equal values.
 
@@ -81,7 +81,7 @@ def running_totals(df: DataFrame, value: str, amounts, by=(), rows: int | None =
     is a single row here.
     """
     by = list(by)
-    cut = bucketed(df, value, by, rows, buckets)
+    cut = bucketed(df, value, rows, buckets)
     if descending:
         cut = cut.withColumn("__bucket", -F.col("__bucket"))
     key = by or ["__all"]
@@ -99,7 +99,7 @@ def running_totals(df: DataFrame, value: str, amounts, by=(), rows: int | None =
     return out.drop("__bucket", "__all", *[f"__upto_{a}" for a in amounts], *[f"__before_{a}" for a in amounts])
 
 
-def average_ranks(df: DataFrame, value: str, by=(), split=(), rows: int | None = None, buckets: int = 1024) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, by=(), split=(), rows: int | None = None, buckets: int | None = None) -> DataFrame:
     """Distinct values with their count ``n``, the count ``ties`` over all splits and the average rank.
 
     One row per (by, value, split); the rank is taken per ``by`` group over all splits.
@@ -117,12 +117,12 @@ def average_ranks(df: DataFrame, value: str, by=(), split=(), rows: int | None =
             .withColumn("avg_rank", F.col("upto_n") - (F.col("ties") - 1) / 2).drop("upto_n"))
 
 
-def gaps(df: DataFrame, ts: str, by=(), rows: int | None = None, buckets: int = 1024) -> DataFrame:
+def gaps(df: DataFrame, ts: str, by=(), rows: int | None = None, buckets: int | None = None) -> DataFrame:
     """Distinct instants with the seconds since the previous one (null for the first)."""
     by = list(by)
     key = by or ["__all"]
     at = df.filter(F.col(ts).isNotNull()).select(*by, F.unix_micros(F.col(ts).cast("timestamp")).alias("__at"), ts).distinct()
-    cut = bucketed(at, "__at", by, df.count() if rows is None else rows, buckets)
+    cut = bucketed(at, "__at", df.count() if rows is None else rows, buckets)
     cut = cut if by else cut.withColumn("__all", F.lit(0))
     ends = cut.groupBy(*key, "__bucket").agg(F.max("__at").alias("__end"))
     ends = ends.withColumn("__prior", F.lag("__end").over(Window.partitionBy(*key).orderBy("__bucket"))).drop("__end")
