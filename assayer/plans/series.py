@@ -86,8 +86,8 @@ def _(t):
     return temporal.residual_anomalies(_hourly(t)).select("period", "residual")
 
 
-@query("ts_10_season", f"""WITH l AS (SELECT k, regr_slope(v, i) AS a, regr_intercept(v, i) AS b, count(*) AS n, count(v) = count(*) AS full FROM {MONTHLY} GROUP BY 1), d AS (SELECT k, i, l.n AS n, l.full, v - (b + a * i) AS e FROM {MONTHLY} m JOIN l USING (k)),
-    g AS (SELECT k, n, full, e, lag(e, 12) OVER (PARTITION BY k ORDER BY i) AS f FROM d) SELECT k, n AS periods, CAST(12 AS BIGINT) AS lag, {r('CASE WHEN bool_and(full) THEN corr(e, f) END', 'autocorrelation', 5)} FROM g GROUP BY k, n""", 5)
+@query("ts_10_season", f"""WITH l AS (SELECT k, regr_slope(v, i) AS a, regr_intercept(v, i) AS b, count(*) AS n, count(v) = count(*) AS whole FROM {MONTHLY} GROUP BY 1), d AS (SELECT k, i, l.n AS n, l.whole, v - (b + a * i) AS e FROM {MONTHLY} m JOIN l USING (k)),
+    g AS (SELECT k, n, whole, e, lag(e, 12) OVER (PARTITION BY k ORDER BY i) AS f FROM d) SELECT k, n AS periods, CAST(12 AS BIGINT) AS lag, {r('CASE WHEN bool_and(whole) THEN corr(e, f) END', 'autocorrelation', 5)} FROM g GROUP BY k, n""", 5)
 def _(t):
     return temporal.seasonality(_monthly(t)).select("k", "periods", "lag", "autocorrelation")
 
