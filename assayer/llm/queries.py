@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import suffix_decontamination
+from assayer.llm import suffix_decontamination, wavelet_tokens, weighted_mixing
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,8 +23,20 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op6_mixing", weighted_mixing.SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document the words that the mix takes; columns of the contract."""
+    return weighted_mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op7_decontamination")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Per document what it shares with the benchmark; columns of the contract."""
     found = suffix_decontamination.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
+
+
+@query("op8_wavelet_tokens")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its place, length and checksum, decoded from the written wavelet files."""
+    return wavelet_tokens.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
