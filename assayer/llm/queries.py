@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assayer.llm import suffix_decontamination, wavelet_tokens, weighted_mixing
+from assayer.llm import forest_jaccard, kneser_ney_quality, line_rules, suffix_decontamination, url_lists, wavelet_tokens, weighted_mixing
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,26 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_url_filter", url_lists.SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page against the dated lists as of its fetch time."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    found = url_lists.judge(url_lists.derived_captures(pages), url_lists.derived_entries(pages), others=["page_id"])
+    return found.select("page_id", "url", F.unix_seconds("fetched_at").alias("fetched_second"), "host", "lists", "n_entries", "blocked")
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document the perplexity under the trusted model and the verdict."""
+    return kneser_ney_quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"), slim=True)
+
+
+@query("op3_jaccard_join")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its class of near duplicates and its links."""
+    return forest_jaccard.join(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links", "n_text_links", "n_copies")
+
+
 @query("op6_mixing", weighted_mixing.SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Per document the words that the mix takes; columns of the contract."""
@@ -40,3 +61,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Per document its place, length and checksum, decoded from the written wavelet files."""
     return wavelet_tokens.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_quality_rules", line_rules.SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document the counts and the verdict; columns of the contract."""
+    found = line_rules.judge(table(spark, folder, "documents"), cleaned=False)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
