@@ -12,7 +12,9 @@ task does no harm. Paths go through pyarrow.fs, hence any store it knows.
 
 from __future__ import annotations
 
+import array
 import functools
+import os
 import struct
 import uuid
 import zlib
@@ -33,7 +35,7 @@ BLOCK = 512  # bits between two entries of the rank directory
 #: Tokens after which a file is closed; the last document may go beyond.
 FILE_TOKENS = 4_000_000
 #: Distinct chunks a worker remembers.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 600_000
 END_ID = 2
 PUNCTUATION = ".,!?;:*$&%#|"
 MANIFEST = "part int, file int, path string, docs bigint, tokens bigint, bytes bigint"
@@ -49,11 +51,11 @@ class WaveletMatrix:
     def of(cls, ids: np.ndarray, levels: int) -> WaveletMatrix:
         planes, zeros, now = [], [], np.asarray(ids)
         for shift in range(levels - 1, -1, -1):
-            bit = (now >> now.dtype.type(shift)) & now.dtype.type(1) != 0
+            bit = (now & now.dtype.type(1 << shift)).astype(bool)
             planes.append(np.packbits(bit, bitorder="little"))
             zeros.append(len(now) - int(np.count_nonzero(bit)))
             if shift:
-                now = np.concatenate((now[~bit], now[bit]))
+                now = np.concatenate((np.compress(~bit, now), np.compress(bit, now)))
         return cls(planes, zeros, len(now))
 
     @functools.cached_property
@@ -119,12 +121,13 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All symbols: the partitions are undone from the last plane up."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.levels <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
             before = np.empty_like(now)
-            before[~bit] = now[:self.zeros[level]]
-            before[bit] = now[self.zeros[level]:] | np.uint32(1 << (self.levels - 1 - level))
+            before[np.flatnonzero(~bit)] = now[:self.zeros[level]]
+            before[np.flatnonzero(bit)] = now[self.zeros[level]:] | kind(1 << (self.levels - 1 - level))
             now = before
         return now
 
@@ -157,6 +160,7 @@ def from_bytes(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.n
 
 @functools.lru_cache(maxsize=2)
 def tokenizer_of(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
     from tokenizers import Tokenizer
     return Tokenizer.from_file(path)
 
@@ -170,28 +174,33 @@ class Encoder:
     """
 
     def __init__(self, path: str, cache: int):
-        self.tokenizer, self.limit, self.memory = tokenizer_of(path), cache, {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        memory = self.memory
-        if len(memory) > self.limit:
-            memory.clear()
-        split, new = [], set()
-        for chunk in chunks:
-            if chunk in memory:
-                split.append((chunk,))
-                continue
-            stem = chunk.rstrip(PUNCTUATION)
-            # Letters, then punctuation: the pattern cuts between the two.
-            pieces = (stem, chunk[len(stem):]) if len(stem) < len(chunk) and stem.strip(" ").isalpha() else (chunk,)
-            split.append(pieces)
-            new.update(p for p in pieces if p not in memory)
-        new = list(new)
-        memory.update(zip(new, self._encode(new)))
-        return [memory[p[0]] if len(p) == 1 else np.concatenate((memory[p[0]], memory[p[1]])) for p in split]
+        self.tokenizer, self.limit = tokenizer_of(path), cache // 2
+        self.recent, self.older = {}, {}  # ids of pieces as bytes; what is not asked for again goes with the older half
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of independent pieces, each encoded once while it is remembered."""
+        if len(self.recent) > self.limit:
+            self.recent, self.older = {}, self.recent
+        recent, older = self.recent, self.older
+        for piece in pieces:
+            if piece not in recent and piece in older:
+                recent[piece] = older[piece]
+        new = [p for p in dict.fromkeys(pieces) if p not in recent]
+        recent.update(zip(new, self._encode(new)))
+        return [recent[p] for p in pieces]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks with the space or start before them; letters and closing punctuation are two pieces."""
+        stems = [c.rstrip(PUNCTUATION) for c in chunks]
+        cut = [len(a) < len(c) and a[1:].isalpha() for a, c in zip(stems, chunks)]
+        heads = self._pieces([a if two else c for a, c, two in zip(stems, chunks, cut)])
+        at = [k for k, two in enumerate(cut) if two]
+        for k, tail in zip(at, self._pieces([chunks[k][len(stems[k]):] for k in at])):
+            heads[k] += tail
+        return heads
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the number of ids of every text."""
@@ -199,15 +208,16 @@ class Encoder:
         parts = pc.split_pattern(texts, " ")
         bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
-        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        odd = np.fromiter((not c or c[0].isspace() or c[-1].isspace() for c in names), bool, len(names))
+        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), coded.dictionary, pa.scalar(" ", pa.large_string())).to_pylist()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # Empty chunks and chunks with white space at an end depend on what is beside them.
+        odd = np.fromiter((len(c) == 1 or c[1].isspace() or c[-1].isspace() for c in spaced), bool, len(spaced))
         first, last = bounds[:-1], bounds[1:]
         whole = np.logical_or.reduceat(odd[codes], first) if len(first) else np.zeros(0, bool)
         # The first chunk of a text has no space before it: it is another chunk.
         opening, inverse = np.unique(codes[first], return_inverse=True)
-        vectors = self._chunks([" " + c for c in names]) + self._chunks([names[c] for c in opening])
-        codes = codes.copy()
-        codes[first] = len(names) + inverse.reshape(-1)
+        vectors = self._chunks(spaced) + self._pieces([spaced[c][1:] for c in opening])
+        codes[first] = len(spaced) + inverse.reshape(-1)
         at = np.flatnonzero(whole)
         if len(at):
             vectors += self._encode([texts[int(i)].as_py() for i in at])
@@ -217,12 +227,12 @@ class Encoder:
             sizes = np.where(whole, 1, last - first)
             codes = codes[keep]
             first = np.cumsum(sizes) - sizes
-        length = np.fromiter(map(len, vectors), np.int64, len(vectors))
+        length = np.fromiter(map(len, vectors), np.int64, len(vectors)) // 4
         start = np.cumsum(length) - length
-        flat = np.concatenate(vectors) if vectors else np.zeros(0, np.uint32)
+        flat = np.frombuffer(b"".join(vectors), np.uint32)
         many = length[codes]
         before = np.cumsum(many) - many
-        ids = flat[np.repeat(start[codes] - before, many) + np.arange(many.sum())]
+        ids = flat.take(np.repeat(start[codes] - before, many) + np.arange(many.sum()))
         return ids, np.add.reduceat(many, first) if len(first) else np.zeros(0, np.int64)
 
 
@@ -295,7 +305,7 @@ def placed(manifest: DataFrame) -> DataFrame:
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """One row per document, decoded from the files: doc_id, start, n_tokens, ids_crc32."""
     files = placed(manifest).select("path", "start", "tokens")
-    spread = files.repartition(F.col("path"))
+    spread = files.repartition(max(1, manifest.count()), "path")  # one row per file: a task decodes a file or two
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,7 +332,7 @@ def search(manifest: DataFrame, folder: str, token: int) -> DataFrame:
                 matrix = from_bytes(opened(folder, path))[0]
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([matrix.count(token)], pa.int64()), pa.array([[start + i for i in matrix.locate(token)]], pa.list_(pa.int64()))],
                                                  ["path", "count", "positions"])
-    return placed(manifest).select("path", "start").repartition("path").mapInArrow(run, "path string, count bigint, positions array<bigint>")
+    return placed(manifest).select("path", "start").repartition(max(1, manifest.count()), "path").mapInArrow(run, "path string, count bigint, positions array<bigint>")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
