@@ -17,7 +17,7 @@ from assayer.llm.common import stored, without
 SHARE = 1.5  # of all words, the size of the mix
 MOST = 2.0  # epochs of a source
 SOURCE_WEIGHTS = (5, 2, 1)
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 ADDED = ("size", "source_size", "target", "taken")
 
