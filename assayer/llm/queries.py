@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import forest_jaccard, kneser_ney_quality, line_rules, suffix_decontamination, url_lists, wavelet_tokens, weighted_mixing
+from assayer.llm import block_labeller, forest_jaccard, kneser_ney_quality, lattice_scores, line_rules, splitter_sharding, suffix_decontamination, url_lists, wavelet_tokens, weighted_mixing
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,18 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return forest_jaccard.join(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links", "n_text_links", "n_copies")
 
 
+@query("op4_html_extraction")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Per page the main text."""
+    return block_labeller.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op5_sharding")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its shard and slot under the law ``bytes``."""
+    return splitter_sharding.shard(table(spark, folder, "documents")).drop("position")
+
+
 @query("op6_mixing", weighted_mixing.SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Per document the words that the mix takes; columns of the contract."""
@@ -68,3 +80,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Per document the counts and the verdict; columns of the contract."""
     found = line_rules.judge(table(spark, folder, "documents"), cleaned=False)
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op10_lattice_scores")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document the unigram base and the marginal lattice score; columns of the contract."""
+    return lattice_scores.score(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
