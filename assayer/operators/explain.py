@@ -94,13 +94,6 @@ def contribution_summary(contributions: DataFrame, mapping: DataFrame | None = N
     return per.groupBy("feature").agg(F.sum("m").alias("importance")).orderBy(F.desc("importance"), "feature")
 
 
-def source_feature(name: str, features) -> str:
-    """The source column of an encoded column: the longest one its name starts with."""
-    bare = name.split("__", 1)[-1].removeprefix("missingindicator_")
-    fits = [f for f in features if bare == f or bare.startswith((f + "_", f + "__"))]
-    return max(fits, key=len) if fits else bare
-
-
 def directions(contributions: DataFrame, features, key, least: int = 8, cut: float = 0.5, rows: int | None = None) -> DataFrame:
     """Spearman correlation of value and contribution per feature where it is strong."""
     out = None

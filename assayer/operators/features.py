@@ -150,6 +150,17 @@ def category_codes(df: DataFrame, columns, most: int = ENCODED) -> DataFrame:
     return top.join(sizes, "column").filter(F.col("place") <= keep).select("column", "value", F.col("n").alias("rows"), (F.col("place") - 1).alias("code"))
 
 
+def numeric_names(numeric) -> dict[str, str]:
+    """Column of the scaled value per source column."""
+    return {c: f"n__{re.sub(r'[^A-Za-z0-9_]', '_', c)}" for c in numeric}
+
+
+def encoded_sources(spark, numeric, categorical) -> DataFrame:
+    """(feature, source) of every column that ``feature_stages`` makes, missing indicators included."""
+    rows = [(n + tail, c) for c, n in numeric_names(numeric).items() for tail in ("", "__missing")]
+    return spark.createDataFrame(rows + [(f"c__{i}", c) for i, c in enumerate(categorical)], "feature string, source string")
+
+
 def feature_stages(df: DataFrame, numeric, categorical, output: str = "features") -> Pipeline:
     """Spark ML stages: imputed and scaled numbers with missing indicators, grouped one-hot categories.
 
@@ -158,7 +169,7 @@ def feature_stages(df: DataFrame, numeric, categorical, output: str = "features"
     stages, inputs = [], []
     if numeric:
         facts = numeric_facts(df, numeric)
-        names = {c: f"n__{re.sub(r'[^A-Za-z0-9_]', '_', c)}" for c in numeric}
+        names = numeric_names(numeric)
         cells = []
         for c in numeric:
             cells.append((names[c], f"coalesce({numbers.finite_sql(c)}, double('{facts[c][0]!r}'))"))

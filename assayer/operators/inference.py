@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.functions import numbers, tails
 from assayer.operators import quantiles as q
@@ -23,6 +24,7 @@ from assayer.operators.sampling import stable_sample
 from assayer.operators.together import run_together
 
 LEVELS = 20
+SCREEN_LEVELS = 5 * LEVELS  # columns with more labels are free text and enter no table
 PAIR = ["category", "numeric"]
 
 
@@ -63,7 +65,8 @@ def pearson(df: DataFrame, pairs) -> DataFrame:
         cells[i] = {"left": quoted(a), "right": quoted(b), "n": f"n{i}", "coefficient": f"r{i}", "varies": f"coalesce(vx{i} AND vy{i}, false)"}
     wide = df.selectExpr(*[f"{numbers.finite_sql(c)} AS `{c}`" for c in names]).selectExpr(*aggregates)
     out = long_form(wide, cells, "pair").drop("pair")
-    z = F.atanh(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), F.col("coefficient"))))
+    # least and greatest skip nulls, so an undefined r must not reach them.
+    z = F.when(F.col("coefficient").isNotNull(), F.atanh(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), F.col("coefficient")))))
     reach = F.when(F.col("n") > 3, 1.96 / F.sqrt(F.col("n") - 3))
     return _correlation_t(out).withColumns({"lower": F.tanh(z - reach), "upper": F.tanh(z + reach)})
 
@@ -290,22 +293,38 @@ def kruskal(ranks: DataFrame) -> DataFrame:
         F.lit(0.0), (F.col("statistic") - F.col("k") + 1) / (n - F.col("k"))).alias("epsilon_squared"))
 
 
-def exact_rank_tail(u, n1, n2):
-    """P(U >= u) over all arrangements of two groups without ties."""
-    def one(u, n1, n2):
-        # A set of n1 ranks out of n1 + n2: counts by size and by sum above the smallest.
-        ways = np.zeros((n1 + 1, n1 * n2 + 1))
-        ways[0, 0] = 1
-        for value in range(n1 + n2):
-            for size in range(min(value + 1, n1), 0, -1):
-                step = value - size + 1
-                if step <= n1 * n2:
-                    ways[size, step:] += ways[size - 1, :n1 * n2 + 1 - step]
-        return ways[n1, math.ceil(u):].sum() / ways[n1].sum()
-    return np.array([one(float(a), int(min(b, c)), int(max(b, c))) for a, b, c in zip(u, n1, n2)])
+def arrangements_upto(u: int, n1: int, n2: int) -> int:
+    """Arrangements of two untied groups with U <= u, for a first group of eight at most and a second of any size.
 
+    U counts partitions into n1 parts of at most n2. Without that bound their running number is a
+    polynomial of degree n1 on every residue class modulo lcm(1..n1), so a short table and forward
+    differences give it anywhere; the bound comes back by inclusion and exclusion.
+    """
+    period = math.lcm(*range(1, n1 + 1))
+    table = [1] * (period * (n1 + 1))  # parts of size 1 to n1, and slack
+    for part in range(1, n1 + 1):
+        for m in range(part, len(table)):
+            table[m] += table[m - part]
+
+    def free(m: int) -> int:
+        if m < 0:
+            return 0
+        t, r = divmod(m, period)
+        steps, total = [table[r + period * k] for k in range(n1 + 1)], 0
+        for k in range(n1 + 1):
+            total += steps[0] * math.comb(t, k)
+            steps = [b - a for a, b in itertools.pairwise(steps)]
+        return total
+
+    return sum((-1) ** size * free(u - sum(n2 + i for i in chosen))
+               for size in range(n1 + 1) for chosen in itertools.combinations(range(1, n1 + 1), size))
 
-EXACT_CELLS = 20_000
+
+def exact_rank_tail(u, n1, n2):
+    """P(U >= u) over all arrangements of two groups without ties, the smaller one of eight rows at most."""
+    def one(u, n1, n2):
+        return arrangements_upto(n1 * n2 - math.ceil(u), n1, n2) / math.comb(n1 + n2, n1)
+    return np.array([one(float(a), int(min(b, c)), int(max(b, c))) if a == a else math.nan for a, b, c in zip(u, n1, n2)])
 
 
 def mann_whitney(ranks: DataFrame, with_p: bool = False) -> DataFrame:
@@ -325,10 +344,16 @@ def mann_whitney(ranks: DataFrame, with_p: bool = False) -> DataFrame:
                    (2 * u / (n1 * n2) - 1).alias("rank_biserial"), (F.col("ties") == 0).alias("untied"))
     if not with_p:
         return out
-    exact = F.col("untied") & (F.least("n1", "n2") <= 8) & (F.col("n1") * F.col("n2") <= EXACT_CELLS)
+    exact = F.col("untied") & (F.least("n1", "n2") <= 8)
     best = F.when(exact, F.greatest(F.col("statistic"), F.col("n1") * F.col("n2") - F.col("statistic")))
     tail = tails._udf(exact_rank_tail, 3)(best, F.col("n1").cast("double"), F.col("n2").cast("double"))
-    return out.withColumn("p_value", F.coalesce(F.least(F.lit(1.0), 2 * tail), tails.normal_p(F.col("z"))))
+    return out.withColumn("p_value", F.when(exact, F.least(F.lit(1.0), 2 * tail)).otherwise(tails.normal_p(F.col("z"))))
+
+
+def rank_p(u, n1, n2, z, untied):
+    """Two-sided p-values by the same rule, for a few rows."""
+    return np.array([min(1.0, 2 * float(exact_rank_tail([max(a, b * c - a)], [b], [c])[0])) if free and min(b, c) <= 8 else float(tails.normal_two_sided(np.array([w]))[0])
+                     for a, b, c, w, free in zip(u, n1, n2, z, untied)])
 
 
 def shapiro_wilk(x) -> float:
@@ -416,11 +441,23 @@ p_value double, effect double, measure string, lower double, upper double, spars
 groups string, status string"""
 
 
-def _shape(df: DataFrame, **values) -> list:
-    """The result rows of one family of tests: one row per pair."""
-    from pyspark.sql import types as T
+def _shape(df: DataFrame, p=None, **values) -> list:
+    """The result rows of one family of tests: one row per pair.
+
+    ``p``: a tail function and its argument columns; a handful of rows is not worth a worker.
+    """
     fields = T._parse_datatype_string(RESULT).fields
-    return [tuple(r) for r in df.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]).collect()]
+    kernel, arguments = p or (None, ())
+    rows = df.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields],
+                     *[a.cast("double").alias(f"__a{i}") for i, a in enumerate(arguments)]).collect()
+    out, place = [], [f.name for f in fields].index("p_value")
+    for r in rows:
+        row, given = list(r[:len(fields)]), list(r[len(fields):])
+        if kernel is not None and None not in given:
+            value = float(kernel(*[np.array([g]) for g in given])[0])
+            row[place] = None if math.isnan(value) else value
+        out.append(tuple(row))
+    return out
 
 
 def test_pairs(df: DataFrame, profile_table: DataFrame, columns=None, nominal=(), key=None, max_pairs: int | None = None,
@@ -442,8 +479,11 @@ def test_pairs(df: DataFrame, profile_table: DataFrame, columns=None, nominal=()
     pairs = list(itertools.combinations(names, 2))[:max_pairs]
     df = df.select(*[_q(c) for c in dict.fromkeys([*names, *(key or [])])])
     numeric = [p for p in pairs if kinds[p[0]] == kinds[p[1]] == "numeric"]
-    tables = [p for p in pairs if kinds[p[0]] == kinds[p[1]] == "categorical"]
+    # Complete rows of a pair can have fewer labels than the column: the screen is wide, the tests count exactly.
+    few = {r["column"] for r in chosen if r["unique"] <= SCREEN_LEVELS}
+    tables = [p for p in pairs if kinds[p[0]] == kinds[p[1]] == "categorical" and set(p) <= few]
     mixed = [(a, b) if kinds[a] == "categorical" else (b, a) for a, b in pairs if kinds[a] != kinds[b]]
+    mixed = [p for p in mixed if p[0] in few]
     jobs = [lambda f=f, p=p: f(df, p, key, rows)
             for f, p in ((_numeric_tests, numeric), (_table_tests, tables), (_group_tests, mixed)) if p]
     out = list(itertools.chain(*run_together(spark, *jobs))) if jobs else []
@@ -474,12 +514,12 @@ def _numeric_tests(df: DataFrame, pairs, key, rows) -> list:
                       method=F.lit("Insufficient complete observations"), status=F.lit("skipped"))
 
     def straight():
-        return _shape(known.filter(usable), **base, p_value=tails.t_p(F.col("t"), F.col("df")), method=F.lit("Pearson correlation"),
+        return _shape(known.filter(usable), p=(tails.t_two_sided, (F.col("t"), F.col("df"))), **base, method=F.lit("Pearson correlation"),
                       lower=F.col("lower"), upper=F.col("upper"))
 
     def ranked():
         found = spearman(df, good, full, rows)
-        return _shape(found, **base, p_value=tails.t_p(F.col("t"), F.col("df")), method=F.lit("Spearman correlation"))
+        return _shape(found, p=(tails.t_two_sided, (F.col("t"), F.col("df"))), **base, method=F.lit("Spearman correlation"))
 
     jobs = [straight, ranked] if good else []
     if len(good) < len(pairs):
@@ -488,30 +528,39 @@ def _numeric_tests(df: DataFrame, pairs, key, rows) -> list:
 
 
 def _table_tests(df: DataFrame, pairs, key, rows) -> list:
-    cells = contingency(df, pairs)
-    wide = cells.groupBy("left", "right").agg(F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"))
-    fits = [(r["left"], r["right"]) for r in wide.collect() if max(r["r"], r["c"]) <= LEVELS]
-    if not fits:
+    """One scan for the tables of all pairs; the exact test only where expected counts are sparse."""
+    few = contingency(df, pairs)
+    counted = few.collect()  # columns are screened by their labels, so this is short
+    labels: dict = {}
+    for r in counted:
+        a, b = labels.setdefault((r["left"], r["right"]), (set(), set()))
+        a.add(r["a"])
+        b.add(r["b"])
+    fits = {p for p, (a, b) in labels.items() if max(len(a), len(b)) <= LEVELS}
+    counted = [tuple(r) for r in counted if (r["left"], r["right"]) in fits]
+    if not counted:
         return []
-    few = contingency(df, fits)
-    cells = df.sparkSession.createDataFrame(few.collect(), few.schema)  # LEVELS^2 cells per pair at most
-    chi = chi_square(cells).join(fisher_exact(cells).select("left", "right", F.col("p_value").alias("exact_p")), ["left", "right"], "left")
-    exact, short = F.col("sparse_expected") & F.col("exact_p").isNotNull(), F.col("n") < 8
+    chi = chi_square(df.sparkSession.createDataFrame(counted, few.schema))
+    cells = {(left, right, a, b): n for left, right, a, b, n in counted}
+    exact_p = {}
+    for r in chi.filter("sparse_expected AND r = 2 AND c = 2 AND n >= 8").select("left", "right").collect():
+        pair = (r["left"], r["right"])
+        a, b = (sorted(side) for side in labels[pair])
+        exact_p[pair] = float(tails.fisher_two_sided(*[[cells.get((*pair, x, y), 0)] for x in a for y in b])[0])
+    known = df.sparkSession.createDataFrame([(*p, v) for p, v in exact_p.items()], "left string, right string, exact_p double")
+    chi = chi.join(F.broadcast(known), ["left", "right"], "left")  # a row per pair
+    exact, short = F.col("exact_p").isNotNull(), F.col("n") < 8
     return _shape(
-        chi, left=F.col("left"), right=F.col("right"), kind=F.lit("association"), n=F.col("n"), measure=F.lit("cramers_v"),
+        chi, p=(lambda given, x, d: np.where(given >= 0, given, tails.chi_square_upper(x, d)), (F.when(~short, F.coalesce("exact_p", F.lit(-1.0))), F.col("statistic"), F.col("df"))),
+        left=F.col("left"), right=F.col("right"), kind=F.lit("association"), n=F.col("n"), measure=F.lit("cramers_v"),
         method=F.when(short, "Insufficient complete observations").when(exact, "Fisher exact association").otherwise("Chi-square association"),
         statistic=F.when(~short, F.col("statistic")), df1=F.when(~short, F.col("df")), effect=F.when(~short, F.col("cramers_v")),
-        p_value=F.when(~short, F.when(exact, F.col("exact_p")).otherwise(tails.chi_square_p(F.col("statistic"), F.col("df")))),
         sparse=F.col("sparse_expected"), status=F.when(short, "skipped").otherwise("completed"))
 
 
 def _group_tests(df: DataFrame, mixed, key, rows) -> list:
     """Screens first: they decide which of the costlier statistics a pair needs."""
     spark = df.sparkSession
-    labels = df.agg(*[F.approx_count_distinct(_q(c)).alias(c) for c in dict.fromkeys(c for c, _ in mixed)]).first()
-    mixed = [p for p in mixed if labels[p[0]] <= 2 * LEVELS]  # far too many labels for a group test; near the limit is counted exactly
-    if not mixed:
-        return []
     categories, numerics = list(dict.fromkeys(c for c, _ in mixed)), list(dict.fromkeys(x for _, x in mixed))
     found: dict = {}
     schema = "category string, label string, numeric string, n long, mean double, variance double, g1 double"
@@ -569,24 +618,24 @@ def _group_tests(df: DataFrame, mixed, key, rows) -> list:
             stat = F.when(alike, F.col("student_t")).otherwise(F.col("welch_t"))
             d = F.when(alike, F.col("student_df")).otherwise(F.col("welch_df"))
             return _shape(t, **base, method=F.when(alike, "Student's t-test").otherwise("Welch's t-test"), statistic=stat, df1=d,
-                          p_value=tails.t_p(stat, d), effect=F.coalesce("cohens_d", F.lit(0.0)), measure=F.lit("cohens_d"),
+                          p=(tails.t_two_sided, (stat, d)), effect=F.coalesce("cohens_d", F.lit(0.0)), measure=F.lit("cohens_d"),
                           lower=F.col("difference_low"), upper=F.col("difference_high"))
         jobs.append(t_tests)
     even = [p for p in several if p in normal and p not in more]
     if even:
         jobs.append(lambda: _shape(anova(frame(even)), **base, method=F.lit("One-way ANOVA"), statistic=F.col("statistic"), df1=F.col("df1"),
-                                   df2=F.col("df2"), p_value=tails.f_p("statistic", "df1", "df2"), effect=F.col("eta_squared"),
+                                   df2=F.col("df2"), p=(tails.f_upper, tuple(F.col(c) for c in ("statistic", "df1", "df2"))), effect=F.col("eta_squared"),
                                    measure=F.lit("eta_squared")))
     two_ranks = [r for r in ranks if (r[0], r[1]) not in several]
     many_ranks = [r for r in ranks if (r[0], r[1]) in several]
     if two_ranks:
-        jobs.append(lambda: _shape(mann_whitney(spark.createDataFrame(two_ranks, rank_frame), True), **base, method=F.lit("Mann-Whitney U"),
-                                   statistic=F.col("statistic"), p_value=F.col("p_value"), effect=F.col("rank_biserial"),
+        jobs.append(lambda: _shape(mann_whitney(spark.createDataFrame(two_ranks, rank_frame)), p=(rank_p, tuple(F.col(c) for c in ("statistic", "n1", "n2", "z", "untied"))),
+                                   **base, method=F.lit("Mann-Whitney U"), statistic=F.col("statistic"), effect=F.col("rank_biserial"),
                                    measure=F.lit("rank_biserial")))
     if many_ranks:
         jobs.append(lambda: _shape(kruskal(spark.createDataFrame(many_ranks, rank_frame)).filter(F.col("statistic").isNotNull()), **base,
                                    method=F.lit("Kruskal-Wallis"), statistic=F.col("statistic"), df1=F.col("df"),
-                                   p_value=tails.chi_square_p("statistic", "df"), effect=F.col("epsilon_squared"),
+                                   p=(tails.chi_square_upper, (F.col("statistic"), F.col("df"))), effect=F.col("epsilon_squared"),
                                    measure=F.lit("epsilon_squared")))
     at = {name.split()[0]: i for i, name in enumerate(part.strip() for part in RESULT.replace("\n", " ").split(","))}
     for row in itertools.chain(*run_together(spark, *jobs)):

@@ -120,14 +120,16 @@ def pr_points(pred: DataFrame, most: int = 100, rows: int | None = None) -> Data
 
 
 def calibration_bins(pred: DataFrame, bins: int = 10) -> DataFrame:
-    """Mean score, observed share and rows per equal-width bin, the last one closed."""
+    """Mean score, observed share and rows per equal-width bin, the last one closed; rows without score or label do not count."""
+    pred = pred.filter(F.col("score").isNotNull() & F.col("label").isNotNull())
     place = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
     return pred.groupBy(place.alias("bin")).agg(
         F.avg("score").alias("predicted_probability"), F.avg(F.col("label").cast("double")).alias("observed_frequency"), F.count(F.lit(1)).alias("rows"))
 
 
 def calibration(pred: DataFrame, bins: int = 10) -> DataFrame:
-    """Brier score, expected calibration error and its grade, from one pass over the rows."""
+    """Brier score, expected calibration error and its grade, from one pass over the rows that have score and label."""
+    pred = pred.filter(F.col("score").isNotNull() & F.col("label").isNotNull())
     place = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
     error = F.col("score") - F.col("label")
     per_bin = pred.groupBy(place.alias("bin")).agg(

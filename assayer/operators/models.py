@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.operators import metrics
-from assayer.operators.features import MOST_FEATURES, WIDEST, feature_stages
+from assayer.operators.features import WIDEST, feature_stages
 from assayer.operators.together import run_together
 
 BINARY, MULTICLASS, REGRESSION, CLUSTERING = "average_precision", "f1_macro", "rmse", "silhouette"
@@ -171,18 +171,18 @@ def compare_models(df: DataFrame, key, task: str, numeric, categorical, classes:
 
         def attempt(index, name, family, estimator):
             if not allowed(task, family, rows, width, rarest):
-                return (name, family, fold, metric, None, "skipped")
+                return (name, family, fold, metric, None, "skipped", "too many or too few rows or features for this family")
             if max_seconds is not None and index > 1 and time.monotonic() - started >= max_seconds:
-                return (name, family, fold, metric, None, "out of time")
+                return (name, family, fold, metric, None, "out of time", None)
             try:
                 if estimator is None:
                     pred = _baseline(ready, test, task, classes)
                 else:
                     fitted = (ridge(ready) if name == "Ridge regression" else estimator).fit(ready)
                     pred = predictions(fitted, test, task, classes)
-                return (name, family, fold, metric, selection_score(pred, task, classes, key), "completed")
-            except Exception:  # noqa: BLE001 - one failing candidate must not end the search
-                return (name, family, fold, metric, None, "failed")
+                return (name, family, fold, metric, selection_score(pred, task, classes, key), "completed", None)
+            except Exception as error:  # noqa: BLE001 - one failing candidate must not end the search
+                return (name, family, fold, metric, None, "failed", f"{type(error).__name__}: {error}".splitlines()[0])
 
         jobs = [lambda c=c: attempt(*c) for c in ((i, n, f, e) for i, (n, f, e) in enumerate(candidates(task, classes, width, rows)))
                 if names is None or c[1] in names]
@@ -193,7 +193,7 @@ def compare_models(df: DataFrame, key, task: str, numeric, categorical, classes:
 
     out = [row for fold in range(k) for row in one_fold(fold)]
     development.unpersist()
-    return spark.createDataFrame(out, "name string, family string, fold int, metric string, score double, status string")
+    return spark.createDataFrame(out, "name string, family string, fold int, metric string, score double, status string, reason string")
 
 
 def ranking_of(folds: DataFrame) -> DataFrame:
@@ -217,8 +217,3 @@ def final_model(df: DataFrame, key, task: str, numeric, categorical, winner: str
         return None, _baseline(ready, test, task, classes)
     model = (ridge(ready) if winner == "Ridge regression" else estimator).fit(ready)
     return model, predictions(model, test, task, classes)
-
-
-def check_width(n: int) -> None:
-    if not 1 <= n <= MOST_FEATURES:
-        raise ValueError("Between 1 and 100 usable features are needed.")

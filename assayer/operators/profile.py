@@ -196,10 +196,16 @@ def text_shape(df: DataFrame, columns) -> DataFrame:
 
 # ---- pass 2: frequencies --------------------------------------------------------------------
 
+def _cell(name: str, kind: str) -> str:
+    """A cell as it counts: NaN and infinities are missing, minus zero is zero."""
+    return f"if(abs(`{name}`) < {kind}('Infinity'), `{name}` + {kind}(0), NULL)" if kind in ("double", "float") else f"`{name}`"
+
+
 def frequencies(df: DataFrame, columns) -> DataFrame:
     """column, value, n over non-null cells. Partial counts come first, so a value that fills a
     third of the table crosses the network once per task."""
-    cells = ", ".join(f"named_struct('column', {quoted(c)}, 'value', string(`{c}`))" for c in columns)
+    types = dict(df.dtypes)
+    cells = ", ".join(f"named_struct('column', {quoted(c)}, 'value', string({_cell(c, types[c])}))" for c in columns)
     return (df.selectExpr(f"inline(array({cells}))")
             .filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
@@ -258,9 +264,11 @@ def usable_counts(df: DataFrame) -> DataFrame:
 def usable_frequencies(df: DataFrame, coded) -> DataFrame:
     """Counts after duplicate removal in one shuffle of the distinct rows: per value for the
     columns in ``coded``, per column for the others, and the row count under column '*'."""
+    types = dict(df.dtypes)
     cells = ["named_struct('column', '*', 'value', '')"]
     for c in df.columns:
-        value = f"string(`{c}`)" if c in coded else f"if(`{c}` IS NOT NULL, '', NULL)"
+        cell = _cell(c, types[c])
+        value = f"string({cell})" if c in coded else f"if({cell} IS NOT NULL, '', NULL)"
         cells.append(f"named_struct('column', {quoted(c)}, 'value', {value})")
     return (df.dropDuplicates().selectExpr(f"inline(array({', '.join(cells)}))")
             .filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
@@ -335,7 +343,8 @@ def histogram(df: DataFrame, columns, distinct: dict[str, int] | None = None, ra
             lo, hi = lo - 0.5, hi + 0.5
         scale = max(abs(lo), abs(hi), 1.0) if max(abs(lo), abs(hi)) > EXTREME else 1.0
         v = numbers.finite_sql(c) if scale == 1.0 else f"{numbers.finite_sql(c)} / {_number(scale)}"
-        place = f"int(least(width_bucket({v}, {_number(lo / scale)}, {_number(hi / scale)}, {bins}), {bins}L))"
+        # least skips nulls: a missing cell must stay without a bin.
+        place = f"if({v} IS NULL, NULL, int(least(width_bucket({v}, {_number(lo / scale)}, {_number(hi / scale)}, {bins}), {bins}L)))"
         cells.append(f"named_struct('column', {quoted(c)}, 'bin', {place})")
         width = (hi / scale - lo / scale) / bins
         spine += [(c, i + 1, (lo / scale + width * i) * scale, (lo / scale + width * (i + 1)) * scale) for i in range(bins)]

@@ -94,7 +94,7 @@ def running_totals(df: DataFrame, value: str, amounts, by=(), rows: int | None =
     if rows is not None and rows <= SMALL_ROWS:
         out = summed.withColumns({f"upto_{a}": F.col(f"__upto_{a}") for a in amounts})
     else:
-        out = summed.join(offsets, [*key, "__bucket"]).withColumns(
+        out = join_groups(summed, offsets, [*key, "__bucket"]).withColumns(
             {f"upto_{a}": F.col(f"__upto_{a}") + F.col(f"__before_{a}") for a in amounts})
     return out.drop("__bucket", "__all", *[f"__upto_{a}" for a in amounts], *[f"__before_{a}" for a in amounts])
 
@@ -128,6 +128,6 @@ def gaps(df: DataFrame, ts: str, by=(), rows: int | None = None, buckets: int |
     ends = ends.withColumn("__prior", F.lag("__end").over(Window.partitionBy(*key).orderBy("__bucket"))).drop("__end")
     local = Window.partitionBy(*key, "__bucket").orderBy("__at")
     previous = F.coalesce(F.col("__lag"), F.col("__prior"))
-    return (cut.withColumn("__lag", F.lag("__at").over(local)).join(ends, [*key, "__bucket"])
+    return (cut.withColumn("__lag", F.lag("__at").over(local)).transform(lambda d: join_groups(d, ends, [*key, "__bucket"]))
             .withColumn("gap_seconds", (F.col("__at") - previous) / F.lit(1e6))
             .drop("__bucket", "__all", "__lag", "__prior", "__at"))

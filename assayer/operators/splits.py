@@ -189,7 +189,10 @@ def random_folds(df: DataFrame, key, k: int = 3, target: str | None = None) -> D
 
 
 def group_folds(df: DataFrame, group: str, k: int = 3) -> DataFrame:
-    """``fold`` per whole group, sizes balanced: largest groups first, folds taken forth and back."""
+    """``fold`` per whole group, sizes balanced: largest groups first, folds taken forth and back.
+
+    Rows without a group are one group together.
+    """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     steps = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("groups"))
     ahead = ranking.running_totals(steps, "n", ["groups"], descending=True).select("n", (F.col("upto_groups") - F.col("groups")).alias("ahead"))
@@ -199,13 +202,16 @@ def group_folds(df: DataFrame, group: str, k: int = 3) -> DataFrame:
     fold = F.when(lap % 2 == 0, seat).otherwise(k - 1 - seat).cast("int")
     assigned = inside.join(ahead, "n").select(group, fold.alias("fold"))
     # One row per group on the right: adaptive execution splits a hot group on the left.
-    return df.join(assigned, group)
+    return ranking.join_groups(df, assigned, [group])
 
 
 def time_folds(df: DataFrame, ts: str, k: int = 3) -> DataFrame:
-    """One row per (fold, role, row): train grows block by block over the distinct timestamps."""
+    """One row per (fold, role, row): train grows block by block over the distinct timestamps.
+
+    A row without a valid time comes out once, with fold null and role ``invalid``.
+    """
     at = dates.instant(F.col(ts), types_of(df)[ts].simpleString())
-    instants = df.select(at.alias("__ts")).distinct().withColumns({"__at": F.unix_micros("__ts"), "one": F.lit(1)})
+    instants = df.select(at.alias("__ts")).filter("__ts IS NOT NULL").distinct().withColumns({"__at": F.unix_micros("__ts"), "one": F.lit(1)})
     n = instants.count()
     if n <= k:
         raise SplitError("Too few distinct timestamps for chronological cross-validation.")
@@ -214,7 +220,7 @@ def time_folds(df: DataFrame, ts: str, k: int = 3) -> DataFrame:
     placed = ranking.running_totals(instants, "__at", ["one"], rows=n)
     first = {r["upto_one"] - 1: r["__ts"] for r in placed.filter((F.col("upto_one") - 1).isin(starts)).collect()}
     edges = [first[s] for s in starts] + [None]
-    roles = []
+    roles = [F.when(at.isNull(), F.struct(F.lit(None).cast("int").alias("fold"), F.lit("invalid").alias("role")))]
     for i in range(k):
         valid = at >= F.lit(edges[i])
         if edges[i + 1] is not None:

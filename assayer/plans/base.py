@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -65,8 +64,8 @@ class Tables:
                            for f in df.schema.fields])
 
     def scratch(self, suffix: str) -> str:
-        """A new path in the shared checkpoint folder, or in a temporary one where none is set."""
-        base = self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
+        """A new path in the shared checkpoint folder; without that setting, in the warehouse, which is shared as well."""
+        base = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.conf.get("spark.sql.warehouse.dir")
         return f"{base.rstrip('/')}/{uuid.uuid4().hex}{suffix}"
 
     def labelled(self) -> DataFrame:

@@ -89,7 +89,3 @@ def fresh_profile(saved: DataFrame | None, build, version: int = PROFILE_VERSION
         if not current.isEmpty():
             return current
     return build().withColumn("profile_version", F.lit(version))
-
-
-def has_type(field: T.StructField, *kinds) -> bool:
-    return isinstance(field.dataType, kinds)
