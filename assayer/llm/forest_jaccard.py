@@ -242,7 +242,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
 
     members = stored(clusters.join(texts.select(F.col("k").alias("node"), "copies", "text_key", "n"), "node").select(F.col("node").alias("k"), "root", "copies", "text_key", "n"), "clusters")
     totals = members.groupBy("root").agg(F.ceil(F.sum("n") / block_shingles).alias("parts"))
-    wanted = slim.select("text", "text_key").join(members, "text_key").dropDuplicates(["k"])
+    # A merge join at every size: the clustered texts grow with the table.
+    wanted = slim.select("text", "text_key").join(members.hint("merge"), "text_key").dropDuplicates(["k"])
     blocks = with_sets(wanted.select("text", "k", "root", "copies"), width).join(totals, "root")
     mine, other = F.pmod(F.xxhash64("k"), F.col("parts")), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
     blocks = blocks.withColumn("mine", mine).withColumn("other", other).select(
@@ -276,7 +277,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     keyed = docs.withColumns({"__k": F.xxhash64(F.col(f"`{text}`")), "__i": F.col(f"`{doc_id}`").cast("bigint")})
     same = lambda t: keyed["__i"].eqNullSafe(t["__id"]) & (keyed["__k"] == t["__key"])
     wordless = F.coalesce(~F.col(f"`{text}`").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(True))
-    kept = keyed.filter(~wordless).join(keepers, same(keepers), "left_semi")
+    kept = keyed.filter(~wordless).join(keepers.hint("merge"), same(keepers), "left_semi")
     repeated = stored(keepers.join(twice, keepers["__id"].eqNullSafe(twice["__id"]) & (keepers["__key"] == twice["__key"]), "left_semi"), "repeated")
     if not repeated.isEmpty():
         single = kept.join(repeated, kept["__i"].eqNullSafe(repeated["__id"]) & (kept["__k"] == repeated["__key"]), "left_anti")

@@ -138,21 +138,24 @@ def cut(model: dict, shards: int) -> list[dict]:
 
 
 class Index:
-    """Sorted keys with an index on their bits below the shard's: a lookup compares a few neighbours."""
+    """Sorted hash keys with a table of about one slot per key: a lookup compares a few neighbours."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.keys, self.values = np.append(keys, np.uint64(2**64 - 1)), np.append(values, 0.0)
         self.size = len(keys)
-        self.shift = np.uint64(64 - max(1, len(keys)).bit_length() - 2)
-        edges = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
-        self.begin = np.searchsorted(keys, edges)
+        if self.size:
+            self.low, self.high = keys[0], keys[-1]
+            span = int(self.high) - int(self.low)
+            self.shift = np.uint64(max(0, span.bit_length() - self.size.bit_length()))
+            slots = (keys - self.low) >> self.shift
+            self.begin = np.searchsorted(slots, np.arange(int(slots[-1]) + 1, dtype=np.uint64)).astype(np.int32)
 
     def __call__(self, wanted: np.ndarray, default: float) -> np.ndarray:
         out = np.full(len(wanted), default)
         if not self.size:
             return out
-        at = self.begin[(wanted >> self.shift).astype(np.int64)]
-        todo = np.arange(len(wanted))
+        todo = np.flatnonzero((wanted >= self.low) & (wanted <= self.high))
+        at = self.begin[((wanted[todo] - self.low) >> self.shift).astype(np.int64)]
         while len(todo):
             here = self.keys[at]
             equal = (here == wanted[todo]) & (at < self.size)
@@ -199,18 +202,19 @@ class Scorer:
         return np.concatenate(words), np.concatenate(nll)
 
 
-def perplexities(docs: DataFrame, shards: list, unknown: float, text: str) -> DataFrame:
-    """All columns of docs with n_words and __nll."""
+def perplexities(docs: DataFrame, shards: list, unknown: float, text: str, slim: bool = False) -> DataFrame:
+    """All columns of docs (``slim``: but the text) with n_words and __nll."""
     rest = without(docs, ADDED)
+    names = [c for c in rest.columns if not slim or c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shards, unknown)
         for batch in batches:
             if batch.num_rows:
                 words, nll = score(batch.column(text))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.int64()), pa.array(nll)], [*batch.schema.names, *ADDED])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(words, pa.int64()), pa.array(nll)], [*names, *ADDED])
 
-    return rest.mapInArrow(run, fields(rest) + ", n_words bigint, __nll double")
+    return rest.mapInArrow(run, fields(rest.select(*[F.col(f"`{c}`") for c in names])) + ", n_words bigint, __nll double")
 
 
 def group_of(lang: Column) -> Column:
@@ -257,7 +261,7 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     parts = [spark.sparkContext.broadcast(part) for part in cut(model, shards)]
     unknown = float(model["unknown"][1][0])
     key = [F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")]
-    scored = stored(perplexities(base.select(*key), parts, unknown, "text").drop("text"), "perplexities")
+    scored = stored(perplexities(base.select(*key), parts, unknown, "text", slim=True), "perplexities")
     cuts = stored(thresholds(scored, marks, sample), "thresholds")
     own = cuts.filter("of <> 'all'").select(F.col("of").alias("__of"), F.col("mean").alias("__mean"), F.col("cut").alias("__cut"))
     every = cuts.filter("of = 'all'").agg(F.max("mean").alias("__mean_all"), F.max("cut").alias("__cut_all"))  # a single row
