@@ -6,15 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import numbers
 from assayer.operators import quantiles as q
-from assayer.operators.sampling import stable_sample
 
 ROBUST = 1.4826  # fixed value: median absolute deviation to standard deviation
-SAMPLE = 10_000  # rows the trees may draw from; scoring covers all rows
 
 
 def _q(name: str):
@@ -103,29 +101,43 @@ def _grow(sample: np.ndarray, rng, limit: int):
     return feature, cut, left, depth
 
 
+def tree_samples(scaled: DataFrame, key, names, trees: int, rows_per_tree: int, rows: int) -> DataFrame:
+    """(tree, row values): for every tree the ``rows_per_tree`` rows first in md5 order of its own, out of all rows.
+
+    A row is offered to as many trees as it takes for each to have twice its share on offer, so a
+    large table is dealt out once and a small one goes to every tree. Each task keeps
+    ``rows_per_tree`` rows per tree before anything moves.
+    """
+    offers = min(trees, max(1, math.ceil(2 * trees * rows_per_tree / max(rows, 1))))
+    first = F.pmod(F.xxhash64(*[_q(k) for k in key]), F.lit(trees))
+    offered = scaled.select(*[_q(k) for k in key], *names, F.explode(F.transform(F.sequence(F.lit(0), F.lit(offers - 1)), lambda i: (first + i) % trees)).alias("tree"))
+    order = F.md5(F.concat_ws("|", F.col("tree").cast("string"), *[_q(k).cast("string") for k in key]))
+    place = Window.partitionBy("tree").orderBy("__order", *key)
+    return (offered.withColumn("__order", order).withColumn("__place", F.row_number().over(place)).filter(F.col("__place") <= rows_per_tree)
+            .select("tree", "__place", *names))
+
+
 def isolation_forest(df: DataFrame, columns, key, trees: int = 80, rows_per_tree: int = 256, seed: int = 42, rows: int | None = None) -> DataFrame:
     """All rows with an isolation score: below zero is unusual, the lower the stranger.
 
-    Trees are grown in parallel, each from its own draw out of one bounded sample; the finished
+    Every tree has its own draw out of all rows and is grown in a task of its own; the finished
     trees are a few hundred kilobytes and every task scores its rows in Arrow batches.
     """
     spark = df.sparkSession
+    rows = df.count() if rows is None else rows
     scaled, _ = scaled_columns(df, columns, rows)
     names = [f"s{i}" for i in range(len(columns))]
-    few = stable_sample(scaled.select(*key, *names), key, SAMPLE).select(*names).toPandas().to_numpy(dtype=float)  # SAMPLE rows
-    psi = min(rows_per_tree, len(few))
+    psi = max(1, min(rows_per_tree, rows))
     limit = math.ceil(math.log2(max(psi, 2)))
-    shared = spark.sparkContext.broadcast(few)
 
-    def build(batches):
-        for batch in batches:
-            for t in batch["id"]:
-                rng = np.random.default_rng([seed, int(t)])
-                grown = _grow(shared.value[rng.choice(len(shared.value), psi, replace=False)], rng, limit)
-                yield pd.DataFrame({"tree": [int(t)], **{k: [list(map(float, v))] for k, v in zip(("feature", "cut", "left", "depth"), grown)}})
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__place")
+        tree = int(part["tree"].iloc[0])
+        grown = _grow(part[names].to_numpy(dtype=float), np.random.default_rng([seed, tree]), limit)
+        return pd.DataFrame({"tree": [tree], **{k: [list(map(float, v))] for k, v in zip(("feature", "cut", "left", "depth"), grown)}})
 
-    grown = spark.range(0, trees, 1, min(trees, 8)).mapInPandas(
-        build, "tree long, feature array<double>, cut array<double>, left array<double>, depth array<double>").toPandas()
+    drawn = tree_samples(scaled, key, names, trees, rows_per_tree, rows)
+    grown = drawn.groupBy("tree").applyInPandas(build, "tree long, feature array<double>, cut array<double>, left array<double>, depth array<double>").toPandas()
     forest = spark.sparkContext.broadcast([
         (np.array(r.feature, dtype=int), np.array(r.cut), np.array(r.left, dtype=int), np.array(r.depth))
         for r in grown.sort_values("tree").itertuples()])

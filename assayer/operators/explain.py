@@ -49,15 +49,15 @@ def linear_contributions(df: DataFrame, coefficients: dict[str, float], means: d
     return df.select(*key, F.inline(cells))
 
 
-def shapley(df: DataFrame, background: DataFrame, features, model, key, orders: int = 1, background_rows: int = 8) -> DataFrame:
+def shapley(df: DataFrame, background: DataFrame, features, model, key, background_rows: int, orders: int = 1) -> DataFrame:
     """(key, feature, value, contribution) by walking each row from a background row to itself.
 
-    Every row is paired with every background row (a fixed small sample) and walked forward and
+    Every row is paired with the first ``background_rows`` of the background in md5 order of the key and walked forward and
     backward through ``orders`` feature orders; the steps of a walk add up to the difference
     of the scores, so the contributions add up to the score minus the mean background score.
     The walks are rows of one DataFrame and go through the model in one pass.
     """
-    few = background.select(*features).limit(background_rows)
+    few = stable_sample(background, key, background_rows).select(*features)
     names = list(features)
     rows = df.select(*key, *[_q(f).alias(f"x_{f}") for f in names])
     ground = few.agg(F.collect_list(F.struct(*names)).alias("__ground")).withColumn("__one", F.lit(0))  # background_rows entries

@@ -15,7 +15,7 @@ from assayer.functions.digests import key_hash
 
 # Up to this many rows one bucket is used; beyond it a bucket has about BUCKET_ROWS distinct values
 # until MOST_BUCKETS are reached.
-SMALL_ROWS, BUCKET_ROWS, MOST_BUCKETS = 1_000_000, 50_000, 4096
+SMALL_ROWS, BUCKET_ROWS, MOST_BUCKETS = 1_000_000, 250_000, 65_536
 
 
 def _before(totals: DataFrame, by, bucket, names) -> DataFrame:
@@ -24,7 +24,7 @@ def _before(totals: DataFrame, by, bucket, names) -> DataFrame:
     return totals.select(*by, bucket, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__before_{n}") for n in names])
 
 
-def hash_positions(df: DataFrame, key, within=(), salt: str = "", name: str = "position", digits: int = 3) -> DataFrame:
+def hash_positions(df: DataFrame, key, within=(), salt: str = "", name: str = "position", digits: int = 4) -> DataFrame:
     """1-based position of each row in md5 order of its key, counted per ``within`` group.
 
     The hash digits spread even a group that holds most of the rows.

@@ -23,22 +23,23 @@ class Analysis:
 
 
 def analyze(df: DataFrame, key, target: str | None = None, ts: str | None = None, measure: str | None = None, columns=None,
-            nominal=(), as_of=None, anomalies: bool = True) -> Analysis:
-    """Runs the steps that the roles of the columns allow, over all rows."""
+            nominal=(), as_of=None, anomalies: bool = True, most_numeric: int | None = None, most_categories: int | None = None,
+            most_scored: int | None = None) -> Analysis:
+    """Runs the steps that the roles of the columns allow, over all rows and, unless limited, all usable columns."""
     table = normalize(df)
     profile = P.profile(table, key, as_of)
     roles = {r["column"]: r for r in P.roles(profile).collect()}
     numeric = [c for c, r in roles.items() if r["usable_numeric"] and c not in nominal]
     categories = [c for c, r in roles.items() if r["bounded_category"] or c in nominal]
     dates = [c for c, r in roles.items() if r["is_date"]]
-    chosen = list(columns or dict.fromkeys([*([target] if target else []), *numeric[:8], *categories[:4]]))
+    chosen = list(columns or dict.fromkeys([*([target] if target else []), *numeric[:most_numeric], *categories[:most_categories]]))
     tests = inference.test_pairs(table, profile, chosen, nominal, key)
     parts = [E.from_profile(P.profile_totals(profile)), E.from_tests(tests)]
     ts, measure = ts or (dates[0] if dates else None), measure or (target if target in numeric else numeric[0] if numeric else None)
     if ts and measure:
         parts.insert(1, E.from_temporal(temporal.temporal_summary(table, ts, measure), measure, ts))
     if anomalies and numeric:
-        varying = anomaly.varying_columns(table, numeric, 12)
+        varying = anomaly.varying_columns(table, numeric, most_scored)
         if varying:
             scored = anomaly.isolation_forest(table, varying, key, rows=table.count())
             parts.append(E.from_anomalies(anomaly.flag_summary(scored)))

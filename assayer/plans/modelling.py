@@ -194,9 +194,9 @@ def _(t):
 def _(t):
     from pyspark.ml.clustering import GaussianMixture, KMeans
     from pyspark.ml.functions import array_to_vector
-    rows = t.embeddings.select("vec_id", array_to_vector(F.slice("embedding", 1, 8).cast("array<double>")).alias("features")).persist()
+    rows = t.embeddings.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).persist()
     out = []
-    for name, estimator in (("K-means, 3 groups", KMeans(k=3, seed=42)), ("Gaussian mixture, 2 groups", GaussianMixture(k=2, seed=42, maxIter=20))):
+    for name, estimator in (("K-means, 3 groups", KMeans(k=3, seed=42)), ("Gaussian mixture, 2 groups", GaussianMixture(k=2, seed=42))):
         m = models.measure(models.predictions(estimator.fit(rows), rows, "clustering"), "clustering", 0, ["vec_id"])
         out.append((name, m["silhouette"], m["davies_bouldin"], m["clusters"]))
     return t.spark.createDataFrame(out, "name string, silhouette double, davies_bouldin double, clusters long")
@@ -450,7 +450,7 @@ def _(t):
 def _(t):
     rows = t.orders.select("o_orderkey", "o_totalprice", "o_custkey")
     ground = explain.explained_sample(rows, ["o_orderkey"], 8)
-    return explain.shapley(rows, ground, ["o_totalprice", "o_custkey"], _rule, ["o_orderkey"]).select("o_orderkey", "feature", "contribution")
+    return explain.shapley(rows, ground, ["o_totalprice", "o_custkey"], _rule, ["o_orderkey"], 8).select("o_orderkey", "feature", "contribution")
 
 
 @query("exp_04_summary", f"SELECT 'order' AS feature, {r('sum(m)', 'importance', 3)} FROM (SELECT feature, avg(abs(contribution)) AS m FROM {LINEAR} GROUP BY 1)", 3)

@@ -451,10 +451,14 @@ def _(t):
     return registry.newest(_runs(t), "created", ["run"], 50).select("run", "created")
 
 
-@query("top_07_time_order", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS place FROM events ORDER BY ts, event_id LIMIT 100")
-def _(t):
-    first = t.events.orderBy("ts", "event_id").limit(100)
-    return first.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ts", "event_id"))).select("event_id", "place")
+@query("top_07_time_order", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS place FROM events")
+def _(t):
+    # Rows before an instant by bucketed running counts, then the place among the rows of that instant.
+    at = t.events.select("event_id", F.unix_micros("ts").alias("at"))
+    before = ranking.running_totals(at.groupBy("at").agg(F.count(F.lit(1)).alias("n")), "at", ["n"])
+    before = before.select("at", (F.col("upto_n") - F.col("n")).alias("before"))
+    inside = at.withColumn("local", F.row_number().over(Window.partitionBy("at").orderBy("event_id")))
+    return inside.join(before, "at").select("event_id", (F.col("before") + F.col("local")).alias("place"))
 
 
 def _hash_parts_sql(table, key, cls=None, size=0.2):

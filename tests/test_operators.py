@@ -199,7 +199,7 @@ def test_shapley_adds_up(spark):
     df = spark.createDataFrame(pd.DataFrame({"id": range(30), "a": rng.normal(size=30), "b": rng.normal(size=30), "c": rng.normal(size=30)}))
     model = lambda d: d.withColumn("score", F.col("a") * F.col("b") + F.sin("c"))
     ground = df.orderBy("id").limit(5)
-    parts = explain.shapley(df, ground, ["a", "b", "c"], model, ["id"], orders=2, background_rows=5).groupBy("id").agg(F.sum("contribution").alias("s"))
+    parts = explain.shapley(df, ground, ["a", "b", "c"], model, ["id"], 5, orders=2).groupBy("id").agg(F.sum("contribution").alias("s"))
     base = model(ground).agg(F.avg("score")).first()[0]
     off = model(df).join(parts, "id").agg(F.max(F.abs(F.col("score") - F.lit(base) - F.col("s")))).first()[0]
     assert off < 1e-9
