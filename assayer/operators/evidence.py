@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.operators import metrics
+
 # Order of severities and confidences.
 SEVERITY = {"high": 0, "medium": 1, "low": 2}
 CONFIDENCE = {"HIGH": 0, "MEDIUM": 1, "LOW": 2}
@@ -19,7 +21,7 @@ ACTIONS = {
 }
 
 SCHEMA = """kind string, title string, method string, left string, right string, status string, sample_rows long,
-population_rows long, q_value double, significant boolean, effect double, measure string, strength string,
+population_rows long, p_value double, q_value double, significant boolean, effect double, measure string, strength string,
 sparse boolean, dependent boolean, flagged_rows long, flagged_pct double, minority_share double, severe boolean,
 growth_pct double, trend string, frequency string, periods long, missing_periods long, missing_cells long,
 missing_pct double, duplicates long, invalid_values long, flags long, metric string, test_score double,
@@ -38,7 +40,7 @@ def from_tests(tests: DataFrame) -> DataFrame:
     group = F.col("kind") == "group_difference"
     title = F.when(group, F.concat_ws(" by ", "right", "left")).otherwise(F.concat_ws(" and ", "left", "right"))
     return shaped(tests, kind=F.col("kind"), title=title, method=F.col("method"), left=F.col("left"), right=F.col("right"), status=F.col("status"),
-                  sample_rows=F.col("n"), population_rows=F.col("population"), q_value=F.col("q_value"), significant=F.col("significant"),
+                  sample_rows=F.col("n"), population_rows=F.col("population"), p_value=F.col("p_value"), q_value=F.col("q_value"), significant=F.col("significant"),
                   effect=F.col("effect"), measure=F.col("measure"), strength=F.col("strength"), sparse=F.coalesce("sparse", F.lit(False)), dependent=dependent)
 
 
@@ -72,6 +74,16 @@ def from_balance(balance: DataFrame, target: str) -> DataFrame:
                   sample_rows=F.col("rows"), minority_share=F.col("m"), severe=F.col("s"))
 
 
+def from_model(folds: DataFrame, test_scores: DataFrame, winner: str, baseline: str = "Baseline", flags: int = 0) -> DataFrame:
+    """The model row: fold scores by name give the stability, (name, score, rows) on the test part the score and the comparison."""
+    steady = metrics.stability(folds.filter((F.col("name") == winner) & F.col("score").isNotNull()), ["name", "metric"]).select("metric", F.col("status").alias("steady"))
+    scores = test_scores.agg(F.max(F.when(F.col("name") == winner, F.col("score"))).alias("score"), F.max(F.when(F.col("name") == baseline, F.col("score"))).alias("base"),
+                             F.max("rows").alias("rows"))
+    one = steady.withColumn("__all", F.lit(0)).join(F.broadcast(scores.withColumn("__all", F.lit(0))), "__all")  # a single row
+    return shaped(one, kind=F.lit("model"), title=F.lit(winner), method=F.lit("Comparison on folds, one test"), status=F.lit("completed"), sample_rows=F.col("rows"),
+                  metric=F.col("metric"), test_score=F.col("score"), stability=F.col("steady"), beats_baseline=metrics.beats_baseline("metric", "score", "base"), flags=F.lit(flags))
+
+
 def evidence(*results: DataFrame) -> DataFrame:
     """One table with ids e001, e002, ... in the order of the results, then left, right and method."""
     out = None
@@ -136,14 +148,18 @@ def recommendations(found: DataFrame, most: int = 8) -> DataFrame:
 
 
 def hypotheses(table: DataFrame) -> DataFrame:
-    """One row per test with q-value: statement, conclusion, status and confidence."""
+    """One row per test with q-value: statement, its null, what was observed, conclusion, status and confidence."""
     tests = table.filter(F.col("kind").isin("association", "group_difference") & F.col("q_value").isNotNull())
-    statement = F.when(F.col("kind") == "association", F.format_string("%s and %s are associated.", "left", "right")).otherwise(
-        F.format_string("%s differs across groups of %s.", "right", "left"))
+    statement = F.when(F.col("kind") == "association", F.format_string("%s goes together with %s.", "left", "right")).otherwise(
+        F.format_string("%s is not the same in all groups of %s.", "right", "left"))
+    null = F.when(F.col("kind") == "association", F.format_string("Knowing %s says nothing about %s.", "left", "right")).otherwise(
+        F.format_string("%s is the same in all groups of %s.", "right", "left"))
+    seen = F.concat(F.format_string("%d rows", "sample_rows"), F.coalesce(F.format_string(", %s %.4f", "measure", "effect"), F.lit("")))
     order = Window.partitionBy(F.lit(0)).orderBy("place")  # one row per test
     return tests.select(
-        F.format_string("h%03d", F.row_number().over(order)).alias("id"), F.col("id").alias("evidence_id"), statement.alias("hypothesis"), "method", "q_value", "effect",
-        F.when(F.col("significant"), "Evidence against the null after adjustment.").otherwise("Not enough evidence against the null.").alias("conclusion"),
+        F.format_string("h%03d", F.row_number().over(order)).alias("id"), F.col("id").alias("evidence_id"), statement.alias("hypothesis"), null.alias("null_hypothesis"), seen.alias("observation"),
+        "method", "p_value", "q_value", "effect", "measure",
+        F.when(F.col("significant"), "The adjusted test speaks against chance.").otherwise("Chance is not ruled out.").alias("conclusion"),
         F.when(F.col("significant"), "supported_exploratory").otherwise("inconclusive").alias("status"), confidence().alias("confidence"))
 
 

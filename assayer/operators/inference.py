@@ -6,6 +6,7 @@ on the result, which has one row per pair of columns.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import math
@@ -24,6 +25,7 @@ from assayer.operators.sampling import stable_sample
 from assayer.operators.together import run_together
 
 LEVELS = 20
+PAIRS_PER_SCAN = 30
 SCREEN_LEVELS = 5 * LEVELS  # columns with more labels are free text and enter no table
 PAIR = ["category", "numeric"]
 
@@ -55,7 +57,11 @@ def eligible(profile_table: DataFrame, columns=None) -> DataFrame:
 # ---- numeric by numeric -----------------------------------------------------------------------
 
 def pearson(df: DataFrame, pairs) -> DataFrame:
-    """r, its t statistic and Fisher-z interval for every pair, in one scan."""
+    """r, its t statistic and Fisher-z interval for every pair, a few dozen pairs in one scan."""
+    pairs = list(pairs)
+    if len(pairs) > PAIRS_PER_SCAN:  # one aggregate of all pairs would take longer to compile than to run
+        parts = [pearson(df, pairs[k:k + PAIRS_PER_SCAN]) for k in range(0, len(pairs), PAIRS_PER_SCAN)]
+        return functools.reduce(DataFrame.unionByName, parts)
     names = list(dict.fromkeys(itertools.chain(*pairs)))
     aggregates, cells = [], {}
     for i, (a, b) in enumerate(pairs):

@@ -150,19 +150,26 @@ def compare_models(df: DataFrame, key, task: str, numeric, categorical, classes:
                    max_seconds: float | None = None) -> DataFrame:
     """One row per candidate and fold: the selection metric on the held-out fold.
 
-    ``df`` has ``label`` (0-based for classes), ``part`` and ``fold``. Features are learned inside
+    ``df`` has ``label`` (0-based for classes), ``part`` and ``fold``, and rows of expanding time folds
+    (``splits.time_folds``) also ``role``, so that no fold learns from its future. Features are learned inside
     each fold; test rows are never read. The candidates of a fold are fitted side by side. One
     that fails is reported, not raised.
     """
     started, spark = time.monotonic(), df.sparkSession
     development = df.filter(F.col("part") == "train").persist()
-    metric, rows = score_metric(task, classes), development.count()
+    by_role = "role" in df.columns
+    metric = score_metric(task, classes)
+    rows = development.filter((F.col("fold") == k - 1) if by_role else F.lit(True)).count()
     rarest = None
     if task == "classification":
         rarest = development.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
 
     def one_fold(fold: int) -> list:
-        train, held = development.filter(F.col("fold") != fold), development.filter(F.col("fold") == fold)
+        if by_role:
+            mine = development.filter(F.col("fold") == fold)
+            train, held = mine.filter(F.col("role") == "train"), mine.filter(F.col("role") == "validation")
+        else:
+            train, held = development.filter(F.col("fold") != fold), development.filter(F.col("fold") == fold)
         if task == "classification":
             train = balanced_weights(train)
         stages = feature_stages(train, numeric, categorical).fit(train)

@@ -21,7 +21,7 @@ def trimmed_names(names) -> list[str]:
     """Names without outer spaces, 255 characters at most, blanks numbered; unique or an error."""
     out = [str(n).strip()[:255] or f"column_{i}" for i, n in enumerate(names)]
     if len(set(out)) != len(out):
-        raise ValueError("Column names must be unique after trimming.")
+        raise ValueError("Two column names are the same once trimmed.")
     return out
 
 

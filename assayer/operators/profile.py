@@ -471,23 +471,26 @@ median_interval_seconds double, regular boolean, missing_periods_estimate long,
 seasonality_suitable boolean, future_timestamps long, total_rows long, duplicates long, outlier_rows long"""
 
 
-def _frequency_facts(df: DataFrame) -> dict[str, dict]:
-    return {r["column"]: r.asDict() for r in frequency_summary(frequencies(df, df.columns)).collect()}
+def _frequency_facts(freq: DataFrame) -> dict[str, dict]:
+    return {r["column"]: r.asDict() for r in frequency_summary(freq).collect()}
 
 
-def _frequent_values(df: DataFrame, columns, most: int = 20) -> dict[str, list]:
+def _frequent_values(freq: DataFrame, columns, most: int = 20) -> dict[str, list]:
     """The ``most`` top (value, rows) per column; each task keeps that many per column."""
     if not columns:
         return {}
     place = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    top = frequencies(df, columns).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most)
+    top = freq.filter(F.col("column").isin(columns)).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most)
     values: dict[str, list] = {}
     for r in sorted(top.collect(), key=lambda r: r["place"]):
         values.setdefault(r["column"], []).append((r["value"], r["n"]))
     return values
 
 
-def _usable_facts(df: DataFrame, coded) -> dict[str, tuple[int, int]]:
+def _usable_facts(df: DataFrame, coded, summary: dict[str, dict], rows: int) -> dict[str, tuple[int, int]]:
+    """Rows and rarest value per column without exact duplicates; without any of those the counts at hand are the answer."""
+    if duplicates(df).first()["distinct_rows"] == rows:
+        return {"*": (rows, rows), **{c: (s["non_null"], s["minimum_class_count"]) for c, s in summary.items()}}
     per_column = usable_frequencies(df, coded).groupBy("column").agg(F.sum("n").alias("rows"), F.min("n").alias("least"))
     return {r["column"]: (r["rows"], r["least"]) for r in per_column.collect()}
 
@@ -500,9 +503,11 @@ def profile(df: DataFrame, key=None, as_of=None) -> DataFrame:
     types, kinds = types_of(df), column_kinds(df, key)
     numeric, texts, times = (of_kind(kinds, k) for k in ("numeric", "categorical", "datetime"))
 
+    # Every cell crosses the network once: all facts about values come from this table.
+    freq = frequencies(df, df.columns).persist()
     scanned, summary, examples = run_together(
         spark, lambda: column_scan(df, numeric, texts),
-        lambda: _frequency_facts(df),
+        lambda: _frequency_facts(freq),
         lambda: first_values(df, df.columns, key, 3, lambda c: F.substring(_q(c).cast("string"), 1, 100)))
     rec = {c: {"column": c, "position": i, "dtype": types[c].simpleString(), "kind": kinds[c], "unique": 0, "examples": examples[c],
                **scanned[c], **summary.get(c, {})} for i, c in enumerate(df.columns)}
@@ -521,8 +526,9 @@ def profile(df: DataFrame, key=None, as_of=None) -> DataFrame:
         return {r["column"]: r.asDict() for r in scaled_moments(df, extreme).collect()} if extreme else {}
 
     usable, huge, half, values, *dated = run_together(
-        spark, lambda: _usable_facts(df, coded), scaled, middle, lambda: _frequent_values(df, list(dict.fromkeys([*coded, *texts, *times]))),
+        spark, lambda: _usable_facts(df, coded, summary, rows), scaled, middle, lambda: _frequent_values(freq, list(dict.fromkeys([*coded, *texts, *times]))),
         *[lambda c=c: temporal_profile(df, c, as_of, rows=rows).first().asDict() for c in times])
+    freq.unpersist()
     for c, facts in huge.items():
         rec[c].update({k: v for k, v in facts.items() if k not in ("column", "scale")})
     for c, facts in zip(times, dated):
@@ -629,14 +635,14 @@ def quality_issues(totals: DataFrame) -> DataFrame:
         return F.format_number(F.col(c), 0)
 
     points = [
-        ("Missing values", F.concat(number("missing_cells"), F.lit(" cells ("), F.col("missing_pct").cast("string"), F.lit("%)")),
+        ("Empty cells", F.concat(number("missing_cells"), F.lit(" cells ("), F.col("missing_pct").cast("string"), F.lit("%)")),
          "Find out why cells are empty; imputation is learned inside model fits only."),
-        ("Exact duplicates", number("duplicates"), "Check whether the repeats are meant; model fits leave them out and say so."),
-        ("Potential IQR outliers", number("outlier_rows"), "Look at unusual rows; none is deleted."),
-        ("Invalid/non-finite values", number("invalid_values"), "Such cells count as missing; check where they come from."),
-        ("Constant / near-constant columns", joined("constant_columns", "near_constant_columns"), "Check whether the columns carry information."),
-        ("Potential identifiers", joined("possible_ids"), "Confirm the identifiers and split by group where rows belong together."),
-        ("High-cardinality / free text", joined("high_cardinality_columns", "free_text_columns"), "Such columns are left out of model fits."),
+        ("Repeated rows", number("duplicates"), "Check whether the repeats are meant; model fits leave them out and say so."),
+        ("Rows beyond the quartile fences", number("outlier_rows"), "Look at unusual rows; none is deleted."),
+        ("Cells without a finite value", number("invalid_values"), "Such cells count as missing; check where they come from."),
+        ("Columns of nearly one value", joined("constant_columns", "near_constant_columns"), "Check whether the columns carry information."),
+        ("Likely identifiers", joined("possible_ids"), "Confirm the identifiers and split by group where rows belong together."),
+        ("Too many labels or long texts", joined("high_cardinality_columns", "free_text_columns"), "Such columns are left out of model fits."),
     ]
     return totals.select(F.inline(F.array(*[F.struct(F.lit(i + 1).alias("place"), F.lit(n).alias("issue"), v.alias("value"), F.lit(a).alias("advice"))
                                             for i, (n, v, a) in enumerate(points)])))
@@ -650,11 +656,11 @@ def overview(totals: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
         return F.when(condition, "warning").otherwise("success")
 
     lines = [
-        ("Table overview", F.format_string("%,d records across %,d columns.", "rows", "columns"), F.lit("info")),
-        ("Completeness", F.format_string("%.1f%% of cells contain a value. %d columns have missing values.", complete, "incomplete_columns"),
+        ("Table overview", F.format_string("%,d rows in %,d columns.", "rows", "columns"), F.lit("info")),
+        ("Completeness", F.format_string("%.1f%% of cells are filled; %d columns have gaps.", complete, "incomplete_columns"),
          notice(100 - complete > 5)),
-        ("Duplicate records", F.format_string("%,d exact duplicate rows found.", "duplicates"), notice(F.col("duplicates") > 0)),
-        ("Potential outliers", F.format_string("%,d rows contain at least one numeric value outside the IQR bounds.", "outlier_rows"),
+        ("Duplicate records", F.format_string("%,d rows repeat another one exactly.", "duplicates"), notice(F.col("duplicates") > 0)),
+        ("Potential outliers", F.format_string("%,d rows have a number beyond the quartile fences.", "outlier_rows"),
          notice(F.col("outlier_rows") > 0)),
     ]
     out = totals.select(F.inline(F.array(*[F.struct(F.lit(i + 1).alias("place"), F.lit(t).alias("title"), s.alias("sentence"), k.alias("kind"))

@@ -19,7 +19,7 @@ def scenarios(df: DataFrame, key, changes: dict[str, dict], model, allowed) -> D
     """Each row scored as it is and with every named set of changed inputs, side by side."""
     wrong = {c for change in changes.values() for c in change} - set(allowed)
     if wrong:
-        raise ValueError("Scenario changes must use model inputs: " + ", ".join(sorted(wrong)))
+        raise ValueError("A scenario changes columns that the model does not read: " + ", ".join(sorted(wrong)))
     types = dict(df.dtypes)
 
     def variant(name, change):

@@ -31,7 +31,7 @@ def page(df: DataFrame, key, offset: int, limit: int) -> DataFrame:
 def scatter(df: DataFrame, x: str, y: str, key, n: int | None = 600) -> DataFrame:
     """Complete pairs of two columns as x and y, sampled to n points unless n is None."""
     if x == y:
-        raise ValueError("Choose two distinct numeric columns.")
+        raise ValueError("A scatter needs two different number columns.")
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     if n is not None:
         pairs = stable_sample(pairs.select(*dict.fromkeys([*key, x, y])), key, n)

@@ -110,7 +110,7 @@ def chronological_split(df: DataFrame, ts: str, test_size: float = 0.2) -> DataF
     counts = timed.groupBy("__ts").agg(F.count(F.lit(1)).alias("n")).withColumn("__at", F.unix_micros("__ts"))
     facts = counts.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct"), F.count_if(F.col("__ts").isNull()).alias("bad")).first()
     if facts["bad"]:
-        raise SplitError("Choose a complete date column without invalid values.")
+        raise SplitError("The time to split by is missing or invalid in some rows.")
     first = chronological_cut(counts, "__ts", int(facts["rows"] * (1 - test_size)), facts["distinct"])
     if first is None:
         raise SplitError("A chronological split needs enough distinct timestamps.")
@@ -127,7 +127,7 @@ def group_split(df: DataFrame, group: str, test_size: float = 0.2) -> DataFrame:
     groups = df.select(group).distinct()
     facts = groups.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(group).isNull()).alias("bad")).first()
     if facts["bad"] or facts["n"] < 5:
-        raise SplitError("Group splitting needs at least five complete groups.")
+        raise SplitError("Fewer than five groups cannot be dealt to three parts.")
     return df.withColumn("part", _hash_part(groups, [group], None, test_size))
 
 
@@ -174,7 +174,7 @@ def random_folds(df: DataFrame, key, k: int = 3, target: str | None = None) -> D
         rarest = df.groupBy(target).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
         k = fold_count(k, rarest)
         if k < 2:
-            raise SplitError("Too few examples per class for cross-validation.")
+            raise SplitError("A class has fewer rows than there are folds.")
 
     def wanted(n):
         return [n * (i + 1) // k for i in range(k - 1)]
@@ -214,7 +214,7 @@ def time_folds(df: DataFrame, ts: str, k: int = 3) -> DataFrame:
     instants = df.select(at.alias("__ts")).filter("__ts IS NOT NULL").distinct().withColumns({"__at": F.unix_micros("__ts"), "one": F.lit(1)})
     n = instants.count()
     if n <= k:
-        raise SplitError("Too few distinct timestamps for chronological cross-validation.")
+        raise SplitError("There are no more instants than folds.")
     block = n // (k + 1)
     starts = [n - k * block + i * block for i in range(k)]
     placed = ranking.running_totals(instants, "__at", ["one"], rows=n)

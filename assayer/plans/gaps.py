@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assayer.operators import evidence as E
 from assayer.operators import inference, metrics, splits, temporal
 from assayer.operators import profile as P
 from assayer.plans.base import query, r
@@ -85,3 +86,30 @@ def _(t):
 def _(t):
     gone = t.orders.withColumn("ts", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderdate")))
     return splits.time_folds(gone, "ts", 3).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# Fold scores: mean absolute error of a rule and of the plain mean over thirds of the orders.
+@query("ev_02_model", f"""WITH f AS (SELECT o_orderkey % 3 AS fold, sqrt(avg((o_totalprice - 1.1 * o_custkey) ^ 2)) AS s FROM orders GROUP BY 1),
+    m AS (SELECT avg(o_totalprice) AS v, count(*) AS n FROM orders), b AS (SELECT sqrt(avg((o_totalprice - v) ^ 2)) AS base, sqrt(avg((o_totalprice - 1.1 * o_custkey) ^ 2)) AS score, max(n) AS n FROM orders, m),
+    w AS (SELECT CASE WHEN stddev_pop(s) / avg(s) <= 0.1 THEN 'stable' WHEN stddev_pop(s) / avg(s) <= 0.2 THEN 'variable' ELSE 'unstable' END AS steady FROM f)
+    SELECT 'Rule' AS title, steady AS stability, score < base AS beats_baseline, {r('score', 'test_score', 3)}, CASE WHEN steady = 'stable' AND n >= 100 AND score < base THEN 'HIGH' WHEN n >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
+    'model' AS type, 'medium' AS severity FROM b, w""", 3)
+def _(t):
+    root = lambda c: F.sqrt(F.avg((F.col("o_totalprice") - c) ** 2))
+    rule = F.col("o_custkey") * 1.1
+    folds = t.orders.groupBy((F.col("o_orderkey") % 3).alias("fold")).agg(root(rule).alias("score")).select(F.lit("Rule").alias("name"), F.lit("rmse").alias("metric"), "score")
+    middle = t.orders.agg(F.avg("o_totalprice")).first()[0]
+    rows = F.count(F.lit(1)).alias("rows")
+    tests = t.orders.agg(root(rule).alias("score"), rows).withColumn("name", F.lit("Rule")).unionByName(t.orders.agg(root(F.lit(middle)).alias("score"), rows).withColumn("name", F.lit("Baseline")))
+    table = E.evidence(E.from_model(folds, tests, "Rule"))
+    found = E.findings(table).select("evidence_id", "type", "severity", "confidence")
+    return table.join(found, F.col("id") == F.col("evidence_id")).select("title", "stability", "beats_baseline", "test_score", "confidence", "type", "severity")
+
+
+@query("st_27_fields", f"""SELECT 'l_quantity goes together with l_extendedprice.' AS hypothesis, 'Knowing l_quantity says nothing about l_extendedprice.' AS null_hypothesis,
+    format('{{}} rows, correlation {{:.4f}}', count(*), corr(l_quantity, l_extendedprice)) AS observation, 'correlation' AS measure FROM lineitem""")
+def _(t):
+    table = t.lineitem.select("l_quantity", "l_extendedprice")
+    tests = inference.test_pairs(table, P.profile(table), ["l_quantity", "l_extendedprice"])
+    h = E.hypotheses(E.evidence(E.from_tests(tests)))
+    return h.filter(F.col("method") == "Pearson correlation").select("hypothesis", "null_hypothesis", "observation", "measure")

@@ -321,10 +321,10 @@ def _(t):
 
 
 @query("prf_41_issues", f"""SELECT v.place, v.issue, v.value FROM {QUALITY} q, LATERAL (VALUES
-    (CAST(1 AS BIGINT), 'Missing values', format('{{:,}}', q.missing::BIGINT) || ' cells (' || round(missing / (n * 4) * 100, 2) || '%)'), (2, 'Exact duplicates', format('{{:,}}', dup)),
-    (3, 'Potential IQR outliers', (SELECT format('{{:,}}', count(*)) FROM {LABELLED}, (SELECT quantile_cont(quality, 0.25) AS a, quantile_cont(quality, 0.75) AS c,
-        quantile_cont(toxic, 0.25) AS e, quantile_cont(toxic, 0.75) AS g FROM labels) WHERE quality < a - 1.5 * (c - a) OR quality > c + 1.5 * (c - a) OR toxic < e - 1.5 * (g - e) OR toxic > g + 1.5 * (g - e))), (4, 'Invalid/non-finite values', '0'),
-    (5, 'Constant / near-constant columns', 'None detected'), (6, 'Potential identifiers', 'None detected'), (7, 'High-cardinality / free text', 'None detected')) v(place, issue, value)""")
+    (CAST(1 AS BIGINT), 'Empty cells', format('{{:,}}', q.missing::BIGINT) || ' cells (' || round(missing / (n * 4) * 100, 2) || '%)'), (2, 'Repeated rows', format('{{:,}}', dup)),
+    (3, 'Rows beyond the quartile fences', (SELECT format('{{:,}}', count(*)) FROM {LABELLED}, (SELECT quantile_cont(quality, 0.25) AS a, quantile_cont(quality, 0.75) AS c,
+        quantile_cont(toxic, 0.25) AS e, quantile_cont(toxic, 0.75) AS g FROM labels) WHERE quality < a - 1.5 * (c - a) OR quality > c + 1.5 * (c - a) OR toxic < e - 1.5 * (g - e) OR toxic > g + 1.5 * (g - e))), (4, 'Cells without a finite value', '0'),
+    (5, 'Columns of nearly one value', 'None detected'), (6, 'Likely identifiers', 'None detected'), (7, 'Too many labels or long texts', 'None detected')) v(place, issue, value)""")
 def _(t):
     return P.quality_issues(P.profile_totals(P.profile(t.labelled().select("lang", "source", "quality", "toxic")))).select("place", "issue", "value")
 
@@ -334,10 +334,10 @@ def _(t):
     return P.profile_totals(P.profile(t.lineitem)).select("rows", "columns", "numeric_ratio", "categorical_ratio", "datetime_ratio")
 
 
-@query("ev_06_overview", """SELECT CAST(1 AS BIGINT) AS place, format('{:,}', count(*)) || ' records across 6 columns.' AS sentence, 'info' AS kind FROM events
-    UNION ALL SELECT 2, '100.0% of cells contain a value. 0 columns have missing values.', 'success'
-    UNION ALL SELECT 3, '0 exact duplicate rows found.', 'success'
-    UNION ALL SELECT 4, (SELECT format('{:,}', count(*)) FROM events, (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS c FROM events) WHERE value < a - 1.5 * (c - a) OR value > c + 1.5 * (c - a)) || ' rows contain at least one numeric value outside the IQR bounds.', 'warning'""")
+@query("ev_06_overview", """SELECT CAST(1 AS BIGINT) AS place, format('{:,}', count(*)) || ' rows in 6 columns.' AS sentence, 'info' AS kind FROM events
+    UNION ALL SELECT 2, '100.0% of cells are filled; 0 columns have gaps.', 'success'
+    UNION ALL SELECT 3, '0 rows repeat another one exactly.', 'success'
+    UNION ALL SELECT 4, (SELECT format('{:,}', count(*)) FROM events, (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS c FROM events) WHERE value < a - 1.5 * (c - a) OR value > c + 1.5 * (c - a)) || ' rows have a number beyond the quartile fences.', 'warning'""")
 def _(t):
     return P.overview(P.profile_totals(P.profile(t.events, ["event_id"]))).select("place", "sentence", "kind")
 

@@ -249,7 +249,7 @@ def _(t):
     return got.select("left", "right", "n")
 
 
-@query("st_27_hypotheses", f"""SELECT 'l_quantity and l_extendedprice are associated.' AS hypothesis, 'inconclusive' AS status, 'LOW' AS confidence, {r('corr(l_quantity, l_extendedprice)', 'effect')} FROM lineitem""")
+@query("st_27_hypotheses", f"""SELECT 'l_quantity goes together with l_extendedprice.' AS hypothesis, 'inconclusive' AS status, 'LOW' AS confidence, {r('corr(l_quantity, l_extendedprice)', 'effect')} FROM lineitem""")
 def _(t):
     h = E.hypotheses(E.evidence(E.from_tests(_tests(t, ["l_quantity", "l_extendedprice"]))))
     return h.filter(F.col("method") == "Pearson correlation").select("hypothesis", "status", "confidence", "effect")

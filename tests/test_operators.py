@@ -194,6 +194,21 @@ def test_forecast_parts_add_up(spark):
     assert len(ahead) == 6 and temporal.trend(series).first()["trend"] == "negative"
 
 
+def test_time_folds_search_without_the_future(spark):
+    df = demo.churn(spark.range(400)).select("customer_id", "tenure_months", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, int(id % 97))").alias("ts"),
+                                             F.col("monthly_charges").alias("label"), F.lit("train").alias("part"))
+    folds = splits.time_folds(df, "ts", 2)
+    ends = {(r["fold"], r["role"]): (r["a"], r["b"]) for r in folds.groupBy("fold", "role").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).collect()}
+    assert all(ends[f, "train"][1] < ends[f, "validation"][0] for f in range(2))
+    found = models.compare_models(folds, ["customer_id"], "regression", ["tenure_months"], [], k=2, names=["Baseline"]).collect()
+    for r in found:
+        part = folds.filter(F.col("fold") == r["fold"])
+        middle = part.filter("role = 'train'").agg(F.avg("label").alias("m"), F.expr("median(label)").alias("d")).first()
+        held = part.filter("role = 'validation'")
+        options = [held.agg(F.sqrt(F.avg((F.col("label") - F.lit(v)) ** 2))).first()[0] for v in middle]
+        assert min(abs(r["score"] - v) for v in options) < 1e-9 and r["status"] == "completed"
+
+
 def test_shapley_adds_up(spark):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame(pd.DataFrame({"id": range(30), "a": rng.normal(size=30), "b": rng.normal(size=30), "c": rng.normal(size=30)}))
