@@ -34,6 +34,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """Rows per Arrow batch from here on in this session: whole texts are long, and a task holds a few batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def without(df: DataFrame, names) -> DataFrame:
     """df without columns an operator is about to add: its own columns replace extra ones of that name."""
     low = {n.lower() for n in names}

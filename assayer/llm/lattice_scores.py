@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.common import stored
+from assayer.llm.common import batch_rows, stored
 from assayer.llm.kneser_ney_quality import Index
 from assayer.llm.word_hashes import WordHasher, ascii_space_words, powers, slices, spread
 
@@ -40,6 +40,12 @@ def pieces_of(path: str) -> list[str]:
     return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
 
 
+def log_sum(terms: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exponentials over the first axis; every column has a finite term."""
+    top = terms.max(axis=0)
+    return top + np.log(np.exp(terms - top).sum(axis=0))
+
+
 class Lattice:
     """Log probabilities of words under a unigram piece model.
 
@@ -53,6 +59,8 @@ class Lattice:
         hashes = np.array([self._whole(p) for p in pieces], np.uint64)
         order = np.argsort(hashes)
         self.index = Index(hashes[order], order.astype(np.float64))
+        self.seen = np.zeros(1 << 22, bool)  # by the top bits: few other strings pass
+        self.seen[(hashes >> np.uint64(42)).astype(np.int64)] = True
         self.count = len(pieces)
         self.weights = np.append(weights, -np.inf)  # the last for no edge
 
@@ -78,7 +86,8 @@ class Lattice:
         for l in range(min(self.longest, int(size.max()))):
             at = np.flatnonzero(place >= l)
             wanted = spread((total[at + 1] - total[at - l]) * self.down[at - l])
-            numbers[l, at] = self.index(wanted, self.count + 2).astype(np.int32)
+            may = np.flatnonzero(self.seen[(wanted >> np.uint64(42)).astype(np.int64)])
+            numbers[l, at[may]] = self.index(wanted[may], self.count + 2).astype(np.int32)
         values = self.weights[numbers]
         strange = numbers[0] == self.count + 2
         numbers[0, strange] = self.count
@@ -116,23 +125,29 @@ class Lattice:
         for j in range(1, most + 1):
             k = running[j]
             ends = start[:k] + j - 1
-            terms = np.stack([alpha[j - l - 1, :k] + values[l, ends] for l in range(min(j, self.longest))])
-            alpha[j, :k] = np.logaddexp.reduce(terms, axis=0)
+            alpha[j, :k] = log_sum(np.stack([alpha[j - l - 1, :k] + values[l, ends] for l in range(min(j, self.longest))]))
         total = alpha[size, np.arange(n)]
         out[rows] = total
         if counts is None:
             return
         beta = np.full((most + 1, n), -np.inf)
         beta[size, np.arange(n)] = 0.0
+        for j in range(most - 1, -1, -1):  # words that go on after position j
+            terms = []
+            for l in range(min(most - j, self.longest)):
+                k = running[j + l + 1]
+                term = np.full(running[j + 1], -np.inf)
+                term[:k] = values[l, start[:k] + j + l] + beta[j + l + 1, :k]
+                terms.append(term)
+            beta[j, :running[j + 1]] = log_sum(np.stack(terms))
+        word = np.repeat(np.arange(n), size)
+        place = np.arange(len(word)) - start[word]
         weight = counts[rows]
-        for j in range(most, 0, -1):
-            k = running[j]
-            ends = start[:k] + j - 1
-            for l in range(min(j, self.longest)):
-                step = values[l, ends] + beta[j, :k]
-                beta[j - l - 1, :k] = np.logaddexp(beta[j - l - 1, :k], step)
-                share = np.exp(alpha[j - l - 1, :k] + step - total[:k]) * weight[:k]
-                uses += np.bincount(numbers[l, ends], share, minlength=len(uses))
+        for l in range(self.longest):
+            ends = np.flatnonzero(numbers[l] < self.count + 2)
+            w, j = word[ends], place[ends] + 1
+            share = np.exp(alpha[j - l - 1, w] + values[l, ends] + beta[j, w] - total[w]) * weight[w]
+            uses += np.bincount(numbers[l, ends], share, minlength=len(uses))
 
     def _one(self, word, i, counts, out, uses) -> None:
         """A long word position by position."""
@@ -157,6 +172,19 @@ class Lattice:
             uses += np.bincount(numbers[l, ends], np.exp(first[ends - l] + values[l, ends] + last[ends + 1] - alpha[n]) * counts[i], minlength=len(uses))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches of short rows joined to tables of about ``rows`` rows."""
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            yield pa.Table.from_batches(held)
+            held, count = [], 0
+    if count:
+        yield pa.Table.from_batches(held)
+
+
 def distinct_words(texts: pa.Array, train: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(h, word, n) per slice: every distinct word, lower-cased in A-Z, with its count in training rows."""
     hasher = WordHasher(ascii_space_words())
@@ -192,8 +220,8 @@ def fitted(words: DataFrame, pieces: list[str], texts: int, rounds: int) -> np.n
     for _ in range(rounds):
         def run(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
             lattice, total = Lattice(shared.value, weights), 0.0
-            for batch in batches:
-                total = total + lattice.expected(batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(float))
+            for part in gathered(batches, WORD_BATCH):
+                total = total + lattice.expected(part.column("word").to_pylist(), part.column("c").to_numpy().astype(float))
             if not np.isscalar(total):
                 some = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["piece", "uses"])
@@ -258,6 +286,7 @@ def score(docs: DataFrame, pieces: str, doc_id: str = "doc_id", text: str = "tex
     not read. Texts are told apart by xxhash64, words by a 64-bit hash.
     """
     spark: SparkSession = docs.sparkSession
+    batch_rows(spark, 2000)
     modulus, rest = HELD_OUT
     held = F.pmod(F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == rest
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), held.alias("held_out")).withColumns(
@@ -273,11 +302,11 @@ def score(docs: DataFrame, pieces: str, doc_id: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(shared.value, weights)
-        for batch in batches:
+        for batch in gathered(batches, WORD_BATCH):
             value = lattice.forward(batch.column("word").to_pylist()) / math.log(10)
             c = batch.column("c").to_numpy()
             base = np.log10((c + 1) / (n + v + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(c), pa.array(base), pa.array(value)], ["h", "c", "base_h", "lattice_h"])
+            yield pa.RecordBatch.from_arrays([batch.column("h").combine_chunks(), pa.array(c), pa.array(base), pa.array(value)], ["h", "c", "base_h", "lattice_h"])
 
     scored = stored(words.mapInArrow(run, "h bigint, c bigint, base_h double, lattice_h double"), "lm-scores")
     top = scored.orderBy(F.desc("c"), "h").limit(frequent).toArrow()  # ``frequent`` rows

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2**64
 #: Bytes of text hashed at once; a longer text is a slice of its own.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def spread(x: np.ndarray) -> np.ndarray:
