@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.common import batch_rows
+
 TRAIN_PAGES, VARIANTS, EPOCHS = 200, 4, 10
 HIDDEN, PATH_SLOTS, WORD_SLOTS, FIGURES = 24, 256, 32, 12
 #: Ancestors of a block that its features name; blocks are never left out.
@@ -393,6 +395,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     elements are read as browsers do. Repeated pages are read one by one; extra columns are not read.
     ``model`` uses a fitted labeller instead of fitting one.
     """
+    batch_rows(pages.sparkSession, 1000)
     weights = pages.sparkSession.sparkContext.broadcast(model.w if model else fitted_on(pages, html, train_pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import stored
+from assayer.llm.common import batch_rows, stored
 from assayer.llm.components import components
 from assayer.llm.word_hashes import WordHasher, letter_digit_words, slices, spread
 
@@ -230,6 +230,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     rows are copies of each other. Extra columns are not read.
     """
     depth = depth_for(threshold, trees, recall, most_depth)
+    batch_rows(docs.sparkSession, 1000)
     slim = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")).withColumn("text_key", F.xxhash64("text"))
     marked = stored(signed(slim, width, trees, depth), "signatures")
     # Equal sets are one text from here on; nodes is the same for all of them.
@@ -284,3 +285,18 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
         many = kept.join(repeated, kept["__i"].eqNullSafe(repeated["__id"]) & (kept["__k"] == repeated["__key"]), "left_semi")
         kept = single.unionByName(many.dropDuplicates(["__i", "__k"]))
     return kept.unionByName(keyed.filter(wordless)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: The exact join in SQL, for tables without large groups.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+c AS (SELECT r, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS k FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+l AS (SELECT x, y, a.k = b.k AS same, b.k AS k FROM p JOIN c a ON a.r = x JOIN c b ON b.r = y WHERE 10 * m >= 8 * (a.n + b.n - m)),
+t AS (SELECT r AS x, r AS y FROM d UNION SELECT t.x, l.y FROM t JOIN l ON l.x = t.y),
+o AS (SELECT t.x, min(d.doc_id) AS class_id FROM t JOIN d ON d.r = t.y GROUP BY t.x),
+q AS (SELECT x, count(*) AS n, count(DISTINCT k) FILTER (WHERE NOT same) AS texts, count(*) FILTER (WHERE same) AS copies FROM l GROUP BY x)
+SELECT doc_id, class_id, coalesce(q.n, 0)::BIGINT AS n_links, coalesce(q.texts, 0)::BIGINT AS n_text_links, coalesce(q.copies, 0)::BIGINT AS n_copies
+FROM d JOIN o ON o.x = d.r LEFT JOIN q ON q.x = d.r
+"""

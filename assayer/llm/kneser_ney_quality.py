@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import fields, stored, without
+from assayer.llm.common import batch_rows, fields, stored, without
 from assayer.llm.word_hashes import WordHasher, ascii_space_words, slices, spread
 
 TRAIN_ROWS = 2_000
@@ -254,6 +254,7 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     labels of an id count as rejected, null labels as none. Columns of the added names are replaced.
     """
     spark = docs.sparkSession
+    batch_rows(spark, 1000)
     base = without(docs, ("n_words", "perplexity", "threshold", "kept"))
     marks = stored(labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min(F.col("quality") > 0).alias("trusted")), "marks")
     sample = stored(training_sample(base, marks, doc_id, text, train_rows, train_words), "training")

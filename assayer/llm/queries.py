@@ -38,7 +38,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney_quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"), slim=True)
 
 
-@query("op3_jaccard_join")
+@query("op3_jaccard_join", forest_jaccard.SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Per document its class of near duplicates and its links."""
     return forest_jaccard.join(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links", "n_text_links", "n_copies")
@@ -62,11 +62,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return weighted_mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query("op7_decontamination")
+@query("op7_decontamination", suffix_decontamination.SQL)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Per document what it shares with the benchmark; columns of the contract."""
     found = suffix_decontamination.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 @query("op8_wavelet_tokens")

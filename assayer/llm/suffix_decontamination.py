@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import fields, without
+from assayer.llm.common import batch_rows, fields, without
 from assayer.llm.word_hashes import WordHasher, letter_digit_words, slices
 
 WINDOW = 10
@@ -198,6 +198,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     a null item id reads as an empty string; repeated documents are judged one by one, repeated item
     ids count once. ``keep``: condition on the input rows judged at all, others are left out.
     """
+    batch_rows(docs.sparkSession, 2000)
     blocks = item_blocks(benchmark, item, item_text, block_bytes)
     rest = without(docs, ADDED)
     if keep is not None:
@@ -221,3 +222,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any hit, in their own columns."""
     return decontaminate(docs, benchmark, **options).filter(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED])
+
+
+#: The columns of the contract in SQL.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+f AS (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM i WHERE len(w) > 0),
+v AS (SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM f),
+e AS (SELECT r, k, p, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d JOIN (SELECT DISTINCT k FROM v) ON len(w) >= k)),
+h AS (SELECT e.r, e.p, e.k, v.item_id FROM e JOIN v ON e.k = v.k AND e.g = v.g),
+n AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + k)) AS q FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n, string_agg(s, ',' ORDER BY s) AS l FROM (SELECT DISTINCT r, coalesce(item_id::VARCHAR, '') AS s FROM h) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+"""

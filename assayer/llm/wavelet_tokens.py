@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import scratch, stored
+from assayer.llm.common import batch_rows, scratch, stored
 from assayer.llm.word_hashes import slices
 
 MAGIC = b"WMTX0001"
@@ -37,6 +37,8 @@ FILE_TOKENS = 4_000_000
 #: Distinct chunks a worker remembers.
 CACHE_CHUNKS = 600_000
 END_ID = 2
+#: White space in any reading of the pattern, for the Arrow regular expressions.
+WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 PUNCTUATION = ".,!?;:*$&%#|"
 MANIFEST = "part int, file int, path string, docs bigint, tokens bigint, bytes bigint"
 
@@ -211,7 +213,7 @@ class Encoder:
         spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), coded.dictionary, pa.scalar(" ", pa.large_string())).to_pylist()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         # Empty chunks and chunks with white space at an end depend on what is beside them.
-        odd = np.fromiter((len(c) == 1 or c[1].isspace() or c[-1].isspace() for c in spaced), bool, len(spaced))
+        odd = pc.match_substring_regex(coded.dictionary, f"^$|^{WHITE}|{WHITE}$").to_numpy(zero_copy_only=False)
         first, last = bounds[:-1], bounds[1:]
         whole = np.logical_or.reduceat(odd[codes], first) if len(first) else np.zeros(0, bool)
         # The first chunk of a text has no space before it: it is another chunk.
@@ -248,6 +250,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_column: str =
     A null text is empty, so the document is the end id alone. Equal ids keep the order of a hash of
     their texts. No rows make no files. Extra columns are not read.
     """
+    batch_rows(docs.sparkSession, 4000)
     rows = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
     ranged = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").drop("tie")
 

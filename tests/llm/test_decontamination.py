@@ -61,3 +61,7 @@ def test_edge_cases(spark):
 def test_query_is_whole(spark):
     import __spark_entry__ as entry
     assert entry.queries()["op7_decontamination"](spark, "/root/testdata/sf0.001").count() == 200
+
+
+def test_query_matches_sql(twin):
+    assert len(twin("op7_decontamination")) == 200

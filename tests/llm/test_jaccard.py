@@ -106,3 +106,7 @@ def test_edge_cases(spark):
     kept = J.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in kept.collect()) == sorted([(1, ""), (2, ""), (3, " . "), (4, "one two"), (6, "one two t"), (7, "a b c d e"), (0, "only here"), (8, "long word"), (10, "é à ü ß ö")])
+
+
+def test_query_matches_sql(twin):
+    assert len(twin("op3_jaccard_join")) == 200
