@@ -123,7 +123,7 @@ def fit(sample: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
 
 def cut(model: dict, shards: int) -> list[dict]:
-    """The tables by the leading bits of the key."""
+    """The indexed tables by the leading bits of the key, as plain arrays."""
     edges = [(k << 64) // shards for k in range(shards)]
     out = []
     for k in range(shards):
@@ -132,7 +132,7 @@ def cut(model: dict, shards: int) -> list[dict]:
             keys, values = model[name]
             low = np.searchsorted(keys, np.uint64(edges[k]))
             high = np.searchsorted(keys, np.uint64(edges[k + 1])) if k + 1 < shards else len(keys)
-            part[name] = keys[low:high], values[low:high]
+            part[name] = Index(keys[low:high], values[low:high]).__dict__
         out.append(part)
     return out
 
@@ -150,6 +150,13 @@ class Index:
             slots = (keys - self.low) >> self.shift
             self.begin = np.searchsorted(slots, np.arange(int(slots[-1]) + 1, dtype=np.uint64)).astype(np.int32)
 
+    @classmethod
+    def shared(cls, parts: dict) -> Index:
+        """An index over the arrays of another one (its ``__dict__``), without copies."""
+        made = cls.__new__(cls)
+        made.__dict__.update(parts)
+        return made
+
     def __call__(self, wanted: np.ndarray, default: float) -> np.ndarray:
         out = np.full(len(wanted), default)
         if not self.size:
@@ -167,7 +174,7 @@ class Index:
 
 class Scorer:
     def __init__(self, shards: list, unknown: float):
-        self.shards = [{name: Index(*part.value[name]) for name in TABLES} for part in shards]
+        self.shards = [{name: Index.shared(part.value[name]) for name in TABLES} for part in shards]
         self.edges = np.array([(k << 64) // len(shards) for k in range(1, len(shards))], np.uint64)
         self.unknown = unknown
         self.hasher = WordHasher(ascii_space_words(), fold_case=False)
