@@ -33,9 +33,9 @@ from assayer.llm.word_hashes import slices
 MAGIC = b"WMTX0001"
 BLOCK = 512  # bits between two entries of the rank directory
 #: Tokens after which a file is closed; the last document may go beyond.
-FILE_TOKENS = 3_000_000
+FILE_TOKENS = 4_000_000
 #: Distinct chunks a worker remembers.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 600_000
 END_ID = 2
 #: White space in any reading of the pattern, for the Arrow regular expressions.
 WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -250,7 +250,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_column: str =
     A null text is empty, so the document is the end id alone. Equal ids keep the order of a hash of
     their texts. No rows make no files. Extra columns are not read.
     """
-    batch_rows(docs.sparkSession, 4000)
+    batch_rows(docs.sparkSession, 5000)
     rows = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
     ranged = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").drop("tie")
 
@@ -275,7 +275,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_column: str =
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "file", "path", "docs", "tokens", "bytes"])
 
         for batch in batches:
-            for begin, end in slices(batch.column("text"), 6_500_000):
+            for begin, end in slices(batch.column("text"), 8_000_000):
                 ids, many = encode(batch.column("text")[begin:end])
                 ids = np.insert(ids, np.cumsum(many), end_id)
                 names = batch.column("id")[begin:end]

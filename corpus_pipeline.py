@@ -36,7 +36,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in ascending id order; per document its place, length and checksum read from them."""
-    return wavelet_tokens.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # Its workers go on to other stages: they remember fewer chunks, for some more time.
+    return wavelet_tokens.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=200_000)
 
 
 STAGES = [("quality classifier", quality), ("n-gram jaccard join", near_duplicates), ("benchmark decontamination", decontamination),
