@@ -2,7 +2,7 @@
 
 Counts of a text come from array functions inside its row. Lines are normalised and hashed; per host
 (the source) the distinct documents of a line are counted, where copies of a document count once: a
-document is named by the least hash among its lines, which near copies share. Lines in more than
+document is named by a hash of all its distinct lines. Lines in more than
 the limit are removed and a document that keeps too few of its words is rejected. What is needed per
 row (counts and line hashes, no text unless asked for) is written once with a row number; joins and
 groupings work on that table.
@@ -64,10 +64,9 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     rows = stored(rows.select(F.monotonically_increasing_id().alias("__row"), *keep), "line-marks")
 
     hosts = rows.groupBy("__host").agg(F.count(F.lit(1)).alias("docs"))
-    sorted_ = rows.select("__host", F.sort_array(F.array_distinct("__marks.h")).alias("s"))
-    each = sorted_.select("__host", "s", F.explode("s").alias("h"))
-    name = F.when(F.col("h") != F.get("s", F.lit(0)), F.get("s", F.lit(0))).otherwise(F.coalesce(F.get("s", F.lit(1)), F.get("s", F.lit(0))))
-    counts = each.select("__host", "h", name.alias("name")).distinct().groupBy("__host", "h").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") > line_documents)
+    sets = rows.select("__host", F.sort_array(F.array_distinct("__marks.h")).alias("s"))
+    each = sets.select("__host", F.xxhash64("s").alias("name"), F.explode("s").alias("h"))
+    counts = each.distinct().groupBy("__host", "h").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") > line_documents)
     counts = counts.join(hosts.withColumnRenamed("__host", "__of"), F.col("__host").eqNullSafe(F.col("__of")))
     frequent = stored(counts.filter(F.col("seen") * 100 > F.col("docs") * line_percent).select(F.col("__host").alias("__of"), "h", "seen"), "frequent-lines")
     lines = rows.select("__row", "__host", F.explode("__marks").alias("m")).select("__row", "__host", "m.h", "m.n")

@@ -47,6 +47,18 @@ def test_line_rules_edges(spark):
     assert L.judge(docs.limit(0)).count() == 0
 
 
+def test_documents_that_share_several_lines_are_told_apart(spark):
+    menu = [f"menu entry {k}" for k in range(60)]
+    own = lambda i: " ".join(f"o{i}x{k}" for k in range(150))
+    rows = [(i, "\n".join([*menu, own(i), "footer"]), "shared") for i in range(30)]
+    rows += [(100 + i, "\n".join([own(0), *menu[::-1]]), "copied") for i in range(30)]
+    rows += [(200 + i, "\n".join([own(i), f"header {h}", f"footer {h}"]), f"two {h}") for h in range(8) for i in range(30)]
+    got = L.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    removed = Counter((r.source, r.n_removed_lines, r.kept) for r in got)
+    assert removed == {("shared", 61, False): 30, ("copied", 0, True): 30} | {(f"two {h}", 2, True): 30 for h in range(8)}
+    assert all(r.cleaned == own(r.doc_id) for r in got if r.source == "shared")
+
+
 def brute_urls(captures, entries):
     groups = defaultdict(dict)
     for name, role, kind, pattern, action, at in entries:
