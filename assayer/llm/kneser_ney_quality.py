@@ -1,12 +1,12 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model.
 
 The model is fitted on a bounded sample of trusted labelled rows (``train_rows`` rows and
-``train_words`` words, in md5 order of the id). Its n-gram, continuation and context counts are
+``train_words`` words, in md5 order of the id), of which a fifth per language is held out first. Its n-gram, continuation and context counts are
 Spark aggregations; the resulting probability tables are cut by key into shards, each a broadcast
 whose size the two bounds limit. Every batch of documents joins its n-grams with one shard after
 another, so documents are not shuffled and a task holds one batch and the shards.
 
-Thresholds cover all labelled rows outside the sample: per language, the trusted perplexity quantile
+Thresholds cover all labelled rows outside the sample, the held-out ones among them: per language, the trusted perplexity quantile
 that best separates trusted from rejected rows. All documents are scored over their whole texts.
 """
 
@@ -30,6 +30,10 @@ PRIOR_TOKENS = 10.0
 LEVELS = (0.90, 0.95, 0.98, 0.99, 0.995, 0.999, 1.0)
 #: Fewer rejected rows of a language than this say nothing: the highest level holds then.
 LEAST_REJECTED = 20
+#: A language with fewer trusted rows outside the sample than this takes the threshold of all languages.
+LEAST_TRUSTED = 20
+#: Every so many-th of the first trusted ids, by language, is held out of the sample for the thresholds.
+HELD = 5
 BEGIN, END = np.uint64(0x51ED270B35A7C1E3), np.uint64(0x7C0B8D1F2A96E455)
 JOIN = np.uint64(0xA24BAED4963EE407)
 ADDED = {"n_words": "bigint", "__nll": "double"}
@@ -67,13 +71,23 @@ def count_rows(texts: pa.Array) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[pa.array(c.view(np.int64)) for c in columns], pa.array(n)], ["k123", "k12", "k23", "w2", "w3", "n"])
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, rows: int, words: int) -> DataFrame:
-    """Trusted texts, first in md5 order of the id, within both bounds."""
+def training_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str, rows: int, words: int) -> DataFrame:
+    """Trusted texts, first in md5 order of the id, within both bounds; every ``HELD``-th id by language
+    is left to the thresholds, and a text that does not fit the words left is passed over."""
     order = F.md5(F.col("id").cast("string"))
-    ids = labels.filter("trusted").select("id").orderBy(order, "id").limit(rows)
-    found = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(ids), "id")  # at most ``rows`` ids
-    found = found.withColumn("words", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).filter("words > 0").orderBy(order, "id", F.md5("text")).limit(rows)
-    return found.withColumn("upto", F.sum("words").over(Window.orderBy(order, "id", F.md5("text")))).filter(F.col("upto") <= words)
+    most = -(-rows * HELD // (HELD - 1))
+    ids = labels.filter("trusted").select("id").orderBy(order, "id").limit(most)
+    found = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).join(F.broadcast(ids), "id")  # at most ``most`` ids
+    found = found.withColumn("words", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).filter("words > 0").orderBy(order, "id", F.md5("text")).limit(most)
+    place = F.dense_rank().over(Window.orderBy(group_of(F.col("lang")), order, "id"))
+    found = found.withColumn("place", place).withColumn("held", F.max(F.col("place") % HELD == 2).over(Window.partitionBy("id"))).filter("NOT held")
+    found = stored(found.select("id", "text", "words", F.row_number().over(Window.orderBy(order, "id", F.md5("text"))).alias("number")), "candidates")
+    taken, left = [], words
+    for r in found.select("number", "words").orderBy("number").collect():  # at most ``most`` pairs
+        if r["words"] <= left and len(taken) < rows:
+            taken.append(r["number"])
+            left -= r["words"]
+    return found.filter(F.col("number").isin(taken))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -234,7 +248,8 @@ def thresholds(scored: DataFrame, labels: DataFrame, sample: DataFrame) -> DataF
     judged = labels.join(sample.select("id").distinct(), "id", "left_anti").join(scored.filter("n_words > 0"), "id")
     judged = judged.select(F.explode(F.array(group_of(F.col("lang")), F.lit("all"))).alias("of"), "trusted", F.col("__nll").alias("nll"), (F.col("n_words") + 1).alias("n"))
     judged = stored(judged, "judged")
-    means = judged.filter("trusted").groupBy("of").agg((F.sum("nll") / F.sum("n")).alias("mean"))
+    means = judged.filter("trusted").groupBy("of").agg((F.sum("nll") / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("trusted"))
+    means = means.filter((F.col("of") == "all") | (F.col("trusted") >= LEAST_TRUSTED)).select("of", "mean")
     scores = judged.join(means, "of").select("of", "mean", "trusted", smoothed(F.col("nll"), F.col("n"), F.col("mean")).alias("s"))
     cuts = scores.filter("trusted").groupBy("of", "mean").agg(F.percentile_approx("s", list(LEVELS), 10_000).alias("q"))
     cuts = cuts.select("of", "mean", F.posexplode("q").alias("level", "cut"))
@@ -255,8 +270,8 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """All columns of docs (``slim``: id and language only) with n_words, perplexity, threshold, kept.
 
     Per word; the threshold is that of the document's language, or of all languages together where
-    that language has no trusted labelled rows; a null language is one of its own. Without any trusted
-    label every document with words is kept. Null and empty texts and texts of white space have no
+    that language has fewer than ``LEAST_TRUSTED`` trusted labelled rows outside the sample; a null
+    language is one of its own. With less than two trusted texts every document with words is kept. Null and empty texts and texts of white space have no
     words, perplexity null, and are not kept. Repeated rows are judged one by one; contradicting
     labels of an id count as rejected, null labels as none. Columns of the added names are replaced.
     """
@@ -264,7 +279,7 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     batch_rows(spark, 1000)
     base = without(docs, ("n_words", "perplexity", "threshold", "kept"))
     marks = stored(labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min(F.col("quality") > 0).alias("trusted")), "marks")
-    sample = stored(training_sample(base, marks, doc_id, text, train_rows, train_words), "training")
+    sample = stored(training_sample(base, marks, doc_id, text, lang, train_rows, train_words), "training")
     model = fit(sample)
     parts = [spark.sparkContext.broadcast(part) for part in cut(model, shards)]
     unknown = float(model["unknown"][1][0])

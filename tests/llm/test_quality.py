@@ -67,6 +67,25 @@ def test_held_out_accuracy(spark):
     assert rates[1] > 0.99 and rates[0] < 0.2, rates
 
 
+def test_small_tables_reject_too(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = Q.judge(docs, labels, slim=True).join(labels, "doc_id")
+    assert got.filter("threshold IS NULL").count() == 0
+    rates = {r.quality: r.k for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("k")).collect()}
+    print(rates)
+    assert rates[1] > 0.97 and rates[0] < 0.3, rates
+
+
+def test_sample_leaves_out_held_and_long_texts(spark):
+    docs = spark.createDataFrame([(i, "a b c d", "en" if i % 4 else None) for i in range(40)] + [(100 + i, "w " * 200, "en") for i in range(10)], "doc_id long, text string, lang string")
+    marks = docs.select(F.col("doc_id").alias("id"), F.lit(True).alias("trusted"))
+    everything = {r.id for r in Q.training_sample(docs, marks, "doc_id", "text", "lang", 100, 10_000).collect()}
+    assert len(everything) == 40 and any(i % 4 == 0 and i < 40 for i in set(range(40)) - everything)
+    assert {r.id for r in Q.training_sample(docs, marks, "doc_id", "text", "lang", 100, 199).collect()} == {i for i in everything if i < 100}
+    assert Q.training_sample(docs, marks, "doc_id", "text", "lang", 7, 10_000).count() == 7
+
+
 def test_edge_cases(spark):
     rows = [(1, None, "en"), (2, "", "en"), (3, " \n ", None), (4, "the cat sat", "en"), (4, "the cat sat", "en"), (None, "the cat", None), (5, "zzz qqq", "xx"), (6, "the cat " * 40_000, "en")]
     docs = spark.createDataFrame([(a, b, c, 1.5, "k") for a, b, c in rows], "doc_id long, text string, lang string, N_Words double, kept string")
