@@ -3,8 +3,8 @@
 Every document draws an exponential key, -ln(u) / quality weight, with u from a hash of its id. A
 source's budget buys whole epochs first; the rest goes to the documents with the smallest keys, up
 to the budget. Only a per-source cut in key order is needed for that, and it is found without
-sorting a source: totals per key bucket give the bucket that holds the cut, and only that bucket is
-sorted. The final pass compares each row with the cut of its source, so texts are never shuffled.
+sorting a source: totals per key bucket give the bucket that holds the cut, a bucket of more than
+``bucket_rows`` rows is cut again at quantiles of its keys, and only the last one is sorted. The final pass compares each row with the cut of its source, so texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ SHARE = 1.5  # of all words, the size of the mix
 MOST = 2.0  # epochs of a source
 SOURCE_WEIGHTS = (5, 2, 1)
 BUCKET_ROWS = 1_000
+FINER = 256  # buckets of one that has too many rows
 WORD = r"[^\x20\x09-\x0D]+"
 ADDED = ("size", "source_size", "target", "taken")
 
@@ -62,6 +63,40 @@ def targets(totals: DataFrame, share: float, most: float, weights: tuple[int, ..
     return ranked.select("source", "source_size", "rows", target.alias("target"))
 
 
+def around_the_cuts(slim: DataFrame, goals: DataFrame, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of the key bucket of each source that holds its cut, with the words __before it, and per
+    source the largest key __full of the buckets below.
+
+    A bucket has at most ``bucket_rows`` rows, or rows of one key only.
+    """
+    # 1 - exp(-key) is monotone in the key and uniform where weights are 1; smaller weights crowd the last buckets.
+    place = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("__key"))) * F.col("buckets")), F.col("buckets") - 1)
+    rows = slim.join(goals.select(F.col("source").alias("__source"), "rest", "buckets"), F.col("source").eqNullSafe(F.col("__source")))
+    rows = rows.select("source", "__size", "__key", "__id", "__tie", "rest", F.lit(0).cast("long").alias("__start"), place.alias("__bucket"))
+    full = None
+    while True:
+        parts = rows.groupBy("source", "rest", "__start", "__bucket").agg(
+            F.sum("__size").alias("__all"), F.count(F.lit(1)).alias("__rows"), F.min("__key").alias("__low"), F.max("__key").alias("__top"))
+        before = F.coalesce(F.sum("__all").over(Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parts = stored(parts.withColumn("__before", F.col("__start") + before), "mix-buckets")
+        below = parts.filter(F.col("__before") + F.col("__all") <= F.col("rest")).select("source", "__top")
+        full = below if full is None else full.union(below)
+        edges = parts.filter((F.col("__before") < F.col("rest")) & (F.col("rest") < F.col("__before") + F.col("__all")))
+        edges = edges.select(F.col("source").alias("__s"), F.col("__bucket").alias("__b"), "__before", ((F.col("__rows") > bucket_rows) & (F.col("__low") < F.col("__top"))).alias("__wide"))  # one bucket per source at most
+        edge = rows.join(edges, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b"))).select(
+            "source", "__size", "__key", "__id", "__tie", "rest", "__before", "__wide")
+        if not edges.agg(F.max("__wide")).first()[0]:
+            return edge, full.groupBy("source").agg(F.max("__top").alias("__full"))
+        edge = stored(edge, "mix-edges")
+        # Ends below the largest key leave at least two buckets.
+        steps = edge.filter("__wide").groupBy(F.col("source").alias("__of")).agg(
+            F.percentile_approx("__key", [k / FINER for k in range(1, FINER)], 10_000).alias("__ends"), F.min("__key").alias("__low"), F.max("__key").alias("__top"))
+        steps = steps.select("__of", F.concat(F.array("__low"), F.filter("__ends", lambda x: x < F.col("__top"))).alias("__ends"))
+        finer = F.when(F.col("__ends").isNull(), F.lit(0)).otherwise(F.size(F.filter("__ends", lambda x: x < F.col("__key")))).cast("long")
+        rows = edge.join(steps, F.col("source").eqNullSafe(F.col("__of")), "left").select(
+            "source", "__size", "__key", "__id", "__tie", "rest", F.col("__before").alias("__start"), finer.alias("__bucket"))
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, share: float = SHARE,
         most: float = MOST, weights: tuple[int, ...] = SOURCE_WEIGHTS, seed: str = "mix", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """All columns of docs with size, source_size, target and taken (words the mix takes, repeats counted).
@@ -81,28 +116,19 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     goals = targets(totals, share, most, weights)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     goals = stored(goals.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-                   .withColumn("buckets", F.ceil(F.col("rows") / bucket_rows)), "mix-targets")
+                   .withColumn("buckets", F.ceil(2 * F.col("rows") / bucket_rows)), "mix-targets")
 
-    # Where the cut lies: 1 - exp(-key) is monotone in the key and near uniform.
-    place = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("__key"))) * F.col("buckets")), F.col("buckets") - 1)
-    bucketed = slim.join(goals.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).withColumn("__bucket", place)
-    parts = bucketed.groupBy("source", "__bucket", "rest").agg(F.sum("__size").alias("__all"))
-    before = F.coalesce(F.sum("__all").over(Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = stored(parts.withColumn("__before", before), "mix-buckets")
-    edges = parts.filter((F.col("__before") < F.col("rest")) & (F.col("rest") < F.col("__before") + F.col("__all")))
-    edges = edges.select(F.col("source").alias("__s"), F.col("__bucket").alias("__b"), "__before")  # one bucket per source at most
-    inside = (bucketed.join(edges, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-              .groupBy("source", "__key", "__id", "__tie", "rest", "__before").agg(F.sum("__size").alias("__unit")))
+    edge, full = around_the_cuts(slim, goals, bucket_rows)
+    inside = edge.groupBy("source", "__key", "__id", "__tie", "rest", "__before").agg(F.sum("__size").alias("__unit"))
     upto = F.sum("__unit").over(Window.partitionBy("source").orderBy("__key", "__id", "__tie").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("__upto", upto).filter(F.col("__before") + F.col("__upto") - F.col("__unit") / 2 <= F.col("rest"))
     cuts = inside.groupBy("source").agg(F.max(F.struct("__key", "__id", "__tie")).alias("__cut")).withColumnRenamed("source", "__s")
-    full = (parts.filter(F.col("__before") + F.col("__all") <= F.col("rest")).groupBy("source").agg(F.max("__bucket").alias("__full"))
-            .withColumnRenamed("source", "__f"))
+    full = full.withColumnRenamed("source", "__f")
     plan = (goals.join(cuts, F.col("source").eqNullSafe(F.col("__s")), "left").join(full, F.col("source").eqNullSafe(F.col("__f")), "left")
-            .select(F.col("source").alias("__source"), "source_size", "target", "epochs", "buckets", "__cut", "__full"))
+            .select(F.col("source").alias("__source"), "source_size", "target", "epochs", "__cut", "__full"))
     plan = stored(plan, "mix-cuts")
 
-    taken = F.coalesce(F.struct("__key", "__id", "__tie") <= F.col("__cut"), F.lit(False)) | F.coalesce(place <= F.col("__full"), F.lit(False))
+    taken = F.coalesce(F.struct("__key", "__id", "__tie") <= F.col("__cut"), F.lit(False)) | F.coalesce(F.col("__key") <= F.col("__full"), F.lit(False))
     return (base.withColumns(drawn).join(plan, F.col(f"`{source}`").eqNullSafe(F.col("__source")))
             .select(*[F.col(f"`{c}`") for c in base.columns], F.col("__size").alias("size"), "source_size", "target",
                     (F.col("__size") * (F.col("epochs") + taken.cast("long"))).cast("long").alias("taken"),

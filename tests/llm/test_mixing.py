@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from assayer.llm import weighted_mixing as M
 
 
@@ -42,6 +44,21 @@ def test_targets_and_budgets(spark):
     assert M.mixed_rows(docs).count() == sum(r.taken // r.size for r in rows if r.size)
 
 
+def test_crowded_bucket_is_cut_until_it_is_small(spark, monkeypatch):
+    docs = spark.range(6_000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', 20 + CAST(id % 17 AS INT))").alias("text"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.when(F.col("id") % 2 > 0, "small")).alias("source"))
+    sorted_, around = [], M.around_the_cuts
+
+    def seen(*args):
+        edge, full = around(*args)
+        sorted_.append([r["count"] for r in edge.groupBy("source").count().collect()])
+        return edge, full
+    monkeypatch.setattr(M, "around_the_cuts", seen)
+    found = {n: M.mix(docs, weight=F.lit(0.1), share=0.6123, bucket_rows=n).collect() for n in (5, 6_000)}
+    assert len(sorted_) == 2 and sorted_[0] and max(sorted_[0]) <= 5 < 1000 <= max(sorted_[1])
+    taken = [sorted((r.doc_id, r.taken) for r in rows) for rows in found.values()]
+    assert taken[0] == taken[1]
+
+
 def test_edge_cases(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "x " * 50_000, "b"), (4, "one two", None), (4, "one two", None), (None, "three", None), (6, "é z", "É"), (7, "w", "b")]
     rows += [(i, "a few words here", "hot") for i in range(8, 60)]
