@@ -1,9 +1,9 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join with MinHash LSH in bands of one fixed depth, in place of a forest of tries.
 
-A text is its set of word 5-grams; texts with equal sets are one. Each of ``trees`` prefix tries
-holds the signatures under its own order of hash functions; the prefix two texts must share is
-shortened from ``most`` values until a pair at the threshold meets in some trie with the target
-recall. Texts that meet are joined to candidate clusters, and inside a cluster every pair is
+A text is its set of word 5-grams; texts with equal sets are one. Each of ``trees`` bands hashes
+``depth`` MinHash values of its own to one number; the depth is the largest up to ``most_depth`` at
+which, by formula, a pair at the threshold meets in some band with the target recall. It does not
+depend on the data, and no longer prefix is tried. Texts that meet are joined to candidate clusters, and inside a cluster every pair is
 verified exactly, in blocks of bounded size: a large cluster is dealt into blocks by a hash and
 every pair of blocks is one task, which counts links and returns one row per text, never the pairs.
 So no pair that meets is lost, whatever the size of a cluster.
