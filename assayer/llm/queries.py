@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import block_labeller, forest_jaccard, kneser_ney_quality, lattice_scores, line_rules, splitter_sharding, suffix_decontamination, url_lists, wavelet_tokens, weighted_mixing
+from assayer.llm import block_labeller, forest_jaccard, gram_spelling, kneser_ney_quality, lattice_scores, line_rules, splitter_sharding, suffix_decontamination, url_lists, wavelet_tokens, weighted_mixing
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Per document the unigram base and the marginal lattice score; columns of the contract."""
     return lattice_scores.score(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op11_spelling_variants", gram_spelling.SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Per word of the corpus its frequent form and root; columns of the contract."""
+    return gram_spelling.variants(table(spark, folder, "documents"))
