@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import block_labeller, forest_jaccard, gram_spelling, kneser_ney_quality, lattice_scores, line_rules, splitter_sharding, suffix_decontamination, url_lists, wavelet_tokens, weighted_mixing
+from assayer.llm import block_labeller, forest_jaccard, gram_spelling, hybrid_search, kneser_ney_quality, lattice_scores, line_rules, splitter_sharding, suffix_decontamination, url_lists, wavelet_tokens, weighted_mixing
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     """Per word of the corpus its frequent form and root; columns of the contract."""
     return gram_spelling.variants(table(spark, folder, "documents"))
+
+
+@query("op13_ranked_search", hybrid_search.SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Per benchmark item its best documents; columns of the contract."""
+    return hybrid_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
