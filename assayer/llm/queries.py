@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import block_labeller, forest_jaccard, gram_spelling, hybrid_search, kneser_ney_quality, lattice_scores, line_rules, splitter_sharding, suffix_decontamination, url_lists, wavelet_tokens, weighted_mixing
+from assayer.llm import block_labeller, forest_jaccard, gram_spelling, hybrid_search, kneser_ney_quality, lattice_scores, line_rules, random_secrets, splitter_sharding, suffix_decontamination, url_lists, wavelet_tokens, weighted_mixing
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,12 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return gram_spelling.variants(table(spark, folder, "documents"))
 
 
+@query("op12_secret_scan")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document the spans of the fixed patterns and of random tokens; columns of the contract."""
+    return random_secrets.scan(table(spark, folder, "documents")).drop("found")
+
+
 @query("op13_ranked_search", hybrid_search.SQL)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     """Per benchmark item its best documents; columns of the contract."""
