@@ -26,7 +26,8 @@ from assayer.operators.together import run_together
 
 LEVELS = 20
 PAIRS_PER_SCAN = 30
-SCREEN_LEVELS = 5 * LEVELS  # columns with more labels are free text and enter no table
+LEAST_ROWS, LEAST_GROUP = 8, 3
+SKETCH_REGISTERS = 512  # of a distinct-count sketch with a relative error of 5 %
 PAIR = ["category", "numeric"]
 
 
@@ -444,7 +445,13 @@ def fdr(df: DataFrame, p: str = "p_value", alpha: float = 0.05, by=()) -> DataFr
 
 RESULT = """left string, right string, kind string, method string, n long, statistic double, df1 double, df2 double,
 p_value double, effect double, measure string, lower double, upper double, sparse boolean, normal boolean,
-groups string, status string"""
+groups string, expected_min double, status string"""
+
+SHORT = "Insufficient complete observations"
+MANY_LABELS = "More labels than a test takes"
+ONE_LABEL = "Fewer than two labels among the complete rows"
+SMALL_GROUP = "A group has fewer than three rows"
+NO_SPREAD = "The numbers do not vary"
 
 
 def _shape(df: DataFrame, p=None, **values) -> list:
@@ -466,12 +473,47 @@ def _shape(df: DataFrame, p=None, **values) -> list:
     return out
 
 
+def _skipped(pair, kind: str, reason: str, n) -> tuple:
+    """The result row of a pair that is not tested."""
+    left = RESULT.count(",") + 1 - 6
+    return (*pair, kind, reason, n, *[None] * left, "skipped")
+
+
+def overfull_pairs(df: DataFrame, pairs, kinds: dict, unique: dict, levels: int = LEVELS) -> dict:
+    """Complete rows of the pairs in which a column surely has more than ``levels`` labels.
+
+    Labels count on the complete rows of the pair, so a column of many labels may have few beside a
+    sparse one. A sketch of m registers that has seen at most k values estimates at most
+    m ln(m / (m - k)), so a higher estimate proves more than k labels; the other pairs are counted
+    exactly afterwards, and no column of free text has its labels shuffled or collected.
+    """
+    wide = {c for c in kinds if kinds[c] == "categorical" and unique[c] > levels}
+    asked = [(p, [c for c in p if c in wide]) for p in pairs]
+    asked = [(p, cs) for p, cs in asked if cs]
+    most = SKETCH_REGISTERS * math.log(SKETCH_REGISTERS / (SKETCH_REGISTERS - levels)) + 1 if levels < SKETCH_REGISTERS else math.inf
+    out = {}
+    for begin in range(0, len(asked), PAIRS_PER_SCAN):
+        cells = []
+        for k, (pair, columns) in enumerate(asked[begin:begin + PAIRS_PER_SCAN]):
+            whole = [(_q(c) if kinds[c] == "categorical" else numbers.finite(_q(c))).isNotNull() for c in pair]
+            complete = whole[0] & whole[1]
+            cells.append(F.count_if(complete).alias(f"n{k}"))
+            cells += [F.approx_count_distinct(F.when(complete, _q(c).cast("string"))).alias(f"d{k}_{j}") for j, c in enumerate(columns)]
+        row = df.agg(*cells).first()
+        for k, (pair, columns) in enumerate(asked[begin:begin + PAIRS_PER_SCAN]):
+            if max(row[f"d{k}_{j}"] for j in range(len(columns))) > most:
+                out[pair] = row[f"n{k}"]
+    return out
+
+
 def test_pairs(df: DataFrame, profile_table: DataFrame, columns=None, nominal=(), key=None, max_pairs: int | None = None,
                sample: int | None = None) -> DataFrame:
     """Tests of all pairs of eligible columns with effect size, interval, q-value and notes.
 
     ``nominal`` names numeric columns to be read as categories. Rows and pairs are not limited
-    unless ``sample`` or ``max_pairs`` say so. The families of tests run side by side.
+    unless ``sample`` or ``max_pairs`` say so. The families of tests run side by side. Labels and
+    group sizes are those of the complete rows of a pair; every pair has a row, and one that is not
+    tested has the status skipped and the reason as its method.
     """
     spark = df.sparkSession
     meta = profile_table.collect()  # a row per column
@@ -485,18 +527,19 @@ def test_pairs(df: DataFrame, profile_table: DataFrame, columns=None, nominal=()
     pairs = list(itertools.combinations(names, 2))[:max_pairs]
     df = df.select(*[_q(c) for c in dict.fromkeys([*names, *(key or [])])])
     numeric = [p for p in pairs if kinds[p[0]] == kinds[p[1]] == "numeric"]
-    # Complete rows of a pair can have fewer labels than the column: the screen is wide, the tests count exactly.
-    few = {r["column"] for r in chosen if r["unique"] <= SCREEN_LEVELS}
-    tables = [p for p in pairs if kinds[p[0]] == kinds[p[1]] == "categorical" and set(p) <= few]
-    mixed = [(a, b) if kinds[a] == "categorical" else (b, a) for a, b in pairs if kinds[a] != kinds[b]]
-    mixed = [p for p in mixed if p[0] in few]
+    unique = {r["column"]: r["unique"] for r in chosen}
+    ordered = [(a, b) if kinds[a] == "categorical" else (b, a) for a, b in pairs]
+    full = overfull_pairs(df, [p for p in ordered if kinds[p[0]] == "categorical"], kinds, unique)
+    tables = [p for p in pairs if kinds[p[0]] == kinds[p[1]] == "categorical" and p not in full]
+    mixed = [p for p in ordered if kinds[p[0]] != kinds[p[1]] and p not in full]
     jobs = [lambda f=f, p=p: f(df, p, key, rows)
             for f, p in ((_numeric_tests, numeric), (_table_tests, tables), (_group_tests, mixed)) if p]
     out = list(itertools.chain(*run_together(spark, *jobs))) if jobs else []
-    width = len(RESULT.split(","))
+    for p, n in full.items():
+        out.append(_skipped(p, "association" if kinds[p[0]] == kinds[p[1]] else "group_difference", MANY_LABELS if n >= LEAST_ROWS else SHORT, n))
     for r in chosen:
         if r["extreme_magnitude"]:
-            out.append((r["column"], None, "statistics", "Numeric range suitability", 0, *[None] * (width - 6), "skipped"))
+            out.append(_skipped((r["column"], None), "statistics", "Numeric range suitability", 0))
     found = fdr(spark.createDataFrame(out, RESULT))
     dated = any(r["kind"] == "datetime" for r in meta)
     return (found.withColumn("strength", F.when(F.col("effect").isNotNull(), numbers.strength("effect", "measure")))
@@ -508,16 +551,16 @@ def _numeric_tests(df: DataFrame, pairs, key, rows) -> list:
     spark = df.sparkSession
     linear = pearson(df, pairs)
     state = linear.collect()  # a row per pair
-    good = [(r["left"], r["right"]) for r in state if r["n"] >= 8 and r["varies"]]
+    good = [(r["left"], r["right"]) for r in state if r["n"] >= LEAST_ROWS and r["varies"]]
     full = {c for r in state if r["n"] == rows for c in (r["left"], r["right"])}
     base = {"left": F.col("left"), "right": F.col("right"), "kind": F.lit("association"), "n": F.col("n"), "status": F.lit("completed"),
             "statistic": F.col("t"), "df1": F.col("df"), "effect": F.col("coefficient"), "measure": F.lit("correlation")}
     known = spark.createDataFrame(state, linear.schema)
-    usable = (F.col("n") >= 8) & F.col("varies")
+    usable = (F.col("n") >= LEAST_ROWS) & F.col("varies")
 
     def skipped():
         return _shape(known.filter(~usable), left=F.col("left"), right=F.col("right"), kind=F.lit("association"), n=F.col("n"),
-                      method=F.lit("Insufficient complete observations"), status=F.lit("skipped"))
+                      method=F.lit(SHORT), status=F.lit("skipped"))
 
     def straight():
         return _shape(known.filter(usable), p=(tails.t_two_sided, (F.col("t"), F.col("df"))), **base, method=F.lit("Pearson correlation"),
@@ -536,32 +579,38 @@ def _numeric_tests(df: DataFrame, pairs, key, rows) -> list:
 def _table_tests(df: DataFrame, pairs, key, rows) -> list:
     """One scan for the tables of all pairs; the exact test only where expected counts are sparse."""
     few = contingency(df, pairs)
-    counted = few.collect()  # columns are screened by their labels, so this is short
-    labels: dict = {}
+    counted = few.collect()  # overfull pairs are gone, so this is short
+    labels: dict = {p: (set(), set()) for p in pairs}
+    total = dict.fromkeys(pairs, 0)
     for r in counted:
-        a, b = labels.setdefault((r["left"], r["right"]), (set(), set()))
-        a.add(r["a"])
-        b.add(r["b"])
-    fits = {p for p, (a, b) in labels.items() if max(len(a), len(b)) <= LEVELS}
-    counted = [tuple(r) for r in counted if (r["left"], r["right"]) in fits]
+        pair = (r["left"], r["right"])
+        labels[pair][0].add(r["a"])
+        labels[pair][1].add(r["b"])
+        total[pair] += r["n"]
+
+    def reason(pair):
+        many = [len(side) for side in labels[pair]]
+        return SHORT if total[pair] < LEAST_ROWS else MANY_LABELS if max(many) > LEVELS else ONE_LABEL if min(many) < 2 else None
+
+    out = [_skipped(p, "association", reason(p), total[p]) for p in pairs if reason(p)]
+    counted = [tuple(r) for r in counted if not reason((r["left"], r["right"]))]
     if not counted:
-        return []
+        return out
     chi = chi_square(df.sparkSession.createDataFrame(counted, few.schema))
     cells = {(left, right, a, b): n for left, right, a, b, n in counted}
     exact_p = {}
-    for r in chi.filter("sparse_expected AND r = 2 AND c = 2 AND n >= 8").select("left", "right").collect():
+    for r in chi.filter("sparse_expected AND r = 2 AND c = 2").select("left", "right").collect():
         pair = (r["left"], r["right"])
         a, b = (sorted(side) for side in labels[pair])
         exact_p[pair] = float(tails.fisher_two_sided(*[[cells.get((*pair, x, y), 0)] for x in a for y in b])[0])
     known = df.sparkSession.createDataFrame([(*p, v) for p, v in exact_p.items()], "left string, right string, exact_p double")
     chi = chi.join(F.broadcast(known), ["left", "right"], "left")  # a row per pair
-    exact, short = F.col("exact_p").isNotNull(), F.col("n") < 8
-    return _shape(
-        chi, p=(lambda given, x, d: np.where(given >= 0, given, tails.chi_square_upper(x, d)), (F.when(~short, F.coalesce("exact_p", F.lit(-1.0))), F.col("statistic"), F.col("df"))),
+    exact = F.col("exact_p").isNotNull()
+    return out + _shape(
+        chi, p=(lambda given, x, d: np.where(given >= 0, given, tails.chi_square_upper(x, d)), (F.coalesce("exact_p", F.lit(-1.0)), F.col("statistic"), F.col("df"))),
         left=F.col("left"), right=F.col("right"), kind=F.lit("association"), n=F.col("n"), measure=F.lit("cramers_v"),
-        method=F.when(short, "Insufficient complete observations").when(exact, "Fisher exact association").otherwise("Chi-square association"),
-        statistic=F.when(~short, F.col("statistic")), df1=F.when(~short, F.col("df")), effect=F.when(~short, F.col("cramers_v")),
-        sparse=F.col("sparse_expected"), status=F.when(short, "skipped").otherwise("completed"))
+        method=F.when(exact, "Fisher exact association").otherwise("Chi-square association"), statistic=F.col("statistic"), df1=F.col("df"),
+        effect=F.col("cramers_v"), sparse=F.col("sparse_expected"), expected_min=F.col("expected_min"), status=F.lit("completed"))
 
 
 def _group_tests(df: DataFrame, mixed, key, rows) -> list:
@@ -570,13 +619,19 @@ def _group_tests(df: DataFrame, mixed, key, rows) -> list:
     categories, numerics = list(dict.fromkeys(c for c, _ in mixed)), list(dict.fromkeys(x for _, x in mixed))
     found: dict = {}
     schema = "category string, label string, numeric string, n long, mean double, variance double, g1 double"
-    for r in group_rows(df, categories, numerics).collect():
+    # A category that is overfull beside one column may be tested beside another: only the asked pairs come back.
+    asked = F.concat_ws("|", "category", "numeric").isin(["|".join(p) for p in mixed])
+    for r in group_rows(df, categories, numerics).filter(asked).collect():
         if (r["category"], r["numeric"]) in mixed:
             found.setdefault((r["category"], r["numeric"]), []).append(r)
-    short = {p: sum(g["n"] for g in gs) for p, gs in found.items() if sum(g["n"] for g in gs) < 8 or len(gs) < 2}
-    found = {p: gs for p, gs in found.items() if p not in short and 2 <= len(gs) <= LEVELS and min(g["n"] for g in gs) >= 3}
-    width = len(RESULT.split(","))
-    out = [(c, x, "group_difference", "Insufficient complete observations", n, *[None] * (width - 6), "skipped") for (c, x), n in short.items()]
+
+    def reason(groups):
+        sizes = [g["n"] for g in groups]
+        return (SHORT if sum(sizes) < LEAST_ROWS else MANY_LABELS if len(sizes) > LEVELS else ONE_LABEL if len(sizes) < 2
+                else SMALL_GROUP if min(sizes) < LEAST_GROUP else None)
+
+    out = [_skipped(p, "group_difference", reason(found.get(p, [])), sum(g["n"] for g in found.get(p, []))) for p in mixed if reason(found.get(p, []))]
+    found = {p: gs for p, gs in found.items() if not reason(gs)}
     if not found:
         return out
 
@@ -644,12 +699,14 @@ def _group_tests(df: DataFrame, mixed, key, rows) -> list:
                                    p=(tails.chi_square_upper, (F.col("statistic"), F.col("df"))), effect=F.col("epsilon_squared"),
                                    measure=F.lit("epsilon_squared")))
     at = {name.split()[0]: i for i, name in enumerate(part.strip() for part in RESULT.replace("\n", " ").split(","))}
+    tested_pairs = set()
     for row in itertools.chain(*run_together(spark, *jobs)):
         row, pair = list(row), (row[at["left"]], row[at["right"]])
+        tested_pairs.add(pair)
         row[at["normal"]] = pair in normal
         row[at["groups"]] = json.dumps([{"label": g["label"], "n": g["n"], "mean": g["mean"]} for g in sorted(found[pair], key=lambda g: g["label"])])
         out.append(tuple(row))
-    return out
+    return out + [_skipped(p, "group_difference", NO_SPREAD, sum(g["n"] for g in gs)) for p, gs in found.items() if p not in tested_pairs]
 
 
 def notes(sampled: bool, dated: bool, repeated: bool, sparse):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from assayer.operators import evidence as E
@@ -23,7 +25,7 @@ def _(t):
     return P.histogram(_events(t), ["value"]).select("bin", "rows")
 
 
-ODD = "CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 0 ELSE round(value) END"
+ODD = "CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 0 ELSE floor(value + 0.5) END"
 
 
 @query("prf_03_nonfinite", f"""SELECT count(DISTINCT v) AS "unique", count(v) AS non_null, max(n) AS dominant_count, count(DISTINCT v) <= 1 AS "constant"
@@ -31,8 +33,7 @@ ODD = "CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL WHEN event_id %
 def _(t):
     e = F.col("event_id")
     v = (F.when(e % 7 == 0, F.lit(float("nan"))).when(e % 11 == 0, F.lit(float("-inf"))).when(e % 10 == 0, F.lit(-0.0)).when(e % 5 == 0, F.lit(0.0))
-         .otherwise(F.rint("value")))
-    # DuckDB rounds halves away from zero; the values have no exact halves.
+         .otherwise(F.floor(F.col("value") + 0.5).cast("double")))
     return P.frequency_summary(P.frequencies(t.events.select(v.alias("v")), ["v"])).select("unique", "non_null", "dominant_count", "constant")
 
 
@@ -113,3 +114,36 @@ def _(t):
     tests = inference.test_pairs(table, P.profile(table), ["l_quantity", "l_extendedprice"])
     h = E.hypotheses(E.evidence(E.from_tests(tests)))
     return h.filter(F.col("method") == "Pearson correlation").select("hypothesis", "null_hypothesis", "observation", "measure")
+
+
+WIDE = """(SELECT 'w' || (event_id % 150) AS wide, 't' || (event_id % 30) AS thirty, 'g' || (event_id % 4) AS four, CASE WHEN event_id <= 2 THEN 'rare' ELSE 'r' || (event_id % 2) END AS rare,
+    CASE WHEN event_id % 150 < 15 THEN value END AS sparse, CASE WHEN event_id % 150 < 15 THEN 's' || (event_id % 3) END AS sparse_label, value + 1 AS "full" FROM events)"""
+KINDS = {"wide": 1, "thirty": 1, "four": 1, "rare": 1, "sparse": 0, "sparse_label": 1, "full": 0}
+
+
+def _wide(t):
+    e = F.col("event_id")
+    named = lambda letter, m: F.concat(F.lit(letter), (e % m).cast("string"))
+    few = e % 150 < 15
+    return t.events.select(named("w", 150).alias("wide"), named("t", 30).alias("thirty"), named("g", 4).alias("four"), F.when(e <= 2, "rare").otherwise(named("r", 2)).alias("rare"),
+                           F.when(few, F.col("value")).alias("sparse"), F.when(few, named("s", 3)).alias("sparse_label"), (F.col("value") + 1).alias("full"))
+
+
+def _screen_sql(pairs) -> str:
+    """Decision about every pair from the labels and groups of its complete rows."""
+    parts = []
+    for a, b in pairs:
+        x, y = (a, b) if KINDS[a] else (b, a)
+        smallest = f"(SELECT min(k) FROM (SELECT count(*) AS k FROM {WIDE} WHERE {x} IS NOT NULL AND \"{y}\" IS NOT NULL GROUP BY {x}))" if not KINDS[y] else "9"
+        labels = f"greatest(count(DISTINCT {x}), count(DISTINCT {y}))" if KINDS[y] else f"count(DISTINCT {x})"
+        parts.append(f"""SELECT '{x}' AS "left", '{y}' AS "right", count(*) AS n, CASE WHEN count(*) < 8 THEN '{inference.SHORT}' WHEN {labels} > 20 THEN '{inference.MANY_LABELS}'
+            WHEN {smallest} < 3 THEN '{inference.SMALL_GROUP}' ELSE 'tested' END AS decision FROM {WIDE} WHERE {x} IS NOT NULL AND \"{y}\" IS NOT NULL""")
+    return " UNION ALL ".join(parts)
+
+
+@query("st_21_eligibility", _screen_sql([p for p in itertools.combinations(KINDS, 2) if KINDS[p[0]] or KINDS[p[1]]]))
+def _(t):
+    """Every pair has a row: tested, or skipped with its reason."""
+    table = _wide(t)
+    tests = inference.test_pairs(table, P.profile(table), list(KINDS)).filter(~F.col("left").isin("sparse", "full"))
+    return tests.select("left", "right", "n", F.when(F.col("status") == "skipped", F.col("method")).otherwise("tested").alias("decision"))
