@@ -28,18 +28,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.common import batch_rows, scratch, stored
-from assayer.llm.word_hashes import slices
+from assayer.llm.kneser_ney_quality import Index
+from assayer.llm.word_hashes import byte_values, powers, slices, spread
 
 MAGIC = b"WMTX0001"
 BLOCK = 512  # bits between two entries of the rank directory
 #: Tokens after which a file is closed; the last document may go beyond.
 FILE_TOKENS = 4_000_000
-#: Distinct chunks a worker remembers.
-CACHE_CHUNKS = 600_000
+#: Distinct pieces a worker remembers, at some 40 bytes each.
+CACHE_CHUNKS = 1_000_000
 END_ID = 2
-#: White space in any reading of the pattern, for the Arrow regular expressions.
-WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 PUNCTUATION = ".,!?;:*$&%#|"
+#: How the vocabulary writes a space, and pieces that begin with one in a text for the library.
+SPACE_MARK, JOINED = "\u0120", 200
 MANIFEST = "part int, file int, path string, docs bigint, tokens bigint, bytes bigint"
 
 
@@ -167,75 +168,194 @@ def tokenizer_of(path: str):
     return Tokenizer.from_file(path)
 
 
+class Remembered:
+    """Ids of pieces by the 64-bit hash of a piece, in flat arrays; what was not asked for lately goes first."""
+
+    def __init__(self, limit: int):
+        self.limit, self.turn = limit, 0
+        self.flat, self.start, self.length, self.asked = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys = np.zeros(0, np.uint64)
+        self.main, self.indexed = Index(self.keys, np.zeros(0)), 0
+        self.recent = self.main
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of every key, -1 if there is none."""
+        out = self.main(keys, -1.0)
+        lost = np.flatnonzero(out < 0)
+        if len(lost) and self.recent.size:
+            out[lost] = self.recent(keys[lost], -1.0)
+        return out.astype(np.int64)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Takes up new distinct keys; the large index is made anew only when the small one has grown."""
+        self.start = np.append(self.start, len(self.flat) + np.cumsum(lengths) - lengths)
+        self.length, self.flat, self.keys = np.append(self.length, lengths), np.append(self.flat, ids), np.append(self.keys, keys)
+        self.asked = np.append(self.asked, np.full(len(keys), self.turn, np.int32))
+        if (len(self.keys) - self.indexed) * 8 > self.indexed:
+            self.main, self.indexed, self.recent = self._index(0), len(self.keys), self._index(len(self.keys))
+        else:
+            self.recent = self._index(self.indexed)
+
+    def _index(self, begin: int) -> Index:
+        order = np.argsort(self.keys[begin:])
+        return Index(self.keys[begin:][order], (order + begin).astype(np.float64))
+
+    def used(self, entries: np.ndarray) -> None:
+        self.asked[entries] = self.turn
+        self.turn += 1
+
+    def trim(self) -> None:
+        """Keeps the half that was asked for last, once there are too many entries."""
+        if len(self.keys) <= self.limit:
+            return
+        keep = np.sort(np.argsort(self.asked, kind="stable")[-(self.limit // 2):])
+        many = self.length[keep]
+        begin = np.cumsum(many) - many
+        self.flat = self.flat[np.repeat(self.start[keep] - begin, many) + np.arange(many.sum())]
+        self.keys, self.length, self.asked, self.start = self.keys[keep], many, self.asked[keep], begin
+        self.main, self.indexed, self.recent = self._index(0), len(keep), self._index(len(keep))
+
+
 class Encoder:
-    """Encodes texts with the tokenizers library, each distinct chunk between single spaces once.
+    """Encodes texts with the tokenizers library, each distinct piece between single spaces once.
 
     The vocabulary's pattern starts a new piece at every space that stands between two characters
-    other than white space, so such chunks are independent. Texts with other white space next to a
-    space go through the library whole.
+    other than white space, and where closing punctuation follows letters, so such pieces are
+    independent. All pieces of a slice are hashed at once and looked up by their hashes; only those
+    not remembered become strings. Texts with other white space next to a space go through the library
+    whole.
     """
 
     def __init__(self, path: str, cache: int):
-        self.tokenizer, self.limit = tokenizer_of(path), cache // 2
-        self.recent, self.older = {}, {}  # ids of pieces as bytes; what is not asked for again goes with the older half
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of independent pieces, each encoded once while it is remembered."""
-        if len(self.recent) > self.limit:
-            self.recent, self.older = {}, self.recent
-        recent, older = self.recent, self.older
-        for piece in pieces:
-            if piece not in recent and piece in older:
-                recent[piece] = older[piece]
-        new = [p for p in dict.fromkeys(pieces) if p not in recent]
-        recent.update(zip(new, self._encode(new)))
-        return [recent[p] for p in pieces]
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks with the space or start before them; letters and closing punctuation are two pieces."""
-        stems = [c.rstrip(PUNCTUATION) for c in chunks]
-        cut = [len(a) < len(c) and a[1:].isalpha() for a, c in zip(stems, chunks)]
-        heads = self._pieces([a if two else c for a, c, two in zip(stems, chunks, cut)])
-        at = [k for k, two in enumerate(cut) if two]
-        for k, tail in zip(at, self._pieces([chunks[k][len(stems[k]):] for k in at])):
-            heads[k] += tail
-        return heads
+        self.tokenizer, self.known = tokenizer_of(path), Remembered(cache)
+        self.values = byte_values(False)
+        self.up, self.down = powers(1 << 16)
+        self.leads = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.leads[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == SPACE_MARK]] = True
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in a row, and how many each has."""
+        found = [array.array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _encode_spaced(self, data: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces that begin with their only space, in one text per ``JOINED`` pieces: such a
+        piece's first token, and no other, begins with the space."""
+        ends = np.append(0, np.cumsum(size))
+        cuts = np.append(ends[:-1:JOINED], ends[-1]).tolist()
+        ids, _ = self._encode([data[a:b].decode() for a, b in zip(cuts, cuts[1:])])
+        first = np.flatnonzero(self.leads[ids])
+        if len(first) == len(size):
+            return ids, np.diff(np.append(first, len(ids)))
+        return self._encode([data[a:b].decode() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())])
+
+    def _ids(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, spaced: np.ndarray) -> np.ndarray:
+        """Entry of every piece; ``spaced``: the space before it belongs to it."""
+        if len(self.up) <= len(raw):
+            self.up, self.down = powers(1 << (len(raw) + 1).bit_length())
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.values[raw] * self.up[:len(raw)], out=total[1:])
+        keys = spread((total[end] - total[begin]) * self.down[begin] + spaced.astype(np.uint64))
+        self.known.trim()
+        entry = self.known.find(keys)
+        lost = np.flatnonzero(entry < 0)
+        if len(lost):
+            new, first, inverse = np.unique(keys[lost], return_index=True, return_inverse=True)
+            inverse = inverse.reshape(-1)
+            for group in (spaced[lost[first]], ~spaced[lost[first]]):
+                at = lost[first[group]]
+                if not len(at):
+                    continue
+                low, size = begin[at] - spaced[at], end[at] - begin[at] + spaced[at]
+                data = raw[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())].tobytes()
+                if spaced[at[0]]:
+                    found = self._encode_spaced(data, size)
+                else:
+                    ends = np.cumsum(size).tolist()
+                    found = self._encode([data[a:b].decode() for a, b in zip([0, *ends], ends)])
+                entry[lost[group[inverse]]] = len(self.known.keys) + (np.cumsum(group) - 1)[inverse[group[inverse]]]
+                self.known.add(new[group], *found)
+        self.known.used(entry)
+        return entry
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the number of ids of every text."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        parts = pc.split_pattern(texts, " ")
-        bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-        coded = parts.flatten().dictionary_encode()
-        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), coded.dictionary, pa.scalar(" ", pa.large_string())).to_pylist()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        # Empty chunks and chunks with white space at an end depend on what is beside them.
-        odd = pc.match_substring_regex(coded.dictionary, f"^$|^{WHITE}|{WHITE}$").to_numpy(zero_copy_only=False)
-        first, last = bounds[:-1], bounds[1:]
-        whole = np.logical_or.reduceat(odd[codes], first) if len(first) else np.zeros(0, bool)
-        # The first chunk of a text has no space before it: it is another chunk.
-        opening, inverse = np.unique(codes[first], return_inverse=True)
-        vectors = self._chunks(spaced) + self._pieces([spaced[c][1:] for c in opening])
-        codes[first] = len(spaced) + inverse.reshape(-1)
-        at = np.flatnonzero(whole)
-        if len(at):
-            vectors += self._encode([texts[int(i)].as_py() for i in at])
-            keep = np.repeat(~whole, last - first)
-            keep[first[at]] = True
-            codes[first[at]] = np.arange(len(vectors) - len(at), len(vectors))
-            sizes = np.where(whole, 1, last - first)
-            codes = codes[keep]
-            first = np.cumsum(sizes) - sizes
-        length = np.fromiter(map(len, vectors), np.int64, len(vectors)) // 4
-        start = np.cumsum(length) - length
-        flat = np.frombuffer(b"".join(vectors), np.uint32)
-        many = length[codes]
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        low, high = int(bounds[0]), int(bounds[-1])
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)[low:high] if high > low else np.zeros(0, np.uint8)
+        bounds = bounds - low
+        begin, stem, end, owner, whole = pieces(raw, bounds)
+        plain = ~whole[owner]
+        begin, stem, end, owner = begin[plain], stem[plain], end[plain], owner[plain]
+        # A word, then its closing punctuation if that is a piece of its own.
+        two = stem < end
+        parts = 1 + two
+        at = np.cumsum(parts) - parts
+        first, last = np.repeat(begin, parts), np.repeat(end, parts)
+        last[at], first[at[two] + 1] = stem, stem[two]
+        spaced = np.zeros(len(first), bool)
+        spaced[at] = begin > bounds[owner]
+        entry, text = self._ids(raw, first, last, spaced), np.repeat(owner, parts)
+        flat, start, many = self.known.flat, self.known.start[entry], self.known.length[entry]
+        odd = np.flatnonzero(whole)
+        if len(odd):
+            ids, sizes = self._encode([texts[int(i)].as_py() for i in odd])
+            order = np.argsort(np.append(text, odd), kind="stable")
+            start = np.append(start, len(flat) + np.cumsum(sizes) - sizes)[order]
+            many, text, flat = np.append(many, sizes)[order], np.append(text, odd)[order], np.append(flat, ids)
         before = np.cumsum(many) - many
-        ids = flat.take(np.repeat(start[codes] - before, many) + np.arange(many.sum()))
-        return ids, np.add.reduceat(many, first) if len(first) else np.zeros(0, np.int64)
+        ids = flat.take(np.repeat(start - before, many) + np.arange(many.sum()))
+        return ids, np.bincount(text, many, minlength=len(texts)).astype(np.int64)
+
+
+def marked(*codes: int) -> np.ndarray:
+    mask = np.zeros(256, bool)
+    mask[list(codes)] = True
+    return mask
+
+
+PLAIN_WHITE = marked(*range(0x09, 0x0E), *range(0x1C, 0x20))
+CLOSING = marked(*PUNCTUATION.encode())
+ASCII_LETTERS = marked(*range(0x41, 0x5B), *range(0x61, 0x7B))
+#: White space beyond ASCII, and the bytes that lead it.
+WIDE_LEADS = marked(0xC2, 0xE1, 0xE2, 0xE3)
+WIDE_WHITE = {w.encode() for w in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))}
+
+
+def pieces(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end of the stem and end of every word between spaces, its text, and which texts must go whole.
+
+    The stem ends before closing punctuation if it is of letters (ASCII and U+00C0 to U+00FF), else with
+    the word. A text goes whole if spaces touch each other, one of its ends or other white space.
+    """
+    n = len(bounds) - 1
+    space = raw == 0x20
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[bounds] = True
+    begin = np.flatnonzero(~space & (np.concatenate(([True], space))[:len(raw)] | edge[:-1]))
+    end = np.flatnonzero(~space & (np.concatenate((space[1:], [True]))[:len(raw)] | edge[1:])) + 1
+    owner = np.searchsorted(bounds, begin, side="right") - 1
+    spaces = np.append(0, np.cumsum(space))[bounds]
+    whole = np.diff(spaces) != np.maximum(np.bincount(owner, minlength=n) - 1, 0)
+    whole[owner[PLAIN_WHITE[raw[begin]] | PLAIN_WHITE[raw[end - 1]]]] = True
+    data = raw.tobytes()
+    for k in np.flatnonzero(WIDE_LEADS[raw[begin]]).tolist():
+        a, b = int(begin[k]), int(end[k])
+        if data[a:min(b, a + 2)] in WIDE_WHITE or data[a:min(b, a + 3)] in WIDE_WHITE:
+            whole[owner[k]] = True
+    for k in np.flatnonzero((raw[np.maximum(end - 2, 0)] == 0xC2) | WIDE_LEADS[raw[np.maximum(end - 3, 0)]]).tolist():
+        a, b = int(begin[k]), int(end[k])
+        if data[max(a, b - 2):b] in WIDE_WHITE or data[max(a, b - 3):b] in WIDE_WHITE:
+            whole[owner[k]] = True
+    letter = ASCII_LETTERS[raw]
+    wide = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)) if len(raw) else np.zeros(0, np.int64)
+    letter[wide] = letter[wide + 1] = True
+    last = np.maximum.accumulate(np.where(CLOSING[raw], 0, np.arange(1, len(raw) + 1, dtype=np.int32)))
+    stem = last[end - 1].astype(np.int64)
+    others = np.append(0, np.cumsum(~letter, dtype=np.int32))
+    alone = (stem > begin) & (others[np.maximum(stem, begin)] == others[begin])
+    return begin, np.where(alone, stem, end), end, owner, whole
 
 
 @functools.lru_cache(maxsize=2)
@@ -248,11 +368,12 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_column: str =
     """Encode and write all documents in ascending id order (nulls first); the manifest of the files.
 
     A null text is empty, so the document is the end id alone. Equal ids keep the order of a hash of
-    their texts. No rows make no files. Extra columns are not read.
+    their texts, and rows equal in both are dealt by row, so no id or text fills a partition alone. No rows make no files. Extra columns are not read.
     """
     batch_rows(docs.sparkSession, 5000)
     rows = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
-    ranged = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").drop("tie")
+    keys = ["id", "tie", "row"]
+    ranged = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -275,7 +396,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_column: str =
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "file", "path", "docs", "tokens", "bytes"])
 
         for batch in batches:
-            for begin, end in slices(batch.column("text"), 8_000_000):
+            for begin, end in slices(batch.column("text"), 4_000_000):
                 ids, many = encode(batch.column("text")[begin:end])
                 ids = np.insert(ids, np.cumsum(many), end_id)
                 names = batch.column("id")[begin:end]
