@@ -17,8 +17,8 @@ from assayer.llm.common import stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
-#: A line goes if more than this many documents of its host, and more than this percentage of them, have it.
-LINE_DOCUMENTS, LINE_PERCENT = 20, 2
+#: A line goes if more than this many documents of its host have it, whatever the size of the host.
+LINE_DOCUMENTS = 20
 #: Percentage of its words that a document must keep.
 LEFT_PERCENT = 50
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,7 +48,7 @@ def base_counts(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("n_repeat_words", covered.cast("long"))
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", line_documents: int = LINE_DOCUMENTS, line_percent: int = LINE_PERCENT,
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", line_documents: int = LINE_DOCUMENTS,
           left_percent: int = LEFT_PERCENT, cleaned: bool = True) -> DataFrame:
     """One row per document: doc_id, host, the counts, base_failed, n_removed_lines, n_left_words, kept
     and, with ``cleaned``, the text without the removed lines.
@@ -63,12 +63,10 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     keep = ["__id", "__host", *(["__text"] if cleaned else []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__marks"]
     rows = stored(rows.select(F.monotonically_increasing_id().alias("__row"), *keep), "line-marks")
 
-    hosts = rows.groupBy("__host").agg(F.count(F.lit(1)).alias("docs"))
     sets = rows.select("__host", F.sort_array(F.array_distinct("__marks.h")).alias("s"))
     each = sets.select("__host", F.xxhash64("s").alias("name"), F.explode("s").alias("h"))
     counts = each.distinct().groupBy("__host", "h").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") > line_documents)
-    counts = counts.join(hosts.withColumnRenamed("__host", "__of"), F.col("__host").eqNullSafe(F.col("__of")))
-    frequent = stored(counts.filter(F.col("seen") * 100 > F.col("docs") * line_percent).select(F.col("__host").alias("__of"), "h", "seen"), "frequent-lines")
+    frequent = stored(counts.select(F.col("__host").alias("__of"), "h", "seen"), "frequent-lines")
     lines = rows.select("__row", "__host", F.explode("__marks").alias("m")).select("__row", "__host", "m.h", "m.n")
     gone = lines.join(frequent, lines["__host"].eqNullSafe(frequent["__of"]) & (lines["h"] == frequent["h"]))
     gone = gone.groupBy("__row").agg(F.sum("n").alias("__gone"), F.count(F.lit(1)).alias("n_removed_lines"), F.collect_set(lines["h"]).alias("__gone_lines"))
@@ -92,13 +90,12 @@ p AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
 c AS (SELECT r, count(DISTINCT i + k) AS n FROM p, (VALUES (0), (1), (2)) v(k) GROUP BY r),
 l AS (SELECT r, source, md5(translate(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h,
     len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT r, source, unnest(lines) AS x FROM w)),
-m AS (SELECT r, list_sort(list_distinct(list(h))) AS s FROM l GROUP BY r),
-k AS (SELECT l.source, l.h, count(DISTINCT CASE WHEN l.h <> m.s[1] THEN m.s[1] ELSE coalesce(m.s[2], m.s[1]) END) AS n FROM l JOIN m USING (r) GROUP BY ALL),
-q AS (SELECT k.source, k.h FROM k JOIN (SELECT source, count(*) AS docs FROM d GROUP BY source) v ON k.source IS NOT DISTINCT FROM v.source WHERE k.n > 20 AND k.n * 100 > 2 * v.docs),
-o AS (SELECT r, sum(l.n) AS n FROM l JOIN q ON l.h = q.h AND l.source IS NOT DISTINCT FROM q.source GROUP BY r)
+m AS (SELECT r, md5(array_to_string(list_sort(list_distinct(list(h))), ',')) AS s FROM l GROUP BY r),
+q AS (SELECT l.source, l.h FROM l JOIN m USING (r) GROUP BY ALL HAVING count(DISTINCT m.s) > 20),
+o AS (SELECT r, sum(l.n) AS n, count(*) AS gone FROM l JOIN q ON l.h = q.h AND l.source IS NOT DISTINCT FROM q.source GROUP BY r)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
   len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
   len(words) < 50 OR 100 * coalesce(c.n, 0) > 50 * len(words) AS base_failed,
-  NOT (len(words) < 50 OR 100 * coalesce(c.n, 0) > 50 * len(words)) AND NOT (len(words) - coalesce(o.n, 0)) * 100 < 50 * len(words) AS kept
+  NOT (len(words) < 50 OR 100 * coalesce(c.n, 0) > 50 * len(words)) AND NOT (len(words) - coalesce(o.n, 0)) * 100 < 50 * len(words) AS kept, coalesce(o.gone, 0)::BIGINT AS n_removed_lines
 FROM w LEFT JOIN c USING (r) LEFT JOIN o USING (r)
 """

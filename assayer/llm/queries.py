@@ -79,7 +79,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Per document the counts and the verdict; columns of the contract."""
     found = line_rules.judge(table(spark, folder, "documents"), cleaned=False)
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines")
 
 
 @query("op10_lattice_scores")

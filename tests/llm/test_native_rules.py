@@ -4,6 +4,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from assayer.llm import line_rules as L
 from assayer.llm import url_lists as U
 
@@ -59,6 +61,18 @@ def test_documents_that_share_several_lines_are_told_apart(spark):
     assert all(r.cleaned == own(r.doc_id) for r in got if r.source == "shared")
 
 
+def test_the_limit_does_not_grow_with_the_host(spark):
+    own = lambda i: " ".join(f"w{i}y{k}" for k in range(60))
+    rows = [(i, own(i) + ("\nsubscribe to our letter" if i < many else ""), host) for host, size, many in (("small", 300, 21), ("large", 3000, 21), ("rare", 300, 20)) for i in range(size)]
+    got = L.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r.source: r.n for r in got.groupBy("source").agg(F.sum("n_removed_lines").alias("n")).collect()} == {"small": 21, "large": 21, "rare": 0}
+
+
+def test_twin_finds_the_same_frequent_lines(twin):
+    rows = twin("op9_quality_rules", "/root/testdata/sf0.1")
+    assert sum(r[6] for r in rows) > 100  # n_removed_lines, in the order of names
+
+
 def brute_urls(captures, entries):
     groups = defaultdict(dict)
     for name, role, kind, pattern, action, at in entries:
