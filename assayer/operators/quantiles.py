@@ -1,35 +1,45 @@
-"""Exact quantiles with linear interpolation.
-
-A table that fits one aggregation buffer uses the built-in exact percentile. A larger one is
-read twice: a sketch brackets each wanted order statistic, then one more pass counts what lies
-below the bracket and keeps only the values strictly inside it. A heavily repeated value is an
-end of its bracket, so only its count is kept and the buffers stay small whatever the skew.
+"""Exact quantiles with linear interpolation, by narrowing brackets.
+
+Each wanted order statistic has a bracket: the least and greatest value it can be, what lies below, and
+what lies inside. While more values lie inside than one buffer takes, the bracket is cut into cells, the
+values of each cell are counted, and the cell that holds the wanted place becomes the bracket, with its
+own least and greatest value. Cells are even in the values, or in their logarithm where that did not
+help, so a bracket is narrowed like the digits of a number and ends at a buffer of values or at a single
+value, however often it is repeated. All columns, places and groups are narrowed in the same scans.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.operators.ranking import join_groups
 
-# Up to these sizes the built-in exact percentile is used, without and with groups.
-SMALL_ROWS = 200_000
-SMALL_GROUPED_ROWS = 4_000_000
+#: Values of a bracket that are taken into one buffer.
+HELD_VALUES = 500_000
+#: Cells of a bracket.
+CELLS = 256
+INFINITY = "double('Infinity')"
+
 
+def quantiles(df: DataFrame, columns, shares, by=(), rows: int | None = None, held: int = HELD_VALUES) -> DataFrame:
+    """One row per ``by`` group with an array of quantiles per column (named as the column).
 
-def quantiles(df: DataFrame, columns, shares, by=(), rows: int | None = None, accuracy: int | None = None) -> DataFrame:
-    """One row per ``by`` group with an array of quantiles per column (named as the column)."""
-    by, columns = list(by), list(columns)
+    Null and NaN are no values; a column without values has null. ``rows``, if known, spares a count.
+    """
+    by, columns, shares = list(by), list(columns), list(shares)
+    values = df.select(*[F.col(f"`{b}`").alias(f"__b{k}") for k, b in enumerate(by)],
+                       *[F.expr(f"if(isnan(double(`{c}`)), NULL, double(`{c}`))").alias(f"v{i}") for i, c in enumerate(columns)])
+    keys = [f"__b{k}" for k in range(len(by))]
     rows = df.count() if rows is None else rows
-    if rows <= (SMALL_GROUPED_ROWS if by else SMALL_ROWS):
-        wanted = ", ".join(f"double('{float(s)!r}')" for s in shares)
-        return df.groupBy(*by).agg(*[F.expr(f"percentile(double(`{c}`), array({wanted})) AS `{c}`") for c in columns])
-    # A bracket holds about 8 rows / accuracy values: a few megabytes up to 10^12 rows.
-    accuracy = accuracy or min(1_000_000, max(1_000, rows // 100_000))
-    return _bracketed_groups(df, columns, shares, by, accuracy) if by else _bracketed(df, columns, shares, accuracy)
+    if rows <= held:  # every bracket is closed from the start
+        found = _at_once(values, len(columns), shares, keys)
+    else:
+        found = _grouped(values, len(columns), shares, keys, held) if by else _ungrouped(values, len(columns), shares, held)
+    return found.toDF(*by, *columns)
 
 
 def medians(df: DataFrame, columns, by=(), rows: int | None = None) -> DataFrame:
@@ -38,109 +48,167 @@ def medians(df: DataFrame, columns, by=(), rows: int | None = None) -> DataFrame
     return got.select(*by, *[F.get(f"`{c}`", F.lit(0)).alias(c) for c in columns])
 
 
-def _bracketed(df: DataFrame, columns, shares, accuracy) -> DataFrame:
-    """Sketch, then counts below the brackets, then the few values inside them: three scans, no
-    shuffle of the data. Only brackets, counts and the picked values reach the driver."""
-    values = df.selectExpr(*[f"double(`{c}`) AS v{i}" for i, c in enumerate(columns)])
-    slack = 2.0 / accuracy
-    wanted = ", ".join(f"{min(1.0, max(0.0, s + d))!r}" for s in shares for d in (-slack, slack))
-    found = values.selectExpr(*[e for i in range(len(columns)) for e in (
-        f"count(v{i}) AS n{i}", f"min(v{i}) AS min{i}", f"max(v{i}) AS max{i}", f"percentile_approx(v{i}, array({wanted}), {accuracy}) AS b{i}")]).first()
-    ends = {}
-    for i in range(len(columns)):
-        for j, share in enumerate(shares):
-            if found[f"n{i}"]:
-                ends[i, j] = (found[f"min{i}"] if share <= slack else found[f"b{i}"][2 * j],
-                              found[f"max{i}"] if share >= 1 - slack else found[f"b{i}"][2 * j + 1])
-    below = values.selectExpr(*[e for (i, j), (low, _) in ends.items() for e in (
-        f"count_if(v{i} < double('{low!r}')) AS l{i}_{j}", f"count_if(v{i} <= double('{low!r}')) AS e{i}_{j}")]).first() if ends else None
-    picks = {}  # bracket -> places among the values strictly inside it
-    for (i, j) in ends:
-        place = shares[j] * (found[f"n{i}"] - 1)
-        for k in {math.floor(place), math.ceil(place)}:
-            if k < below[f"l{i}_{j}"]:
-                raise ArithmeticError("A quantile bracket was missed: raise the accuracy.")
-            if k >= below[f"e{i}_{j}"]:
-                picks.setdefault((i, j), []).append(k - below[f"e{i}_{j}"])
-    inside = _values_at(values, {p: ends[p] for p in picks if ends[p][0] < ends[p][1]}, picks)
-
-    def order_statistic(i, j, k):
-        if k < below[f"e{i}_{j}"]:
-            return ends[i, j][0]
-        value = inside.get((i, j), {}).get(k - below[f"e{i}_{j}"])
-        return ends[i, j][1] if value is None else value
-
+def _at_once(values: DataFrame, many: int, shares, keys) -> DataFrame:
+    """Groups that fit one buffer: the built-in percentile."""
+    wanted = ", ".join(f"double('{float(s)!r}')" for s in shares)
+    return values.groupBy(*keys).agg(*[F.expr(f"percentile(v{i}, array({wanted})) AS v{i}") for i in range(many)])
+
+
+# ---- cells of a bracket ---------------------------------------------------------------------------
+
+def _even(v: str, low: str, high: str) -> str:
+    whole = f"try_divide({v} - {low}, {high} - {low})"
+    half = f"try_divide({v} * 0.5D - {low} * 0.5D, {high} * 0.5D - {low} * 0.5D)"  # the width may exceed the doubles
+    return f"if(abs({high} - {low}) < {INFINITY}, {whole}, {half})"
+
+
+def _logarithmic(v: str, low: str, high: str) -> str:
+    # Monotone over all doubles; the logarithm of the least one is above -745.
+    g = lambda x: f"if({x} = 0, 0D, signum({x}) * least(2000D, ln(abs({x})) + 745))"
+    return f"try_divide({g(v)} - {g(low)}, {g(high)} - {g(low)})"
+
+
+def cell_sql(v: str, low: str, high: str, logarithmic: str) -> str:
+    """Number of the cell of ``v`` in [low, high]: never falling in v, and two cells at least hold values."""
+    even, log = _even(v, low, high), _logarithmic(v, low, high)
+    share = f"CASE WHEN {logarithmic} OR abs({low}) = {INFINITY} OR abs({high}) = {INFINITY} THEN coalesce({log}, {even}) ELSE {even} END"
+    return f"int(least({CELLS - 1}, greatest(0, floor({share} * {CELLS}))))"
+
+
+# ---- without groups: brackets on the driver -----------------------------------------------------------
+
+class Bracket(NamedTuple):
+    low: float
+    high: float
+    below: int
+    inside: int
+    logarithmic: bool = False
+
+
+def _literal(x: float) -> str:
+    return f"double('{x!r}')".replace("inf", "Infinity")
+
+
+def _narrowed(bracket: Bracket, cells, place: int) -> Bracket:
+    """The cell that holds the place; logarithmic cells follow where even ones left most values together."""
+    below = bracket.below
+    for _, n, low, high in cells:
+        if place < below + n:
+            return Bracket(low, high, below, n, not bracket.logarithmic and n * 4 > bracket.inside)
+        below += n
+    raise AssertionError("Counts of a bracket do not reach its place.")
+
+
+def _inside_sql(brackets: list[tuple[int, Bracket]], extra) -> str:
+    """An array of (id, v, ...) for the brackets that a row's values lie in."""
+    cells = [f"if(v{i} BETWEEN {_literal(b.low)} AND {_literal(b.high)}, named_struct('id', {k}, 'v', v{i}{extra(i, b)}), NULL)" for k, (i, b) in enumerate(brackets)]
+    return f"inline(filter(array({', '.join(cells)}), x -> x IS NOT NULL))"
+
+
+def _ungrouped(values: DataFrame, many: int, shares, held: int) -> DataFrame:
+    sizes = values.selectExpr(*[e for i in range(many) for e in (f"count(v{i}) AS n{i}", f"min(v{i}) AS low{i}", f"max(v{i}) AS high{i}")]).first()
+    state: dict[tuple[int, int], Bracket] = {}
+    for i in range(many):
+        for share in shares if sizes[f"n{i}"] else ():
+            at = share * (sizes[f"n{i}"] - 1)
+            for place in {math.floor(at), math.ceil(at)}:
+                state[i, place] = Bracket(sizes[f"low{i}"], sizes[f"high{i}"], 0, sizes[f"n{i}"])
+    while wide := {t: b for t, b in state.items() if b.inside > held and b.low < b.high}:
+        brackets = list(dict.fromkeys((i, b) for (i, _), b in wide.items()))
+        cell = lambda i, b: f", 'cell', {cell_sql(f'v{i}', _literal(b.low), _literal(b.high), str(b.logarithmic).lower())}"
+        counted = values.selectExpr(_inside_sql(brackets, cell)).groupBy("id", "cell").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        cells: dict[int, list] = {}
+        for r in counted.collect():  # CELLS rows a bracket
+            cells.setdefault(r["id"], []).append((r["cell"], r["n"], r["low"], r["high"]))
+        for (i, place), b in wide.items():
+            state[i, place] = _narrowed(b, sorted(cells[brackets.index((i, b))]), place)
+    found = {t: b.low for t, b in state.items() if b.low == b.high}
+    brackets = list(dict.fromkeys((i, b) for (i, _), b in state.items() if b.low < b.high))
+    if brackets:
+        places = [sorted(p - b.below for (j, p), c in state.items() if (j, c) == (i, b)) for i, b in brackets]
+        held_values = values.selectExpr(_inside_sql(brackets, lambda i, b: "")).groupBy("id").agg(F.sort_array(F.collect_list("v")).alias("s"))  # ``held`` values at most
+        wanted = ", ".join(f"{k}, array({', '.join(map(str, p))})" for k, p in enumerate(places))
+        for r in held_values.selectExpr("id", f"transform(map({wanted})[id], k -> get(s, int(k))) AS got").collect():
+            i, b = brackets[r["id"]]
+            found |= {(i, b.below + p): v for p, v in zip(places[r["id"]], r["got"])}
     out = []
-    for i in range(len(columns)):
+    for i in range(many):
         row = []
-        for j, share in enumerate(shares):
-            if (i, j) in ends:
-                place = share * (found[f"n{i}"] - 1)
-                low, high = math.floor(place), math.ceil(place)
-                a, b = order_statistic(i, j, low), order_statistic(i, j, high)
-                row.append(a if low == high else (high - place) * a + (place - low) * b)
+        for share in shares if sizes[f"n{i}"] else ():
+            at = share * (sizes[f"n{i}"] - 1)
+            low, high = math.floor(at), math.ceil(at)
+            row.append(found[i, low] if low == high else (high - at) * found[i, low] + (at - low) * found[i, high])
         out.append(row or None)
-    schema = ", ".join(f"c{i} array<double>" for i in range(len(columns)))
-    return df.sparkSession.createDataFrame([tuple(out)], schema).toDF(*columns)
-
-
-def _values_at(values: DataFrame, ends: dict, picks: dict) -> dict:
-    """The values at the wanted places (in sorted order) strictly inside each bracket."""
-    if not ends:
-        return {}
-    ids = {p: n for n, p in enumerate(ends)}
-    inner = {p: f"v{p[0]} > double('{low!r}') AND v{p[0]} < double('{high!r}')" for p, (low, high) in ends.items()}
-    cells = ", ".join(f"if({inner[p]}, named_struct('id', {ids[p]}, 'v', v{p[0]}), NULL)" for p in ends)
-    few = values.filter(" OR ".join(f"({c})" for c in inner.values()))
-    held = few.selectExpr(f"inline(filter(array({cells}), x -> x IS NOT NULL))").groupBy("id").agg(F.sort_array(F.collect_list("v")).alias("s"))
-    places = ", ".join(f"{ids[p]}, array({', '.join(str(k) for k in picks[p])})" for p in ends)
-    rows = held.selectExpr("id", f"transform(map({places})[id], k -> get(s, int(k))) AS got").collect()
-    at = {n: p for p, n in ids.items()}
-    return {at[r["id"]]: dict(zip(picks[at[r["id"]]], r["got"])) for r in rows}
-
-
-def _bracketed_groups(df: DataFrame, columns, shares, by, accuracy) -> DataFrame:
-    values = df.select(*by, *[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
-    slack = 2.0 / accuracy
-    wanted = [min(1.0, max(0.0, s + d)) for s in shares for d in (-slack, slack)]
-    sketch = values.groupBy(*by).agg(
-        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))],
-        *[F.min(f"v{i}").alias(f"min{i}") for i in range(len(columns))],
-        *[F.max(f"v{i}").alias(f"max{i}") for i in range(len(columns))],
-        *[F.percentile_approx(f"v{i}", wanted, accuracy).alias(f"b{i}") for i in range(len(columns))])
-    # Brackets join on the group; Spark measures their size before it broadcasts them.
-    joined = join_groups(values, sketch, by)
-
-    aggregates = []
-    for i in range(len(columns)):
-        aggregates.append(F.first(f"n{i}").alias(f"n{i}"))
-        for j, share in enumerate(shares):
-            low = F.col(f"min{i}") if share <= slack else F.get(f"b{i}", F.lit(2 * j))
-            high = F.col(f"max{i}") if share >= 1 - slack else F.get(f"b{i}", F.lit(2 * j + 1))
-            v = F.col(f"v{i}")
-            aggregates += [
-                F.first(low).alias(f"low{i}_{j}"), F.first(high).alias(f"high{i}_{j}"),
-                F.count_if(v < low).alias(f"below{i}_{j}"), F.count_if(v == low).alias(f"at{i}_{j}"),
-                F.sort_array(F.collect_list(F.when((v > low) & (v < high), v))).alias(f"in{i}_{j}")]
-    found = joined.groupBy(*by).agg(*aggregates)
-
-    def order_statistic(i, j, k: Column) -> Column:
-        below, at, inside = F.col(f"below{i}_{j}"), F.col(f"at{i}_{j}"), F.col(f"in{i}_{j}")
-        return (F.when(k < below, F.raise_error(F.lit("quantile bracket missed: raise the accuracy")))
-                .when(k < below + at, F.col(f"low{i}_{j}"))
-                .when(k < below + at + F.size(inside), F.get(inside, (k - below - at).cast("int")))
-                .otherwise(F.col(f"high{i}_{j}")))
-
-    out = []
-    for i, c in enumerate(columns):
-        picks = []
-        for j, share in enumerate(shares):
-            place = F.lit(float(share)) * (F.col(f"n{i}") - 1)
-            floor, ceil = F.floor(place), F.ceil(place)
-            lower, upper = order_statistic(i, j, floor), order_statistic(i, j, ceil)
-            picks.append(F.when(floor == ceil, lower).otherwise((ceil - place) * lower + (place - floor) * upper))
-        out.append(F.when(F.col(f"n{i}") > 0, F.array(*picks)).alias(c))
-    return found.select(*by, *out)
+    return values.sparkSession.createDataFrame([tuple(out)], ", ".join(f"v{i} array<double>" for i in range(many)))
+
+
+# ---- by group: brackets in a table ---------------------------------------------------------------------
+
+def _within(long: DataFrame, brackets: DataFrame, keys) -> DataFrame:
+    """The rows (group, column, value) beside the brackets they lie in; brackets of a group's column are one array."""
+    names = [c for c in brackets.columns if c not in (*keys, "c")]
+    arrays = brackets.groupBy(*keys, "c").agg(F.collect_list(F.struct(*names)).alias("brackets"))
+    beside = join_groups(long, arrays, [*keys, "c"])
+    hit = F.filter("brackets", lambda b: (F.col("v") >= b["low"]) & (F.col("v") <= b["high"]))
+    return beside.select(*keys, "c", "v", F.explode(hit).alias("b")).select(*keys, "c", "v", *[F.col(f"b.{n}").alias(n) for n in names])
+
+
+def _narrowed_groups(long: DataFrame, state: DataFrame, keys) -> DataFrame:
+    """The state of the wide brackets after one more scan."""
+    bracket = [*keys, "c", "low", "high", "below", "inside", "logarithmic"]
+    asked = state.select(*bracket).distinct()
+    rows = _within(long, asked, keys).withColumn("cell", F.expr(cell_sql("v", "low", "high", "logarithmic")))
+    cells = rows.groupBy(*bracket, "cell").agg(F.count("v").alias("n"), F.min("v").alias("first"), F.max("v").alias("last"))
+    listed = cells.groupBy(*bracket).agg(F.sort_array(F.collect_list(F.struct("cell", "n", "first", "last"))).alias("cells"))  # CELLS at most
+    beside = join_groups(state, listed, bracket)
+    # Walk over the cells until the place is reached.
+    walk = F.expr("""aggregate(cells, named_struct('below', below, 'n', bigint(0), 'first', double(0), 'last', double(0), 'done', false),
+        (a, x) -> CASE WHEN a.done THEN a WHEN place < a.below + x.n THEN named_struct('below', a.below, 'n', x.n, 'first', x.first, 'last', x.last, 'done', true)
+                  ELSE named_struct('below', a.below + x.n, 'n', a.n, 'first', a.first, 'last', a.last, 'done', false) END)""")
+    got = beside.withColumn("w", walk)
+    return got.select(*keys, "c", "place", F.col("w.first").alias("low"), F.col("w.last").alias("high"), F.col("w.below").alias("below"), F.col("w.n").alias("inside"),
+                      (~F.col("logarithmic") & (F.col("w.n") * 4 > F.col("inside"))).alias("logarithmic"))
+
+
+def _grouped(values: DataFrame, many: int, shares, keys, held: int) -> DataFrame:
+    """Groups that fit a buffer at once; the brackets of larger groups stay a table, joined with their rows."""
+    large = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > held).select(*keys).persist()
+    if large.isEmpty():
+        return _at_once(values, many, shares, keys)
+    same = F.lit(True)
+    for k in keys:
+        same = same & values[k].eqNullSafe(large[k])
+    small = _at_once(values.join(large, same, "left_anti"), many, shares, keys)
+    cells = ", ".join(f"named_struct('c', {i}, 'v', v{i})" for i in range(many))
+    long = join_groups(values, large, keys).selectExpr(*keys, f"inline(array({cells}))").filter("v IS NOT NULL")
+    sizes = long.groupBy(*keys, "c").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).persist()
+    places = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(F.lit(s) * (F.col("n") - 1)), F.ceil(F.lit(s) * (F.col("n") - 1))) for s in map(float, shares)])))
+    state = sizes.select(*keys, "c", F.explode(places).alias("place"), "low", "high", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside"), F.lit(False).alias("logarithmic"))
+    wide = (F.col("inside") > held) & (F.col("low") < F.col("high"))
+    while not (state := state.persist()).filter(wide).isEmpty():
+        state = _narrowed_groups(long, state.filter(wide), keys).unionByName(state.filter(~wide))
+    closed = state.filter("low = high").select(*keys, "c", "place", F.col("low").alias("value"))
+    rest = state.filter("low < high").groupBy(*keys, "c", "low", "high", "below").agg(F.collect_list("place").alias("places"))
+    inside = _within(long, rest, keys).groupBy(*keys, "c", "low", "high", "below").agg(F.first("places").alias("places"), F.sort_array(F.collect_list("v")).alias("s"))  # ``held`` values at most
+    inside = inside.select(*keys, "c", "below", "s", F.explode("places").alias("place")).select(*keys, "c", "place", F.expr("get(s, int(place - below))").alias("value"))
+    known = closed.unionByName(inside).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("c", "place"), "value"))).alias("values"))
+    counts = sizes.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("counts"))  # a few places a column
+    # A large group may have no values at all: every group has a row of its own beside its counts and values.
+    none = {"counts": F.lit(None).cast(counts.schema["counts"].dataType).alias("counts"), "values": F.lit(None).cast(known.schema["values"].dataType).alias("values")}
+    parts = large.select(*keys, none["counts"], none["values"]).unionByName(counts.select(*keys, "counts", none["values"])).unionByName(known.select(*keys, none["counts"], "values"))
+    table = parts.groupBy(*keys).agg(F.first("counts", ignorenulls=True).alias("counts"), F.first("values", ignorenulls=True).alias("values"))
+
+    def picked(i: int) -> Column:
+        n = F.try_element_at("counts", F.lit(i))
+        value = lambda at: F.try_element_at("values", F.struct(F.lit(i).alias("c"), at.alias("place")))
+        out = []
+        for share in map(float, shares):
+            at = F.lit(share) * (n - 1)
+            low, high = F.floor(at), F.ceil(at)
+            out.append(F.when(low == high, value(low)).otherwise((high - at) * value(low) + (at - low) * value(high)))
+        return F.when(n > 0, F.array(*out)).alias(f"v{i}")
+
+    return small.unionByName(table.select(*keys, *[picked(i) for i in range(many)]))
 
 
 def median_absolute_deviation(df: DataFrame, columns, rows: int | None = None) -> dict[str, tuple[float, float]]:

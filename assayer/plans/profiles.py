@@ -143,8 +143,17 @@ def _(t):
 @query("prf_16_bracketed", each(["l_quantity", "l_extendedprice"], lambda c: f"""SELECT '{c}' AS "column", {', '.join(r(f'quantile_cont({c}, {s})', n, 4) for s, n in ((0.01, 'q1'), (0.25, 'q25'), (0.5, 'q50'), (0.75, 'q75'), (0.99, 'q99')))} FROM lineitem"""), 4)
 def _(t):
     from assayer.operators import quantiles as q
-    # Says the table is large, so that the two-pass way of large tables runs.
-    return P.quantile_table(t.lineitem, ["l_quantity", "l_extendedprice"], rows=q.SMALL_ROWS + 1)
+    # A small buffer: the brackets are narrowed as they are on large tables.
+    wide = q.quantiles(t.lineitem, ["l_quantity", "l_extendedprice"], P.QUANTILES, held=500)
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.get(c, F.lit(k)).alias(f"q{round(s * 100)}") for k, s in enumerate(P.QUANTILES)]) for c in ("l_quantity", "l_extendedprice")])))
+
+
+@query("prf_16_by_group", f"""SELECT l_returnflag, l_linestatus, {', '.join(r(f'quantile_cont({c}, {s})', f'{c}_{n}', 4) for c in ('l_quantity', 'l_extendedprice') for s, n in ((0.01, 'q1'), (0.5, 'q50'), (0.99, 'q99')))} FROM lineitem GROUP BY ALL""", 4)
+def _(t):
+    """Exact quantiles of groups that are larger than a buffer."""
+    from assayer.operators import quantiles as q
+    found = q.quantiles(t.lineitem, ["l_quantity", "l_extendedprice"], [0.01, 0.5, 0.99], ["l_returnflag", "l_linestatus"], held=500)
+    return found.select("l_returnflag", "l_linestatus", *[F.get(c, F.lit(k)).alias(f"{c}_{n}") for c in ("l_quantity", "l_extendedprice") for k, n in enumerate(("q1", "q50", "q99"))])
 
 
 BOUNDS = """(SELECT quantile_cont(o_totalprice, 0.25) - 1.5 * (quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25)) AS lo,

@@ -44,13 +44,34 @@ def test_positions_are_a_permutation_per_group(spark, skewed):
 
 
 @pytest.mark.parametrize("by", [(), ("g",)])
-def test_bracketed_quantiles_are_exact(spark, skewed, by):
+def test_narrowed_quantiles_are_exact(spark, skewed, by):
     df = spark.createDataFrame(skewed)
     shares = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = q.quantiles(df, ["v"], shares, by, rows=10**7, accuracy=500).toPandas()
-    for row in got.itertuples():
-        part = skewed if not by else skewed[skewed.g == row.g]
-        assert np.allclose(row.v, part.v.quantile(shares).to_numpy())
+    for held in (3, 200, 10**6):
+        for row in q.quantiles(df, ["v", "id"], shares, by, held=held).toPandas().itertuples():
+            part = skewed if not by else skewed[skewed.g == row.g]
+            assert np.allclose(row.v, part.v.quantile(shares).to_numpy()) and np.allclose(row.id, part.id.quantile(shares).to_numpy())
+
+
+def test_quantiles_of_hard_columns(spark):
+    rng = np.random.default_rng(9)
+    n = 3000
+    wide = pd.DataFrame({"g": np.where(np.arange(n) % 5 == 0, None, "x"), "huge": np.exp(rng.normal(0, 150, n)) * rng.choice([-1, 1], n), "far": np.where(np.arange(n) % 2, 1e300, rng.random(n) * 1e-300),
+                         "edge": rng.choice([-1.7e308, 1.7e308, 5e-324, -5e-324, 0.0], n), "close": 1 + rng.integers(0, 2000, n) * 2.0**-50, "gaps": np.where(rng.random(n) < 0.3, np.nan, rng.normal(size=n)),
+                         "one": np.where(np.arange(n) == 17, 4.0, np.nan), "none": np.full(n, np.nan)})
+    columns, shares = [c for c in wide.columns if c != "g"], [0.0, 0.1, 0.5, 0.87, 1.0]
+    df = spark.createDataFrame(wide)
+    for by in ((), ("g",)):
+        for row in q.quantiles(df, columns, shares, by, held=20).collect():
+            part = wide if not by else wide[wide.g.isna() if row.g is None else wide.g == row.g]
+            for c in columns:
+                values = np.sort(part[c].dropna().to_numpy())
+                at = [s * (len(values) - 1) for s in shares]
+                expected = [values[int(a)] if a == int(a) else (math.ceil(a) - a) * values[math.floor(a)] + (a - math.floor(a)) * values[math.ceil(a)] for a in at] if len(values) else None
+                assert row[c] == expected, c
+    assert q.quantiles(df.limit(0), ["far"], [0.5]).collect()[0].far is None
+    infinite = spark.createDataFrame([(float(v),) for v in ["-inf", "inf", "inf", *range(40)]], "v double")
+    assert q.quantiles(infinite, ["v"], [0.0, 0.5, 1.0], held=5).first().v == [float("-inf"), 20.0, float("inf")]
 
 
 def test_hash_cuts_give_exact_sizes(spark, skewed):
