@@ -6,10 +6,15 @@ formula, an ML model or a rule can be explained alike.
 
 from __future__ import annotations
 
+import hashlib
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.operators import inference, ranking
+from assayer.operators.normalize import quoted
 from assayer.operators.sampling import stable_sample
 
 
@@ -17,28 +22,86 @@ def _q(name: str):
     return F.col(f"`{name}`")
 
 
-def permuted(df: DataFrame, feature: str, key, salt: str) -> DataFrame:
-    """The feature values dealt out to other rows: the row at place i gets the value at place i of another order."""
-    rows = ranking.hash_positions(df.drop(feature), key, salt=salt + "a", name="__place")
-    values = ranking.hash_positions(df.select(*key, feature), key, salt=salt + "b", name="__place").select("__place", feature)
-    return rows.join(values, "__place").drop("__place")
+#: Round functions of a permutation are cubes modulo this prime: all products stay below 2**62.
+PRIME = 2_147_483_647
+ROUNDS = 4
+
+
+class Permutation:
+    """A keyed one-to-one map of the places 0 to n - 1, as an expression: nothing is sorted.
+
+    A place is a cell of a grid of rows x columns with at least n cells. Each round moves all places of a
+    column within it, or of a row, by a keyed function of the other coordinate. Places that land beyond
+    n - 1, fewer than the rows of the grid, move on until they are inside; how often that takes is
+    worked out beforehand for these few.
+    """
+
+    def __init__(self, n: int, salt: str):
+        self.n, self.rows = max(1, n), math.isqrt(max(0, n - 1)) + 1
+        self.columns = -(-self.n // self.rows)
+        self.keys = [int(hashlib.md5(f"{salt}|{k}".encode()).hexdigest()[:7], 16) for k in range(ROUNDS)]
+        self.walks, at = 0, np.arange(self.n, self.rows * self.columns)
+        while len(at):
+            at = self._numbers(at)
+            at = at[at >= self.n]
+            self.walks += 1
+
+    def _numbers(self, at: np.ndarray) -> np.ndarray:
+        row, column = at // self.columns, at % self.columns
+        for k, key in enumerate(self.keys):
+            t = ((row if k % 2 else column) + key) % PRIME
+            moved = t * t % PRIME * t % PRIME
+            row, column = (row, (column + moved) % self.columns) if k % 2 else ((row + moved) % self.rows, column)
+        return row * self.columns + column
+
+    def sql(self, place: str) -> str:
+        """The place that the row at ``place`` goes to, as SQL text."""
+        cube = lambda v: f"(({v} + k.key) % {PRIME}) * (({v} + k.key) % {PRIME}) % {PRIME} * (({v} + k.key) % {PRIME}) % {PRIME}"
+        keys = ", ".join(f"named_struct('side', {k % 2}, 'key', bigint({key}))" for k, key in enumerate(self.keys))
+
+        def moved(x: str) -> str:
+            return f"""aggregate(array({keys}), named_struct('row', bigint({x} div {self.columns}), 'column', bigint({x} % {self.columns})), (s, k) -> if(k.side = 0,
+                named_struct('row', (s.row + {cube('s.column')}) % {self.rows}, 'column', s.column), named_struct('row', s.row, 'column', (s.column + {cube('s.row')}) % {self.columns})),
+                s -> s.row * {self.columns} + s.column)"""
+
+        once = moved(place)
+        return once if not self.walks else f"aggregate(sequence(1, {self.walks}), {once}, (x, i) -> if(x < {self.n}, x, {moved('x')}))"
+
+
+def numbered(df: DataFrame, key, rows: int | None = None) -> DataFrame:
+    """df with ``__place`` from 0, in md5 order of the key."""
+    return ranking.hash_positions(df, key, salt="rows", name="__place", rows=rows).withColumn("__place", F.col("__place") - 1)
+
+
+def permuted(df: DataFrame, features, key, salts, rows: int | None = None) -> DataFrame:
+    """Every row once per salt, with ``__salt`` and the features of the row whose place is moved there as ``__moved``.
+
+    Rows are numbered once and joined once, however many salts there are: a row hands its features to
+    one place per salt.
+    """
+    rows = df.count() if rows is None else rows
+    placed = numbered(df, key, rows)
+    targets = ", ".join(f"named_struct('salt', {quoted(s)}, 'to', {Permutation(rows, s).sql('__place')})" for s in salts)
+    given = placed.select(F.struct(*[_q(f) for f in features]).alias("__moved"), F.expr(f"inline(array({targets}))"))
+    given = given.select(F.col("salt").alias("__salt"), F.col("to").alias("__place"), "__moved")
+    return placed.join(given, "__place").drop("__place")
 
 
 def permutation_importance(df: DataFrame, features, model, loss, key, repeats: int = 3) -> DataFrame:
     """Mean and population deviation of the score lost when a feature is shuffled, most important first.
 
-    ``loss`` is an aggregate over ``score`` and the label in which higher is better. All
-    (feature, repeat) pairs are scored in one union over all rows.
+    ``loss`` is an aggregate over ``score`` and the label in which higher is better. A repeat is one
+    permutation of the rows, from which one feature after another is taken. All (feature, repeat) pairs
+    are rows of one DataFrame and go through the model in one pass; ``model`` keeps extra columns.
     """
+    features = list(features)
+    moved = permuted(df, features, key, [str(k) for k in range(repeats)])
+    plain = [c for c in df.columns if c not in features]
+    cells = [F.struct(F.lit(f).alias("__feature"), *[(F.col("__moved")[g] if g == f else _q(g)).alias(g) for g in features]) for f in features]
+    lost = model(moved.select(*[_q(c) for c in plain], "__salt", F.inline(F.array(*cells)))).groupBy("__feature", "__salt").agg(loss.alias("shuffled"))
     base = model(df).agg(loss.alias("base")).withColumn("__all", F.lit(0))
-    parts = None
-    for f in features:
-        for r in range(repeats):
-            one = model(permuted(df, f, key, f"{f}{r}").select(*df.columns)).agg(loss.alias("shuffled")).select(
-                F.lit(f).alias("feature"), F.lit(r).alias("repeat"), "shuffled", F.lit(0).alias("__all"))
-            parts = one if parts is None else parts.unionByName(one)
     drop = F.col("base") - F.col("shuffled")
-    return (parts.join(F.broadcast(base), "__all").groupBy("feature")  # a single row
+    return (lost.withColumn("__all", F.lit(0)).join(F.broadcast(base), "__all").groupBy(F.col("__feature").alias("feature"))  # a single row
             .agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("std")).orderBy(F.desc("importance"), "feature"))
 
 

@@ -7,6 +7,8 @@ by approximate quantiles; neither changes the answer, only how the work is sprea
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from assayer.functions.digests import key_hash
 
 # Up to this many rows one bucket is used; beyond it a bucket has about BUCKET_ROWS distinct values
 # until MOST_BUCKETS are reached.
+HASH_ROWS = 20_000  # rows of a bucket of leading hash digits
 SMALL_ROWS, BUCKET_ROWS, MOST_BUCKETS = 1_000_000, 250_000, 65_536
 
 
@@ -24,11 +27,14 @@ def _before(totals: DataFrame, by, bucket, names) -> DataFrame:
     return totals.select(*by, bucket, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__before_{n}") for n in names])
 
 
-def hash_positions(df: DataFrame, key, within=(), salt: str = "", name: str = "position", digits: int = 4) -> DataFrame:
+def hash_positions(df: DataFrame, key, within=(), salt: str = "", name: str = "position", rows: int | None = None) -> DataFrame:
     """1-based position of each row in md5 order of its key, counted per ``within`` group.
 
-    The hash digits spread even a group that holds most of the rows.
+    The leading hash digits spread even a group that holds most of the rows; there are as many as the
+    rows need for buckets of some ``HASH_ROWS``. ``rows``, if known, spares a count.
     """
+    rows = df.count() if rows is None else rows
+    digits = max(1, math.ceil(math.log(max(1, rows / HASH_ROWS), 16)))
     groups = [*within, "__bucket"]
     hashed = df.withColumn("__hash", key_hash(key, salt)).withColumn("__bucket", F.substring("__hash", 1, digits))
     totals = hashed.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n")).withColumn("__all", F.lit(0))

@@ -86,3 +86,20 @@ def stamp(expression: str, alias: str) -> str:
 
 def union_all(parts) -> str:
     return "\nUNION ALL\n".join(parts)
+
+
+def moved_sql(rows: str, salt: str) -> str:
+    """(SQL twin of the keyed permutation) ``rows`` has ``place``, 0 to n - 1: adds ``target``, where each place goes."""
+    from assayer.operators.explain import PRIME, ROUNDS, Permutation
+    keys = Permutation(1, salt).keys
+    cube = lambda v, k: f"(({v} + {k}) % {PRIME}) * (({v} + {k}) % {PRIME}) % {PRIME} * (({v} + {k}) % {PRIME}) % {PRIME}"
+
+    def step(x: str) -> str:
+        out = [f"{x} // c AS r0, {x} % c AS c0"]
+        for k in range(ROUNDS):
+            out.append(f"(r{k} + {cube(f'c{k}', keys[k])}) % h AS r{k + 1}, c{k} AS c{k + 1}" if k % 2 == 0 else f"r{k} AS r{k + 1}, (c{k} + {cube(f'r{k}', keys[k])}) % c AS c{k + 1}")
+        return ", ".join([*out, f"r{ROUNDS} * c + c{ROUNDS} AS target"])
+
+    return f"""(WITH RECURSIVE d AS (SELECT *, count(*) OVER () AS n FROM {rows}), g AS (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS h FROM d), e AS (SELECT *, CAST(ceil(n / h) AS BIGINT) AS c FROM g),
+        w AS (SELECT place AS start, n, h, c, target FROM (SELECT place, n, h, c, {step('place')} FROM e) UNION ALL SELECT start, n, h, c, target FROM (SELECT start, n, h, c, {step('spot')} FROM (SELECT start, n, h, c, target AS spot FROM w WHERE target >= n)))
+        SELECT d.*, w.target FROM d JOIN w ON w.start = d.place AND w.target < w.n)"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assayer.operators import explain, features, metrics, models, registry, splits
 from assayer.operators import profile as P
-from assayer.plans.base import LINE_KEY, query, r, stamp, union_all
+from assayer.plans.base import LINE_KEY, moved_sql, query, r, stamp, union_all
 from assayer.plans.tables import _hash_parts_sql, _runs, RUNS
 
 # ---- preparation ------------------------------------------------------------------------------
@@ -415,14 +415,11 @@ def _rule_rows(t):
 
 
 def _importance_sql():
-    base = "(SELECT o_orderkey, o_custkey, o_totalprice, o_totalprice * 0.5 + o_custkey * 3.0 AS y FROM orders)"
+    base = "(SELECT o_orderkey, o_custkey, o_totalprice, o_totalprice * 0.5 + o_custkey * 3.0 AS y, row_number() OVER (ORDER BY md5('rows|' || o_orderkey), o_orderkey) - 1 AS place FROM orders)"
     parts = []
-    for f in ("o_totalprice", "o_custkey"):
-        for i in range(3):
-            a = f"(SELECT *, row_number() OVER (ORDER BY md5('{f}{i}a|' || o_orderkey), o_orderkey) AS k FROM {base})"
-            b = f"(SELECT {f} AS v, row_number() OVER (ORDER BY md5('{f}{i}b|' || o_orderkey), o_orderkey) AS k FROM {base})"
-            score = "b.v * 0.5 + a.o_custkey * 3.0" if f == "o_totalprice" else "a.o_totalprice * 0.5 + b.v * 3.0"
-            parts.append(f"SELECT '{f}' AS feature, avg(abs(a.y - ({score}))) AS d FROM {a} a JOIN {b} b USING (k)")
+    for i in range(3):
+        for f, score in (("o_totalprice", "b.o_totalprice * 0.5 + a.o_custkey * 3.0"), ("o_custkey", "a.o_totalprice * 0.5 + b.o_custkey * 3.0")):
+            parts.append(f"SELECT '{f}' AS feature, avg(abs(a.y - ({score}))) AS d FROM {base} a JOIN {moved_sql(base, str(i))} b ON b.target = a.place")
     return f"SELECT feature, {r('avg(d)', 'importance', 3)}, {r('stddev_pop(d)', 'std', 3)} FROM ({union_all(parts)}) GROUP BY 1"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from assayer.functions import dates, digests, numbers, text
 from assayer.operators import inference, metrics, normalize, ranking, registry, sampling, splits, temporal
 from assayer.operators import profile as P
-from assayer.plans.base import LABELLED, LINE_KEY, LINE_MD5, query, r, stamp, union_all
+from assayer.plans.base import LABELLED, LINE_KEY, LINE_MD5, moved_sql, query, r, stamp, union_all
 from assayer.sources import demo, tables
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
@@ -266,12 +266,14 @@ def _(t):
     return metrics.residuals(pred, ["o_orderkey"], None)
 
 
-@query("jn_08_permuted", f"""WITH a AS (SELECT *, row_number() OVER (ORDER BY md5('qa|' || o_orderkey), o_orderkey) AS k FROM orders),
-    b AS (SELECT o_totalprice, row_number() OVER (ORDER BY md5('qb|' || o_orderkey), o_orderkey) AS k FROM orders)
-    SELECT a.o_orderkey, {r('b.o_totalprice', 'o_totalprice')} FROM a JOIN b USING (k)""")
+PLACED = "(SELECT *, row_number() OVER (ORDER BY md5('rows|' || o_orderkey), o_orderkey) - 1 AS place FROM orders)"
+
+
+@query("jn_08_permuted", union_all(f"""SELECT '{s}' AS salt, a.o_orderkey, {r('b.o_totalprice', 'o_totalprice')} FROM {PLACED} a JOIN {moved_sql(PLACED, s)} b ON b.target = a.place""" for s in ("p", "q")))
 def _(t):
     from assayer.operators.explain import permuted
-    return permuted(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", ["o_orderkey"], "q")
+    got = permuted(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice"], ["o_orderkey"], ["p", "q"])
+    return got.select(F.col("__salt").alias("salt"), "o_orderkey", F.col("__moved.o_totalprice").alias("o_totalprice"))
 
 
 @query("jn_09_after_reference", f"""SELECT 'l_shipdate' AS feature, count(*) AS n, {r('avg(CAST(l_shipdate > o_orderdate AS DOUBLE))', 'after_share')} FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")

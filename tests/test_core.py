@@ -103,3 +103,19 @@ def test_chi_square_agrees_with_spark_ml(spark, skewed):
     ml = ChiSquareTest.test(VectorAssembler(inputCols=["x"], outputCol="f").transform(df), "f", "y").first()
     assert math.isclose(own["statistic"], ml.statistics[0], rel_tol=1e-9)
     assert math.isclose(own["p"], ml.pValues[0], rel_tol=1e-9)
+
+
+def test_keyed_permutations_are_one_to_one(spark):
+    from assayer.operators.explain import Permutation
+    for n in (1, 2, 3, 5, 7, 26, 101, 1000, 4097):
+        for salt in ("a", "b"):
+            p = Permutation(n, salt)
+            got = [r[0] for r in spark.range(n).select(F.expr(p.sql("id"))).collect()]
+            at = p._numbers(np.arange(n))
+            while (at >= n).any():
+                at = np.where(at < n, at, p._numbers(at))
+            assert got == at.tolist() and sorted(got) == list(range(n))
+    big = Permutation(10**12 + 39, "a")  # all intermediate products stay whole numbers
+    assert 0 <= spark.range(1).select(F.expr(big.sql("bigint(999999999999)"))).first()[0] < 10**12 + 39
+    moved = [r[0] for r in spark.range(4096).select(F.expr(Permutation(4096, "c").sql("id"))).collect()]
+    assert abs(np.corrcoef(moved, np.arange(4096))[0, 1]) < 0.1 and np.mean(np.array(moved) == np.arange(4096)) < 0.01
