@@ -40,7 +40,8 @@ class Permutation:
         self.n, self.rows = max(1, n), math.isqrt(max(0, n - 1)) + 1
         self.columns = -(-self.n // self.rows)
         self.keys = [int(hashlib.md5(f"{salt}|{k}".encode()).hexdigest()[:7], 16) for k in range(ROUNDS)]
-        self.walks, at = 0, np.arange(self.n, self.rows * self.columns)
+        beyond = np.arange(self.n, self.rows * self.columns)
+        self.walks, at = 0, np.setdiff1d(beyond, self._numbers(beyond))  # reached from inside, so the way leads back
         while len(at):
             at = self._numbers(at)
             at = at[at >= self.n]
