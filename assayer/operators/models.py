@@ -7,13 +7,13 @@ import time
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        OneVsRest, RandomForestClassifier)
-from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.operators import metrics
+from assayer.operators.clusters import Centroids, DiagonalMixture
 from assayer.operators.features import WIDEST, feature_stages
 from assayer.operators.together import run_together
 
@@ -76,8 +76,8 @@ def candidates(task: str, classes: int = 2, width: int = 1, rows: int = 1_000_00
             ("Random forest", "ensemble", RandomForestRegressor(**common, numTrees=100, maxDepth=14, minInstancesPerNode=3, seed=seed)),
             ("Gradient boosting", "ensemble", GBTRegressor(**common, maxIter=130, maxDepth=5, seed=seed)),
         ]
-    return [(f"K-means, {k} groups", "baseline" if k == 2 else "centroid", KMeans(k=k, featuresCol="features", seed=seed, maxIter=100)) for k in (2, 3, 4, 5)] + [
-        (f"Gaussian mixture, {k} groups", "probabilistic", GaussianMixture(k=k, featuresCol="features", seed=seed)) for k in (2, 3, 4)]
+    return [(f"K-means, {k} groups", "baseline" if k == 2 else "centroid", Centroids(k, seed=seed)) for k in (2, 3, 4, 5)] + [
+        (f"Gaussian mixture, {k} groups", "probabilistic", DiagonalMixture(k, seed=seed)) for k in (2, 3, 4)]
 
 
 def allowed(task: str, family: str, rows: int, width: int, rarest: int | None = None) -> bool:

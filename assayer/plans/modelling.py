@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from assayer.operators import explain, features, metrics, models, registry, splits
+from assayer.operators import clusters, explain, features, metrics, models, registry, splits
 from assayer.operators import profile as P
+from assayer.operators.together import run_together
 from assayer.plans.base import LINE_KEY, moved_sql, query, r, stamp, union_all
 from assayer.plans.tables import _hash_parts_sql, _runs, RUNS
 
@@ -192,16 +194,60 @@ def _(t):
 
 @query("ml_23_24_clusters")
 def _(t):
-    from pyspark.ml.clustering import GaussianMixture, KMeans
+    """Every cluster candidate of the search, fitted and measured on all rows."""
     from pyspark.ml.functions import array_to_vector
     rows = t.embeddings.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).persist()
-    out = []
-    for name, estimator in (("K-means, 3 groups", KMeans(k=3, seed=42)), ("Gaussian mixture, 2 groups", GaussianMixture(k=2, seed=42))):
+
+    def fitted(name, estimator):
         m = models.measure(models.predictions(estimator.fit(rows), rows, "clustering"), "clustering", 0, ["vec_id"])
-        out.append((name, m["silhouette"], m["davies_bouldin"], m["clusters"]))
+        return name, m["silhouette"], m["davies_bouldin"], m["clusters"]
+
+    out = run_together(t.spark, *[lambda n=name, e=estimator: fitted(n, e) for name, _, estimator in models.candidates("clustering")])
     return t.spark.createDataFrame(out, "name string, silhouette double, davies_bouldin double, clusters long")
 
 
+POINTS = "(SELECT o_orderkey, o_totalprice / 100000 AS x, o_custkey % 100 / 20 AS y FROM orders)"
+FIRST_CENTRES = [[[0.5, 1.0], [2.0, 4.0], [4.0, 2.0]], [[1.0, 0.0], [1.0, 2.5], [1.0, 4.5]]]
+MIXTURE = ([0.5, 0.3, 0.2], FIRST_CENTRES[0], [[1.0, 0.5], [2.0, 1.5], [0.7, 1.0]])
+
+
+def _points(t):
+    return t.orders.select("o_orderkey", F.array(F.col("o_totalprice") / 100000, F.col("o_custkey") % 100 / 20).alias("features"))
+
+
+def _lloyd_sql(start, centres):
+    far = [f"(x - {a}) * (x - {a}) + (y - {b}) * (y - {b})" for a, b in centres]
+    nearest = "CASE WHEN d0 <= least(d1, d2) THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END"
+    return f"""SELECT {start} AS start, g AS cluster, count(*) AS n, {r('avg(x)', 'x')}, {r('avg(y)', 'y')}, {r('sum(least(d0, d1, d2))', 'inertia', 4)}
+        FROM (SELECT *, {nearest} AS g FROM (SELECT x, y, {', '.join(f'{f} AS d{k}' for k, f in enumerate(far))} FROM {POINTS})) GROUP BY g"""
+
+
+@query("ml_23_lloyd_round", f"SELECT start, cluster, n, x, y, {r('sum(inertia) OVER (PARTITION BY start)', 'inertia', 2)} FROM ({union_all(_lloyd_sql(s, c) for s, c in enumerate(FIRST_CENTRES))})")
+def _(t):
+    """One round of k-means from two starts at once."""
+    n, means, inertia = clusters.lloyd_round(_points(t), "features", np.array(FIRST_CENTRES))
+    rows = [(s, g, int(n[s, g]), *map(float, means[s, g]), round(float(inertia[s]), 2)) for s in range(2) for g in range(3)]
+    return t.spark.createDataFrame(rows, "start int, cluster int, n long, x double, y double, inertia double")
+
+
+def _em_sql():
+    weights, means, variances = MIXTURE
+    parts = ", ".join(f"{w} / (2 * pi() * sqrt({v} * {u})) * exp(-((x - {a}) * (x - {a}) / {v} + (y - {b}) * (y - {b}) / {u}) / 2) AS p{k}" for k, (w, (a, b), (v, u)) in enumerate(zip(weights, means, variances)))
+    rows = f"(SELECT x, y, p0 / (p0 + p1 + p2) AS r0, p1 / (p0 + p1 + p2) AS r1, p2 / (p0 + p1 + p2) AS r2, ln(p0 + p1 + p2) AS l FROM (SELECT x, y, {parts} FROM {POINTS}))"
+    return union_all(f"""SELECT {k} AS "group", {r(f'avg(r{k})', 'weight')}, {r(f'sum(r{k} * x) / sum(r{k})', 'x')}, {r(f'sum(r{k} * y) / sum(r{k})', 'y')},
+        {r(f'sum(r{k} * x * x) / sum(r{k}) - (sum(r{k} * x) / sum(r{k})) ** 2 + 0.0001', 'var_x')}, {r(f'sum(r{k} * y * y) / sum(r{k}) - (sum(r{k} * y) / sum(r{k})) ** 2 + 0.0001', 'var_y')}, {r('sum(l) / count(*)', 'likelihood')} FROM {rows}""" for k in range(3))
+
+
+@query("ml_24_em_round", _em_sql())
+def _(t):
+    """One round of expectation-maximisation of a diagonal mixture."""
+    weights, means, variances = map(np.array, MIXTURE)
+    fitted, total = clusters.mixture_of(clusters.Mixture(weights, means, variances).shares, _points(t), "features", 3, 2, clusters.VARIANCE_FLOOR)
+    n = t.orders.count()
+    rows = [(k, float(fitted.weights[k]), *map(float, fitted.means[k]), *map(float, fitted.variances[k]), total / n) for k in range(3)]
+    return t.spark.createDataFrame(rows, "group int, weight double, x double, y double, var_x double, var_y double, likelihood double")
+
+
 @query("ml_26_final_model")
 def _(t):
     _, pred = models.final_model(_flag_rows(t), LINE_KEY, "classification", ["l_quantity", "l_discount"], ["l_linestatus"], "Decision tree")
