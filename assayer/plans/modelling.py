@@ -207,7 +207,7 @@ def _(t):
 
 
 POINTS = "(SELECT o_orderkey, o_totalprice / 100000 AS x, o_custkey % 100 / 20 AS y FROM orders)"
-FIRST_CENTRES = [[[0.5, 1.0], [2.0, 4.0], [4.0, 2.0]], [[1.0, 0.0], [1.0, 2.5], [1.0, 4.5]]]
+FIRST_CENTRES = [[[0.5, 1.0], [2.0, 4.0], [4.0, 2.0]], [[1.0, 0.013], [1.0, 2.507], [1.0, 4.511]]]
 MIXTURE = ([0.5, 0.3, 0.2], FIRST_CENTRES[0], [[1.0, 0.5], [2.0, 1.5], [0.7, 1.0]])
 
 
