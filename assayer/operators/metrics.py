@@ -161,6 +161,50 @@ def thresholds(pred: DataFrame, values=THRESHOLDS) -> DataFrame:
         ((F.coalesce(numbers.safe_divide(tp, p), zero) + F.coalesce(numbers.safe_divide(n - fp, n), zero)) / 2).alias("balanced_accuracy"))
 
 
+# ---- several models on the same rows ----------------------------------------------------------
+
+def score_points(pred: DataFrame, scores: dict, rows: int | None = None) -> DataFrame:
+    """(model, score, pos, neg, tp, fp): the distinct scores of every model with the positives from the score up.
+
+    ``scores`` names a score column per model. A row is read once and scored by all models.
+    """
+    cells = F.array(*[F.struct(F.lit(name).alias("model"), F.col(column).cast("double").alias("score")) for name, column in scores.items()])
+    long = pred.filter(F.col("label").isNotNull()).select("label", F.inline(cells)).filter(F.col("score").isNotNull())
+    counts = long.groupBy("model", "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
+    rows = pred.count() * len(scores) if rows is None else rows
+    return ranking.running_totals(counts, "score", ["pos", "neg"], ["model"], rows, descending=True).withColumnsRenamed({"upto_pos": "tp", "upto_neg": "fp"})
+
+
+def paired_metrics(points: DataFrame, cut: float = 0.5, bins: int = 10, thresholds=THRESHOLDS) -> DataFrame:
+    """One row per model of ``score_points``: ranking, decisions at ``cut``, Brier score, calibration and thresholds.
+
+    Everything follows from the counts per distinct score; the table of thresholds is an array.
+    """
+    at = [cut, *map(float, thresholds)]
+    totals = points.groupBy("model").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    s = F.col("score")
+    called = [e for k, t in enumerate(at) for e in (F.sum(F.when(s >= t, F.col("pos")).otherwise(0)).alias(f"tp{k}"), F.sum(F.when(s >= t, F.col("neg")).otherwise(0)).alias(f"fp{k}"))]
+    won = F.col("pos").cast("double") * (F.col("n") - F.col("fp") + 0.5 * F.col("neg"))
+    step = F.try_divide(F.col("pos"), F.col("p")) * F.col("tp") / (F.col("tp") + F.col("fp"))
+    both = points.join(totals, "model")  # a row per model on the right
+    bin_sums = both.groupBy("model", F.least(F.floor(s * bins), F.lit(bins - 1)).alias("bin")).agg(
+        F.first("p").alias("p"), F.first("n").alias("n"), F.sum(won).alias("won"), F.sum(step).alias("ap"), *called,
+        F.sum(F.col("pos") * (s - 1) ** 2 + F.col("neg") * s ** 2).alias("squares"), F.abs(F.sum((F.col("pos") + F.col("neg")) * s) - F.sum("pos")).alias("off"))
+    one = bin_sums.groupBy("model").agg(F.first("p").alias("p"), F.first("n").alias("n"), F.sum("won").alias("won"), F.sum("ap").alias("average_precision"), F.sum("squares").alias("squares"), F.sum("off").alias("off"),
+                                        *[F.sum(f"{c}{k}").alias(f"{c}{k}") for k in range(len(at)) for c in ("tp", "fp")])
+
+    def decision(k: int) -> dict:
+        tp, fp, p, n = F.col(f"tp{k}"), F.col(f"fp{k}"), F.col("p"), F.col("n")
+        ratio = lambda a, b: F.coalesce(numbers.safe_divide(a, b), F.lit(0.0))
+        return {"precision": ratio(tp, tp + fp), "recall": ratio(tp, p), "f1": ratio(2 * tp, tp + fp + p), "balanced_accuracy": (ratio(tp, p) + ratio(n - fp, n)) / 2,
+                "accuracy": ratio(tp + n - fp, p + n)}
+
+    table = F.array(*[F.struct(F.lit(t).alias("threshold"), *[e.alias(c) for c, e in decision(k + 1).items() if c != "accuracy"]) for k, t in enumerate(at[1:])])
+    rows = (F.col("p") + F.col("n")).cast("double")
+    return one.select("model", (F.col("p") + F.col("n")).alias("rows"), F.try_divide(F.col("won"), F.col("p").cast("double") * F.col("n")).alias("roc_auc"), "average_precision",
+                      *[e.alias(c) for c, e in decision(0).items()], (F.col("squares") / rows).alias("brier_score"), (F.col("off") / rows).alias("calibration_error"), table.alias("thresholds"))
+
+
 # ---- numbers --------------------------------------------------------------------------------
 
 def regression_metrics(pred: DataFrame) -> DataFrame:

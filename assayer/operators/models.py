@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from dataclasses import dataclass
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
@@ -12,7 +13,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.operators import metrics
+from assayer.operators import metrics, splits
 from assayer.operators.clusters import Centroids, DiagonalMixture
 from assayer.operators.features import WIDEST, feature_stages
 from assayer.operators.together import run_together
@@ -65,7 +66,7 @@ def candidates(task: str, classes: int = 2, width: int = 1, rows: int = 1_000_00
             ("Logistic regression", "linear", LogisticRegression(**weighted, maxIter=500, regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False)),
             ("Decision tree", "tree", DecisionTreeClassifier(**weighted, maxDepth=8, minInstancesPerNode=4, seed=seed)),
             ("Random forest", "ensemble", RandomForestClassifier(**weighted, numTrees=100, maxDepth=14, minInstancesPerNode=3, seed=seed)),
-            ("Neural network", "neural_network", MultilayerPerceptronClassifier(**common, layers=[width, 48, 24, classes], maxIter=120, seed=seed)),
+            ("Neural network", "neural_network", StoppedNetwork([width, 48, 24, classes], seed=seed)),
             ("Gradient boosting", "ensemble", boosted if classes == 2 else OneVsRest(classifier=boosted, **weighted)),
         ]
     if task == "regression":
@@ -80,6 +81,41 @@ def candidates(task: str, classes: int = 2, width: int = 1, rows: int = 1_000_00
         (f"Gaussian mixture, {k} groups", "probabilistic", DiagonalMixture(k, seed=seed)) for k in (2, 3, 4)]
 
 
+class StoppedNetwork:
+    """A perceptron that stops when a held-out tenth of its rows has not been told better for ``patience`` rounds.
+
+    Rounds go on from the last weights, ``step`` at a time; the weights with the least held-out log loss
+    are kept. Rows are held out by a hash of their features and label.
+    """
+
+    def __init__(self, layers: list[int], rounds: int = 120, step: int = 10, patience: int = 10, least: float = 1e-4, seed: int = 42, labelCol: str = "label", featuresCol: str = "features"):
+        self.layers, self.rounds, self.step, self.patience, self.least, self.seed, self.label, self.features = layers, rounds, step, patience, least, seed, labelCol, featuresCol
+        self.losses: list[float] = []
+
+    def fit(self, df: DataFrame):
+        held = F.pmod(F.xxhash64(vector_to_array(F.col(self.features)), self.label, F.lit(self.seed)), F.lit(10)) == 0
+        marked = df.withColumn("__held", held).persist()
+        inside, outside = marked.filter("NOT __held"), marked.filter("__held")
+        chance = F.greatest(F.element_at(vector_to_array("probability"), F.col(self.label).cast("int") + 1), F.lit(1e-15))
+        best, weights, since, self.losses = None, None, 0, []
+        if outside.isEmpty() or inside.isEmpty():
+            inside = marked
+        for _ in range(0, self.rounds, self.step):
+            network = MultilayerPerceptronClassifier(labelCol=self.label, featuresCol=self.features, layers=self.layers, maxIter=self.step, seed=self.seed)
+            model = (network if weights is None else network.setInitialWeights(weights)).fit(inside)
+            weights = model.weights
+            loss = model.transform(outside).agg(F.avg(-F.log(chance)).alias("loss")).first()["loss"]
+            self.losses.append(float("inf") if loss is None else loss)
+            if best is None or self.losses[-1] < best[0] - self.least:
+                best, since = (self.losses[-1], model), 0
+            else:
+                since += self.step
+            if since >= self.patience and loss is not None:
+                break
+        marked.unpersist()
+        return best[1] if best[0] < float("inf") else model
+
+
 def allowed(task: str, family: str, rows: int, width: int, rarest: int | None = None) -> bool:
     """Suitability rule of a model family for table size, width and class counts."""
     if family == "baseline":
@@ -210,6 +246,58 @@ def ranking_of(folds: DataFrame) -> DataFrame:
     return means.orderBy(F.when(F.col("metric") == REGRESSION, F.col("mean")).otherwise(-F.col("mean")), "name")
 
 
+@dataclass
+class SearchResult:
+    """What a model search leaves: the plan of its folds, all scores, the winner and its judgement on the test part."""
+
+    plan: splits.FoldPlan
+    scores: DataFrame
+    winner: str
+    model: object
+    test: DataFrame  # one row per model: the winner and the baseline
+    thresholds: DataFrame | None  # of the winner on the validation part, for two classes
+
+
+def search(parted: DataFrame, key, task: str, numeric, categorical, classes: int = 2, k: int = 3, strategy: str = "random", column: str | None = None,
+           names=None, max_seconds: float | None = None) -> SearchResult:
+    """Compare the candidates, refit the best one and judge it beside the baseline on the same test rows.
+
+    Candidates are compared on folds of the train part, or on the validation part where folds cannot
+    serve (``splits.fold_plan``). The thresholds come from the winner as fitted on the train part.
+    """
+    plan = splits.fold_plan(parted, key, task, k, strategy, column)
+    scores = compare_models(plan.rows, key, task, numeric, categorical, classes, plan.folds, names, max_seconds).persist()
+    best = ranking_of(scores).first()
+    if best is None:
+        raise ValueError("All candidates failed: look at the reasons in the scores.")
+    winner = best["name"]
+    model, mine = final_model(parted, key, task, numeric, categorical, winner, classes)
+    _, base = final_model(parted, key, task, numeric, categorical, "Baseline", classes) if task != "clustering" else (None, None)
+    table = None
+    if task == "classification" and classes == 2:
+        before = parted.filter(F.col("part") != "test").withColumn("part", F.when(F.col("part") == "validation", "test").otherwise("train"))
+        _, validated = final_model(before, key, task, numeric, categorical, winner, classes)
+        table = metrics.thresholds(validated)
+    return SearchResult(plan, scores, winner, model, judged(mine, base, task, classes, key, winner), table)
+
+
+def judged(mine: DataFrame, base: DataFrame | None, task: str, classes: int, key, winner: str) -> DataFrame:
+    """Test metrics of the winner and the baseline, both on the same rows."""
+    spark = mine.sparkSession
+    if task == "clustering":
+        return spark.createDataFrame([{"model": winner, **measure(mine, task, classes, key)}])
+    if task == "classification" and classes == 2:
+        constant = base.select("score").first()["score"]  # the baseline has one score for all rows
+        pred = mine.withColumn("__base", F.lit(constant))
+        return metrics.paired_metrics(metrics.score_points(pred, {winner: "score", "Baseline": "__base"}))
+    both = mine.select(F.lit(winner).alias("model"), "label", "prediction")
+    if winner != "Baseline":
+        both = both.unionByName(base.select(F.lit("Baseline").alias("model"), "label", "prediction"))
+    parts = [(metrics.regression_metrics if task == "regression" else metrics.classification_metrics)(both.filter(F.col("model") == name)).withColumn("model", F.lit(name))
+             for name in dict.fromkeys([winner, "Baseline"])]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def final_model(df: DataFrame, key, task: str, numeric, categorical, winner: str, classes: int = 2):
     """Features and the winner refitted on train + validation, with its test predictions."""
     development = df.filter(F.col("part").isin("train", "validation"))

@@ -7,6 +7,8 @@ the rows themselves are never sorted or shuffled.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -188,19 +190,54 @@ def random_folds(df: DataFrame, key, k: int = 3, target: str | None = None) -> D
     return df.withColumn("fold", _by_class(cuts, target, choose).cast("int"))
 
 
+def dealt_sizes(steps: list[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
+    """Groups of every size per fold when the largest group left always goes to the lightest fold.
+
+    ``steps``: (rows of a group, number of such groups). Equal folds are taken in order. Groups of one
+    size are dealt together: folds rise to a common level, then take turns; so the cost follows the
+    number of different sizes. Returns (rows, fold, groups).
+    """
+    weight, out = [0] * k, []
+    for size, groups in sorted(steps, reverse=True):
+        taken = [0] * k
+        if size:
+            # Every fold takes groups up to the level that the last full round reaches.
+            low, high = min(weight), max(weight) + size * groups
+            while low < high:
+                level = (low + high) // 2
+                if sum(max(0, -(-(level - w) // size)) for w in weight) <= groups:
+                    low = level + 1
+                else:
+                    high = level
+            taken = [max(0, -(-(low - 1 - w) // size)) for w in weight]
+            for f in range(k):
+                weight[f] += taken[f] * size
+        for _ in range(groups - sum(taken)):
+            f = min(range(k), key=lambda i: (weight[i], i)) if size else taken.index(min(taken))
+            taken[f] += 1
+            weight[f] += size
+        out += [(size, f, n) for f, n in enumerate(taken) if n]
+    return out
+
+
 def group_folds(df: DataFrame, group: str, k: int = 3) -> DataFrame:
-    """``fold`` per whole group, sizes balanced: largest groups first, folds taken forth and back.
+    """``fold`` per whole group: the largest group left goes to the lightest fold, of equal folds the first.
 
-    Rows without a group are one group together.
+    Rows without a group are one group together. Groups of one size are dealt in md5 order of the
+    group, the first ones to the first fold. The driver sees one pair of numbers per different size.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    steps = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("groups"))
-    ahead = ranking.running_totals(steps, "n", ["groups"], descending=True).select("n", (F.col("upto_groups") - F.col("groups")).alias("ahead"))
-    inside = ranking.hash_positions(sizes, [group], within=["n"])
-    at = F.col("ahead") + F.col("position") - 1
-    lap, seat = F.floor(at / k), at % k
-    fold = F.when(lap % 2 == 0, seat).otherwise(k - 1 - seat).cast("int")
-    assigned = inside.join(ahead, "n").select(group, fold.alias("fold"))
+    steps = [(r["n"], r["groups"]) for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("groups")).collect()]  # different sizes of groups
+    shares = dealt_sizes(steps, k)
+    ends, upto = [], {}
+    for size, fold, groups in shares:
+        upto[size] = upto.get(size, 0) + groups
+        ends.append((size, fold, upto[size] - groups, upto[size]))
+    table = df.sparkSession.createDataFrame(ends, "n long, fold int, after long, upto long")
+    table = table.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("after", "upto", "fold"))).alias("folds"))  # k at most
+    inside = ranking.hash_positions(sizes, [group], within=["n"], rows=sum(g for _, g in steps))
+    hit = F.filter("folds", lambda x: (F.col("position") > x["after"]) & (F.col("position") <= x["upto"]))
+    assigned = inside.join(table, "n").select(group, F.get(hit, F.lit(0))["fold"].alias("fold"))
     # One row per group on the right: adaptive execution splits a hot group on the left.
     return ranking.join_groups(df, assigned, [group])
 
@@ -230,6 +267,63 @@ def time_folds(df: DataFrame, ts: str, k: int = 3) -> DataFrame:
     return df.withColumn("__r", F.explode(F.filter(F.array(*roles), lambda r: r.isNotNull()))).select(*df.columns, "__r.fold", "__r.role")
 
 
+@dataclass
+class FoldPlan:
+    """Rows with fold (and role, where a fold learns from some of the others only), and how they came about."""
+
+    rows: DataFrame
+    folds: int
+    strategy: str
+    status: str  # completed, or unavailable with the reason: then one fold, the validation part
+    reason: str | None = None
+
+
+def classes_covered(folded: DataFrame, label: str, k: int) -> bool:
+    """Has every fold all classes among its training and its validation rows? One scan: a row per class."""
+    def side(i: int, role: str):
+        if "role" in folded.columns:
+            return F.count_if((F.col("fold") == i) & (F.col("role") == role))
+        return F.count_if(F.col("fold") == i if role == "validation" else F.col("fold") != i)
+
+    counts = folded.groupBy(label).agg(F.least(*[side(i, role) for i in range(k) for role in ("train", "validation")], F.lit(2**62)).alias("least"))
+    return (counts.agg(F.min("least").alias("m")).first()["m"] or 0) > 0
+
+
+def fold_plan(parted: DataFrame, key, task: str, k: int = 3, strategy: str = "random", column: str | None = None, label: str = "label") -> FoldPlan:
+    """Folds of the train part for comparing models, or the validation part where folds cannot serve.
+
+    Folds cannot serve when there are too few instants, groups or rows of a class, or when a class is
+    missing from the rows a fold learns from or is judged by.
+    """
+    train = parted.filter(F.col("part") == "train")
+    reason, name = None, {"chronological": "TimeSeries", "group": "Groups"}.get(strategy, "Stratified" if task == "classification" else "Shuffled")
+    folded = None
+    if strategy == "chronological":
+        if train.select(column).distinct().count() <= k:
+            reason = "There are too few distinct timestamps for folds."
+        else:
+            folded = time_folds(train, column, k).filter(F.col("fold").isNotNull())
+    elif strategy == "group":
+        k = min(k, train.select(column).distinct().count())
+        if k < 2:
+            reason = "There are too few groups for folds."
+        else:
+            folded = group_folds(train, column, k)
+    else:
+        if task == "classification":
+            k = fold_count(k, train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("m")).first()["m"] or 0)
+        if k < 2:
+            reason = "A class has too few rows for folds."
+        else:
+            folded = random_folds(train, key, k, label if task == "classification" else None)
+    if folded is not None and task == "classification" and not classes_covered(folded, label, k):
+        reason = "A fold lacks a class."
+    if reason is None:
+        return FoldPlan(folded, k, name, "completed")
+    held = parted.filter(F.col("part").isin("train", "validation"))
+    return FoldPlan(held.withColumns({"fold": F.lit(0), "role": F.col("part"), "part": F.lit("train")}), 1, name, "unavailable", f"{reason} Models are chosen on the validation part.")
+
+
 def fold_roles(folded: DataFrame, k: int) -> DataFrame:
     """(fold, role) per row from a fold number: validation in its own fold, train in the others."""
     roles = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from assayer.operators import clusters, explain, features, metrics, models, registry, splits
+from assayer.operators import clusters, explain, features, metrics, models, ranking, registry, splits
 from assayer.operators import profile as P
 from assayer.operators.together import run_together
 from assayer.plans.base import LINE_KEY, moved_sql, query, r, stamp, union_all
@@ -89,8 +89,13 @@ def _(t):
     return splits.random_folds(t.events, ["event_id"], 3).select("event_id", "fold")
 
 
-@query("ml_14_group_folds", """WITH g AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, md5(CAST(o_custkey AS VARCHAR)), o_custkey) - 1 AS a FROM g)
-    SELECT o_custkey, CAST(CASE WHEN (a // 3) % 2 = 0 THEN a % 3 ELSE 2 - a % 3 END AS BIGINT) AS fold, n AS rows FROM k""")
+@query("ml_14_group_folds", """WITH RECURSIVE g AS (SELECT o_custkey, count(*) AS n, row_number() OVER (PARTITION BY count(*) ORDER BY md5(CAST(o_custkey AS VARCHAR)), o_custkey) AS place FROM orders GROUP BY 1),
+    d AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS i FROM g),
+    w AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, 0 AS fold, CAST(0 AS HUGEINT) AS a, CAST(0 AS HUGEINT) AS b, CAST(0 AS HUGEINT) AS c UNION ALL
+        SELECT i, n, fold, a + CASE WHEN fold = 0 THEN n ELSE 0 END, b + CASE WHEN fold = 1 THEN n ELSE 0 END, c + CASE WHEN fold = 2 THEN n ELSE 0 END FROM
+        (SELECT d.i, d.n, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS fold, a, b, c FROM w JOIN d ON d.i = w.i + 1)),
+    s AS (SELECT n, fold, sum(k) OVER (PARTITION BY n ORDER BY fold) AS upto, sum(k) OVER (PARTITION BY n ORDER BY fold) - k AS after FROM (SELECT n, fold, count(*) AS k FROM w WHERE i > 0 GROUP BY ALL))
+    SELECT g.o_custkey, CAST(s.fold AS BIGINT) AS fold, g.n AS rows FROM g JOIN s ON s.n = g.n AND g.place > s.after AND g.place <= s.upto""")
 def _(t):
     folded = splits.group_folds(t.orders, "o_custkey", 3)
     return folded.groupBy("o_custkey", "fold").agg(F.count("*").alias("rows"))
@@ -103,6 +108,33 @@ def _(t):
     return splits.time_folds(t.orders, "o_orderdate", 3).groupBy("fold", "role").agg(F.count("*").alias("rows"))
 
 
+_PLANS = {"even": "CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END", "late": "CASE WHEN o_orderdate >= (SELECT quantile_disc(o_orderdate, 0.7) FROM (SELECT DISTINCT o_orderdate FROM orders)) THEN 1 ELSE 0 END"}
+
+
+def _coverage_sql(name, label):
+    """Every class in every role of every time fold?"""
+    rows = f"(SELECT {label} AS label, o_orderdate AS ts FROM orders)"
+    folds = f"""(SELECT label, fold, CASE WHEN c < n - (3 - fold) * b THEN 'train' ELSE 'validation' END AS role FROM (SELECT x.label, d.c, d.n, d.n // 4 AS b FROM {rows} x JOIN
+        (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS c, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM {rows})) d USING (ts)), (SELECT unnest([0, 1, 2]) AS fold) WHERE c < n - (2 - fold) * b)"""
+    whole = f"(SELECT count(*) FROM (SELECT DISTINCT fold, role, label FROM {folds})) = 6 * (SELECT count(DISTINCT label) FROM {rows})"
+    return f"SELECT '{name}' AS target, CASE WHEN {whole} THEN 'completed' ELSE 'unavailable' END AS status, CAST(CASE WHEN {whole} THEN 3 ELSE 1 END AS BIGINT) AS folds, (SELECT count(*) FROM {folds}) * CASE WHEN {whole} THEN 1 ELSE 0 END + CASE WHEN {whole} THEN 0 ELSE (SELECT count(*) FROM orders) END AS rows"
+
+
+@query("ml_15_plan", union_all(_coverage_sql(*x) for x in _PLANS.items()))
+def _(t):
+    """Time folds serve for a class that occurs throughout, and not for one that begins late."""
+    days = t.orders.select("o_orderdate").distinct().withColumn("at", F.unix_micros("o_orderdate"))
+    place = days.count() * 0.7
+    cut = ranking.running_totals(days.withColumn("one", F.lit(1)), "at", ["one"]).filter(F.col("upto_one") >= place).agg(F.min("o_orderdate")).first()[0]
+    labels = {"even": F.col("o_orderkey") % 2 == 0, "late": F.col("o_orderdate") >= F.lit(cut)}
+    out = None
+    for name, flag in labels.items():
+        plan = splits.fold_plan(t.orders.withColumns({"part": F.lit("train"), "label": flag.cast("int")}), ["o_orderkey"], "classification", 3, "chronological", "o_orderdate")
+        one = plan.rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("target"), F.lit(plan.status).alias("status"), F.lit(plan.folds).cast("long").alias("folds"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("ml_15b_fold_roles", """SELECT fold, role, count(*) AS rows FROM (SELECT unnest([0, 1, 2]) AS fold), (SELECT CASE WHEN rk <= n * 1 // 3 THEN 0 WHEN rk <= n * 2 // 3 THEN 1 ELSE 2 END AS f FROM
     (SELECT row_number() OVER (ORDER BY md5(CAST(event_id AS VARCHAR))) AS rk, count(*) OVER () AS n FROM events)), LATERAL (SELECT CASE WHEN f = fold THEN 'validation' ELSE 'train' END AS role) GROUP BY ALL""".replace("SELECT fold, role", "SELECT CAST(fold AS BIGINT) AS fold, role"))
 def _(t):
@@ -254,6 +286,38 @@ def _(t):
     return metrics.classification_metrics(pred)
 
 
+PAIRED = {"first": "(event_id % 100) / 100", "second": "(event_id * 7 % 40) / 80 + 0.2"}
+
+
+def _paired_sql(model, score):
+    base = f"(SELECT CAST({score} AS DOUBLE) AS score, CAST(event_id % 3 = 0 AS INTEGER) AS label FROM events)"
+    ranks = f"(SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS k FROM {base})"
+    steps = f"(SELECT pos, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS p FROM (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM {base} GROUP BY 1) WINDOW w AS (ORDER BY score DESC))"
+    cells = ["accuracy", "precision", "recall", "f1", "balanced_accuracy"]
+    decided = f"""(SELECT (tp + n - fp) / (p + n) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, tp / p AS recall, 2 * tp / (tp + fp + p) AS f1, (tp / p + (n - fp) / n) / 2 AS balanced_accuracy FROM
+        (SELECT CAST(count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE score >= 0.5 AND label = 0) AS DOUBLE) AS fp, CAST(sum(label) AS DOUBLE) AS p, CAST(sum(1 - label) AS DOUBLE) AS n FROM {base}))"""
+    bins = f"(SELECT abs(sum(score) - sum(label)) AS off, count(*) AS n FROM {base} GROUP BY least(floor(score * 10), 9))"
+    auc = f"(SELECT (sum(k) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * CAST(sum(1 - label) AS DOUBLE)) FROM {ranks})"
+    return f"""SELECT '{model}' AS model, (SELECT count(*) FROM events) AS rows, {r(auc, 'roc_auc')}, {r(f'(SELECT sum(pos / p * tp / (tp + fp)) FROM {steps})', 'average_precision')}, {', '.join(r(c, c) for c in cells)},
+        {r(f'(SELECT avg((score - label) ** 2) FROM {base})', 'brier_score')}, {r(f'(SELECT sum(off) / sum(n) FROM {bins})', 'calibration_error')} FROM {decided}"""
+
+
+@query("ml_26_paired", union_all(_paired_sql(*x) for x in PAIRED.items()))
+def _(t):
+    """Two models judged on the same rows from one table of distinct scores."""
+    e = F.col("event_id")
+    pred = t.events.select((e % 3 == 0).cast("int").alias("label"), ((e % 100) / 100).alias("a"), (e * 7 % 40 / 80 + 0.2).alias("b"))
+    return metrics.paired_metrics(metrics.score_points(pred, {"first": "a", "second": "b"})).drop("thresholds")
+
+
+@query("ml_26_paired_thresholds", f"""SELECT model, {r('t', 'threshold')}, {r('coalesce(tp / nullif(tp + fp, 0), 0)', 'precision')}, {r('tp / p', 'recall')} FROM ({union_all(f"SELECT '{m}' AS model, t, CAST(count(*) FILTER (WHERE {s} >= t AND event_id % 3 = 0) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE {s} >= t AND event_id % 3 <> 0) AS DOUBLE) AS fp, CAST(count(*) FILTER (WHERE event_id % 3 = 0) AS DOUBLE) AS p FROM events, (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9]::DOUBLE[]) AS t) GROUP BY t" for m, s in PAIRED.items())})""")
+def _(t):
+    e = F.col("event_id")
+    pred = t.events.select((e % 3 == 0).cast("int").alias("label"), ((e % 100) / 100).alias("a"), (e * 7 % 40 / 80 + 0.2).alias("b"))
+    found = metrics.paired_metrics(metrics.score_points(pred, {"first": "a", "second": "b"}))
+    return found.select("model", F.inline("thresholds")).select("model", "threshold", "precision", "recall")
+
+
 # ---- evaluation ---------------------------------------------------------------------------------
 
 def _classes(t):
