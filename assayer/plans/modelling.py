@@ -560,6 +560,26 @@ def _(t):
     return explain.shapley(rows, ground, ["o_totalprice", "o_custkey"], _rule, ["o_orderkey"], 8).select("o_orderkey", "feature", "contribution")
 
 
+_PARTS = "CAST(o_custkey % 2 AS DOUBLE) AS a, CAST(o_orderkey % 3 = 0 AS DOUBLE) AS b, CAST(o_orderstatus = 'F' AS DOUBLE) AS c"
+# The rule 4a + 2bc + ac: a product of two features is shared by halves.
+_TREE_SQL = f"""WITH x AS (SELECT o_orderkey, {_PARTS} FROM orders), z AS (SELECT {_PARTS} FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 40),
+    s AS (SELECT o_orderkey, x.a, x.b, x.c, avg(4 * (x.a - z.a) + (x.a - z.a) * (x.c + z.c) / 2) AS fa, avg((x.b - z.b) * (x.c + z.c)) AS fb, avg((x.c - z.c) * (x.b + z.b) + (x.c - z.c) * (x.a + z.a) / 2) AS fc
+        FROM x, z GROUP BY ALL) {union_all(f"SELECT o_orderkey, CAST(0 AS BIGINT) AS output, '{f}' AS feature, {f} AS value, {r(f'f{f}', 'contribution')} FROM s" for f in 'abc')}"""
+
+
+@query("exp_03_trees", _TREE_SQL)
+def _(t):
+    """Exact contributions to a fitted tree that has learned a rule."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    from assayer.operators.tree_paths import tree_contributions
+    o = t.orders.select("o_orderkey", (F.col("o_custkey") % 2).cast("double").alias("a"), (F.col("o_orderkey") % 3 == 0).cast("double").alias("b"), (F.col("o_orderstatus") == "F").cast("double").alias("c"))
+    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(o.withColumn("label", 4 * F.col("a") + 2 * F.col("b") * F.col("c") + F.col("a") * F.col("c")))
+    model = DecisionTreeRegressor(maxDepth=3).fit(rows)
+    return tree_contributions(rows, rows, model, ["a", "b", "c"], ["o_orderkey"], t.scratch("-tree"), 40)
+
+
 @query("exp_04_summary", f"SELECT 'order' AS feature, {r('sum(m)', 'importance', 3)} FROM (SELECT feature, avg(abs(contribution)) AS m FROM {LINEAR} GROUP BY 1)", 3)
 def _(t):
     names = _linear(t).select("feature").distinct()
