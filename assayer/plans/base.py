@@ -64,8 +64,13 @@ class Tables:
                            for f in df.schema.fields])
 
     def scratch(self, suffix: str) -> str:
-        """A new path in the shared checkpoint folder; without that setting, in the warehouse, which is shared as well."""
-        base = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.conf.get("spark.sql.warehouse.dir")
+        """A new path in the shared checkpoint folder; without that setting, in the warehouse, on a local master only."""
+        base = self.spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            master = self.spark.sparkContext.master
+            if not master.startswith("local") or "cluster" in master:
+                raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share.")
+            base = self.spark.conf.get("spark.sql.warehouse.dir")
         return f"{base.rstrip('/')}/{uuid.uuid4().hex}{suffix}"
 
     def labelled(self) -> DataFrame:

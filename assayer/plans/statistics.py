@@ -145,11 +145,57 @@ def _(t):
     return _two(t).select("student_t", "welch_t", F.round("welch_df", 3).alias("welch_df"))
 
 
-@query("st_16_interval")
+# Far out in the degrees of freedom the t quantile is an expansion in 1 / d around the normal one.
+_Z = 1.959963984540054
+_T_FAR = f"({_Z} + {(_Z**3 + _Z) / 4!r} / d + {(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96!r} / (d * d) + {(3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384!r} / (d * d * d))"
+
+
+@query("st_16_interval", f"""SELECT {r('m1 - m2', 'mean_difference', 4)}, {r(f'm1 - m2 - {_T_FAR} * se', 'difference_low', 4)}, {r(f'm1 - m2 + {_T_FAR} * se', 'difference_high', 4)} FROM (SELECT *, sqrt(v1 / n1 + v2 / n2) AS se,
+    (v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)) AS d FROM {TWO})""", 4)
 def _(t):
     return inference.mean_difference_interval(_two(t)).select("mean_difference", "difference_low", "difference_high")
 
 
+def _simpson(f: str, low: str, high: str, steps: int = 4000) -> str:
+    """Integral of ``f`` (in x) by Simpson's rule, as a scalar of SQL."""
+    at = f"({low} + ({high} - ({low})) * i / {steps}.0)"
+    return f"(SELECT sum(CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {f.replace('@', at)}) * ({high} - ({low})) / {3 * steps} FROM range({steps + 1}) g(i))"
+
+
+_NATIONS = """(SELECT c_nationkey AS nation, (avg(c_acctbal) - 4000) / sqrt(var_samp(c_acctbal) / count(*)) AS t, CAST(count(*) - 1 AS DOUBLE) AS d, var_samp(c_acctbal) / (SELECT var_samp(c_acctbal) FROM customer) AS f,
+    (SELECT CAST(count(*) - 1 AS DOUBLE) FROM customer) AS e FROM customer GROUP BY 1 HAVING count(*) > 3)"""
+
+
+def _nations(t):
+    c = t.customer
+    whole = c.agg(F.var_samp("c_acctbal").alias("v"), F.count("*").alias("n")).first()
+    n = F.count("*").cast("double")
+    return c.groupBy(F.col("c_nationkey").alias("nation")).agg(((F.avg("c_acctbal") - 4000) / F.sqrt(F.var_samp("c_acctbal") / n)).alias("t"), (n - 1).alias("d"), (F.var_samp("c_acctbal") / F.lit(whole["v"])).alias("f"),
+                                                               F.lit(float(whole["n"] - 1)).alias("e")).filter("d > 2")
+
+
+# With x = sqrt(d) tan(angle) the density of t becomes a power of the cosine; F likewise with both functions.
+@query("fn_m3_t_tail", f"SELECT nation, {r('a / b', 'p_value')} FROM (SELECT nation, {_simpson('power(cos(@), d - 1)', 'atan(abs(t) / sqrt(d))', 'pi() / 2')} AS a, {_simpson('power(cos(@), d - 1)', '0.0', 'pi() / 2')} AS b FROM {_NATIONS})")
+def _(t):
+    return _nations(t).select("nation", tails.t_p(F.col("t"), F.col("d")).alias("p_value"))
+
+
+_F_DENSITY = "power(sin(@), d - 1) * power(cos(@), e - 1)"
+
+
+@query("fn_m3_f_tail", f"SELECT nation, {r('a / b', 'p_value')} FROM (SELECT nation, {_simpson(_F_DENSITY, 'asin(sqrt(d * f / (d * f + e)))', 'pi() / 2')} AS a, {_simpson(_F_DENSITY, '0.0', 'pi() / 2')} AS b FROM {_NATIONS})")
+def _(t):
+    return _nations(t).select("nation", tails.f_p(F.col("f"), F.col("d"), F.col("e")).alias("p_value"))
+
+
+@query("fn_m3_t_quantile", f"""WITH g AS (SELECT n_nationkey AS nation, n_nationkey + 1 AS d, i, i * pi() / 2 / 20000 AS angle, power(cos(i * pi() / 2 / 20000), n_nationkey) AS f FROM nation, range(20001) r(i)),
+    c AS (SELECT *, coalesce(sum(f + before) OVER (PARTITION BY nation ORDER BY i), 0) AS upto FROM (SELECT *, lag(f, 1, 0.0) OVER (PARTITION BY nation ORDER BY i) AS before FROM g) WHERE i > 0),
+    h AS (SELECT *, 0.95 * max(upto) OVER (PARTITION BY nation) AS want, lag(upto, 1, 0.0) OVER (PARTITION BY nation ORDER BY i) AS under FROM c)
+    SELECT nation, {r('tan(angle - (upto - want) / (upto - under) * pi() / 2 / 20000) * sqrt(d)', 'quantile', 4)} FROM h WHERE upto >= want AND under < want""", 4)
+def _(t):
+    return t.nation.select(F.col("n_nationkey").alias("nation"), tails.t_975((F.col("n_nationkey") + 1).cast("double")).alias("quantile"))
+
+
 MW = """(WITH x AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS g, c_acctbal AS v FROM customer), k AS (SELECT g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS k FROM x)
     SELECT sum(k) FILTER (WHERE g = 'a') AS r1, CAST(count(*) FILTER (WHERE g = 'a') AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE g = 'b') AS DOUBLE) AS n2 FROM k)"""
 
