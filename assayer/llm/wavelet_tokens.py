@@ -35,6 +35,8 @@ MAGIC = b"WMTX0001"
 BLOCK = 512  # bits between two entries of the rank directory
 #: Tokens after which a file is closed; the last document may go beyond.
 FILE_TOKENS = 4_000_000
+#: Bytes of text encoded at once: a task's working memory is some forty times that.
+SLICE_BYTES = 1_500_000
 #: Distinct pieces a worker remembers, at some 40 bytes each.
 CACHE_CHUNKS = 1_000_000
 END_ID = 2
@@ -252,7 +254,7 @@ class Encoder:
     def _ids(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, spaced: np.ndarray) -> np.ndarray:
         """Entry of every piece; ``spaced``: the space before it belongs to it."""
         if len(self.up) <= len(raw):
-            self.up, self.down = powers(1 << (len(raw) + 1).bit_length())
+            self.up, self.down = powers(len(raw) + len(raw) // 8 + 1)
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(self.values[raw] * self.up[:len(raw)], out=total[1:])
         keys = spread((total[end] - total[begin]) * self.down[begin] + spaced.astype(np.uint64))
@@ -396,7 +398,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_column: str =
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "file", "path", "docs", "tokens", "bytes"])
 
         for batch in batches:
-            for begin, end in slices(batch.column("text"), 4_000_000):
+            for begin, end in slices(batch.column("text"), SLICE_BYTES):
                 ids, many = encode(batch.column("text")[begin:end])
                 ids = np.insert(ids, np.cumsum(many), end_id)
                 names = batch.column("id")[begin:end]

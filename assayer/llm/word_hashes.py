@@ -58,7 +58,7 @@ class WordHasher:
         starts = np.flatnonzero(inside & (np.concatenate(([True], ~inside[:-1])) | edge[:-1]))
         ends = np.flatnonzero(inside & (np.concatenate((~inside[1:], [True])) | edge[1:])) + 1
         if len(self.up) <= n:
-            self.up, self.down = powers(1 << (n + 1).bit_length())
+            self.up, self.down = powers(n + n // 8 + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(self.values[raw] * self.up[:n], out=total[1:])
         found = spread((total[ends] - total[starts]) * self.down[starts])

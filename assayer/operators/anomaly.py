@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import numbers
 from assayer.operators import quantiles as q
+from assayer.operators.normalize import quoted
 
 ROBUST = 1.4826  # fixed value: median absolute deviation to standard deviation
 
@@ -19,10 +20,23 @@ def _q(name: str):
     return F.col(f"`{name}`")
 
 
+def column_review(df: DataFrame, columns, most: int | None = None) -> DataFrame:
+    """One row per column in the given order: finite cells, whether it is scored, and why not.
+
+    A column takes part if it has two different finite values, the table has 20 rows, and no more than
+    ``most`` columns come before it.
+    """
+    cells = [f"named_struct('feature', {quoted(c)}, 'place', {k}, 'cells', count({numbers.finite_sql(c)}), 'varies', coalesce(min({numbers.finite_sql(c)}) < max({numbers.finite_sql(c)}), false))"
+             for k, c in enumerate(columns)]
+    one = df.selectExpr("count(1) AS rows", f"array({', '.join(cells)}) AS c").selectExpr("rows", "inline(c)")
+    ahead = F.sum(F.col("varies").cast("int")).over(Window.partitionBy(F.lit(0)).orderBy("place"))  # a row per column
+    reason = F.when(F.col("rows") < 20, "fewer than 20 rows").when(~F.col("varies"), "constant or empty").when(ahead > F.lit(most if most is not None else len(columns)), "beyond the number of columns")
+    return one.withColumn("omitted", reason).select("feature", "cells", F.col("omitted").isNull().alias("scored"), "omitted")
+
+
 def varying_columns(df: DataFrame, columns, most: int | None = None) -> list[str]:
-    """Columns with at least two finite values; none when the table has fewer than 20 rows."""
-    one = df.selectExpr("count(1) AS __rows", *[f"min({numbers.finite_sql(c)}) < max({numbers.finite_sql(c)}) AS `{c}`" for c in columns]).first()
-    return [c for c in columns if one[c]][:most] if one["__rows"] >= 20 else []
+    """The columns that ``column_review`` lets take part."""
+    return [r["feature"] for r in column_review(df, columns, most).collect() if r["scored"]] if columns else []
 
 
 def scaled_columns(df: DataFrame, columns, rows: int | None = None):

@@ -25,7 +25,7 @@ population_rows long, p_value double, q_value double, significant boolean, effec
 sparse boolean, dependent boolean, flagged_rows long, flagged_pct double, minority_share double, severe boolean,
 growth_pct double, trend string, frequency string, periods long, missing_periods long, missing_cells long,
 missing_pct double, duplicates long, invalid_values long, flags long, metric string, test_score double,
-stability string, beats_baseline boolean"""
+stability string, beats_baseline boolean, features string"""
 
 
 def shaped(df: DataFrame, **values) -> DataFrame:
@@ -63,9 +63,9 @@ def from_anomalies(summary: DataFrame) -> DataFrame:
 
 
 def from_leakage(flags: DataFrame, target: str) -> DataFrame:
-    one = flags.agg(F.count_distinct("feature").alias("flags"))
+    one = flags.agg(F.count_distinct("feature").alias("flags"), F.array_join(F.sort_array(F.collect_set("feature")), ", ").alias("features"))  # at most the columns of a table
     return shaped(one, kind=F.lit("leakage"), title=F.lit("Target leakage"), method=F.lit("Name, time and association review"), left=F.lit(target),
-                  status=F.lit("completed"), flags=F.col("flags"))
+                  status=F.lit("completed"), flags=F.col("flags"), features=F.col("features"))
 
 
 def from_balance(balance: DataFrame, target: str) -> DataFrame:
@@ -126,7 +126,7 @@ def findings(table: DataFrame, most: int | None = 16) -> DataFrame:
                .when(kind == "temporal", F.concat("right", F.lit(" has a "), "trend", F.format_string(" trend across %d %s periods.", "periods", "frequency"),
                                                   F.coalesce(F.format_string(" Latest change: %+.2f%%.", "growth_pct"), F.lit(""))))
                .when(kind == "anomaly", F.format_string("%d of %d rows (%.2f%%) were flagged for review.", "flagged_rows", "sample_rows", "flagged_pct"))
-               .when(kind == "leakage", F.format_string("%d columns may carry the outcome.", "flags"))
+               .when(kind == "leakage", F.concat(F.format_string("%d columns may carry the outcome: ", "flags"), F.coalesce("features", F.lit("")), F.lit(".")))
                .when(kind == "imbalance", F.format_string("The smallest class holds %.2f%% of the labelled rows.", F.col("minority_share") * 100))
                .otherwise(F.format_string("%s was selected; test %s = %.4g.", "title", "metric", "test_score")))
     ranks = lambda c, values: F.element_at(F.create_map(*[v for k, r in values.items() for v in (F.lit(k), F.lit(r))]), F.col(c))

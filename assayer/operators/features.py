@@ -109,7 +109,7 @@ def date_features(df: DataFrame, columns) -> DataFrame:
     parts = {}
     for c in columns:
         parts.update(dates.calendar_parts(c, dates.instant(_q(c), types[c].simpleString())))
-    clash = [p for p in parts if p in df.columns]
+    clash = sorted(p for p in parts if p in df.columns)
     if clash:
         raise ValueError("Derived date columns would overwrite: " + ", ".join(clash))
     bools = {c: _q(c).cast("double") for c, t in types.items() if isinstance(t, T.BooleanType)}

@@ -20,6 +20,11 @@ class Analysis:
     findings: DataFrame
     recommendations: DataFrame
     hypotheses: DataFrame
+    outliers: DataFrame | None = None  # quartile fences per numeric column
+    anomalies: DataFrame | None = None  # the most unusual flagged rows with what drives them
+    omitted: DataFrame | None = None  # numeric columns of the anomaly review and why some are left out
+    change_points: DataFrame | None = None
+    forecast: DataFrame | None = None
 
 
 def analyze(df: DataFrame, key, target: str | None = None, ts: str | None = None, measure: str | None = None, columns=None,
@@ -36,17 +41,23 @@ def analyze(df: DataFrame, key, target: str | None = None, ts: str | None = None
     tests = inference.test_pairs(table, profile, chosen, nominal, key)
     parts = [E.from_profile(P.profile_totals(profile)), E.from_tests(tests)]
     ts, measure = ts or (dates[0] if dates else None), measure or (target if target in numeric else numeric[0] if numeric else None)
+    more = {"outliers": P.outliers(table, numeric)} if numeric else {}
     if ts and measure:
         parts.insert(1, E.from_temporal(temporal.temporal_summary(table, ts, measure), measure, ts))
+        series = temporal.calendar_series(table, ts, measure)
+        more |= {"change_points": temporal.change_points(series), "forecast": temporal.forecast(series)}
     if anomalies and numeric:
-        varying = anomaly.varying_columns(table, numeric, most_scored)
+        more["omitted"] = anomaly.column_review(table, numeric, most_scored)
+        varying = [r["feature"] for r in more["omitted"].collect() if r["scored"]]  # a row per column
         if varying:
-            scored = anomaly.isolation_forest(table, varying, key, rows=table.count())
+            rows = table.count()
+            scored = anomaly.isolation_forest(anomaly.deviations(table, varying, key, rows), varying, key, rows=rows)
             parts.append(E.from_anomalies(anomaly.flag_summary(scored)))
+            more["anomalies"] = anomaly.drivers(anomaly.worst_rows(scored, key), varying)
     if target:
         parts.append(E.from_leakage(leakage.leakage(table, target, profile), target))
         if target in categories:
             parts.append(E.from_balance(metrics.class_balance(table, target), target))
     evidence = E.evidence(*parts)
     found = E.findings(evidence)
-    return Analysis(profile, tests, evidence, found, E.recommendations(found), E.hypotheses(evidence))
+    return Analysis(profile, tests, evidence, found, E.recommendations(found), E.hypotheses(evidence), **more)

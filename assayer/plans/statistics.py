@@ -364,8 +364,17 @@ def _(t):
 
 @query("ev_07_analyze")
 def _(t):
+    """The whole analysis over all columns, with the review of a target."""
     from assayer.plans.analysis import analyze
-    return analyze(t.orders, ["o_orderkey"], columns=["o_totalprice", "o_custkey", "o_orderstatus"]).findings
+    return analyze(t.orders, ["o_orderkey"], target="o_orderstatus").findings
+
+
+@query("ev_08_leaking_names", "SELECT count(*) FILTER (WHERE o_orderkey < 0) + 2 AS flags, 'o_status_copy, target_status' AS features FROM orders")
+def _(t):
+    """The finding names the columns that may carry the outcome."""
+    o = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus", F.col("o_orderstatus").alias("o_status_copy"), F.concat(F.lit("s"), "o_orderstatus").alias("target_status"))
+    flags = leakage.leakage(o, "o_orderstatus", P.profile(o, ["o_orderkey"]))
+    return E.evidence(E.from_leakage(flags, "o_orderstatus")).select("flags", "features")
 
 
 # ---- leakage --------------------------------------------------------------------------------------
@@ -412,11 +421,16 @@ def _(t):
 AN = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
-@query("an_01_columns", "SELECT 'l_quantity' AS feature FROM lineitem GROUP BY 1 UNION ALL SELECT 'l_extendedprice'")
+_AN_COLUMNS = {"l_quantity": "l_quantity", "same": "1.0", "none": "CAST(NULL AS DOUBLE)", "l_discount": "l_discount", "l_extendedprice": "l_extendedprice"}
+_AN_FACTS = union_all(f"SELECT '{c}' AS feature, {k} AS place, count({e}) AS cells, coalesce(min({e}) < max({e}), false) AS varies, count(*) AS n FROM lineitem" for k, (c, e) in enumerate(_AN_COLUMNS.items()))
+
+
+@query("an_01_columns", f"""SELECT feature, cells, omitted IS NULL AS scored, omitted FROM (SELECT *, CASE WHEN n < 20 THEN 'fewer than 20 rows' WHEN NOT varies THEN 'constant or empty'
+    WHEN sum(CAST(varies AS INTEGER)) OVER (ORDER BY place) > 2 THEN 'beyond the number of columns' END AS omitted FROM ({_AN_FACTS}))""")
 def _(t):
-    li = t.lineitem.withColumn("same", F.lit(1.0))
-    kept = anomaly.varying_columns(li, ["l_quantity", "same", "l_extendedprice"])
-    return P.counts(li).filter(F.col("column").isin(kept)).select(F.col("column").alias("feature"))
+    """Which columns are scored, and why the others are not."""
+    li = t.lineitem.withColumns({"same": F.lit(1.0), "none": F.lit(None).cast("double")})
+    return anomaly.column_review(li, list(_AN_COLUMNS), 2)
 
 
 @query("an_02_scaling", f"""WITH x AS (SELECT event_id, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS v FROM events), m AS (SELECT greatest(max(abs(v)), 1) AS f, median(v) AS med FROM x)

@@ -44,9 +44,19 @@ def _(t):
     return tables.read_table(t.spark, path).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
 
 
-@query("src_05_shape", "SELECT count(*) AS rows FROM part")
+@query("src_05_shape", """SELECT 'fits' AS "limit", CAST(NULL AS VARCHAR) AS message, count(*) AS rows FROM part UNION ALL
+    SELECT 'rows', CASE WHEN count(*) > 100 THEN 'Maximum table size is 100 rows.' END, count(*) FILTER (WHERE false) FROM part UNION ALL
+    SELECT 'columns', CASE WHEN (SELECT count(*) FROM information_schema.columns WHERE table_name = 'part') > 2 THEN 'Maximum table width is 2 columns.' END, 0 UNION ALL
+    SELECT 'empty', CASE WHEN count(*) = 0 THEN 'The table has no data rows.' END, 0 FROM part WHERE p_partkey < 0""")
 def _(t):
-    return tables.check_shape(t.part, max_columns=200).agg(F.count("*").alias("rows"))
+    """The guard lets a table pass or says which limit it breaks."""
+    rows = []
+    for name, table, limits in (("fits", t.part, {"max_rows": 10**9, "max_columns": 200}), ("rows", t.part, {"max_rows": 100}), ("columns", t.part, {"max_columns": 2}), ("empty", t.part.filter("p_partkey < 0"), {})):
+        try:
+            rows.append((name, None, tables.check_shape(table, **limits).count()))
+        except ValueError as error:
+            rows.append((name, str(error), 0))
+    return t.spark.createDataFrame(rows, "limit string, message string, rows long")
 
 
 @query("src_06_digest", """WITH x AS (SELECT CAST(('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus,
@@ -495,6 +505,21 @@ def _(t):
 
 # ---- scalar functions -----------------------------------------------------------------------------
 
+@query("set_05_name_clash", """SELECT 'free' AS source, CAST(NULL AS VARCHAR) AS message, count(*) AS rows FROM orders UNION ALL
+    SELECT 'taken', 'Derived date columns would overwrite: o_orderdate__month, o_orderdate__year', count(*) FILTER (WHERE o_orderdate IS NULL) FROM orders""")
+def _(t):
+    """Derived columns never overwrite source columns."""
+    from assayer.operators.features import date_features
+    rows = []
+    for name, extra in (("free", []), ("taken", ["o_orderdate__month", "o_orderdate__year"])):
+        table = t.orders.select("o_orderkey", "o_orderdate", *[F.lit(1).alias(c) for c in extra])
+        try:
+            rows.append((name, None, date_features(table, ["o_orderdate"]).count()))
+        except ValueError as error:
+            rows.append((name, str(error), 0))
+    return t.spark.createDataFrame(rows, "source string, message string, rows long")
+
+
 @query("fn_s1_text", "SELECT p_partkey, lower(trim(p_brand)) AS low, substr(p_name, 1, 5) AS cut, replace(p_name, ' ', '_') AS joined FROM part")
 def _(t):
     return t.part.select("p_partkey", F.lower(text.clean("p_brand")).alias("low"), F.substring("p_name", 1, 5).alias("cut"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("joined"))
