@@ -27,8 +27,6 @@ from assayer.llm.common import batch_rows
 
 TRAIN_PAGES, VARIANTS, EPOCHS = 200, 4, 10
 HIDDEN, PATH_SLOTS, WORD_SLOTS, FIGURES = 24, 256, 32, 12
-#: Ancestors of a block that its features name; blocks are never left out.
-PATH_DEPTH = 16
 BATCH_BLOCKS = 4096
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)(?:>|\Z)""", re.S)
@@ -37,9 +35,12 @@ NAME = re.compile(r"[a-z]+")
 WORD = re.compile(r"\w+")
 # Fixed by HTML: elements without content, raw or unshown content, inline elements, and what closes an open p.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSHOWN = frozenset("script style template noscript svg math iframe object textarea select button title canvas audio video".split())
-RAW = frozenset("script style textarea title iframe noscript".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+UNSHOWN = frozenset("script style template iframe textarea select title".split())
+RAW = frozenset("script style textarea title iframe".split())
+# Formulas, drawings, controls and what stands in for media flow with the text around them.
+FLOWING = frozenset("""math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mspace mstyle semantics annotation
+svg g text tspan path rect circle line polygon polyline ellipse defs use symbol object button audio video canvas noscript""".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()) | FLOWING
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 #: Names of containers for training: the article's own, and what is not part of an article.
@@ -50,13 +51,79 @@ OTHER_NAMES = ("nav", "menu", "navbar", "navigation", "breadcrumb", "header", "s
 OTHER_TAGS = ("nav", "header", "footer", "aside", "form")
 
 
+class Branch:
+    """An open element below another: blocks share their way up."""
+
+    __slots__ = ("above", "here")
+
+    def __init__(self, above: Branch | None, here: tuple[str, tuple[str, ...]]):
+        self.above, self.here = above, here
+
+
 class Piece:
-    """A leaf block: its text, the characters of it inside links, and (tag, names) of its ancestors."""
+    """A leaf block: its text, the characters of it inside links, and (tag, names) of all its ancestors.
 
-    __slots__ = ("links", "path", "text")
+    ``slots``: the hashed path, where the parser has kept it up; else it follows from the path.
+    """
 
-    def __init__(self, text: str, links: int, path: tuple):
-        self.text, self.links, self.path = text, links, path
+    __slots__ = ("_path", "links", "slots", "text")
+
+    def __init__(self, text: str, links: int, path: tuple | Branch | None, slots: np.ndarray | None = None):
+        self.text, self.links, self._path, self.slots = text, links, path, slots
+
+    @property
+    def path(self) -> tuple:
+        if isinstance(self._path, tuple):
+            return self._path
+        out, at = [], self._path
+        while at is not None:
+            out.append(at.here)
+            at = at.above
+        return tuple(reversed(out))
+
+    @property
+    def branch(self) -> Branch | None:
+        if not isinstance(self._path, tuple):
+            return self._path
+        at = None
+        for here in self._path:
+            at = Branch(at, here)
+        return at
+
+    @property
+    def last(self) -> str | None:
+        """The tag right above the block."""
+        return (self._path[-1][0] if self._path else None) if isinstance(self._path, tuple) else self._path and self._path.here[0]
+
+
+class OpenPath:
+    """The elements open at a place of a page, and the hashed set of their tags and names."""
+
+    def __init__(self):
+        self.stack: list[Branch] = []
+        self.open: dict[str, int] = {}  # tokens of open elements
+        self.known: dict[str, tuple[int, float]] = {}
+        self.slots = np.zeros(PATH_SLOTS, np.float32)
+
+    def enter(self, tag: str, names: tuple[str, ...]) -> None:
+        self.stack.append(Branch(self.stack[-1] if self.stack else None, (tag, names)))
+        for token in (tag, *names):
+            n = self.open.get(token, 0)
+            self.open[token] = n + 1
+            if not n:
+                if token not in self.known:
+                    self.known[token] = slot(token, PATH_SLOTS)
+                i, sign = self.known[token]
+                self.slots[i] += sign
+
+    def leave(self) -> str:
+        tag, names = self.stack.pop().here
+        for token in (tag, *names):
+            self.open[token] -= 1
+            if not self.open[token]:
+                i, sign = self.known[token]
+                self.slots[i] -= sign
+        return tag
 
 
 def names_of(attributes: str) -> tuple[str, ...]:
@@ -69,33 +136,32 @@ def names_of(attributes: str) -> tuple[str, ...]:
 def blocks_of(page: str | None) -> list[Piece]:
     """Leaf blocks in page order; white space inside one is one space, references are decoded."""
     page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    open_, found, parts, links, path = {}, [], [], 0, None
+    above, open_, found, parts, links, place = OpenPath(), {}, [], [], 0, None
     at, end, hidden = 0, len(page), 0
 
     def flush():
-        nonlocal parts, links, path
+        nonlocal parts, links, place
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append(Piece(text, links, path))
-            parts, links, path = [], 0, None
+                found.append(Piece(text, links, *place))
+            parts, links, place = [], 0, None
 
     def words(piece: str):
-        nonlocal links, path
+        nonlocal links, place
         if hidden or not piece:
             return
         piece = entities.unescape(piece)
         parts.append(piece)
-        if path is None and not piece.isspace():
-            path = tuple(x for x in stack[-PATH_DEPTH:])
+        if place is None and not piece.isspace():
+            place = above.stack[-1] if above.stack else None, above.slots.copy()
         if open_.get("a"):
             links += len(piece.strip())
 
     def leave(tag: str):
         nonlocal hidden
-        while stack:
-            name, _ = stack.pop()
+        while above.stack:
+            name = above.leave()
             open_[name] -= 1
             hidden -= name in UNSHOWN
             if name == tag:
@@ -121,14 +187,14 @@ def blocks_of(page: str | None) -> list[Piece]:
             continue
         if tag in CLOSES_P and open_.get("p"):
             leave("p")
-        if tag in ("li", "tr", "td", "th", "option", "dt", "dd") and stack and stack[-1][0] == tag:
+        if tag in ("li", "tr", "td", "th", "option", "dt", "dd") and above.stack and above.stack[-1].here[0] == tag:
             leave(tag)
         if m[3].endswith("/") and tag in UNSHOWN:
             continue
         if tag in RAW:
             close = re.compile(f"</{tag}", re.I).search(page, at)
             at = end if close is None else close.start()
-        stack.append((tag, names_of(m[3])))
+        above.enter(tag, names_of(m[3]))
         open_[tag] = open_.get(tag, 0) + 1
         hidden += tag in UNSHOWN
     flush()
@@ -148,9 +214,11 @@ def features(pieces: list[Piece]) -> np.ndarray:
     vectors: dict[str, tuple[int, float]] = {}
     for k, piece in enumerate(pieces):
         row, text = out[k], piece.text
-        tokens = {w for tag, names in piece.path for w in (tag, *names)}
-        if piece.path:
-            tokens.add("last:" + piece.path[-1][0])
+        tokens = {w for tag, names in piece.path for w in (tag, *names)} if piece.slots is None else set()
+        if piece.slots is not None:
+            row[:PATH_SLOTS] = piece.slots
+        if piece.last:
+            tokens.add("last:" + piece.last)
         for token in tokens:
             if token not in known:
                 known[token] = slot(token, PATH_SLOTS)
@@ -276,12 +344,22 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def marked(pieces: list[Piece]) -> list[int] | None:
     """Labels from the page's own markup, None where it names no article."""
     other = {n for name in OTHER_NAMES for n in NAME.findall(name)} - {"meta", "form", "header"}
-    out = []
-    for piece in pieces:
-        tags = [t for t, _ in piece.path]
-        start = max((k for k, t in enumerate(tags) if t in ("article", "main")), default=-1)
-        inside = start >= 0 and not any(t in ("nav", "footer", "aside", "form") or other.intersection(names) for t, names in piece.path[start + 1:])
-        out.append(int(inside))
+    known: dict[Branch | None, bool] = {None: False}
+
+    def inside(at: Branch | None) -> bool:
+        """Below an article, and below nothing foreign since; elements above are looked at once."""
+        way = []
+        while at not in known:
+            way.append(at)
+            at = at.above
+        now = known[at]
+        for branch in reversed(way):
+            tag, names = branch.here
+            now = tag in ("article", "main") or now and tag not in ("nav", "footer", "aside", "form", "button") and not other.intersection(names)
+            known[branch] = now
+        return now
+
+    out = [int(inside(piece.branch)) for piece in pieces]
     return out if any(out) else None
 
 
@@ -302,7 +380,7 @@ def rearranged(main: list[Piece], other: list[Piece], foreign: list[str], rng: n
         for _ in range(int(rng.integers(1, 7))):
             if style < 0.5:  # short items, often links
                 text = " ".join(pick(foreign).split()[:int(rng.integers(1, 5))]) or "x"
-                out.append((Piece(text, len(text) if rng.random() < 0.8 else 0, box + (("ul", ()), ("li", ()))), 0))
+                out.append((Piece(text, len(text) if rng.random() < 0.8 else 0, box + ((("button", ()),) if rng.random() < 0.15 else (("ul", ()), ("li", ())))), 0))
             else:  # sentences, as in notices and comments
                 text = pick(foreign) if rng.random() < 0.6 else pick(other).text
                 out.append((Piece(text, 0, box + (((pick(("p", "p", "div", "span")), ()),) if rng.random() < 0.8 else ())), 0))
@@ -319,7 +397,7 @@ def rearranged(main: list[Piece], other: list[Piece], foreign: list[str], rng: n
     for k, piece in enumerate(main):
         if k == cut:
             page += part(shell)
-        tag = piece.path[-1][0] if piece.path else "p"
+        tag = piece.last or "p"
         tag = tag if tag in ("h1", "h2", "h3", "p", "li", "blockquote", "pre") else "p"
         above = shell + ((("header", ()),) if tag == "h1" and rng.random() < 0.3 else ()) + ((("ul", ()),) if tag == "li" else ())
         if tag == "p" and rng.random() < 0.1:

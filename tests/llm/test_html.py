@@ -31,6 +31,18 @@ def test_blocks():
     assert B.blocks_of("<a href=x>link</a> text")[0].links == 4
 
 
+def test_all_text_reaches_the_labeller():
+    text = lambda page: [p.text for p in B.blocks_of(page)]
+    assert text("<article><p>The area is <math><mi>a</mi><mo>*</mo><mi>b</mi></math> square metres</p></article>") == ["The area is a*b square metres"]
+    assert text("<p>See <object data=x>the fallback</object>, <svg><text>a label</text></svg> and <video>no video</video> end.") == ["See the fallback, a label and no video end."]
+    assert text("<div>a</div><button>Share</button><div>b<noscript>c</noscript></div><select><option>1</select><textarea>t</textarea><title>x</title>") == ["a", "Share", "bc"]
+    far = B.blocks_of("<article class=story>" + "<div>" * 40 + "<p>far below</p>" + "<p>and again</p>")
+    assert far[1].path[0] == ("article", ("story",)) and B.marked(far) == [1, 1]
+    assert (B.features(far)[1][:B.PATH_SLOTS] == B.features([B.Piece(far[1].text, 0, far[1].path)] * 2)[1][:B.PATH_SLOTS]).all()
+    wide = B.blocks_of("".join(f"<div class=c{chr(97 + k % 26)}>word " for k in range(20_000)))
+    assert len(wide) == 20_000  # open elements are shared, not copied
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     m = B.Labeller({k: v.astype(np.float64) for k, v in B.Labeller.fresh(5, 3).w.items()})
