@@ -13,7 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.operators import inference, ranking
+from assayer.functions import numbers
+from assayer.operators import ranking
 from assayer.operators.normalize import quoted
 from assayer.operators.sampling import stable_sample
 
@@ -159,13 +160,17 @@ def contribution_summary(contributions: DataFrame, mapping: DataFrame | None = N
 
 
 def directions(contributions: DataFrame, features, key, least: int = 8, cut: float = 0.5, rows: int | None = None) -> DataFrame:
-    """Spearman correlation of value and contribution per feature where it is strong."""
-    out = None
-    rows = contributions.count() if rows is None else rows
-    for f in features:
-        one = inference.spearman(contributions.filter(F.col("feature") == f).select("value", "contribution"), [("value", "contribution")], (), rows)
-        one = one.select(F.lit(f).alias("feature"), "n", "coefficient")
-        out = one if out is None else out.unionByName(one)
+    """Spearman correlation of value and contribution per feature where it is strong.
+
+    All features are ranked together, each among its own rows, whatever their number.
+    """
+    both = contributions.filter(F.col("feature").isin(list(features)) & F.col("value").isNotNull() & F.col("contribution").isNotNull()).select("feature", "value", "contribution")
+    rows = both.count() if rows is None else rows
+    ranked = both
+    for c in ("value", "contribution"):
+        table = ranking.average_ranks(both.select("feature", c), c, ["feature"], rows=rows).select("feature", c, F.col("avg_rank").alias(f"__rank_{c}"))
+        ranked = ranked.join(table, ["feature", c])  # distinct values of a feature: Spark broadcasts the table only if it measures small
+    out = ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.expr(numbers.corr_sql("__rank_value", "__rank_contribution")).alias("coefficient"))
     return (out.filter((F.col("n") >= least) & (F.abs("coefficient") >= cut))
             .withColumn("direction", F.when(F.col("coefficient") > 0, "higher with higher values").otherwise("lower with higher values")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 
@@ -351,6 +353,12 @@ def _(t):
     return P.overview(P.profile_totals(P.profile(t.events, ["event_id"]))).select("place", "sentence", "kind")
 
 
+@query("ev_06_strongest_pair", f"""SELECT CAST(5 AS BIGINT) AS place, x || ' and ' || y || ' have a Pearson correlation of ' || printf('%.2f', c) || '.' AS sentence FROM
+    ({union_all(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 3) AS c FROM lineitem" for a, b in itertools.combinations(sorted(LINE_NUMBERS), 2))}) ORDER BY abs(c) DESC, x, y LIMIT 1""")
+def _(t):
+    return P.overview(P.profile_totals(P.profile(t.region, ["r_regionkey"])), P.correlations(t.lineitem, LINE_NUMBERS)).filter("place = 5").select("place", "sentence")
+
+
 @query("nrm_12_roles", """SELECT 'o_orderkey' AS "column", true AS usable_numeric, false AS bounded_category, false AS is_date FROM orders WHERE o_orderkey = 0
     UNION ALL SELECT 'o_custkey', true, false, false UNION ALL SELECT 'o_orderstatus', false, true, false UNION ALL SELECT 'o_totalprice', true, false, false
     UNION ALL SELECT 'o_orderdate', false, false, true UNION ALL SELECT 'o_orderpriority', false, true, false""")
