@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from assayer.functions import numbers
 from assayer.operators import quantiles as q
 from assayer.operators.normalize import quoted
+from assayer.operators.together import run_together
 
+TREES_TOGETHER = 8  # trees grown by one call
 ROBUST = 1.4826  # fixed value: median absolute deviation to standard deviation
 
 
@@ -45,11 +47,12 @@ def scaled_columns(df: DataFrame, columns, rows: int | None = None):
     Returns the table with the scaled columns added as s0, s1, ... and the facts per column.
     """
     rows = df.count() if rows is None else rows
-    top = df.selectExpr(*[f"max(abs({numbers.finite_sql(c)})) AS `{c}`" for c in columns]).first()
-    factor = {c: max(top[c] or 0.0, 1.0) for c in columns}
-    scaled = df.select("*", *[(numbers.finite(_q(c)) / F.lit(factor[c])).alias(f"s{i}") for i, c in enumerate(columns)])
     names = [f"s{i}" for i in range(len(columns))]
-    middle = q.medians(scaled, names, rows=rows).first()
+    clean = df.selectExpr(*[f"{numbers.finite_sql(c)} AS {s}" for c, s in zip(columns, names)])
+    top, middle = run_together(df.sparkSession, clean.selectExpr(*[f"max(abs({s})) AS {s}" for s in names]).first, q.medians(clean, names, rows=rows).first)
+    factor = {c: max(top[s] or 0.0, 1.0) for c, s in zip(columns, names)}
+    middle = {s: None if middle[s] is None else middle[s] / factor[c] for c, s in zip(columns, names)}
+    scaled = df.select("*", *[(numbers.finite(_q(c)) / F.lit(factor[c])).alias(s) for c, s in zip(columns, names)])
     filled = scaled.withColumns({s: F.coalesce(F.col(s), F.lit(middle[s])) for s in names})
     return filled, {c: (factor[c], middle[s]) for c, s in zip(columns, names)}
 
@@ -144,14 +147,16 @@ def isolation_forest(df: DataFrame, columns, key, trees: int = 80, rows_per_tree
     psi = max(1, min(rows_per_tree, rows))
     limit = math.ceil(math.log2(max(psi, 2)))
 
-    def build(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("__place")
-        tree = int(part["tree"].iloc[0])
-        grown = _grow(part[names].to_numpy(dtype=float), np.random.default_rng([seed, tree]), limit)
-        return pd.DataFrame({"tree": [tree], **{k: [list(map(float, v))] for k, v in zip(("feature", "cut", "left", "depth"), grown)}})
+    def build(lot: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for tree, part in lot.groupby("tree"):
+            grown = _grow(part.sort_values("__place")[names].to_numpy(dtype=float), np.random.default_rng([seed, int(tree)]), limit)
+            out.append((int(tree), *[list(map(float, v)) for v in grown]))
+        return pd.DataFrame(out, columns=["tree", "feature", "cut", "left", "depth"])
 
     drawn = tree_samples(scaled, key, names, trees, rows_per_tree, rows)
-    grown = drawn.groupBy("tree").applyInPandas(build, "tree long, feature array<double>, cut array<double>, left array<double>, depth array<double>").toPandas()
+    lots = max(1, trees // TREES_TOGETHER)  # a few trees of ``rows_per_tree`` rows each
+    grown = drawn.groupBy(F.col("tree") % lots).applyInPandas(build, "tree long, feature array<double>, cut array<double>, left array<double>, depth array<double>").toPandas()
     forest = spark.sparkContext.broadcast([
         (np.array(r.feature, dtype=int), np.array(r.cut), np.array(r.left, dtype=int), np.array(r.depth))
         for r in grown.sort_values("tree").itertuples()])
