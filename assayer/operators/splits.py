@@ -20,7 +20,6 @@ from assayer.operators import ranking
 from assayer.operators.profile import types_of
 
 PARTS = ["train", "validation", "test"]
-MOST_CLASSES = 20
 
 
 class SplitError(ValueError):
@@ -33,22 +32,28 @@ def part_sizes(n: int, test_size: float = 0.2, validation_size: float = 0.2) ->
     return test, math.ceil((n - test) * validation_size)
 
 
-def hash_cuts(df: DataFrame, key, wanted, within: str | None = None, digits: int = 4) -> dict:
+def _class_of(name: str) -> Column:
+    """A class as a text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("null"))
+
+
+def hash_cuts(df: DataFrame, key, wanted, within: str | None = None) -> dict:
     """Per class the size and the hashes at the wanted positions in md5 order of the key.
 
     ``wanted(n)`` gives the positions for a class of n rows. Rows are counted by the first
-    digits of the hash; only the few buckets that hold a wanted position are looked into.
+    digits of the hash, as many as the rows need; only the few buckets that hold a wanted position are
+    looked into. The driver holds a few hashes for every class.
     """
-    group = F.col(within).cast("string") if within else F.lit("")
-    hashed = df.select(group.alias("g"), key_hash(key).alias("h")).withColumn("b", F.substring("h", 1, digits))
-    if within and df.select(within).distinct().limit(MOST_CLASSES + 1).count() > MOST_CLASSES:
-        raise SplitError(f"Stratified splits take at most {MOST_CLASSES} classes.")
-    sizes = {r["g"]: r["n"] for r in hashed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    group = _class_of(within) if within else F.lit("")
+    hashed = df.select(group.alias("g"), key_hash(key).alias("h"))
+    sizes = {r["g"]: r["n"] for r in hashed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}  # the classes of a target
+    digits = max(1, math.ceil(math.log(max(1, sum(sizes.values()) / ranking.HASH_ROWS), 16)))
+    hashed = hashed.withColumn("b", F.substring("h", 1, digits))
     targets = [(g, i, int(p)) for g, n in sizes.items() for i, p in enumerate(wanted(n)) if 0 < p <= n]
     if not targets:
         return {g: (n, [None] * len(wanted(n))) for g, n in sizes.items()}
     filled = hashed.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n"))
-    over = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # 16^digits buckets at most
+    over = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
     placed = filled.withColumn("before", F.coalesce(F.sum("n").over(over), F.lit(0)))
     asked = F.broadcast(df.sparkSession.createDataFrame(targets, "g string, i int, p long"))
     hits = placed.join(asked, "g").filter((F.col("before") < F.col("p")) & (F.col("p") <= F.col("before") + F.col("n"))).collect()
@@ -64,12 +69,13 @@ def hash_cuts(df: DataFrame, key, wanted, within: str | None = None, digits: int
 
 
 def _by_class(cuts: dict, within: str | None, choose) -> Column:
+    """``choose`` made of the cut hashes of a row's own class: one lookup, however many classes there are."""
+    listed = {g: F.array(*[F.lit(h).cast("string") for h in hashes]) for g, (_, hashes) in cuts.items()}
     if within is None:
-        return choose(cuts.get("", (0, []))[1])
-    column = F.lit(None)
-    for g, (_, hashes) in cuts.items():
-        column = F.when(F.col(within).cast("string").eqNullSafe(F.lit(g)), choose(hashes)).otherwise(column)
-    return column
+        own = listed.get("", F.array())
+        return choose(lambda i: F.get(own, F.lit(i)))
+    own = F.try_element_at(F.create_map(*[x for g, hashes in listed.items() for x in (F.lit(g), hashes)]), _class_of(within))
+    return choose(lambda i: F.get(own, F.lit(i)))
 
 
 def _hash_part(df: DataFrame, key, target: str | None, test_size: float) -> Column:
@@ -78,14 +84,8 @@ def _hash_part(df: DataFrame, key, target: str | None, test_size: float) -> Colu
         return [test, test + validation]
     cuts = hash_cuts(df, key, wanted, target)
     h = key_hash(key)
-
-    def choose(hashes):
-        test, validation = hashes
-        part = F.lit("train")
-        if validation is not None:
-            part = F.when(h <= validation, "validation").otherwise(part)
-        return part if test is None else F.when(h <= test, "test").otherwise(part)
-    return _by_class(cuts, target, choose)
+    # A class without such a position has no hash there, and the comparison does not hold.
+    return _by_class(cuts, target, lambda cut: F.when(h <= cut(0), "test").when(h <= cut(1), "validation").otherwise("train"))
 
 
 def random_split(df: DataFrame, key, target: str | None = None, test_size: float = 0.2) -> DataFrame:
@@ -182,10 +182,10 @@ def random_folds(df: DataFrame, key, k: int = 3, target: str | None = None) -> D
         return [n * (i + 1) // k for i in range(k - 1)]
     cuts, h = hash_cuts(df, key, wanted, target), key_hash(key)
 
-    def choose(hashes):
+    def choose(cut):
         fold = F.lit(k - 1)
         for i in range(k - 2, -1, -1):
-            fold = F.when(h <= hashes[i], i).otherwise(fold) if hashes[i] is not None else fold
+            fold = F.when(h <= cut(i), i).otherwise(fold)
         return fold
     return df.withColumn("fold", _by_class(cuts, target, choose).cast("int"))
 

@@ -69,3 +69,11 @@ def test_groups_are_dealt_to_the_lightest_fold():
                 weight[fold] += size
                 expected[size, fold] = expected.get((size, fold), 0) + 1
         assert {(s, f): n for s, f, n in splits.dealt_sizes(list(steps.items()), k)} == expected
+
+
+def test_splits_take_many_classes(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 60 == 7, None).otherwise(F.concat(F.lit("c"), (F.col("id") % 60).cast("string"))).alias("label"))
+    parts = {(r.label, r.part): r["count"] for r in splits.random_split(rows, ["id"], "label").groupBy("label", "part").count().collect()}
+    assert len(parts) == 180 and {(p, n) for (_, p), n in parts.items()} == {("test", 10), ("validation", 8), ("train", 32)}
+    folds = {(r.label, r.fold): r["count"] for r in splits.random_folds(rows, ["id"], 5, "label").groupBy("label", "fold").count().collect()}
+    assert len(folds) == 300 and set(folds.values()) == {10}
