@@ -28,6 +28,8 @@ PRIOR = 0.1
 FREQUENT = 20_000
 WORD_BATCH = 20_000
 LONG_WORD = 64
+#: Code points of a long word whose edges are held at once.
+LONG_WINDOW = 65_536
 HELD_OUT = (7, 2)  # modulus and remainder of crc32(id)
 END = np.uint64(0x3C79AC492BA7B653)
 SPACE = "▁"  # the piece model's mark of a word start
@@ -74,12 +76,13 @@ class Lattice:
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Piece number of the edge of length l + 1 that ends at a code point (count + 2: none), its log weight, and word starts."""
-        codes = self._codes("".join(SPACE + w for w in words))
-        size = np.array([len(w) + 1 for w in words])
+        return self._edges(self._codes("".join(SPACE + w for w in words)), np.array([len(w) + 1 for w in words]))
+
+    def _edges(self, codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start = np.cumsum(size) - size
         n = len(codes)
         if len(self.up) <= n:
-            self.up, self.down = powers(1 << (n + 1).bit_length())
+            self.up, self.down = powers(n + n // 8 + 1)
         total = np.append(np.uint64(0), np.cumsum(spread(codes + np.uint64(1)) * self.up[:n], dtype=np.uint64))
         place = np.arange(n) - np.repeat(start, size)  # code points before in the word
         numbers = np.full((self.longest, n), self.count + 2, np.int32)
@@ -149,27 +152,47 @@ class Lattice:
             share = np.exp(alpha[j - l - 1, w] + values[l, ends] + beta[j, w] - total[w]) * weight[w]
             uses += np.bincount(numbers[l, ends], share, minlength=len(uses))
 
-    def _one(self, word, i, counts, out, uses) -> None:
-        """A long word position by position."""
-        numbers, values, _ = self.edges([word])
-        n, rows = values.shape[1], values.T.tolist()
-        alpha = [0.0] + [-math.inf] * n
+    def _ending(self, codes: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Edges that end at the code points a to b - 1 of a word."""
+        begin = max(0, a - self.longest + 1)
+        numbers, values, _ = self._edges(codes[begin:b], np.array([b - begin]))
+        return numbers[:, a - begin:], values[:, a - begin:]
+
+    def _one(self, word, i, counts, out, uses, window: int = LONG_WINDOW) -> None:
+        """A long word position by position; its edges are there for one window at a time."""
+        codes, longest, none = self._codes(SPACE + word), self.longest, -math.inf
+        n = len(codes)
 
         def add(terms):
-            top = max(terms)
-            return top if top == -math.inf else top + math.log(sum(math.exp(t - top) for t in terms))
-        for j in range(1, n + 1):
-            alpha[j] = add([alpha[j - l - 1] + rows[j - 1][l] for l in range(min(j, self.longest)) if rows[j - 1][l] != -math.inf])
+            top = max(terms, default=none)
+            return top if top == none else top + math.log(sum(math.exp(t - top) for t in terms))
+
+        alpha = np.full(n + 1, none)
+        alpha[0] = 0.0
+        for a in range(0, n, window):
+            b = min(n, a + window)
+            rows, base = self._ending(codes, a, b)[1].T.tolist(), max(0, a - longest)
+            near = alpha[base:a + 1].tolist()
+            for j in range(a + 1, b + 1):
+                row = rows[j - 1 - a]
+                near.append(add([near[j - l - 1 - base] + row[l] for l in range(min(j, longest)) if row[l] != none]))
+            alpha[a + 1:b + 1] = near[a + 1 - base:]
         out[i] = alpha[n]
         if counts is None:
             return
-        beta = [-math.inf] * n + [0.0]
-        for j in range(n - 1, -1, -1):
-            beta[j] = add([rows[j + l][l] + beta[j + l + 1] for l in range(min(n - j, self.longest)) if rows[j + l][l] != -math.inf] or [-math.inf])
-        first, last = np.array(alpha), np.array(beta)
-        for l in range(min(n, self.longest)):
-            ends = np.arange(l, n)
-            uses += np.bincount(numbers[l, ends], np.exp(first[ends - l] + values[l, ends] + last[ends + 1] - alpha[n]) * counts[i], minlength=len(uses))
+        beta = np.full(n + 1, none)
+        beta[n] = 0.0
+        for a in reversed(range(0, n, window)):
+            b = min(n, a + window)
+            numbers, values = self._ending(codes, a, min(n, b + longest))
+            rows, near = values.T.tolist(), [none] * (b - a) + beta[b:min(n, b + longest) + 1].tolist()
+            for j in range(b - 1, a - 1, -1):
+                near[j - a] = add([rows[j + l - a][l] + near[j + l + 1 - a] for l in range(min(n - j, longest)) if rows[j + l - a][l] != none])
+            beta[a:b] = near[:b - a]
+            for l in range(min(b, longest)):
+                ends = np.arange(max(a, l), b)
+                at = ends - a
+                uses += np.bincount(numbers[l, at], np.exp(alpha[ends - l] + values[l, at] + beta[ends + 1] - alpha[n]) * counts[i], minlength=len(uses))
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:

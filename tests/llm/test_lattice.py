@@ -55,6 +55,30 @@ def test_forward_is_the_sum_over_segmentations():
         assert abs(slope - uses[k]) < 1e-4
 
 
+def test_long_words_run_in_windows():
+    pieces = [S.SPACE, "a", "b", "ab", "ba", S.SPACE + "a", "abb", S.SPACE + "ab", "babab", "b☃"]
+    p = np.random.default_rng(4).random(len(pieces) + 2)
+    lattice = S.Lattice(pieces, np.log(p / p.sum()))
+    word = "".join(np.random.default_rng(5).choice(list("ab☃é"), 300, p=[0.5, 0.4, 0.05, 0.05]))
+    found = []
+    for window in (7, 64, 301, 1000):
+        out, uses = np.zeros(1), np.zeros(lattice.count + 3)
+        lattice._one(word, 0, np.array([2.0]), out, uses, window)
+        found.append((out, uses))
+    assert all(np.allclose(out, found[0][0]) and np.allclose(uses, found[0][1]) for out, uses in found)
+
+
+def test_a_very_long_word_needs_little_memory():
+    import tracemalloc
+    lattice = S.Lattice([S.SPACE, "a", "b", "ab", "abab" * 4], np.log(np.full(7, 0.1)))
+    word = "ab" * 100_000
+    tracemalloc.start()
+    found = lattice.forward([word])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(found) and peak < 80e6
+
+
 def brute(rows):
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
     c, texts = Counter(), 0
