@@ -1,12 +1,13 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model.
 
-The model is fitted on a bounded sample of trusted labelled rows (``train_rows`` rows and
-``train_words`` words, in md5 order of the id), of which a fifth per language is held out first. Its n-gram, continuation and context counts are
-Spark aggregations; the resulting probability tables are cut by key into shards, each a broadcast
-whose size the two bounds limit. Every batch of documents joins its n-grams with one shard after
-another, so documents are not shuffled and a task holds one batch and the shards.
-
-Thresholds cover all labelled rows outside the sample, the held-out ones among them: per language, the trusted perplexity quantile
+The model is fitted on all trusted labelled rows but every fifth id by language, which is held out for
+the thresholds. Its n-gram, continuation and context counts are Spark aggregations. A model of at most
+``held_words`` training words is broadcast: its tables are cut by key into shards, and a batch of
+documents looks its n-grams up in one shard after another. A larger model stays a table: the score of a
+text is a sum of one value per word, word pair and word triple, so the n-grams of the documents meet the
+values in one join by key, but for the ``HEAD`` most frequent ones, which are broadcast.
+
+Thresholds cover all labelled rows that are not in the model: per language, the trusted perplexity quantile
 that best separates trusted from rejected rows. All documents are scored over their whole texts.
 """
 
@@ -22,9 +23,14 @@ from pyspark.sql import functions as F
 from assayer.llm.common import batch_rows, fields, stored, without
 from assayer.llm.word_hashes import WordHasher, ascii_space_words, slices, spread
 
-TRAIN_ROWS = 2_000
-TRAIN_WORDS = 1_500_000
+#: A model of more training words than this is joined with the documents and not broadcast.
+HELD_WORDS = 1_500_000
+#: So many of a joined model's most frequent n-grams are broadcast all the same.
+HEAD = 500_000
 SHARDS = 4
+#: Leading digits of the id's md5 that cut the trusted ids of a language into runs.
+RUN_DIGITS = 3
+WORDS = r"[^\x20\x09-\x0D]+"
 #: Tokens of its language's mean perplexity that every text gets, so that short texts are judged with care.
 PRIOR_TOKENS = 10.0
 LEVELS = (0.90, 0.95, 0.98, 0.99, 0.995, 0.999, 1.0)
@@ -65,10 +71,33 @@ def count_rows(texts: pa.Array) -> Iterator[pa.RecordBatch]:
     for begin, end in slices(texts):
         words, _, _, first = hasher(texts[begin:end])
         w1, w2, w3, _ = trigrams(words, first)
-        k12, k23 = both(w1, w2), both(w2, w3)
-        key, index, n = np.unique(both(k12, w3), return_index=True, return_counts=True)
-        columns = (key, k12[index], k23[index], w2[index], w3[index])
-        yield pa.RecordBatch.from_arrays([*[pa.array(c.view(np.int64)) for c in columns], pa.array(n)], ["k123", "k12", "k23", "w2", "w3", "n"])
+        k12 = both(w1, w2)
+        _, index, n = np.unique(both(k12, w3), return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([*[pa.array(c[index].view(np.int64)) for c in (k12, w2, w3)], pa.array(n)], ["k12", "w2", "w3", "n"])
+
+
+def longer_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counted trigrams with the keys of the whole and of its last two words."""
+    for batch in batches:
+        k12, w2, w3 = (batch.column(c).to_numpy().view(np.uint64) for c in ("k12", "w2", "w3"))
+        added = [pa.array(k.view(np.int64)) for k in (both(k12, w3), both(w2, w3))]
+        yield pa.RecordBatch.from_arrays([*added, *batch.columns], ["k123", "k23", *batch.schema.names])
+
+
+def ids_to_learn(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+    """Ids of the trusted texts with words, but every ``HELD``-th by language, in md5 order of the id.
+
+    An id is numbered in its run of leading md5 digits, beyond all earlier runs.
+    """
+    spoken = docs.filter(F.regexp_count(F.col(f"`{text}`"), F.lit(WORDS)) > 0).select(F.col(f"`{doc_id}`").alias("id"), group_of(F.col(f"`{lang}`")).alias("of"))
+    order = F.md5(F.col("id").cast("string"))
+    found = spoken.join(labels.filter("trusted").select("id"), "id").distinct().withColumn("order", order).withColumn("run", F.substring(order, 1, RUN_DIGITS))
+    found = stored(found, "trusted")
+    before = Window.orderBy("of", "run").rowsBetween(Window.unboundedPreceding, -1)  # a row per language and run
+    runs = found.groupBy("of", "run").agg(F.count(F.lit(1)).alias("n")).select("of", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("of", "run").orderBy("order", "id"))
+    held = found.join(runs, ["of", "run"]).withColumn("place", place).groupBy("id").agg(F.max(F.col("place") % HELD == 2).alias("held"))
+    return held.filter("NOT held").select("id")
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str, rows: int, words: int) -> DataFrame:
@@ -108,14 +137,15 @@ def discounted(counts: DataFrame, context: list[str]) -> tuple[DataFrame, DataFr
     return counts.join(contexts, context).withColumn("a", (F.col("c") - off) / F.col("total")), contexts
 
 
-def fit(sample: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Key and value of the model's tables, by key; their size is bounded by the sample's bounds."""
+def probabilities(sample: DataFrame) -> tuple[dict[str, DataFrame], float]:
+    """The model's tables (shares a of known n-grams, weights g left by known contexts, p1 of words) and the probability of any other word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from count_rows(batch.column("text"))
 
-    seen = sample.select("text").mapInArrow(run, "k123 bigint, k12 bigint, k23 bigint, w2 bigint, w3 bigint, n bigint")
-    three = stored(seen.groupBy("k123", "k12", "k23", "w2", "w3").agg(F.sum("n").alias("c")), "trigrams")
+    seen = sample.select("text").mapInArrow(run, "k12 bigint, w2 bigint, w3 bigint, n bigint")
+    counted = stored(seen.groupBy("k12", "w2", "w3").agg(F.sum("n").alias("c")), "trigrams")
+    three = counted.mapInArrow(longer_keys, f"k123 bigint, k23 bigint, {fields(counted)}")
     two = stored(three.groupBy("k23", "w2", "w3").agg(F.count(F.lit(1)).alias("c")), "bigrams")
     one = two.groupBy("w3").agg(F.count(F.lit(1)).alias("c")).withColumn("all", F.lit(0))  # one context for all
     a3, g3 = discounted(three, ["k12"])
@@ -124,8 +154,14 @@ def fit(sample: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     vocabulary = one.count() + 1
     left = g1.first()
     uniform = (left["g"] if left else 1.0) / vocabulary
-    parts = {"a3": a3.select("k123", "a"), "g3": g3.select("k12", "g"), "a2": a2.select("k23", "a"), "g2": g2.select("w2", "g"),
-             "p1": a1.select("w3", F.col("a") + F.lit(uniform))}
+    return {"a3": a3, "g3": g3, "a2": a2, "g2": g2, "p1": a1.withColumn("p", F.col("a") + F.lit(uniform))}, uniform
+
+
+def fit(sample: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Key and value of the model's tables, by key, for a sample of at most ``HELD_WORDS`` words or so."""
+    tables, uniform = probabilities(sample)
+    parts = {"a3": tables["a3"].select("k123", "a"), "g3": tables["g3"].select("k12", "g"), "a2": tables["a2"].select("k23", "a"), "g2": tables["g2"].select("w2", "g"),
+             "p1": tables["p1"].select("w3", "p")}
     model = {}
     for name, part in parts.items():
         rows = part.toArrow()
@@ -223,6 +259,71 @@ class Scorer:
         return np.concatenate(words), np.concatenate(nll)
 
 
+def gram_values(sample: DataFrame) -> tuple[DataFrame, float]:
+    """(key, v, c): what a word, pair or triple adds to the negative log10 probability of a text beyond that of unknown words, and that of one unknown word.
+
+    A known word replaces the unknown one's value and, as a context, adds that of the weight it leaves to the
+    words; a known pair or triple corrects the value of the next lower order. c tells how often it is seen.
+    """
+    tables, uniform = probabilities(sample)
+    less = lambda p: -F.log10(p)
+    p1 = tables["p1"].select("w3", "p", "c")
+    lower = tables["a2"].join(p1.select("w3", F.col("p").alias("p1")), "w3").withColumn("low", F.col("g") * F.col("p1"))
+    p2 = lower.select("k23", (F.col("a") + F.col("low")).alias("p"), "low", "c")
+    upper = tables["a3"].join(p2.select("k23", F.col("p").alias("p2")), "k23").withColumn("low", F.col("g") * F.col("p2"))
+    p3 = upper.select("k123", (F.col("a") + F.col("low")).alias("p"), "low", "c")
+    floor = -float(np.log10(uniform))
+    parts = [p1.select(F.col("w3").alias("key"), (less(F.col("p")) - F.lit(floor)).alias("v"), "c"), tables["g2"].select("w2", less(F.col("g")), "total"),
+             p2.select("k23", less(F.col("p")) - less(F.col("low")), "c"), tables["g3"].select("k12", less(F.col("g")), "total"),
+             p3.select("k123", less(F.col("p")) - less(F.col("low")), "c")]
+    together = parts[0]
+    for part in parts[1:]:
+        together = together.union(part)
+    return stored(together.groupBy("key").agg(F.sum("v").alias("v"), F.max("c").alias("c")), "values"), floor
+
+
+def grams(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all words, pairs and triples of the texts, and the text of each."""
+    w1, w2, w3, start = trigrams(words, first)
+    text = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    k12, k23 = both(w1, w2), both(w2, w3)
+    each = np.arange(len(start) - 1)  # the begin mark and the pair of begin marks are contexts once a text
+    keys = (w3, np.full(len(each), BEGIN, np.uint64), k23, k12[start[:-1]], both(k12, w3))
+    return np.concatenate(keys), np.concatenate((text, each, text, each, text))
+
+
+def joined_scores(docs: DataFrame, values: DataFrame, floor: float, text: str) -> DataFrame:
+    """(h, n_words, __nll) per distinct text with words, h its 64-bit hash.
+
+    The most frequent n-grams are looked up in the batch and added up; the others meet their values in a join.
+    Copies of a text are added up together and shared out.
+    """
+    top = values.orderBy(F.desc("c"), "key").limit(HEAD).select("key", "v").toArrow()  # HEAD rows
+    keys = top.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    head = docs.sparkSession.sparkContext.broadcast(Index(keys[order], top.column(1).to_numpy()[order]).__dict__)
+    texts = docs.select(F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, hasher = Index.shared(head.value), WordHasher(ascii_space_words(), fold_case=False)
+        for batch in batches:
+            for begin, end in slices(batch.column("text")):
+                names = batch.column("h").to_numpy()[begin:end]
+                words, _, _, first = hasher(batch.column("text")[begin:end])
+                key, at = grams(words, first)
+                value = find(key, np.nan)
+                rest = np.isnan(value)
+                known = np.bincount(at[~rest], value[~rest], len(names))
+                count = np.concatenate((np.diff(first), np.zeros(int(rest.sum()), np.int64)))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate((names, key[rest].view(np.int64)))), pa.array(np.concatenate((names, names[at[rest]]))),
+                    pa.array(np.concatenate((known, np.full(int(rest.sum()), np.nan))), from_pandas=True), pa.array(count), pa.array(np.arange(len(count)) < len(names))], ["key", "h", "known", "n", "whole"])
+
+    found = texts.mapInArrow(run, "key bigint, h bigint, known double, n bigint, whole boolean").join(values.select("key", "v"), "key", "left")
+    sums = found.groupBy("h").agg(F.max("n").alias("n_words"), F.count_if("whole").alias("copies"), F.sum(F.when(F.col("whole"), F.col("known")).otherwise(F.coalesce("v", F.lit(0.0)))).alias("s"))
+    return sums.filter("n_words > 0").select("h", "n_words", (F.col("s") / F.col("copies") + F.lit(floor) * (F.col("n_words") + 1)).alias("__nll"))
+
+
 def perplexities(docs: DataFrame, shards: list, unknown: float, text: str, slim: bool = False) -> DataFrame:
     """All columns of docs (``slim``: but the text) with n_words and __nll."""
     rest = without(docs, ADDED)
@@ -243,9 +344,9 @@ def group_of(lang: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), lang), F.lit("null"))
 
 
-def thresholds(scored: DataFrame, labels: DataFrame, sample: DataFrame) -> DataFrame:
+def thresholds(scored: DataFrame, labels: DataFrame, learnt: DataFrame) -> DataFrame:
     """Per language (and for all together): mean, chosen quantile and cut of the log10 perplexity."""
-    judged = labels.join(sample.select("id").distinct(), "id", "left_anti").join(scored.filter("n_words > 0"), "id")
+    judged = labels.join(learnt, "id", "left_anti").join(scored.filter("n_words > 0"), "id")
     judged = judged.select(F.explode(F.array(group_of(F.col("lang")), F.lit("all"))).alias("of"), "trusted", F.col("__nll").alias("nll"), (F.col("n_words") + 1).alias("n"))
     judged = stored(judged, "judged")
     means = judged.filter("trusted").groupBy("of").agg((F.sum("nll") / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("trusted"))
@@ -265,13 +366,14 @@ def smoothed(nll: Column, n: Column, mean: Column) -> Column:
     return (nll + F.lit(PRIOR_TOKENS) * mean) / (n + F.lit(PRIOR_TOKENS))
 
 
-def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_rows: int = TRAIN_ROWS,
-          train_words: int = TRAIN_WORDS, shards: int = SHARDS, slim: bool = False) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_rows: int | None = None,
+          train_words: int | None = None, shards: int = SHARDS, slim: bool = False, held_words: int = HELD_WORDS) -> DataFrame:
     """All columns of docs (``slim``: id and language only) with n_words, perplexity, threshold, kept.
 
     Per word; the threshold is that of the document's language, or of all languages together where
-    that language has fewer than ``LEAST_TRUSTED`` trusted labelled rows outside the sample; a null
-    language is one of its own. With less than two trusted texts every document with words is kept. Null and empty texts and texts of white space have no
+    that language has fewer than ``LEAST_TRUSTED`` trusted labelled rows outside the model; a null
+    language is one of its own. ``train_rows`` and ``train_words`` bound the rows of the model on demand; without them
+    all but the held-out ones are learnt. With less than two trusted texts every document with words is kept. Null and empty texts and texts of white space have no
     words, perplexity null, and are not kept. Repeated rows are judged one by one; contradicting
     labels of an id count as rejected, null labels as none. Columns of the added names are replaced.
     """
@@ -279,16 +381,34 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     batch_rows(spark, 1000)
     base = without(docs, ("n_words", "perplexity", "threshold", "kept"))
     marks = stored(labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min(F.col("quality") > 0).alias("trusted")), "marks")
-    sample = stored(training_sample(base, marks, doc_id, text, lang, train_rows, train_words), "training")
-    model = fit(sample)
-    parts = [spark.sparkContext.broadcast(part) for part in cut(model, shards)]
-    unknown = float(model["unknown"][1][0])
+    if train_rows is None and train_words is None:
+        learnt = stored(ids_to_learn(base, marks, doc_id, text, lang), "learnt")
+        sample = base.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(learnt, "id")
+        sample = sample.withColumn("words", F.regexp_count("text", F.lit(WORDS))).filter("words > 0")
+    else:
+        sample = stored(training_sample(base, marks, doc_id, text, lang, *(2**31 if most is None else most for most in (train_rows, train_words))), "training")
+        learnt = sample.select("id").distinct()
     key = [F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")]
-    scored = stored(perplexities(base.select(*key), parts, unknown, "text", slim=True), "perplexities")
-    cuts = stored(thresholds(scored, marks, sample), "thresholds")
+    if (sample.agg(F.sum("words")).first()[0] or 0) <= held_words:
+        model = fit(sample)
+        parts = [spark.sparkContext.broadcast(part) for part in cut(model, shards)]
+        unknown = float(model["unknown"][1][0])
+        scored = stored(perplexities(base.select(*key), parts, unknown, "text", slim=True), "perplexities")
+        every_row = lambda: perplexities(base, parts, unknown, text)
+    else:
+        scores = stored(joined_scores(base, *gram_values(sample), text), "scores")
+
+        def beside(rows: DataFrame) -> DataFrame:
+            found = rows.join(scores.withColumnRenamed("h", "__h"), "__h", "left").drop("__h")
+            return found.withColumn("n_words", F.coalesce("n_words", F.lit(0).cast("bigint")))
+
+        name = F.xxhash64(key[2]).alias("__h")
+        scored = stored(beside(base.select(*key[:2], name)), "perplexities")
+        every_row = lambda: beside(base.select("*", name))
+    cuts = stored(thresholds(scored, marks, learnt), "thresholds")
     own = cuts.filter("of <> 'all'").select(F.col("of").alias("__of"), F.col("mean").alias("__mean"), F.col("cut").alias("__cut"))
     every = cuts.filter("of = 'all'").agg(F.max("mean").alias("__mean_all"), F.max("cut").alias("__cut_all"))  # a single row
-    rows = scored.select(F.col("id").alias(doc_id), F.col("lang").alias(lang), "n_words", "__nll") if slim else perplexities(base, parts, unknown, text)
+    rows = scored.select(F.col("id").alias(doc_id), F.col("lang").alias(lang), "n_words", "__nll") if slim else every_row()
     joined = rows.join(own, group_of(F.col(f"`{lang}`")) == F.col("__of"), "left").withColumn("__one", F.lit(1)).join(every.withColumn("__one", F.lit(1)), "__one", "left")
     mean, cut_ = F.coalesce("__mean", "__mean_all"), F.coalesce("__cut", "__cut_all")
     score = F.when(F.col("n_words") > 0, smoothed(F.col("__nll"), F.col("n_words") + 1, F.coalesce(mean, F.col("__nll") / (F.col("n_words") + 1))))

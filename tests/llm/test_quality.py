@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import Counter, defaultdict
 
@@ -97,3 +98,27 @@ def test_edge_cases(spark):
     assert Q.judge(docs.limit(0), labels).count() == 0
     assert Q.judge(docs, labels.limit(0)).filter("kept").count() == 5
     assert Q.keep_good(docs, labels.limit(0)).count() == 5
+
+
+def test_all_trusted_rows_are_learnt(spark):
+    """Every trusted row with words, but each fifth by language, whatever their number."""
+    docs = spark.range(6000).selectExpr("id AS doc_id", "if(id % 10 = 0, '', concat('w', id % 7, ' b')) AS text", "if(id % 3 = 0, 'fr', if(id % 3 = 1, 'en', NULL)) AS lang")
+    docs = docs.unionByName(docs.filter("doc_id = 7").withColumn("lang", F.lit("fr")))  # an id that is in two languages
+    marks = spark.range(6000).selectExpr("id", "id % 4 <> 0 AS trusted")
+    got = sorted(r.id for r in Q.ids_to_learn(docs, marks, "doc_id", "text", "lang").collect())
+    rows = {(("=" + r.lang) if r.lang else "null", hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id) for r in docs.collect() if r.doc_id % 4 and r.text}
+    held = {r[2] for place, r in enumerate(sorted(rows), 1) if place % Q.HELD == 2}
+    assert got == sorted({r[2] for r in rows} - held) and len(got) > 2500
+
+
+def test_joined_model_equals_the_broadcast_one(spark, monkeypatch):
+    monkeypatch.setattr(Q, "HEAD", 300)
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(400)
+    docs = docs.unionByName(docs.limit(30)).unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string"))).persist()
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    for slim in (True, False):
+        one, other = (sorted(tuple(r) for r in Q.judge(docs, labels, slim=slim, held_words=n).select("doc_id", "lang", "n_words", "perplexity", "threshold", "kept").collect()
+                             if r.n_words or r.perplexity is None) for n in (10**9, 0))
+        assert len(one) == 433 and [r[:3] + r[5:] for r in one] == [r[:3] + r[5:] for r in other]
+        assert all(a[k] is b[k] is None or math.isclose(a[k], b[k], rel_tol=1e-9) for a, b in zip(one, other, strict=True) for k in (3, 4))
