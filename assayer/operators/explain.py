@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -120,35 +121,33 @@ def shapley(df: DataFrame, background: DataFrame, features, model, key, backgrou
     Every row is paired with the first ``background_rows`` of the background in md5 order of the key and walked forward and
     backward through ``orders`` feature orders; the steps of a walk add up to the difference
     of the scores, so the contributions add up to the score minus the mean background score.
-    The walks are rows of one DataFrame and go through the model in one pass.
+    A step that several walks share is a single row with their number; all steps go through the model twice, for
+    the score before and after, and only the sums per row and feature are shuffled.
     """
     few = stable_sample(background, key, background_rows).select(*features)
     names = list(features)
-    rows = df.select(*key, *[_q(f).alias(f"x_{f}") for f in names])
+    plain = df.select(*key, *[_q(f).alias(f"x_{f}") for f in names])
     ground = few.agg(F.collect_list(F.struct(*names)).alias("__ground")).withColumn("__one", F.lit(0))  # background_rows entries
-    paired = (rows.withColumn("__one", F.lit(0)).join(F.broadcast(ground), "__one").drop("__one")
-              .select("*", F.posexplode("__ground").alias("__b", "__g")).drop("__ground"))
-    walks = []
+    paired = (plain.withColumn("__one", F.lit(0)).join(F.broadcast(ground), "__one").drop("__one")
+              .select("*", F.explode("__ground").alias("__g")).drop("__ground"))
+    taken = Counter()  # how many walks take a step: a feature after the set of those before it
     for o in range(orders):
         turned = names[o % len(names):] + names[:o % len(names)]
-        walks += [turned, turned[::-1]]
-    states = []
-    for w, order in enumerate(walks):
-        for s in range(len(order) + 1):
-            seen = set(order[:s])
-            cells = [(_q(f"x_{f}") if f in seen else F.col("__g")[f]).alias(f) for f in names]
-            states.append(F.struct(F.lit(w).alias("__w"), F.lit(s).alias("__s"), F.lit(order[s - 1] if s else "").alias("__f"), *cells))
-    walked = paired.select(*key, *[f"x_{f}" for f in names], "__b", F.inline(F.array(*states)))
-    scored = model(walked)
-    # The steps of one walk: at most features + 1 rows, paired by position through an array.
-    per_walk = scored.groupBy(*key, *[f"x_{f}" for f in names], "__b", "__w").agg(
-        F.sort_array(F.collect_list(F.struct("__s", "__f", "score"))).alias("steps"))
-    moves = F.transform(F.slice("steps", 2, len(names)), lambda s, i: F.struct(s["__f"].alias("feature"), (s["score"] - F.col("steps")[i]["score"]).alias("d")))
-    value = F.lit(None).cast("double")
-    for f in names:
-        value = F.when(F.col("feature") == f, _q(f"x_{f}").cast("double")).otherwise(value)
-    return (per_walk.select(*key, *[f"x_{f}" for f in names], F.inline(moves)).withColumn("value", value)
-            .groupBy(*key, "feature").agg(F.first("value").alias("value"), F.avg("d").alias("contribution")))
+        for order in (turned, turned[::-1]):
+            taken.update((f, frozenset(order[:s])) for s, f in enumerate(order))
+    steps = []
+    for (feature, seen), walks in taken.items():
+        given = lambda f, seen: (_q(f"x_{f}") if f in seen else F.col("__g")[f]).alias(f)
+        steps.append(F.struct(F.lit(feature).alias("__f"), F.lit(walks).alias("__walks"), _q(f"x_{feature}").cast("double").alias("__value"),
+                              *[given(f, seen) for f in names], F.struct(*[given(f, seen | {feature}) for f in names]).alias("__then")))
+    walked = paired.select(*key, F.inline(F.array(*steps)))
+    kept = [*[_q(k) for k in key], "__f", "__walks", "__value"]
+    before = model(walked).select(*kept, F.col("score").alias("__before"), "__then.*")
+    moved = model(before).select(*kept, (F.col("score") - F.col("__before")).alias("__d"))
+    # Both ends of a step are in one row, so the steps of a row are added up where they are made.
+    sums = moved.groupBy(*key, F.col("__f").alias("feature")).agg(F.first("__value").alias("value"), F.sum(F.col("__d") * F.col("__walks")).alias("__sum"),
+                                                                  F.sum(F.when(F.col("__d").isNotNull(), F.col("__walks"))).alias("__of"))
+    return sums.select(*key, "feature", "value", F.try_divide("__sum", "__of").alias("contribution"))
 
 
 def contribution_summary(contributions: DataFrame, mapping: DataFrame | None = None) -> DataFrame:

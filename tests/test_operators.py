@@ -253,3 +253,21 @@ def test_sources_round_trip(spark, tmp_path):
         assert tables.table_digest(back).first() == tables.table_digest(df.repartition(3)).first()
     with pytest.raises(ValueError):
         tables.read_table(spark, "x.xlsx")
+
+
+def test_shared_steps_of_shapley_walks_are_one_row(spark):
+    rows = [(1, 2.0, 5.0), (2, 1.0, -3.0), (3, None, 4.0), (4, 7.0, 1.0), (4, 7.0, 1.0)]
+    df, seen = spark.createDataFrame(rows, "id long, a double, b double"), []
+
+    def model(x):
+        seen.append(x.count())
+        return x.withColumn("score", F.col("a") * F.col("b"))
+
+    ground = spark.createDataFrame([(k, float(k), float(k * k)) for k in range(3)], "id long, a double, b double")
+    got = {(r.id, r.feature): (r.value, r.contribution) for r in explain.shapley(df, ground, ["a", "b"], model, ["id"], 3, orders=8).collect()}
+    assert max(seen) <= len(rows) * 3 * 4 and sorted(got) == sorted((i, f) for i in (1, 2, 3, 4) for f in "ab")
+    for i, a, b in rows:
+        if a is not None:
+            moved = [((a - k) * (b + k * k) / 2, (b - k * k) * (a + k) / 2) for k in range(3)]
+            assert got[i, "a"] == (a, pytest.approx(sum(m[0] for m in moved) / 3)) and got[i, "b"] == (b, pytest.approx(sum(m[1] for m in moved) / 3))
+    assert got[3, "a"] == (None, None) and got[3, "b"][1] == pytest.approx(sum((4.0 - k * k) * k for k in range(3)) / 3)
