@@ -61,7 +61,8 @@ def calendar_series(df: DataFrame, ts: str, measure: str, keys=(), frequency: st
     total = (how or ("sum" if additive(measure) else "mean")) == "sum"
     if frequency is None:
         chosen = choose_frequency(rows, names).select(*names, "frequency")
-        rows = ranking.join_groups(rows, chosen, names)  # a row per series; broadcast when it measures small
+        # A row per series, broadcast when it measures small; a single row in any case, or Spark may take the source rows for the smaller side.
+        rows = ranking.join_groups(rows, chosen if keys else F.broadcast(chosen), names)
     else:
         rows = rows.withColumn("frequency", F.lit(frequency))
     label = frequency if frequency is not None else F.col("frequency")

@@ -1,5 +1,7 @@
 """Behaviour of the operators on small tables."""
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -271,3 +273,18 @@ def test_shared_steps_of_shapley_walks_are_one_row(spark):
             moved = [((a - k) * (b + k * k) / 2, (b - k * k) * (a + k) / 2) for k in range(3)]
             assert got[i, "a"] == (a, pytest.approx(sum(m[0] for m in moved) / 3)) and got[i, "b"] == (b, pytest.approx(sum(m[1] for m in moved) / 3))
     assert got[3, "a"] == (None, None) and got[3, "b"][1] == pytest.approx(sum((4.0 - k * k) * k for k in range(3)) / 3)
+
+
+def test_a_single_series_broadcasts_its_frequency_and_not_its_rows(spark, tmp_path, capsys):
+    """The rows of a small file look smaller to the planner than the aggregates that are joined with them."""
+    path = str(tmp_path / "events")
+    spark.range(40_000).selectExpr("timestamp_seconds(1700000000 + id * 60) AS ts", "double(id % 100) AS value").write.parquet(path)
+    series = temporal.calendar_series(spark.read.parquet(path), "ts", "value")
+    assert series.count() > 600
+    capsys.readouterr()
+    series.explain()
+    lines = [(len(x) - len(x.lstrip(" :+-")), x) for x in capsys.readouterr().out.splitlines()]
+    for i, (depth, line) in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = list(itertools.takewhile(lambda x: x[0] > depth, lines[i + 1:]))
+            assert not any("FileScan" in x for _, x in below) or any("Aggregate" in x for _, x in below), line
