@@ -60,7 +60,8 @@ def calendar_series(df: DataFrame, ts: str, measure: str, keys=(), frequency: st
     rows = usable_rows(df, ts, measure, keys)
     total = (how or ("sum" if additive(measure) else "mean")) == "sum"
     if frequency is None:
-        chosen = choose_frequency(rows, names).select(*names, "frequency")
+        # Without keys the gaps are one column without groups, whose quantiles take fewer scans.
+        chosen = choose_frequency(rows, keys).select(*names, "frequency") if keys else choose_frequency(rows, []).select(F.lit("all").alias("series"), "frequency")
         # A row per series, broadcast when it measures small; a single row in any case, or Spark may take the source rows for the smaller side.
         rows = ranking.join_groups(rows, chosen if keys else F.broadcast(chosen), names)
     else:

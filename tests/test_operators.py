@@ -288,3 +288,14 @@ def test_a_single_series_broadcasts_its_frequency_and_not_its_rows(spark, tmp_pa
         if "BroadcastExchange" in line:
             below = list(itertools.takewhile(lambda x: x[0] > depth, lines[i + 1:]))
             assert not any("FileScan" in x for _, x in below) or any("Aggregate" in x for _, x in below), line
+
+
+def test_a_single_series_takes_quantiles_without_groups(spark, monkeypatch):
+    asked, medians = [], temporal.q.medians
+    monkeypatch.setattr(temporal.q, "medians", lambda df, columns, by=(), rows=None: asked.append(list(by)) or medians(df, columns, by, rows))
+    df = spark.range(50).selectExpr("timestamp_seconds(1700000000 + id * 3600) AS ts", "double(id) AS value", "'x' AS k")
+    one, keyed = temporal.calendar_series(df, "ts", "value"), temporal.calendar_series(df, "ts", "value", ["k"])
+    assert asked == [[], ["k"]] and one.columns[0] == "series"
+    rest = [c for c in one.columns if c != "series"]
+    assert sorted(one.select(rest).collect()) == sorted(keyed.select(rest).collect()) and one.filter("series = 'all' AND frequency = 'h'").count() == 50
+    assert temporal.calendar_series(df.limit(0), "ts", "value").count() == 0
