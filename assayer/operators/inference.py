@@ -28,6 +28,7 @@ LEVELS = 20
 PAIRS_PER_SCAN = 30
 LEAST_ROWS, LEAST_GROUP = 8, 3
 SKETCH_REGISTERS = 512  # of a distinct-count sketch with a relative error of 5 %
+HELD_RANKS = 250_000  # distinct values of a column whose table of ranks is broadcast
 PAIR = ["category", "numeric"]
 
 
@@ -110,10 +111,10 @@ def _rank_correlations(df: DataFrame, names, pairs, rows) -> DataFrame:
     # How finely a column is cut depends on its distinct values, not on the rows.
     sizes = [rows] * len(names) if rows <= ranking.SMALL_ROWS else [
         min(rows, int(n * 1.2) + 1) for n in ranked.agg(*[F.approx_count_distinct(f"v{i}") for i in range(len(names))]).first()]
-    for i in range(len(names)):
+    # Unless a short table is broadcast, all rows are shuffled by its column before Spark has measured it.
+    for i in sorted(range(len(names)), key=lambda i: sizes[i]):
         table = ranking.average_ranks(ranked.select(f"v{i}"), f"v{i}", rows=sizes[i]).select(f"v{i}", F.col("avg_rank").alias(f"k{i}"))
-        # Distinct values of the column: Spark broadcasts the table only if it measures small.
-        ranked = ranked.join(table, f"v{i}")
+        ranked = ranked.join(F.broadcast(table) if sizes[i] <= HELD_RANKS else table, f"v{i}")
     at = {c: i for i, c in enumerate(names)}
     wide = ranked.agg(F.count(F.lit(1)).alias("n"), *[F.expr(numbers.corr_sql(f"k{at[a]}", f"k{at[b]}")).alias(f"r{j}") for j, (a, b) in enumerate(pairs)])
     return long_form(wide, {j: {"left": quoted(a), "right": quoted(b), "n": "n", "coefficient": f"r{j}"}

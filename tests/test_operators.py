@@ -299,3 +299,26 @@ def test_a_single_series_takes_quantiles_without_groups(spark, monkeypatch):
     rest = [c for c in one.columns if c != "series"]
     assert sorted(one.select(rest).collect()) == sorted(keyed.select(rest).collect()) and one.filter("series = 'all' AND frequency = 'h'").count() == 50
     assert temporal.calendar_series(df.limit(0), "ts", "value").count() == 0
+
+
+def joins_of(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("BroadcastHashJoin"), plan.count("SortMergeJoin")
+
+
+def test_short_rank_tables_do_not_shuffle_the_rows(spark, monkeypatch):
+    """Columns of few values are ranked by a broadcast; one of many values (and its buckets) is joined in a shuffle."""
+    monkeypatch.setattr(inference.ranking, "SMALL_ROWS", 50)
+    monkeypatch.setattr(inference, "HELD_RANKS", 200)
+    df = spark.range(600).selectExpr("double(id % 7) AS a", "double(id * id % 11) AS b", "double(id * 37 % 601) AS c")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = [("a", "b"), ("a", "c"), ("b", "c")]
+        found = inference.spearman(df, pairs, ["a", "b", "c"])
+        assert joins_of(inference.spearman(df, pairs[:1], ["a", "b"]))[1] == 0 and joins_of(found)[1] == 2
+        got = {(r["left"], r["right"]): r["coefficient"] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    table = df.toPandas().rank()
+    assert all(got[p] == pytest.approx(table[p[0]].corr(table[p[1]])) for p in pairs)
