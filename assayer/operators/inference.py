@@ -29,6 +29,7 @@ PAIRS_PER_SCAN = 30
 LEAST_ROWS, LEAST_GROUP = 8, 3
 SKETCH_REGISTERS = 512  # of a distinct-count sketch with a relative error of 5 %
 HELD_RANKS = 250_000  # distinct values of a column whose table of ranks is broadcast
+HELD_GROUPS = 10_000  # groups whose medians are broadcast
 PAIR = ["category", "numeric"]
 
 
@@ -222,7 +223,9 @@ def deviation_rows(df: DataFrame, categories, numerics, rows: int | None = None)
     cells = _by_category(df, categories, numerics)
     names = [f"v{i}" for i in range(len(numerics))]
     centre = q.medians(cells, names, ["category", "label"], count).withColumnsRenamed({v: f"c_{v}" for v in names})
-    away = cells.join(centre, ["category", "label"])  # Spark broadcasts the medians when they measure small
+    few = centre.limit(HELD_GROUPS + 1).collect()
+    centre = F.broadcast(df.sparkSession.createDataFrame(few, centre.schema)) if len(few) <= HELD_GROUPS else centre
+    away = cells.join(centre, ["category", "label"])
     return _group_statistics(away.select("category", "label", *[F.abs(F.col(v) - F.col(f"c_{v}")).alias(v) for v in names]), numerics)
 
 
@@ -249,7 +252,7 @@ def anova(groups: DataFrame) -> DataFrame:
 
 def levene(df: DataFrame, categories, numerics, rows: int | None = None) -> DataFrame:
     """Median-centred Levene statistic per pair."""
-    return anova(deviation_rows(df, categories, numerics, rows)).drop("eta_squared")
+    return anova(deviation_rows(df, categories, numerics, rows).persist()).drop("eta_squared")  # a row per group and column, read twice
 
 
 def two_groups(groups: DataFrame) -> DataFrame:

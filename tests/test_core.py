@@ -74,6 +74,24 @@ def test_quantiles_of_hard_columns(spark):
     assert q.quantiles(infinite, ["v"], [0.0, 0.5, 1.0], held=5).first().v == [float("-inf"), 20.0, float("inf")]
 
 
+def test_few_large_groups_are_narrowed_without_a_join(spark, monkeypatch):
+    """Large groups next to small ones, a null key, two keys; many large groups still meet their brackets in a table."""
+    rows = [(k, m, float(i * 7919 % 997) if i % 9 else None) for k, n in (("a", 400), (None, 300), ("b", 4)) for i, m in enumerate([True, False] * (n // 2))]
+    rows += [("empty", True, None)] * 40
+    df, shares = spark.createDataFrame(rows, "k string, m boolean, v double"), [0.1, 0.5, 0.9]
+    joined = []
+    within = q._within
+    monkeypatch.setattr(q, "_within", lambda *a: joined.append(1) or within(*a))
+    few = {(r.k, r.m): r.v for r in q.quantiles(df, ["v"], shares, ["k", "m"], held=30).collect()}
+    assert not joined
+    monkeypatch.setattr(q, "FEW_GROUPS", 1)
+    many = {(r.k, r.m): r.v for r in q.quantiles(df, ["v"], shares, ["k", "m"], held=30).collect()}
+    assert joined and few == many and few["empty", True] is None and len(few) == 7
+    for (k, m), got in few.items():
+        values = [v for a, b, v in rows if (a, b) == (k, m) and v is not None]
+        assert got is None if not values else np.allclose(got, np.quantile(values, shares))
+
+
 def test_hash_cuts_give_exact_sizes(spark, skewed):
     parted = splits.random_split(spark.createDataFrame(skewed), ["id"], "g").groupBy("g", "part").count().toPandas()
     for g, n in skewed.g.value_counts().items():

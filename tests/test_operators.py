@@ -322,3 +322,17 @@ def test_short_rank_tables_do_not_shuffle_the_rows(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     table = df.toPandas().rank()
     assert all(got[p] == pytest.approx(table[p[0]].corr(table[p[1]])) for p in pairs)
+
+
+def test_group_medians_are_broadcast(spark):
+    df = spark.range(300).selectExpr("CAST(id % 4 AS STRING) AS g", "double(id * 17 % 101) AS v")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        away = inference.deviation_rows(df, ["g"], ["v"])
+        assert joins_of(away) == (1, 0)
+        got = {r["label"]: r["mean"] for r in away.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    part = df.toPandas().groupby("g")["v"]
+    assert all(got[g] == pytest.approx((v - v.median()).abs().mean()) for g, v in part)
