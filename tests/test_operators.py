@@ -336,3 +336,15 @@ def test_group_medians_are_broadcast(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     part = df.toPandas().groupby("g")["v"]
     assert all(got[g] == pytest.approx((v - v.median()).abs().mean()) for g, v in part)
+
+
+def test_fits_read_even_parts(spark, monkeypatch):
+    """A part of very many rows is dealt anew, smaller tables keep their parts; nothing but the used columns is cached."""
+    rows = spark.range(0, 900, 1, 1).selectExpr("id", "double(id % 7) AS x", "double(id % 2) AS label", "int(id % 3 % 2) AS fold", "'train' AS part", "repeat('z', 50) AS unused")
+    assert models.even_parts(rows).rdd.getNumPartitions() == 1 and models.even_parts(rows.limit(0)).count() == 0
+    monkeypatch.setattr(models, "ROWS_A_TASK", 200)
+    assert [len(p) for p in models.even_parts(rows).rdd.glom().collect()] == [180] * 5
+    seen, keep = [], models.even_parts
+    monkeypatch.setattr(models, "even_parts", lambda df: seen.append(df.columns) or keep(df))
+    assert models.compare_models(rows, ["ID"], "classification", ["x"], [], k=2, names=["Baseline", "Decision tree"]).filter("status = 'completed'").count() == 4
+    assert seen == [["id", "x", "label", "fold"]]
