@@ -57,3 +57,25 @@ def test_many_columns_and_few_rows(spark):
     assert agreement(C.DiagonalMixture(2).fit(df).transform(df).collect()) == 1.0
     same = spark.createDataFrame([(k, 0, [1.0, 2.0]) for k in range(5)], "id int, g int, features array<double>")
     assert {r.prediction for r in C.Centroids(2, starts=2).fit(same).transform(same).collect()} == {0}
+
+
+def test_fits_share_their_passes(spark, blobs, monkeypatch):
+    """Fits together are the fits alone, in as many passes as the longest of them."""
+    df, _, _ = blobs
+    passes, added_up = [], C.added_up
+    monkeypatch.setattr(C, "added_up", lambda df, features, wanted: passes.append(len(wanted)) or added_up(df, features, wanted))
+    make = [lambda: C.Centroids(2, starts=3), lambda: C.Centroids(4, starts=3), lambda: C.DiagonalMixture(3)]
+    alone, counts = [], []
+    for one in make:
+        alone.append(one().fit(df))
+        counts.append(len(passes) - sum(counts))
+    passes.clear()
+    together = C.fit_together([one() for one in make], df)
+    assert len(passes) == max(counts) < sum(counts) and passes[0] == 3 and sum(passes) == sum(counts)
+    for a, b in zip(alone, together, strict=True):
+        if isinstance(a, C.CentroidModel):
+            assert np.allclose(a.centres, b.centres) and np.allclose(a.inertia, b.inertia)
+        else:
+            assert np.allclose(a.likelihood, b.likelihood) and np.allclose(a.mixture.means, b.mixture.means) and np.allclose(a.mixture.variances, b.mixture.variances)
+    nothing = df.filter("id < 0")
+    assert [len(x) for x in C.added_up(nothing, "features", [(lambda x: x.sum(axis=0), 3), (len, 1)])] == [3, 1]
