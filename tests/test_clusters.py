@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from assayer.operators import clusters as C
+from assayer.operators import metrics
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +80,21 @@ def test_fits_share_their_passes(spark, blobs, monkeypatch):
             assert np.allclose(a.likelihood, b.likelihood) and np.allclose(a.mixture.means, b.mixture.means) and np.allclose(a.mixture.variances, b.mixture.variances)
     nothing = df.filter("id < 0")
     assert [len(x) for x in C.added_up(nothing, "features", [(lambda x: x.sum(axis=0), 3), (len, 1)])] == [3, 1]
+
+
+def test_cluster_metrics_leave_the_rows_where_they_are(spark, blobs):
+    df, points, of = blobs
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = metrics.cluster_metrics(df.filter("g IS NOT NULL"), "features", "g")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1, plan  # the other one joins facts of clusters
+        got = found.first()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    centres = np.stack([points[of == g].mean(axis=0) for g in range(3)])
+    scatter = np.array([np.sqrt(((points[of == g] - centres[g]) ** 2).sum(axis=1)).mean() for g in range(3)])
+    away = np.sqrt(((centres[:, None] - centres) ** 2).sum(axis=2))
+    worst = [max((scatter[a] + scatter[b]) / away[a, b] for b in range(3) if b != a) for a in range(3)]
+    assert np.isclose(got.davies_bouldin, np.mean(worst)) and got.clusters == 3
