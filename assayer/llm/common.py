@@ -61,3 +61,15 @@ def arrow_rows(spark: SparkSession, rows: int):
         yield
     finally:
         spark.conf.set(name, before)
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Inside the block the shuffle files of a query go when it ends; the session's own setting comes back after it."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

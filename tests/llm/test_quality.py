@@ -122,3 +122,29 @@ def test_joined_model_equals_the_broadcast_one(spark, monkeypatch):
                              if r.n_words or r.perplexity is None) for n in (10**9, 0))
         assert len(one) == 433 and [r[:3] + r[5:] for r in one] == [r[:3] + r[5:] for r in other]
         assert all(a[k] is b[k] is None or math.isclose(a[k], b[k], rel_tol=1e-9) for a, b in zip(one, other, strict=True) for k in (3, 4))
+
+
+def test_a_large_model_travels_as_packed_triples(spark, monkeypatch):
+    """Word triples are shuffled as places among a chunk's words, in buckets of their middle word; hot words are cut; copies are learnt as often as they stand."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).select("doc_id", "text", "lang")
+    docs = docs.unionByName(docs.limit(20)).unionByName(docs.limit(10).withColumn("doc_id", F.col("doc_id") + 10**9)).persist()
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 != 1).cast("int").alias("quality")).distinct()
+    monkeypatch.setattr(Q, "HEAD", 200)
+    monkeypatch.setattr(Q, "BUCKET_WORDS", 1000)
+    monkeypatch.setattr(Q, "CHUNK_BYTES", 100_000)
+    texts = Q.marked(docs, labels.select(F.col("doc_id").alias("id")).limit(100), "doc_id", "text")
+    dealt = Q.dealing(texts)
+    rows = Q.packed(texts, spark.sparkContext.broadcast(dealt), 0, 1).collect()
+    assert len(dealt.hot) and max(dealt.parts) > 1 and len({r.b for r in rows}) > 20
+    for chosen in ({}, {"train_rows": 10**6}):
+        want = {(r.doc_id, r.lang): r for r in Q.judge(docs, labels, slim=True, held_words=10**9, **chosen).collect()}
+        got = Q.judge(docs, labels, slim=True, held_words=0, **chosen).collect()
+        assert len(got) == 330
+        for r in got:
+            one = want[r.doc_id, r.lang]
+            assert (r.n_words, r.kept) == (one.n_words, one.kept) and all(a is b is None or math.isclose(a, b, rel_tol=1e-9) for a, b in ((r.perplexity, one.perplexity), (r.threshold, one.threshold)))
+    monkeypatch.undo()
+    rows = Q.packed(texts, spark.sparkContext.broadcast(Q.dealing(texts)), 0, 1).collect()
+    places = sum(r.n_triples for r in rows)
+    assert places == docs.dropDuplicates(["text"]).filter("text IS NOT NULL").select(F.sum(F.regexp_count("text", F.lit(Q.WORDS)) + 1)).first()[0]
+    assert sum(len(r.words) + len(r.triples) + len(r.names) for r in rows) < 10 * places  # a row of three words and a count was 32 bytes
