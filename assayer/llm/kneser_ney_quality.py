@@ -3,9 +3,10 @@
 The model is fitted on all trusted labelled rows but every fifth id by language, which is held out for
 the thresholds. Its n-gram, continuation and context counts are Spark aggregations. A model of at most
 ``held_words`` training words is broadcast: its tables are cut by key into shards, and a batch of
-documents looks its n-grams up in one shard after another. A larger model stays a table: the score of a
-text is a sum of one value per word, word pair and word triple, so the n-grams of the documents meet the
-values in one join by key, but for the ``HEAD`` most frequent ones, which are broadcast.
+documents looks its n-grams up in one shard after another. A larger model is never held whole: the triples
+of all texts are dealt to buckets by their middle word, packed as places among the words of a chunk of
+texts. A bucket counts the learnt ones and adds up what its pairs and triples add to the score of each text;
+the words themselves are looked up among the ``HEAD`` most frequent ones or joined.
 
 Thresholds cover all labelled rows that are not in the model: per language, the trusted perplexity quantile
 that best separates trusted from rejected rows. All documents are scored over their whole texts.
@@ -27,11 +28,11 @@ from assayer.llm.word_hashes import WordHasher, ascii_space_words, slices, sprea
 
 #: A model of more training words than this is joined with the documents and not broadcast.
 HELD_WORDS = 1_500_000
-#: So many of a joined model's most frequent n-grams are broadcast all the same.
+#: So many of a large model's most frequent words are broadcast.
 HEAD = 500_000
 SHARDS = 4
 #: Bytes of text whose triples are packed together.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 #: Words of a bucket of triples; a middle word that alone has more is cut by the first words.
 BUCKET_WORDS = 2_000_000
 #: Turns in which the buckets of a large model are dealt out: their shuffles are on disk one after another.
@@ -333,7 +334,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
         for x, low, high in zip(held, edges[:-1], edges[1:], strict=True):
             mine = index[order][(index[order] >= low) & (index[order] < high)] - low
             texts = x.column("text").take(pa.array(mine))
-            for begin, end in slices(texts):
+            for begin, end in slices(texts, CHUNK_BYTES // 4):
                 words, _, _, starts = hasher(texts[begin:end])
                 parts.append(words)
                 first.append(starts[1:] + base)
@@ -560,10 +561,11 @@ def score_bucket(table: pa.Table, dealt: Dealt, p1: tuple[np.ndarray, np.ndarray
             at23, pair = place_of(keys23, k23)
             lower = np.where(pair, p2[at23], value[todo])
             at12, deep = place_of(keys12, k12)
-            at123, triple = place_of(known.k123, both(k12, w3[todo]))
             full = np.where(deep, g3[at12], 1.0) * lower if len(keys12) else lower
             if len(a3):
-                full = full + np.where(triple, a3[at123], 0.0)
+                maybe = np.flatnonzero(pair & deep)  # a learnt triple has both
+                at123, triple = place_of(known.k123, both(k12[maybe], w3[todo[maybe]]))
+                full[maybe] += np.where(triple, a3[at123], 0.0)
             value[todo] = -np.log10(full) + np.where(pair, np.log10(words_p[at23]), 0.0)
         names.append(name)
         sums.append(np.bincount(text, value, len(name)))
