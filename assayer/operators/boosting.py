@@ -118,11 +118,13 @@ def cells_of(rows: DataFrame, cuts: list, metadata: dict) -> DataFrame:
             y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "weight"))
             if len(x) != batch.num_rows or not np.isfinite(x).all() or not (w >= 0).all():
                 raise ValueError("Trees need finite features and a weight in every row.")
-            table = pd.DataFrame(np.column_stack((bins(x, cuts), y, w)))
-            summed = table.groupby(list(range(len(cuts) + 1)), dropna=False, sort=False)[len(cuts) + 1].sum()
-            keys = np.array(summed.index.to_list(), dtype=float)
+            table, code = np.column_stack((bins(x, cuts), y)), np.zeros(len(y), np.int64)
+            for column in table.T:  # cells seen so far by number, so the numbers stay small
+                part, values = pd.factorize(column, use_na_sentinel=False)
+                code = pd.factorize(code * len(values) + part)[0]
+            keys = table[np.unique(code, return_index=True)[1]]
             features = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * len(cuts)), pa.array(keys[:, :-1].ravel()))
-            yield pa.RecordBatch.from_arrays([features, pa.array(keys[:, -1]), pa.array(summed.to_numpy())], ["b", "label", "weight"])
+            yield pa.RecordBatch.from_arrays([features, pa.array(keys[:, -1]), pa.array(np.bincount(code, w))], ["b", "label", "weight"])
 
     added = rows.select(vector_to_array("features").alias("x"), "label", "weight").mapInArrow(run, "b array<double>, label double, weight double")
     summed = added.groupBy("b", "label").agg(F.sum("weight").alias("weight"))
